@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from corpuslens.llm import bpe, exact_dedup
+from corpuslens.llm import bpe, exact_dedup, minhash
 
 QUERIES = {
+    "op1_minhash_near_dedup": minhash.op1_minhash_near_dedup,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op4_byte_bpe": bpe.op4_byte_bpe,
 }
