@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from corpuslens.llm import bpe, exact_dedup, minhash, toxicity
+from corpuslens.llm import bpe, exact_dedup, minhash, substring, toxicity
 
 QUERIES = {
     "op1_minhash_near_dedup": minhash.op1_minhash_near_dedup,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op4_byte_bpe": bpe.op4_byte_bpe,
+    "op6_substring_dedup": substring.op6_substring_dedup,
     "op7_toxicity": toxicity.op7_toxicity,
 }
 
