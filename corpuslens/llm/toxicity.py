@@ -16,8 +16,8 @@ from corpuslens.llm import shared
 LENGTHS, BITS, MAX_ROWS = (4, 6, 8), 20, 6000
 #: Rows in which a feature must occur, smoothing of counts, weight of the L2 penalty, steps and rate of the descent.
 LEAST_ROWS, SMOOTH, PENALTY, STEPS, RATE = 8, 1.0, 1e-5, 80, 0.1
-#: Every fifth row only sets the scale and the bias of the scores.
-CALIBRATION = 5
+#: Features with weights: those whose ratio is largest against its chance spread. One row in so many sets only the scale and bias of scores.
+KEPT, CALIBRATION = 50_000, 5
 ROLL = shared.Rolling(31)
 
 
@@ -66,42 +66,31 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
-def _weights(rows: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
-    """Logistic regression over presence * log-count ratio."""
-    size = 1 << BITS
+def _weights(rows: list[np.ndarray], scale: np.ndarray, labels: np.ndarray, ratio: np.ndarray) -> np.ndarray:
+    """Logistic regression over presence * log-count ratio. rows: numbers of the chosen features."""
     number = np.concatenate(rows)
     row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    scale = 1 / np.sqrt(np.maximum(1, [len(r) for r in rows]))
-    seen = np.bincount(number, minlength=size)
-    ones = np.bincount(number, labels[row], size)
-    p, q = SMOOTH + ones, SMOOTH + seen - ones
-    ratio = np.log(p / p.sum()) - np.log(q / q.sum())
-    ratio[seen < LEAST_ROWS] = 0
-    keep = ratio[number] != 0
-    used, number = np.unique(number[keep], return_inverse=True)
-    row, r = row[keep], ratio[used]
-    value = r[number] * scale[row]
+    value = ratio[number] * scale[row]
 
     def gradient(w: np.ndarray) -> np.ndarray:
         error = _sigmoid(np.bincount(row, value * w[number], len(rows)) + w[-1]) - labels
-        return np.append(np.bincount(number, value * error[row], len(used)) / len(rows) + PENALTY * w[:-1], error.mean())
+        return np.append(np.bincount(number, value * error[row], len(ratio)) / len(rows) + PENALTY * w[:-1], error.mean())
 
-    out = np.zeros(size, np.float32)
-    out[used] = _descend(gradient, np.zeros(len(used) + 1), STEPS, RATE)[:-1] * r
-    return out
+    return _descend(gradient, np.zeros(len(ratio) + 1), STEPS, RATE)[:-1] * ratio
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray) -> Model:
-    """Weights from four fifths of the rows, scale and bias from the rest, which the weights haven't seen. Where either part has
-    rows of one label only, or none: no weights, and a bias that tells the label's share."""
+def fit(rows: list[np.ndarray], sizes: np.ndarray, labels: np.ndarray, apart: np.ndarray, chosen: np.ndarray, ratio: np.ndarray) -> Model:
+    """Weights from the rows that aren't apart, scale and bias from those that are, which the weights haven't seen. Where either
+    part has rows of one label only, or none: no weights, and a bias that tells the label's share. sizes: features of each row,
+    not only chosen ones."""
     labels = np.asarray(labels, np.float64)
     share = (labels.sum() + 0.5) / (len(labels) + 1)
     prior = Model(np.zeros(1 << BITS, np.float32), float(np.log(share / (1 - share))))
-    apart = np.arange(len(rows)) % CALIBRATION == CALIBRATION - 1
     if any(len(set(part.tolist())) < 2 for part in (labels[apart], labels[~apart])):
         return prior
-    weights = _weights([r for r, a in zip(rows, apart, strict=True) if not a], labels[~apart])
-    z = Model(weights, 0.0).sums([r for r, a in zip(rows, apart, strict=True) if a])
+    scale = 1 / np.sqrt(np.maximum(1, sizes))
+    own = _weights([r for r, a in zip(rows, apart, strict=True) if not a], scale[~apart], labels[~apart], ratio)
+    z = np.array([own[r].sum() for r, a in zip(rows, apart, strict=True) if a]) * scale[apart]
     y, centre, unit = labels[apart], z.mean(), z.std() or 1.0
     z = (z - centre) / unit
 
@@ -110,7 +99,9 @@ def fit(rows: list[np.ndarray], labels: np.ndarray) -> Model:
         return np.array([(error * z).mean(), error.mean()]) + np.array([1e-3 * x[0], 0])
 
     slope, bias = _descend(gradient, np.array([1.0, prior.bias]), 600, 0.1)
-    return Model(weights * np.float32(slope / unit), float(bias - slope * centre / unit))
+    weights = prior.weights
+    weights[chosen] = own * slope / unit
+    return Model(weights, float(bias - slope * centre / unit))
 
 
 def fold(doc_id):
@@ -128,23 +119,55 @@ def _runs(batch: pa.RecordBatch, column: int):
             size, k = 0, end
 
 
-def _featurise(batches):
+def _counted(batches):
+    """Of each feature, the rows and the toxic rows that have it."""
+    seen = np.zeros((2, 1 << BITS), np.int64)
     for batch in batches:
         for a, b, texts in _runs(batch, 0):
-            yield pa.RecordBatch.from_arrays([batch.column(1).slice(a, b - a), pa.array(features(texts), pa.list_(pa.int32()))], ["toxic", "features"])
+            for own, toxic in zip(features(texts), batch.column(1).slice(a, b - a).to_pylist(), strict=True):
+                seen[0, own] += 1
+                seen[1, own] += toxic > 0
+    full = np.flatnonzero(seen[0])
+    yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(seen[0, full]), pa.array(seen[1, full])], ["feature", "seen", "ones"])
+
+
+def _picked(chosen: np.ndarray):
+    """The chosen features of each row, by their number among them; and how many features it has in all."""
+    number = np.full(1 << BITS, -1, np.int32)
+    number[chosen] = np.arange(len(chosen))
+
+    def run(batches):
+        for batch in batches:
+            for a, b, texts in _runs(batch, 0):
+                rows = features(texts)
+                own = [x[x >= 0] for x in (number[r] for r in rows)]
+                yield pa.RecordBatch.from_arrays([batch.column(1).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array([len(r) for r in rows], pa.int32()), pa.array(own, pa.list_(pa.int32()))], ["toxic", "apart", "size", "own"])
+
+    return run
 
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model:
     """Fits on labels(doc_id, toxic) outside fold 0: at most max_rows of them, by the least hash of doc_id. Null labels and
-    labels without a document are left out; of several labels of a document, the largest counts."""
-    shared.small_batches(docs.sparkSession)
+    labels without a document are left out; of several labels of a document, the largest counts. What comes to the driver is
+    bounded by max_rows and KEPT, whatever the input's size."""
+    spark = docs.sparkSession
+    shared.small_batches(spark)
     told = labels.where("doc_id is not null and toxic is not null").where(fold(F.col("doc_id")) != 0).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    told = told.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    rows = docs.select("doc_id", "text").join(F.broadcast(told), "doc_id").select("text", "toxic")  # at most max_rows rows of two numbers
-    got = rows.mapInArrow(_featurise, "toxic int, features array<int>").toArrow()
-    own = got.column("features").combine_chunks()
+    told = told.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows).withColumn("apart", F.pmod(F.xxhash64(F.lit("apart"), "doc_id"), F.lit(CALIBRATION)) == 0)
+    rows = docs.select("doc_id", "text").join(F.broadcast(told), "doc_id").select("text", "toxic", "apart")  # at most max_rows rows of three numbers
+    rows = shared.table(rows, "labelled")
+    counts = rows.where("not apart").select("text", "toxic").mapInArrow(_counted, "feature int, seen long, ones long").groupBy("feature").agg(F.sum("seen").alias("seen"), F.sum("ones").alias("ones"))
+    counts = shared.table(counts, "counts")
+    sums = counts.agg(F.sum("ones").alias("p"), F.sum(F.col("seen") - F.col("ones")).alias("q")).first()
+    p, q = ((n or 0) + SMOOTH * (1 << BITS) for n in (sums.p, sums.q))
+    ratio = F.log((F.col("ones") + SMOOTH) / p) - F.log((F.col("seen") - F.col("ones") + SMOOTH) / q)
+    best = counts.where(F.col("seen") >= LEAST_ROWS).select("feature", ratio.alias("ratio"), (F.abs(ratio) * F.sqrt("seen")).alias("weight")).orderBy(F.desc("weight"), "feature").limit(KEPT).toArrow()
+    chosen, ratios = np.asarray(best.column("feature")), np.asarray(best.column("ratio"))
+    got = rows.mapInArrow(_picked(chosen), "toxic int, apart boolean, size int, own array<int>").toArrow()
+    own = got.column("own").combine_chunks()
     flat, at = np.asarray(own.values), np.asarray(own.offsets)
-    return fit([flat[at[i] : at[i + 1]] for i in range(len(own))], np.asarray(got.column("toxic")) > 0)
+    parts = [flat[at[i] : at[i + 1]] for i in range(len(own))]
+    return fit(parts, np.asarray(got.column("size")), np.asarray(got.column("toxic")) > 0, np.asarray(got.column("apart")).astype(bool), chosen, ratios)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
