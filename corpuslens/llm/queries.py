@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpuslens.llm import bpe, exact_dedup, minhash, substring, toxicity
+from corpuslens.llm import bpe, exact_dedup, lines, minhash, mixing, substring, toxicity
 
 QUERIES = {
     "op1_minhash_near_dedup": minhash.op1_minhash_near_dedup,
@@ -10,6 +10,12 @@ QUERIES = {
     "op4_byte_bpe": bpe.op4_byte_bpe,
     "op6_substring_dedup": substring.op6_substring_dedup,
     "op7_toxicity": toxicity.op7_toxicity,
+    "op9_source_mixing": mixing.op9_source_mixing,
+    "op10_line_dedup": lines.op10_line_dedup,
 }
 
-SQL = {"op3_exact_dedup": exact_dedup.SQL}
+SQL = {
+    "op3_exact_dedup": exact_dedup.SQL,
+    "op9_source_mixing": mixing.SQL,
+    "op10_line_dedup": lines.SQL,
+}
