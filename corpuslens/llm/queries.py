@@ -2,20 +2,24 @@
 
 from __future__ import annotations
 
-from corpuslens.llm import bpe, exact_dedup, lines, minhash, mixing, substring, toxicity
+from corpuslens.llm import bpe, exact_dedup, lines, minhash, mixing, substring, toxicity, url_lists, warc
 
 QUERIES = {
     "op1_minhash_near_dedup": minhash.op1_minhash_near_dedup,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op4_byte_bpe": bpe.op4_byte_bpe,
+    "op5_warc": warc.op5_warc,
     "op6_substring_dedup": substring.op6_substring_dedup,
     "op7_toxicity": toxicity.op7_toxicity,
+    "op8_url_lists": url_lists.op8_url_lists,
     "op9_source_mixing": mixing.op9_source_mixing,
     "op10_line_dedup": lines.op10_line_dedup,
 }
 
 SQL = {
     "op3_exact_dedup": exact_dedup.SQL,
+    "op5_warc": warc.SQL,
+    "op8_url_lists": url_lists.SQL,
     "op9_source_mixing": mixing.SQL,
     "op10_line_dedup": lines.SQL,
 }
