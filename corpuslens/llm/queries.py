@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from corpuslens.llm import bpe, exact_dedup, lines, minhash, mixing, substring, toxicity, url_lists, warc
+from corpuslens.llm import bpe, exact_dedup, lines, minhash, mixing, substring, toxicity, url_lists, vectors, warc
 
 QUERIES = {
     "op1_minhash_near_dedup": minhash.op1_minhash_near_dedup,
+    "op2_vector_near_dedup": vectors.op2_vector_near_dedup,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op4_byte_bpe": bpe.op4_byte_bpe,
     "op5_warc": warc.op5_warc,
