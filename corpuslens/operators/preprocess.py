@@ -1,0 +1,107 @@
+"""Centring, whitening and normalising, fitted on the training part only."""
+
+from __future__ import annotations
+
+import json
+from dataclasses import asdict, dataclass, field
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from corpuslens.functions.vectors import as_double
+from corpuslens.operators import fidelity, sampling
+from corpuslens.operators import knn as K
+
+
+@dataclass(frozen=True)
+class Settings:
+    center: bool = False
+    whiten: bool = False
+    l2_normalize: bool = True
+    eps: float = 1e-8
+    metric: str = "l2"
+
+    def __post_init__(self):
+        if self.metric not in ("l2", "angular"):
+            raise ValueError(f"the metric {self.metric!r} is unknown; l2 and angular are")
+        if self.eps <= 0:
+            raise ValueError("eps must be above 0")
+
+
+@dataclass
+class State:
+    dim: int
+    settings: Settings = field(default_factory=Settings)
+    mean: list | None = None
+    matrix: list | None = None
+
+    def to_json(self) -> str:
+        return json.dumps(asdict(self))
+
+    @staticmethod
+    def from_json(text: str) -> State:
+        x = json.loads(text)
+        return State(x["dim"], Settings(**x["settings"]), x["mean"], x["matrix"])
+
+
+def fit(train: DataFrame, settings: Settings) -> State:
+    """The mean, and the whitening matrix U diag(1 / sqrt(s + eps)) U' of the covariance with eps on its diagonal."""
+    cov, mean, _ = fidelity.covariances(train.select(F.lit("x").alias("series"), as_double(F.col("v")).alias("v")))["x"]
+    state = State(len(mean), settings)
+    if settings.center or settings.whiten:
+        state.mean = mean.tolist()
+    if settings.whiten:
+        s, u = np.linalg.eigh(cov + settings.eps * np.eye(len(cov)))
+        state.matrix = (u @ np.diag(1 / np.sqrt(np.maximum(s, 0) + settings.eps)) @ u.T).tolist()
+    return state
+
+
+def _mapped(df: DataFrame, fn) -> DataFrame:
+    def run(batches):
+        for batch in batches:
+            v = fn(K.matrix(batch.column(1))) if batch.num_rows else np.zeros((0, 1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(v), pa.list_(pa.float64()))], ["vec_id", "v"])
+
+    return df.select("vec_id", "v").mapInArrow(run, "vec_id long, v array<double>")
+
+
+def apply(df: DataFrame, state: State) -> DataFrame:
+    mean = None if state.mean is None else np.array(state.mean)
+    matrix = None if state.matrix is None else np.array(state.matrix)
+
+    def fn(x):
+        x = x if mean is None else x - mean
+        x = x if matrix is None else x @ matrix
+        return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), state.settings.eps) if state.settings.l2_normalize else x
+
+    return _mapped(df, fn)
+
+
+def inversion_blocker(state: State | None) -> str | None:
+    """Why the original scale can't be had back, or None."""
+    if state is None or (state.mean is None and state.matrix is None):
+        return None
+    return "rows were divided by their norms after centring" if state.settings.l2_normalize else None
+
+
+def invert(df: DataFrame, state: State | None) -> DataFrame:
+    """Whitening and centring undone; identity where nothing was fitted. Norms are gone for good, so that is an error."""
+    if reason := inversion_blocker(state):
+        raise ValueError(reason)
+    if state is None or (state.mean is None and state.matrix is None):
+        return df.select("vec_id", "v")
+    back = None if state.matrix is None else np.linalg.pinv(np.array(state.matrix))
+    return _mapped(df, lambda x: (x if back is None else x @ back) + np.array(state.mean))
+
+
+def training_data(df: DataFrame, fraction: float, settings: Settings, dim: int | None = None, seed=42) -> tuple[DataFrame, DataFrame, State]:
+    """Both parts after a split, with what was fitted on the first."""
+    wide = df.agg(F.min(F.size("v")).alias("a"), F.max(F.size("v")).alias("b")).first()
+    if wide.a != wide.b or (dim is not None and wide.a != dim):
+        raise ValueError(f"rows have {wide.a} to {wide.b} dimensions; {dim or 'one number'} was expected")
+    split = sampling.holdout_split(df, fraction, seed)
+    train = split.where("not is_holdout")
+    state = fit(train, settings)
+    return apply(train, state), apply(split.where("is_holdout"), state), state

@@ -1,6 +1,745 @@
-"""Every query by name, with the SQL that gives the same rows."""
+"""Every query by name, with the SQL that gives the same rows. Numbers are rounded to six digits on both sides.
+
+`embeddings` stands for a corpus of unit vectors: labels below 5 are the real series, the others the synthetic one. `lineitem`
+gives four-wide vectors with zeros: returned items are real, the others synthetic.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from corpuslens.functions.vectors import as_double, exploded, l2_normalize, r6, sound
+from corpuslens.operators import difficulty, fidelity, gates, panels, preprocess, sampling, structure
+from corpuslens.operators import generator as G
+from corpuslens.operators import knn as K
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    def put(fn):
+        QUERIES[name] = fn
+        if sql:
+            SQL[name] = sql
+        return fn
+
+    return put
+
+
+def corpus(spark, sf: str) -> DataFrame:
+    series = F.when(F.col("label") < 5, "real").otherwise("synth")
+    return spark.read.parquet(f"{sf}/embeddings.parquet").select(F.col("vec_id"), as_double(F.col("embedding")).alias("v"), series.alias("series"), "label")
+
+
+def real(spark, sf: str) -> DataFrame:
+    return corpus(spark, sf).where("series = 'real'")
+
+
+def synth(spark, sf: str) -> DataFrame:
+    return corpus(spark, sf).where("series = 'synth'")
+
+
+def items(spark, sf: str) -> DataFrame:
+    series = F.when(F.col("l_returnflag") == "R", "real").otherwise("synth")
+    return spark.read.parquet(f"{sf}/lineitem.parquet").select(series.alias("series"), F.array("l_quantity", "l_extendedprice", "l_discount", "l_tax").alias("v"))
+
+
+def rounded(df: DataFrame, *columns: str) -> DataFrame:
+    return df.withColumns({c: r6(F.col(c)) for c in columns})
+
+
+def one(spark, **values) -> DataFrame:
+    return spark.createDataFrame([tuple(values.values())], list(values))
+
+
+def wide(spark, sf: str) -> DataFrame:
+    """128-wide descriptors: neighbouring ids end to end."""
+    e = corpus(spark, sf)
+    a = e.where("vec_id % 2 = 0").select((F.col("vec_id") / 2).cast("long").alias("vec_id"), F.col("v").alias("a"))
+    b = e.where("vec_id % 2 = 1").select(((F.col("vec_id") - 1) / 2).cast("long").alias("vec_id"), F.col("v").alias("b"))
+    return a.join(b, "vec_id").select("vec_id", F.concat("a", "b").alias("v"))
+
+
+E = "e AS (SELECT vec_id, embedding::DOUBLE[] AS v, CASE WHEN label < 5 THEN 'real' ELSE 'synth' END AS series, label FROM embeddings)"
+SIDES = E + ", re AS (SELECT * FROM e WHERE series = 'real'), sy AS (SELECT * FROM e WHERE series = 'synth')"
+X = E + ", x AS (SELECT vec_id, series, unnest(range(len(v)))::INT AS dim, unnest(v) AS x FROM e)"
+M = X + ", m AS (SELECT series, dim, avg(x) AS mean, var_pop(x) AS var, stddev_pop(x) AS std, avg((x = 0)::INT) AS zero FROM x GROUP BY ALL)"
+ITEMS = "e AS (SELECT CASE WHEN l_returnflag = 'R' THEN 'real' ELSE 'synth' END AS series, [l_quantity, l_extendedprice, l_discount, l_tax] AS v FROM lineitem)"
+WIDE = E + ", w AS (SELECT a.vec_id // 2 AS vec_id, list_concat(a.v, b.v) AS v FROM e a JOIN e b ON b.vec_id = a.vec_id + 1 WHERE a.vec_id % 2 = 0), c AS (SELECT vec_id, unnest(range(len(v)))::INT AS dim, unnest(v) AS x FROM w)"
+COS = "list_cosine_similarity({a}.v, {b}.v)"
+
+
+def drawn(src: str, rows: int, seed=42) -> str:
+    return f"(SELECT * FROM {src} ORDER BY md5(concat_ws(':', '{seed}', vec_id)), vec_id LIMIT {rows})"
+
+
+def near(k, a: str = "e", b: str = "e", name: str = "knn", d: str = "list_distance(a.v, b.v)", own: bool = True) -> str:
+    return f"{name} AS (SELECT q, rk, t, d FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY d, t) AS rk FROM (SELECT a.vec_id AS q, b.vec_id AS t, {d} AS d FROM {a} a, {b} b{' WHERE a.vec_id <> b.vec_id' * own})) WHERE rk <= {k})"
+
+
+def lids(knn: str = "knn", name: str = "lids") -> str:
+    return f"{name}_s AS (SELECT *, min(d) OVER (PARTITION BY q) AS r1, max(d) OVER (PARTITION BY q) AS rmax FROM {knn}), {name} AS (SELECT q, -1 / avg(ln(greatest(least(d / rmax, 1.0), 1e-12))) AS lid FROM {name}_s WHERE r1 > 0 AND r1 < rmax GROUP BY q)"
+
+
+def contrast(src: str = "e", knn: str = "knn", name: str = "contrasts") -> str:
+    return f"{name}_m AS (SELECT a.vec_id AS q, avg(list_distance(a.v, b.v)) AS mean FROM {src} a, {drawn(src, 2000)} b GROUP BY 1), {name} AS (SELECT q, mean / r1 AS contrast FROM {name}_m JOIN (SELECT q, min(d) AS r1, max(d) AS rmax FROM {knn} GROUP BY q) USING (q) WHERE r1 > 0 AND r1 < rmax)"
+
+
+def occurrence(k_hub: str, src: str = "e", knn: str = "knn", name: str = "occ") -> str:
+    return f"{name} AS (SELECT p.vec_id, count(k.t) AS n FROM {src} p LEFT JOIN (SELECT t FROM {knn} WHERE rk <= {k_hub}) k ON p.vec_id = k.t GROUP BY 1)"
+
+
+SKEW = "coalesce((avg(n ** 3) - 3 * avg(n) * avg(n ** 2) + 2 * avg(n) ** 3) / nullif(stddev_pop(n), 0) ** 3, 0)"
+
+
+def cells(nlist, src: str = "e", name: str = "cells") -> str:
+    return f"{name}_c AS {drawn(src, nlist)}, {name}_a AS (SELECT vec_id, cell FROM (SELECT p.vec_id, c.vec_id AS cell, row_number() OVER (PARTITION BY p.vec_id ORDER BY list_distance(p.v, c.v), c.vec_id) AS r FROM {src} p, {name}_c c) WHERE r = 1), {name} AS (SELECT c.vec_id AS cell, count(a.vec_id) AS n FROM {name}_c c LEFT JOIN {name}_a a ON a.cell = c.vec_id GROUP BY 1)"
+
+
+GINI = "CASE WHEN sum(n) > 0 THEN 2 * sum(i * n) / (count(*) * sum(n)) - (count(*) + 1) / count(*) ELSE 0 END"
+
+
+def hist(values: str, bins: int, *keys: str) -> str:
+    """The histogram of a CTE (series, keys, x)."""
+    k = "".join(f", {x}" for x in keys)
+    on = f"USING ({', '.join(keys)})" if keys else "ON true"
+    group = f"GROUP BY {', '.join(keys)}" if keys else ""
+    return f"""ends AS (SELECT a{k}, CASE WHEN b <= a THEN a + 1e-6 ELSE b END AS b FROM (SELECT min(x) AS a, max(x) AS b{k} FROM {values} {group})),
+counted AS (SELECT series{k}, least(floor((x - a) / (b - a) * {bins}), {bins - 1})::INT AS bin, any_value(a) AS a, (any_value(b) - any_value(a)) / {bins} AS w, count(*) AS n FROM {values} JOIN ends {on} GROUP BY series{k}, 2{"".join(f", {i + 2}" for i in range(0))}{", bin" * bool(keys)})
+SELECT series{k}, bin, round(a + bin * w, 6) + 0.0 AS lo, round(a + bin * w + w, 6) + 0.0 AS hi, round(n / sum(n) OVER (PARTITION BY series{k}) / w, 6) + 0.0 AS density FROM counted"""
+
+
+def panel(df: DataFrame) -> DataFrame:
+    return rounded(df, "lo", "hi", "density")
+
+
+# Neighbours
+
+
+@query("knn_topk", f"WITH {E}, {near(10)} SELECT q, rk, t, round(d, 6) AS d FROM knn")
+def _(spark, sf):
+    return rounded(K.knn(corpus(spark, sf), 10), "d")
+
+
+COSINE = "1 - list_cosine_similarity(a.v, b.v)"
+
+
+@query("knn_cosine", f"WITH {E}, {near(10, d=COSINE)} SELECT q, rk, t, round(d, 6) AS d FROM knn")
+def _(spark, sf):
+    return rounded(K.knn(corpus(spark, sf), 10, "cosine"), "d")
+
+
+@query("knn_cross", f"WITH {SIDES}, {near(5, 're', 'sy', own=False)} SELECT q, rk, t, round(d, 6) AS d FROM knn")
+def _(spark, sf):
+    return rounded(K.knn(real(spark, sf), 5, targets=synth(spark, sf)), "d")
+
+
+@query("knn_agreement", f"WITH {E}, {near(10, name='a')}, {near(10, name='b', d=COSINE)} SELECT a.q, round(count(b.t) / 10, 6) AS overlap FROM a LEFT JOIN b ON a.q = b.q AND a.t = b.t GROUP BY a.q")
+def _(spark, sf):
+    e = corpus(spark, sf)
+    return rounded(structure.agreement(K.knn(e, 10), K.knn(e, 10, "cosine"), 10), "overlap")
+
+
+@query("kth_nn", f"WITH {E}, {near(5)} SELECT q, round(max(d), 6) AS d FROM knn GROUP BY q")
+def _(spark, sf):
+    return rounded(K.knn(corpus(spark, sf), 5).groupBy("q").agg(F.max("d").alias("d")), "d")
+
+
+# Difficulty
+
+
+@query("lid_per_query", f"WITH {E}, {near(20)}, {lids()} SELECT q, round(lid, 6) AS lid FROM lids")
+def _(spark, sf):
+    return rounded(difficulty.lid(K.knn(corpus(spark, sf), 20)), "lid")
+
+
+@query("relative_contrast", f"WITH {E}, {near(10)}, {contrast()} SELECT q, round(contrast, 6) AS contrast FROM contrasts")
+def _(spark, sf):
+    e = corpus(spark, sf)
+    return rounded(difficulty.relative_contrast(e, K.knn(e, 10)), "contrast")
+
+
+@query("k_occurrence", f"WITH {E}, {near(10)}, {occurrence('10')} SELECT vec_id, n FROM occ")
+def _(spark, sf):
+    e = corpus(spark, sf)
+    return difficulty.k_occurrence(e, K.knn(e, 10), 10)
+
+
+@query("hubness_skew", f"WITH {E}, {near(10)}, {occurrence('10')} SELECT round({SKEW}, 6) AS hubness_skew FROM occ")
+def _(spark, sf):
+    e = corpus(spark, sf)
+    return difficulty.k_occurrence(e, K.knn(e, 10), 10).agg(r6(difficulty.skew("n")).alias("hubness_skew"))
+
+
+@query("ivf_occupancy", f"WITH {E}, {cells(16)} SELECT cell, n FROM cells")
+def _(spark, sf):
+    return difficulty.ivf_occupancy(corpus(spark, sf), 16)
+
+
+@query("ivf_gini", f"WITH {E}, {cells(16)} SELECT round({GINI}, 6) AS gini FROM (SELECT n, row_number() OVER (ORDER BY n) AS i FROM cells)")
+def _(spark, sf):
+    return rounded(difficulty.gini(difficulty.ivf_occupancy(corpus(spark, sf), 16)), "gini")
+
+
+@query("ivf_lorenz", f"WITH {E}, {cells(16)} SELECT i, round(i / count(*) OVER (), 6) AS share_cells, round(c / sum(n) OVER (), 6) AS share_points FROM (SELECT n, row_number() OVER w AS i, sum(n) OVER w AS c FROM cells WINDOW w AS (ORDER BY n, cell ROWS UNBOUNDED PRECEDING))")
+def _(spark, sf):
+    return rounded(difficulty.lorenz(difficulty.ivf_occupancy(corpus(spark, sf), 16)), "share_cells", "share_points")
+
+
+def summary_sql(src: str, k: int, k_hub: int, nlist: int, p: str) -> tuple[str, str]:
+    """CTEs and the row of one corpus."""
+    lists = f"(SELECT greatest(2, least({nlist}, count(*) // 2)) FROM {src})"
+    ctes = f"{near(k, src, src, f'{p}k')}, {lids(f'{p}k', f'{p}l')}, {contrast(src, f'{p}k', f'{p}c')}, {occurrence(str(k_hub), src, f'{p}k', f'{p}o')}, {cells(lists, src, f'{p}i')}"
+    row = f"""(SELECT round(quantile_cont(lid, 0.5), 6) FROM {p}l) AS lid_median, (SELECT round(quantile_cont(contrast, 0.5), 6) FROM {p}c) AS relative_contrast_median,
+      (SELECT round({SKEW}, 6) FROM {p}o) AS hubness_skew, (SELECT round({GINI}, 6) FROM (SELECT n, row_number() OVER (ORDER BY n) AS i FROM {p}i)) AS ivf_gini,
+      (SELECT count(*) FROM {src}) - (SELECT count(*) FROM {p}l) AS lid_discarded_queries, (SELECT count(*) FROM {src}) AS ann_measured_rows,
+      (SELECT least({k}, count(*) - 1) FROM {src}) AS ann_k, {lists} AS ann_nlist"""
+    return ctes, row
+
+
+FOUR = ("lid_median", "relative_contrast_median", "hubness_skew", "ivf_gini")
+_all = summary_sql("e", 100, 10, 256, "z")
+
+
+@query("ann_summary", f"WITH {E}, {_all[0]} SELECT {_all[1]}")
+def ann_summary(spark, sf):
+    return rounded(difficulty.summary(corpus(spark, sf)), *FOUR)
+
+
+_re, _sy = summary_sql("re", 50, 10, 64, "r"), summary_sql("sy", 50, 10, 64, "s")
+
+
+@query("ann_summary_by_series", f"WITH {SIDES}, {_re[0]}, {_sy[0]} SELECT 'real' AS series, {_re[1]} UNION ALL SELECT 'synth', {_sy[1]}")
+def _(spark, sf):
+    a, b = (difficulty.summary(s(spark, sf), 50, 10, 64).withColumn("series", F.lit(n)) for n, s in (("real", real), ("synth", synth)))
+    return rounded(a.unionByName(b), *FOUR)
+
+
+@query("kmeans_ivf")
+def _(spark, sf):
+    return difficulty.kmeans_occupancy(corpus(spark, sf), 16)
+
+
+# Sampling
+
+
+@query("sample_topk", f"WITH {E} SELECT vec_id, series FROM {drawn('e', 50)}")
+def _(spark, sf):
+    return sampling.sample(corpus(spark, sf), 50, 42).select("vec_id", "series")
+
+
+@query("holdout_split", f"WITH {E}, r AS (SELECT vec_id, row_number() OVER (ORDER BY md5(concat_ws(':', '42', vec_id)), vec_id) AS rn FROM e) SELECT vec_id, rn <= greatest(1, round_even(0.05::DOUBLE * (SELECT count(*) FROM e), 0)::BIGINT) AS is_holdout FROM r")
+def _(spark, sf):
+    return sampling.holdout_split(corpus(spark, sf), 0.05, 42).select("vec_id", "is_holdout")
+
+
+@query("disjoint_draws", f"WITH {E}, r AS (SELECT vec_id, row_number() OVER (ORDER BY md5(concat_ws(':', '42', vec_id)), vec_id) AS rn FROM e) SELECT vec_id, ((rn - 1) // 100)::INT AS draw FROM r WHERE rn <= 400")
+def _(spark, sf):
+    return sampling.disjoint_draws(corpus(spark, sf), 4, 100, 42).select("vec_id", "draw")
+
+
+def pairs_sql(pairs: int, src: str = "e", seed=42, name: str = "pairs") -> str:
+    n = lambda side: f"('0x' || substr(md5(concat_ws(':', '{seed}', '{side}', p)), 1, 12))::BIGINT % (SELECT count(*) FROM {src})"
+    return f"{name}_r AS (SELECT vec_id, v, row_number() OVER (ORDER BY md5(concat_ws(':', '{seed}', vec_id)), vec_id) - 1 AS r FROM {src}), {name} AS (SELECT p AS pair, a.vec_id AS a, b.vec_id AS b, a.v AS va, b.v AS vb FROM (SELECT p, {n('a')} AS i, {n('b')} AS j FROM (SELECT unnest(range({pairs})) AS p)) d JOIN {name}_r a ON a.r = i JOIN {name}_r b ON b.r = j WHERE i <> j)"
+
+
+@query("random_pairs", f"WITH {E}, {pairs_sql(2000)} SELECT pair, a, b FROM pairs")
+def _(spark, sf):
+    return sampling.random_pairs(corpus(spark, sf), 2000, 42)
+
+
+@query("shuffled_batches", f"WITH {E}, r AS (SELECT vec_id, row_number() OVER (ORDER BY md5(concat_ws(':', '42:3', vec_id)), vec_id) AS rn FROM e) SELECT vec_id, (rn - 1) // 64 AS batch FROM r WHERE rn <= (SELECT count(*) // 64 * 64 FROM e)")
+def _(spark, sf):
+    return sampling.shuffled_batches(spark, corpus(spark, sf), 64, 3, 42)
+
+
+NAMES = [("v0",), ("v1",), ("v2",), ("v4-logratio",), ("",)]
+
+
+@query("variant_seed", "SELECT name, (42 + ('0x' || substr(sha256(name), 1, 8))::BIGINT) % 2147483648 AS seed FROM (VALUES ('v0'), ('v1'), ('v2'), ('v4-logratio'), ('')) t(name)")
+def _(spark, sf):
+    return sampling.variant_seeds(spark.createDataFrame(NAMES, "name string"), 42)
+
+
+# Vectors
+
+
+@query("l2_normalize", f"WITH {ITEMS} SELECT series, dim, round(avg(y), 6) AS mean, round(max(y), 6) AS high FROM (SELECT series, unnest(range(4))::INT AS dim, unnest(list_transform(v, lambda x: x / greatest(sqrt(list_dot_product(v, v)), 1e-8))) AS y FROM e) GROUP BY ALL")
+def _(spark, sf):
+    x = exploded(l2_normalize(items(spark, sf)), "series")
+    return rounded(x.groupBy("series", "dim").agg(F.avg("x").alias("mean"), F.max("x").alias("high")), "mean", "high")
+
+
+@query("unit_norm_check", f"WITH {E}, n AS (SELECT sqrt(list_dot_product(v, v)) AS n FROM e) SELECT count(*) AS rows, count(*) FILTER (abs(n - 1) > 1e-4 + 1e-5 AND n <> 0) AS off, round(min(n), 6) AS norm_min, round(max(n), 6) AS norm_max FROM n")
+def _(spark, sf):
+    return rounded(structure.unit_norm(corpus(spark, sf)), "norm_min", "norm_max")
+
+
+@query("finite_check", f"WITH {E} SELECT count(*) AS rows, count(*) FILTER (len(list_filter(v, lambda x: x IS NULL OR isnan(x) OR isinf(x))) > 0) AS off FROM e")
+def _(spark, sf):
+    return corpus(spark, sf).agg(F.count(F.lit(1)).alias("rows"), F.count_if(~sound(F.col("v"))).alias("off"))
+
+
+@query("glyph_cells", f'WITH {WIDE} SELECT vec_id, dim, dim // 32 AS "row", (dim // 8) % 4 AS col, dim % 8 AS bin, round(x, 6) AS x FROM c')
+def _(spark, sf):
+    return rounded(panels.glyph_cells(wide(spark, sf)), "x")
+
+
+@query("glyph_scale", f"WITH {WIDE} SELECT round(coalesce(1 / quantile_cont(abs(x), 0.99), 0), 6) AS scale FROM c WHERE x <> 0")
+def _(spark, sf):
+    return rounded(panels.glyph_scale(wide(spark, sf)), "scale")
+
+
+@query("glyph_rays", f"""WITH {WIDE}, r AS (SELECT vec_id, dim, x, dim // 32 AS "row", (dim // 8) % 4 AS col, radians(45.0::DOUBLE) * (dim % 8) AS angle,
+  CASE WHEN x < 0 THEN greatest(least(abs(x) * 2, 1), 0.35) ELSE least(abs(x) * 2, 1) END / 2 AS len FROM c WHERE x <> 0)
+SELECT vec_id, dim, x < 0 AS negative, col::DOUBLE AS x0, -"row"::DOUBLE + 0.0 AS y0, round(col + len * cos(angle), 6) + 0.0 AS x1, round(-"row" + len * sin(angle), 6) + 0.0 AS y1 FROM r""")
+def _(spark, sf):
+    return rounded(panels.glyph_rays(wide(spark, sf), 2.0), "x0", "y0", "x1", "y1")
+
+
+# Fidelity
+
+
+@query("mean_var_l2", f"WITH {M} SELECT round(sqrt(sum((r.mean - s.mean) ** 2)), 6) AS mean_l2, round(sqrt(sum((r.var - s.var) ** 2)), 6) AS var_l2 FROM m r JOIN m s USING (dim) WHERE r.series = 'real' AND s.series = 'synth'")
+def _(spark, sf):
+    return rounded(fidelity.mean_var_l2(corpus(spark, sf)), "mean_l2", "var_l2")
+
+
+PAIRED = X + ", p AS (SELECT a.series, a.dim AS i, b.dim AS j, {f} AS c FROM x a JOIN x b ON a.vec_id = b.vec_id GROUP BY ALL)"
+
+
+@query("cov_fro", f"WITH {PAIRED.format(f='covar_samp(a.x, b.x)')} SELECT round(sqrt(sum((r.c - s.c) ** 2)), 6) AS cov_fro FROM p r JOIN p s USING (i, j) WHERE r.series = 'real' AND s.series = 'synth'")
+def _(spark, sf):
+    return rounded(one(spark, cov_fro=fidelity.covariance_fro(corpus(spark, sf))), "cov_fro")
+
+
+def _kernel(a: str, b: str) -> str:
+    return f"(SELECT avg(exp(-(list_distance(a.v, b.v) ** 2))) FROM {a} a, {b} b)"
+
+
+@query("mmd_rbf", f"WITH {SIDES} SELECT round({_kernel('re', 're')} + {_kernel('sy', 'sy')} - 2 * {_kernel('re', 'sy')}, 6) AS mmd_rbf")
+def _(spark, sf):
+    a, b = (sampling.sample(s(spark, sf), 5000, 42) for s in (real, synth))
+    return rounded(one(spark, mmd_rbf=fidelity.mmd_rbf(a, b)), "mmd_rbf")
+
+
+_L1 = f"""WITH {SIDES}, h AS (SELECT greatest(2 * a, a + b, 1e-6) AS h FROM (SELECT (SELECT max(sqrt(list_dot_product(v, v))) FROM re) AS a, (SELECT max(sqrt(list_dot_product(v, v))) FROM sy) AS b)),
+d AS (SELECT 'r' AS s, list_distance(a.v, b.v) AS d FROM re a, re b UNION ALL SELECT 'f', list_distance(a.v, b.v) FROM re a, sy b),
+n AS (SELECT s, least(floor(d / h * 50), 49)::BIGINT AS bin, count(*) AS n FROM d, h GROUP BY ALL),
+p AS (SELECT s, bin, n / sum(n) OVER (PARTITION BY s) / (h / 50) AS p FROM n, h),
+b AS (SELECT unnest(range(50)) AS bin)"""
+
+
+@query("pairwise_hist_l1", f"{_L1} SELECT round(sum(abs(coalesce(r.p, 0) - coalesce(f.p, 0))), 5) AS hist_l1 FROM b LEFT JOIN (SELECT * FROM p WHERE s = 'r') r USING (bin) LEFT JOIN (SELECT * FROM p WHERE s = 'f') f USING (bin)")
+def _(spark, sf):
+    own = fidelity.pairwise_hist_l1(real(spark, sf), synth(spark, sf))
+    return own.agg(F.round(F.sum(F.abs(F.col("real") - F.col("synth"))), 5).alias("hist_l1"))
+
+
+def halves(spark, sf):
+    """Queries and training part of the real series."""
+    split = sampling.holdout_split(real(spark, sf), 0.2, 42)
+    return split.where("is_holdout"), split.where("not is_holdout")
+
+
+HALVES = SIDES + ", ranked AS (SELECT *, row_number() OVER (ORDER BY md5(concat_ws(':', '42', vec_id)), vec_id) AS rn, greatest(1, round_even(0.2::DOUBLE * count(*) OVER (), 0)) AS h FROM re), qs AS (SELECT * FROM ranked WHERE rn <= h), tr AS (SELECT * FROM ranked WHERE rn > h)"
+
+
+@query("knn_recall", f"WITH {HALVES}, {near(10, 'qs', 'tr', 'kr', own=False)}, {near(1, 'qs', 'sy', 'ks', own=False)} SELECT round(avg((f <= r)::INT), 6) AS knn_recall FROM (SELECT q, max(d) AS r FROM kr GROUP BY q) JOIN (SELECT q, d AS f FROM ks) USING (q)")
+def _(spark, sf):
+    q, t = halves(spark, sf)
+    return rounded(fidelity.knn_recall(q, t, synth(spark, sf)), "knn_recall")
+
+
+@query("ann_proxy_recall", f"WITH {HALVES}, {near(10, 'qs', 'tr', 'kr', own=False)}, {near(10, 'qs', 'sy', 'ks', own=False)} SELECT round(exp(-abs(avg(least(greatest(f / (r + 1e-8), 0), 10)) - 1)), 6) AS ann_proxy_recall FROM (SELECT q, avg(d) AS r FROM kr GROUP BY q) JOIN (SELECT q, avg(d) AS f FROM ks GROUP BY q) USING (q)")
+def _(spark, sf):
+    q, t = halves(spark, sf)
+    return rounded(fidelity.ann_proxy_recall(q, t, synth(spark, sf)), "ann_proxy_recall")
+
+
+W1 = X + ", lv AS (SELECT unnest(range(512)) / 511.0::DOUBLE AS p), srt AS (SELECT series, dim, list_sort(list(x)) AS s FROM x GROUP BY ALL), qn AS (SELECT series, dim, p, s[floor(p * (len(s) - 1))::INT + 1] + (p * (len(s) - 1) - floor(p * (len(s) - 1))) * (s[ceil(p * (len(s) - 1))::INT + 1] - s[floor(p * (len(s) - 1))::INT + 1]) AS q FROM srt, lv), w1 AS (SELECT dim, avg(abs(a.q - b.q)) AS w1 FROM qn a JOIN qn b USING (dim, p) WHERE a.series = 'real' AND b.series = 'synth' GROUP BY dim)"
+
+
+@query("w1_by_dim", f"WITH {W1} SELECT dim, round(w1, 6) AS w1 FROM w1")
+def _(spark, sf):
+    return rounded(fidelity.wasserstein_by_dim(corpus(spark, sf)), "w1")
+
+
+@query("dim_divergence", f"WITH {W1} SELECT dim, round(w1, 6) AS w1, ord FROM (SELECT *, row_number() OVER (ORDER BY w1 DESC, dim) AS ord FROM w1) WHERE ord <= 16")
+def _(spark, sf):
+    return rounded(fidelity.dimension_divergence(corpus(spark, sf)), "w1")
+
+
+TENSOR = f"""WITH {ITEMS}, x AS (SELECT series, unnest(range(4))::INT AS dim, unnest(v) AS x FROM e), m AS (SELECT series, dim, avg(x) AS mean, var_pop(x) AS var, avg((x = 0)::INT) AS zero FROM x GROUP BY ALL),
+n AS (SELECT series, stddev_pop(len(list_filter(v, lambda x: x <> 0))) AS std, sum(len(list_filter(v, lambda x: x < 0))) / sum(len(v)) AS neg FROM e GROUP BY series),
+c AS (SELECT series, i, j, covar_samp(v[i], v[j]) AS c FROM e, (SELECT unnest(range(1, 5)) AS i) a, (SELECT unnest(range(1, 5)) AS j) b GROUP BY ALL)
+SELECT round(sqrt(sum((r.mean - s.mean) ** 2)), 4) AS mean_l2, round(sqrt(sum((r.var - s.var) ** 2)), 1) AS var_l2, round(avg(abs(r.zero - s.zero)), 6) AS per_dim_zero_rate_l1, round(abs(avg(r.zero) - avg(s.zero)), 6) AS zero_fraction_gap,
+  (SELECT round(neg, 6) FROM n WHERE series = 'synth') AS negative_fraction, (SELECT round(abs(max(std) - min(std)), 6) FROM n) AS nnz_std_gap,
+  (SELECT round(sqrt(sum((a.c - b.c) ** 2)), 1) FROM c a JOIN c b USING (i, j) WHERE a.series = 'real' AND b.series = 'synth') AS cov_fro
+FROM m r JOIN m s USING (dim) WHERE r.series = 'real' AND s.series = 'synth'"""
+
+
+@query("tensor_stats", TENSOR)
+def _(spark, sf):
+    t = fidelity.tensor_stats(items(spark, sf))
+    return one(spark, **{k: float(v) for k, v in t.items()}).select(*[(F.round(c, {"mean_l2": 4, "var_l2": 1, "cov_fro": 1}.get(c, 6)) + F.lit(0.0)).alias(c) for c in t])
+
+
+@query("collapse_stats", f"WITH {X}, s AS {drawn('e', 512)}, d AS (SELECT list_distance(a.v, b.v) AS d FROM s a JOIN s b ON a.vec_id < b.vec_id) SELECT round(avg(d), 6) AS pdist_mean, round(min(d), 6) AS pdist_min, (SELECT round(avg(sd), 6) FROM (SELECT stddev_pop(x) AS sd FROM x WHERE vec_id IN (SELECT vec_id FROM s) GROUP BY dim)) AS std_mean FROM d")
+def _(spark, sf):
+    return rounded(fidelity.pdist(sampling.sample(corpus(spark, sf), 512, 42)), "pdist_mean", "pdist_min", "std_mean")
+
+
+PROFILE = "{n} AS (SELECT rk, avg(ln(greatest(least(d / rmax, 1.0), 1e-12))) AS profile FROM (SELECT *, min(d) OVER (PARTITION BY q) AS r1, max(d) OVER (PARTITION BY q) AS rmax, max(rk) OVER (PARTITION BY q) AS k FROM {k}) WHERE r1 > 0 AND r1 < rmax AND rk < k GROUP BY rk)"
+
+
+@query("log_ratio_profile", f"WITH {SIDES}, {near(12, 're', 're')}, {PROFILE.format(n='p', k='knn')} SELECT rk, round(profile, 6) + 0.0 AS profile FROM p")
+def _(spark, sf):
+    return rounded(fidelity.log_ratio_profile(K.knn(real(spark, sf), 12)), "profile")
+
+
+@query("log_ratio_penalty", f"WITH {SIDES}, {near(12, 're', 're', 'ka')}, {near(12, 'sy', 'sy', 'kb')}, {PROFILE.format(n='pa', k='ka')}, {PROFILE.format(n='pb', k='kb')} SELECT round(sum(abs(pa.profile - pb.profile)), 6) AS penalty FROM pa JOIN pb USING (rk)")
+def _(spark, sf):
+    a, b = (fidelity.log_ratio_profile(K.knn(s(spark, sf), 12)) for s in (real, synth))
+    return rounded(fidelity.log_ratio_penalty(a, b), "penalty")
+
+
+@query("ema_target", """WITH RECURSIVE x AS (SELECT event_type AS key, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS step, avg(value) OVER (PARTITION BY event_type ORDER BY event_id) AS x FROM events WHERE event_id < 300),
+f AS (SELECT key, step, x AS ema FROM x WHERE step = 1 UNION ALL SELECT x.key, x.step, f.ema * 0.99 + x.x * (1 - 0.99) FROM f JOIN x ON x.key = f.key AND x.step = f.step + 1) SELECT key, step, round(ema, 6) AS ema FROM f""")
+def _(spark, sf):
+    from pyspark.sql import Window
+
+    own = Window.partitionBy("event_type").orderBy("event_id")
+    x = spark.read.parquet(f"{sf}/events.parquet").where("event_id < 300").select(F.col("event_type").alias("key"), F.row_number().over(own).cast("long").alias("step"), F.avg("value").over(own).alias("x"))
+    return fidelity.ema(x).withColumn("ema", F.round("ema", 6))
+
+
+# Panels
+
+SXV = X + ", vals AS (SELECT series, x FROM x)"
+
+
+@query("value_hist", f"WITH {SXV}, {hist('vals', 80)}")
+def _(spark, sf):
+    return panel(panels.histogram(panels.values(corpus(spark, sf)), 80))
+
+
+@query("dim_marginals", f"WITH {X}, vals AS (SELECT series, dim, x FROM x), {hist('vals', 20, 'dim')}")
+def _(spark, sf):
+    return panel(panels.dim_marginals(corpus(spark, sf), 20))
+
+
+@query("dim_profiles", f"WITH {M} SELECT series, dim, round(mean, 6) + 0.0 AS mean, round(std, 6) AS std, round(zero, 6) AS zero_fraction FROM m")
+def _(spark, sf):
+    return rounded(panels.dim_profiles(corpus(spark, sf)), "mean", "std", "zero_fraction")
+
+
+@query("dim_profiles_items", f"WITH {ITEMS}, x AS (SELECT series, unnest(range(4))::INT AS dim, unnest(v) AS x FROM e) SELECT series, dim, round(avg(x), 4) AS mean, round(stddev_pop(x), 4) AS std, round(avg((x = 0)::INT), 6) AS zero_fraction FROM x GROUP BY ALL")
+def _(spark, sf):
+    d = panels.dim_profiles(items(spark, sf))
+    return d.withColumns({"mean": F.round("mean", 4), "std": F.round("std", 4), "zero_fraction": F.round("zero_fraction", 6)})
+
+
+@query("norm_hist", f"WITH {ITEMS}, vals AS (SELECT series, sqrt(list_dot_product(v, v)) AS x FROM e), {hist('vals', 40)}")
+def _(spark, sf):
+    return panel(panels.histogram(panels.norms(items(spark, sf)), 40))
+
+
+@query("pairwise_hist", f"WITH {SIDES}, {pairs_sql(3000, 're', name='pr')}, {pairs_sql(3000, 'sy', name='ps')}, vals AS (SELECT 'real' AS series, list_distance(va, vb) AS x FROM pr UNION ALL SELECT 'synth', list_distance(va, vb) FROM ps), {hist('vals', 40)}")
+def _(spark, sf):
+    return panel(panels.histogram(panels.pairwise(corpus(spark, sf), 3000, 42), 40))
+
+
+@query("kth_nn_hist", f"WITH {SIDES}, {near(5, 're', 're', 'ka')}, {near(5, 'sy', 'sy', 'kb')}, vals AS (SELECT 'real' AS series, max(d) AS x FROM ka GROUP BY q UNION ALL SELECT 'synth', max(d) FROM kb GROUP BY q), {hist('vals', 40)}")
+def _(spark, sf):
+    return panel(panels.histogram(panels.kth_distance(corpus(spark, sf), 5), 40))
+
+
+@query("lid_hist", f"WITH {SIDES}, {near(20, 're', 're', 'ka')}, {near(20, 'sy', 'sy', 'kb')}, {lids('ka', 'la')}, {lids('kb', 'lb')}, vals AS (SELECT 'real' AS series, lid AS x FROM la UNION ALL SELECT 'synth', lid FROM lb), {hist('vals', 40)}")
+def _(spark, sf):
+    return panel(panels.histogram(panels.lids(corpus(spark, sf), 20), 40))
+
+
+@query("contrast_hist", f"WITH {SIDES}, {near(10, 're', 're', 'ka')}, {near(10, 'sy', 'sy', 'kb')}, {contrast('re', 'ka', 'ca')}, {contrast('sy', 'kb', 'cb')}, vals AS (SELECT 'real' AS series, contrast AS x FROM ca UNION ALL SELECT 'synth', contrast FROM cb), {hist('vals', 40)}")
+def _(spark, sf):
+    return panel(panels.histogram(panels.contrasts(corpus(spark, sf), 10, 42), 40))
+
+
+@query("hubness_hist", f"WITH {SIDES}, {near(10, 're', 're', 'ka')}, {near(10, 'sy', 'sy', 'kb')}, {occurrence('10', 're', 'ka', 'oa')}, {occurrence('10', 'sy', 'kb', 'ob')}, vals AS (SELECT 'real' AS series, n::DOUBLE AS x FROM oa UNION ALL SELECT 'synth', n::DOUBLE FROM ob), {hist('vals', 30)}")
+def _(spark, sf):
+    return panel(panels.histogram(panels.hubness(corpus(spark, sf), 10), 30))
+
+
+@query("distance_cdf", f"""WITH {SIDES}, qs AS {drawn('re', 100)}, ts AS {drawn('re', 200, 43)}, d AS (SELECT q.vec_id AS q, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_distance(q.v, t.v), t.vec_id) AS i, list_distance(q.v, t.v) AS d FROM qs q JOIN ts t ON q.vec_id <> t.vec_id),
+n AS (SELECT min(m) AS m FROM (SELECT max(i) AS m FROM d GROUP BY q)) SELECT i, round(i / any_value(m), 6) AS y, round(quantile_cont(d, 0.1), 6) AS q10, round(quantile_cont(d, 0.5), 6) AS q50, round(quantile_cont(d, 0.9), 6) AS q90 FROM d, n WHERE i <= m GROUP BY i""")
+def _(spark, sf):
+    r = real(spark, sf)
+    return rounded(panels.distance_cdf(sampling.sample(r, 100, 42), sampling.sample(r, 200, 43)), "y", "q10", "q50", "q90")
+
+
+CORR = PAIRED.format(f="corr(a.x, b.x)")
+
+
+@query("correlation", f"WITH {CORR} SELECT series, i, j, round(c, 6) + 0.0 AS r FROM p")
+def _(spark, sf):
+    return rounded(structure.correlation(corpus(spark, sf)), "r")
+
+
+@query("correlation_diff", f"WITH {CORR} SELECT i, j, round(b.c - a.c, 6) + 0.0 AS diff FROM p a JOIN p b USING (i, j) WHERE a.series = 'real' AND b.series = 'synth'")
+def _(spark, sf):
+    c = structure.correlation(corpus(spark, sf))
+    a, b = (c.where(F.col("series") == s).select("i", "j", F.col("r").alias(s)) for s in ("real", "synth"))
+    return a.join(b, ["i", "j"]).select("i", "j", r6(F.col("synth") - F.col("real")).alias("diff"))
+
+
+@query("pca_spectrum")
+def _(spark, sf):
+    return rounded(panels.pca_spectrum(corpus(spark, sf)), "ratio", "cum")
+
+
+# Structure
+
+
+@query("norm_facts", f"WITH {ITEMS}, n AS (SELECT sqrt(list_dot_product(v, v)) AS n FROM e) SELECT round(avg(n), 3) AS norm_mean, round(stddev_pop(n), 3) AS norm_std, round(max(abs(n - 1)), 3) AS max_deviation FROM n")
+def _(spark, sf):
+    return structure.norm_facts(items(spark, sf)).select(*[F.round(c, 3).alias(c) for c in ("norm_mean", "norm_std", "max_deviation")])
+
+
+@query("anisotropy", f"WITH {X}, mv AS (SELECT list(m ORDER BY dim) AS m FROM (SELECT dim, avg(x) AS m FROM x GROUP BY dim)), s AS (SELECT m, sqrt(list_dot_product(m, m)) AS size FROM mv), c AS (SELECT size, list_dot_product(v, m) / greatest(size, 1e-12) AS c FROM e, s) SELECT round(max(size), 6) AS mean_norm, round(quantile_cont(c, 0.5), 6) + 0.0 AS cos_median, round(min(c), 6) AS cos_min FROM c")
+def _(spark, sf):
+    return rounded(structure.anisotropy(corpus(spark, sf)), "mean_norm", "cos_median", "cos_min")
+
+
+@query("pairwise_cosine", f"WITH {E}, {pairs_sql(3000)}, c AS (SELECT list_cosine_similarity(va, vb) AS c FROM pairs) SELECT round(quantile_cont(c, 0.5), 6) + 0.0 AS cos_median, round(quantile_cont(c, 0.99), 6) AS cos_p99 FROM c")
+def _(spark, sf):
+    x = structure.pair_values(corpus(spark, sf), 3000, 42, structure.cosine)
+    return rounded(x.agg(F.percentile("x", F.lit(0.5)).alias("cos_median"), F.percentile("x", F.lit(0.99)).alias("cos_p99")), "cos_median", "cos_p99")
+
+
+def _gram(f: str) -> str:
+    return f"SELECT series, sum(CASE WHEN i = j THEN c END) ** 2 / sum(c * c) AS p FROM (SELECT a.series, a.dim AS i, b.dim AS j, {f} AS c FROM x a JOIN x b ON a.vec_id = b.vec_id GROUP BY ALL) GROUP BY series"
+
+
+@query("gram_participation", f"WITH {X}, raw AS ({_gram('avg(a.x * b.x)')}), mid AS ({_gram('covar_pop(a.x, b.x)')}) SELECT series, round(raw.p, 5) AS raw, round(mid.p, 5) AS centred FROM raw JOIN mid USING (series)")
+def _(spark, sf):
+    e = corpus(spark, sf)
+    raw, mid = (structure.gram_participation(e, c) for c in (False, True))
+    return spark.createDataFrame([(s, raw[s], mid[s]) for s in raw], "series string, raw double, centred double").withColumns({c: F.round(c, 5) for c in ("raw", "centred")})
+
+
+@query("spectrum_facts")
+def _(spark, sf):
+    rows = [(s, *map(float, structure.spectrum_facts(v).values())) for s, v in structure.eigenvalues(corpus(spark, sf)).items()]
+    return rounded(spark.createDataFrame(rows, "series string, components_90 double, components_95 double, components_99 double, participation double, top_share double"), "participation", "top_share")
+
+
+@query("effective_rank")
+def _(spark, sf):
+    e = corpus(spark, sf)
+    n = {r.series: r["count"] for r in e.groupBy("series").count().collect()}
+    return rounded(spark.createDataFrame([(s, structure.effective_rank(v, n[s])) for s, v in structure.eigenvalues(e, True, 1).items()], "series string, effective_rank double"), "effective_rank")
+
+
+@query("spectrum_distance")
+def _(spark, sf):
+    v = structure.eigenvalues(corpus(spark, sf), True, 1)
+    return rounded(one(spark, spectrum_distance=structure.spectrum_distance(v["real"], v["synth"])), "spectrum_distance")
+
+
+@query("residual_correlation")
+def _(spark, sf):
+    """Mean correlation left by distance of dimensions, after the first eigenvector."""
+    c, _, _ = fidelity.covariances(corpus(spark, sf).withColumn("series", F.lit("x")), 0)["x"]
+    d = np.sqrt(np.diag(c))
+    r = structure.residual_correlation(c / np.outer(d, d))
+    rows = [(g, float(np.mean(np.diagonal(r, g)))) for g in range(1, 13)]
+    mass = structure.rank_mass(c / np.outer(d, d))
+    return rounded(spark.createDataFrame([(g, x, mass.get(g)) for g, x in rows], "gap int, residual double, mass double"), "residual", "mass")
+
+
+@query("two_nn", f"WITH {E}, {near(2)} SELECT round(1 / avg(ln(r2 / r1)), 5) AS dimension FROM (SELECT min(d) AS r1, max(d) AS r2 FROM knn GROUP BY q) WHERE r1 > 0 AND r2 > r1")
+def _(spark, sf):
+    return structure.two_nn(sampling.sample(corpus(spark, sf), 20_000, 42)).select(F.round("dimension", 5).alias("dimension"))
+
+
+@query("angular_vs_l2", f"WITH {E}, {near(10, name='a')}, {near(10, name='b', d=COSINE)}, {lids('a', 'la')}, {lids('b', 'lb')}, {occurrence('10', 'e', 'a', 'oa')}, {occurrence('10', 'e', 'b', 'ob')} SELECT (SELECT round(avg(c) / 10, 6) FROM (SELECT count(b.t) AS c FROM a LEFT JOIN b ON a.q = b.q AND a.t = b.t GROUP BY a.q)) AS agreement, (SELECT round(quantile_cont(lid, 0.5), 5) FROM la) AS lid_l2, (SELECT round({SKEW}, 5) FROM oa) AS hubness_l2, (SELECT round(quantile_cont(lid, 0.5), 5) FROM lb) AS lid_cosine, (SELECT round({SKEW}, 5) FROM ob) AS hubness_cosine")
+def _(spark, sf):
+    out = structure.angular_vs_l2(corpus(spark, sf), 10)
+    return out.select(*[F.round(c, 6 if c == "agreement" else 5).alias(c) for c in out.columns])
+
+
+_draws = {d: summary_sql(f"e{d}", 20, 10, 16, f"d{d}") for d in range(3)}
+_floor = ", ".join(f"e{d} AS (SELECT vec_id, v FROM rk WHERE (rn - 1) // 100 = {d})" for d in _draws) + ", " + ", ".join(c for c, _ in _draws.values())
+_stats = " UNION ALL ".join(f"SELECT {d} AS draw, {r}" for d, (_, r) in _draws.items())
+_raw = _stats.replace("round(quantile_cont(lid, 0.5), 6)", "quantile_cont(lid, 0.5)").replace("round(quantile_cont(contrast, 0.5), 6)", "quantile_cont(contrast, 0.5)").replace(f"round({SKEW}, 6)", SKEW).replace(f"round({GINI}, 6)", GINI)
+
+
+@query("draw_noise_floor", f"WITH {E}, rk AS (SELECT *, row_number() OVER (ORDER BY md5(concat_ws(':', '42', vec_id)), vec_id) AS rn FROM e), {_floor}, st AS ({_raw}), lg AS (UNPIVOT (SELECT lid_median, relative_contrast_median, hubness_skew, ivf_gini FROM st) ON COLUMNS(*) INTO NAME statistic VALUE value) SELECT statistic, round(min(value), 5) + 0.0 AS low, round(quantile_cont(value, 0.5), 5) + 0.0 AS middle, round(max(value), 5) + 0.0 AS high, round(max(value) - min(value), 5) AS spread, round(100 * (max(value) - min(value)) / nullif(abs(quantile_cont(value, 0.5)), 0), 3) AS spread_pct FROM lg GROUP BY statistic")
+def _(spark, sf):
+    out = structure.draw_floor(structure.long_statistics(structure.draw_statistics(corpus(spark, sf), 3, 100, 20, 10, 16), "draw"))
+    return out.select("statistic", *[(F.round(c, 3 if c == "spread_pct" else 5) + F.lit(0.0)).alias(c) for c in ("low", "middle", "high", "spread", "spread_pct")])
+
+
+SEEDS = [(s, float(v)) for s, vs in (("lid_median", (12, 14, 13)), ("relative_contrast_median", (1.8, 1.9, 1.85)), ("hubness_skew", (2, 2, 2)), ("ivf_gini", (-0.5, 0.5, 0.0))) for v in vs]
+REAL = [("lid_median", 10.0), ("relative_contrast_median", 1.8), ("hubness_skew", 1.5), ("ivf_gini", 0.3)]
+SEEDS_SQL = f"seeds(statistic, value) AS (VALUES {', '.join(f"('{s}', {v}::DOUBLE)" for s, v in SEEDS)}), sp AS (SELECT statistic, avg(value) AS mean, stddev_samp(value) AS std, min(value) AS low, max(value) AS high FROM seeds GROUP BY statistic HAVING count(*) > 1)"
+
+
+def seeds(spark):
+    return spark.createDataFrame(SEEDS, "statistic string, value double")
+
+
+@query("spread", f"WITH {SEEDS_SQL} SELECT statistic, round(mean, 6) AS mean, round(std, 6) AS std, low, high, round(100 * (high - low) / nullif(abs(mean), 0), 6) AS range_pct, round(100 * std / nullif(abs(mean), 0), 6) AS cv_pct FROM sp")
+def _(spark, sf):
+    return rounded(structure.spread(seeds(spark)), "mean", "std", "range_pct", "cv_pct")
+
+
+@query("noise_floor", f"WITH {SEEDS_SQL}, r(statistic, real) AS (VALUES {', '.join(f"('{s}', {v}::DOUBLE)" for s, v in REAL)}) SELECT statistic, round(mean - real, 6) AS gap, round(abs(mean - real) / nullif(high - low, 0), 6) AS distance_in_spreads FROM sp JOIN r USING (statistic)")
+def _(spark, sf):
+    return rounded(structure.floor(seeds(spark), spark.createDataFrame(REAL, "statistic string, real double")).select("statistic", "gap", "distance_in_spreads"), "gap", "distance_in_spreads")
+
+
+@query("zero_probe", f"WITH {ITEMS}, x AS (SELECT series, unnest(range(4))::INT AS dim, unnest(v) AS x FROM e), z AS (SELECT series, avg(zero) AS zero_rate, sqrt(sum(zero * (1 - zero))) AS independent_std FROM (SELECT series, dim, avg((x = 0)::INT) AS zero FROM x GROUP BY ALL) GROUP BY series), n AS (SELECT series, avg(len(list_filter(v, lambda x: x <> 0))) AS nnz_mean, stddev_pop(len(list_filter(v, lambda x: x <> 0))) AS nnz_std FROM e GROUP BY series) SELECT series, round(nnz_mean, 6) AS nnz_mean, round(nnz_std, 6) AS nnz_std, round(zero_rate, 6) AS zero_rate, round(independent_std, 6) AS independent_std FROM z JOIN n USING (series)")
+def _(spark, sf):
+    return rounded(structure.zero_probe(items(spark, sf)), "nnz_mean", "nnz_std", "zero_rate", "independent_std")
+
+
+@query("zero_correlation", f"WITH {ITEMS} SELECT series, (i - 1)::INT AS i, (j - 1)::INT AS j, round(CASE WHEN stddev_pop((v[i] = 0)::INT) * stddev_pop((v[j] = 0)::INT) > 0 THEN corr((v[i] = 0)::INT, (v[j] = 0)::INT) END, 6) + 0.0 AS r FROM e, (SELECT unnest(range(1, 5)) AS i) a, (SELECT unnest(range(1, 5)) AS j) b GROUP BY ALL")
+def _(spark, sf):
+    zeros = items(spark, sf).withColumn("v", F.transform("v", lambda x: (x == 0).cast("double")))
+    return rounded(structure.correlation(zeros), "r")
+
+
+@query("buffer_stability", f"WITH {SIDES}, p1 AS (SELECT * FROM re WHERE vec_id % 2 = 0), p2 AS (SELECT * FROM re WHERE vec_id % 2 = 1), {near(20, 'sy', 'p1', 'ka', own=False)}, {near(20, 'sy', 'p2', 'kb', own=False)}, j AS (SELECT rk, a.d AS x, b.d AS y FROM ka a JOIN kb b USING (q, rk)) SELECT round(sqrt(avg((x - y) ** 2)) / sqrt(avg(x ** 2)), 6) AS change, round(corr(x, y) FILTER (rk = 1), 6) AS corr_r1, round(corr(x, y) FILTER (rk = 5), 6) AS corr_r5 FROM j")
+def _(spark, sf):
+    r = real(spark, sf)
+    return rounded(structure.buffer_stability(synth(spark, sf), r.where("vec_id % 2 = 0"), r.where("vec_id % 2 = 1")), "change", "corr_r1", "corr_r5")
+
+
+@query("separability_auc")
+def _(spark, sf):
+    e = corpus(spark, sf).withColumn("label", (F.col("series") == "real").cast("int"))
+    pool = e.where("vec_id % 3 = 0 and series = 'real'")
+    return rounded(one(spark, auc=structure.separability(e.where("vec_id % 3 <> 0"), pool, 10)), "auc")
+
+
+SUMMARY = f"""SELECT series, count(*) AS rows, round(avg(mean), 6) + 0.0 AS mean, round(max(high), 6) AS high, round(min(low), 6) AS low, round(avg(neg), 6) AS negative_fraction, round(avg(zero), 6) AS zero_fraction, round(avg(norm), 6) AS norm_mean, round(stddev_pop(norm), 6) + 0.0 AS norm_std, round(1 - count(DISTINCT v) / count(*), 6) AS duplicate_fraction
+FROM (SELECT series, v, list_avg(v) AS mean, list_max(v) AS high, list_min(v) AS low, len(list_filter(v, lambda x: x < 0)) / len(v) AS neg, len(list_filter(v, lambda x: x = 0)) / len(v) AS zero, sqrt(list_dot_product(v, v)) AS norm FROM e) GROUP BY series"""
+
+
+@query("summary_stats", f"WITH {E} {SUMMARY}")
+def _(spark, sf):
+    from corpuslens.functions.vectors import norm
+
+    v = F.col("v")
+    count = lambda p: F.size(F.filter(v, p)) / F.size(v)
+    own = corpus(spark, sf).select("series", "v", (F.aggregate(v, F.lit(0.0), lambda s, x: s + x) / F.size(v)).alias("m"), F.array_max(v).alias("h"), F.array_min(v).alias("l"), count(lambda x: x < 0).alias("neg"), count(lambda x: x == 0).alias("zero"), norm(v).alias("norm"))
+    out = own.groupBy("series").agg(F.count(F.lit(1)).alias("rows"), F.avg("m").alias("mean"), F.max("h").alias("high"), F.min("l").alias("low"), F.avg("neg").alias("negative_fraction"), F.avg("zero").alias("zero_fraction"), F.avg("norm").alias("norm_mean"), F.stddev_pop("norm").alias("norm_std"), (1 - F.count_distinct("v") / F.count(F.lit(1))).alias("duplicate_fraction"))
+    return rounded(out, *[c for c in out.columns if c not in ("series", "rows")])
+
+
+# Gates and manifests
+
+GATE = """
+canonical: {n: 20000, k: 100, k_hub: 10, nlist: 256}
+statistics: {lid_median: {min: 8, max: 16}, relative_contrast_median: {min: 1.5}, hubness_skew: null, ivf_gini: {min: 0.2, max: 0.3}}
+"""
+MEASURED = [("lid_median", 12.0), ("relative_contrast_median", 1.5), ("hubness_skew", None), ("ivf_gini", 0.35)]
+VALUES = "m(statistic, value) AS (VALUES ('lid_median', 12.0::DOUBLE), ('relative_contrast_median', 1.5), ('hubness_skew', NULL), ('ivf_gini', 0.35)), b(statistic, min, max) AS (VALUES ('lid_median', 8.0::DOUBLE, 16.0::DOUBLE), ('relative_contrast_median', 1.5, NULL), ('hubness_skew', NULL, NULL), ('ivf_gini', 0.2, 0.3))"
+CHECKED = "ck AS (SELECT statistic, value, min, max, CASE WHEN value IS NULL OR isnan(value) THEN 'fail' WHEN min IS NULL AND max IS NULL THEN 'unset' WHEN value < min OR value > max THEN 'fail' ELSE 'pass' END AS outcome FROM b LEFT JOIN m USING (statistic))"
+ACTUAL = [("n", 20000), ("k", 100), ("nlist", 250)]
+CONDITIONS = "cn AS (SELECT condition, expected, actual, coalesce(expected = actual, false) AS ok FROM (VALUES ('n', 20000::BIGINT, 20000::BIGINT), ('k', 100, 100), ('nlist', 256, 250)) t(condition, expected, actual))"
+
+
+def gate_parts(spark):
+    gate = gates.load_gate(GATE)
+    checked = gates.check_statistics(spark.createDataFrame(MEASURED, "statistic string, value double"), gates.bands(spark, gate))
+    canonical = spark.createDataFrame(list(gate["canonical"].items()), "condition string, expected long")
+    return checked, gates.check_conditions(spark.createDataFrame(ACTUAL, "condition string, actual long"), canonical)
+
+
+@query("gate_statistics", f"WITH {VALUES}, {CHECKED} SELECT * FROM ck")
+def _(spark, sf):
+    return gate_parts(spark)[0]
+
+
+@query("condition_check", f"WITH {CONDITIONS} SELECT * FROM cn")
+def _(spark, sf):
+    return gate_parts(spark)[1]
+
+
+@query("gate_verdict", f"WITH {VALUES}, {CHECKED}, {CONDITIONS} SELECT CASE WHEN (SELECT count(*) FROM ck WHERE outcome = 'fail') + (SELECT count(*) FROM cn WHERE NOT ok) > 0 THEN 'fail' WHEN (SELECT count(*) FROM ck WHERE outcome = 'unset') > 0 THEN 'unset' ELSE 'pass' END AS verdict, CASE WHEN (SELECT count(*) FROM ck WHERE outcome = 'fail') + (SELECT count(*) FROM cn WHERE NOT ok) > 0 THEN 1 WHEN (SELECT count(*) FROM ck WHERE outcome = 'unset') > 0 THEN 2 ELSE 0 END AS exit_code")
+def _(spark, sf):
+    return gates.verdict(*gate_parts(spark))
+
+
+VARIANTS = [("deep", "v0", "angular"), ("deep", "v1", "angular"), ("sift", "v0", "l2"), ("odd", "v0", "l2"), ("odd", "v1", "angular")]
+
+
+@query("family_metric", f"SELECT family, CASE WHEN count(DISTINCT metric) = 1 THEN min(metric) END AS metric, count(DISTINCT metric) = 1 AS agreed FROM (VALUES {', '.join(map(str, VARIANTS))}) t(family, name, metric) GROUP BY family")
+def _(spark, sf):
+    return gates.family_metric(spark.createDataFrame(VARIANTS, "family string, name string, metric string"))
+
+
+@query("sweep_cells", "SELECT rung, seed, rung || '_s' || seed AS name FROM (VALUES ('v0'), ('v1'), ('v2')) r(rung), (VALUES (42), (43), (44)) s(seed)")
+def _(spark, sf):
+    return gates.sweep_cells(spark.createDataFrame([("v0",), ("v1",), ("v2",)], "rung string"), spark.createDataFrame([(42,), (43,), (44,)], "seed int"))
+
+
+@query("condition_note", "SELECT 'real: n=500, k=100, nlist=250; synth: n=500, k=100, nlist=256' AS note")
+def _(spark, sf):
+    return panels.condition_note(spark.createDataFrame([("real", 500, 100, 250), ("synth", 500, 100, 256)], "series string, n long, k long, nlist long"))
+
+
+SIZES = [("deep", 1_000_000), ("sift", 250_000), ("openai", 2_500_000), ("glove", 999_999), ("gist", 500)]
+
+
+@query("subset_name", f"SELECT dataset, rows, CASE WHEN rows >= 1000000 THEN dataset || '_' || rows // 1000000 || 'm' ELSE dataset || '_' || rows // 1000 || 'k' END AS name FROM (VALUES {', '.join(map(str, SIZES))}) t(dataset, rows)")
+def _(spark, sf):
+    return spark.createDataFrame(SIZES, "dataset string, rows int").withColumn("name", gates.subset_name(F.col("dataset"), F.col("rows")))
+
+
+SPECS = ["v4=runs/a=b.npy", "runs/v3.npy", "=runs/v2.fvecs", "x=plain", "name"]
+
+
+@query("parse_spec", f"SELECT spec, CASE WHEN instr(spec, '=') > 1 THEN substr(spec, 1, instr(spec, '=') - 1) ELSE regexp_replace(string_split(path, '/')[-1], '(.)\\.[^.]*$', '\\1') END AS label, path FROM (SELECT spec, CASE WHEN instr(spec, '=') > 0 THEN substr(spec, instr(spec, '=') + 1) ELSE spec END AS path FROM (VALUES {', '.join(f"('{s}')" for s in SPECS)}) t(spec))")
+def _(spark, sf):
+    df = spark.createDataFrame([(s,) for s in SPECS], "spec string")
+    label, path = gates.parse_spec(F.col("spec"))
+    return df.select("spec", label.alias("label"), path.alias("path"))
+
+
+@query("best_so_far", "SELECT event_type AS run, event_id AS step, value, coalesce(value < min(value) OVER (PARTITION BY event_type ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS best FROM events")
+def _(spark, sf):
+    return structure.best_so_far(spark.read.parquet(f"{sf}/events.parquet").select(F.col("event_type").alias("run"), F.col("event_id").alias("step"), "value"))
+
+
+@query("ema_bias_correction", "SELECT t AS step, round(1 / (1 - 0.99::DOUBLE ** t), 6) AS factor FROM (SELECT unnest(range(1, 51)) AS t)")
+def _(spark, sf):
+    return spark.range(1, 51).select(F.col("id").alias("step"), F.round(1 / (1 - F.pow(F.lit(0.99), F.col("id"))), 6).alias("factor"))
+
+
+# Preprocessing and generation
+
+
+@query("whiten")
+def _(spark, sf):
+    """Moments of the held-out part after whitening that was fitted on the rest."""
+    train, held, _ = preprocess.training_data(corpus(spark, sf), 0.2, preprocess.Settings(center=True, whiten=True, l2_normalize=False))
+    x = exploded(train.withColumn("series", F.lit("train")).unionByName(held.withColumn("series", F.lit("held"))), "series")
+    return rounded(x.groupBy("series", "dim").agg(F.avg("x").alias("mean"), F.var_samp("x").alias("var")), "mean", "var")
+
+
+@query("generate")
+def _(spark, sf):
+    network = G.build("gated", trunk=G.random_layers([16, 32], 1), sizes=G.random_layers([32, 64], 2)[0], gates=G.random_layers([32, 64], 3)[0])
+    return panels.dim_profiles(G.generate(spark, network, 2000, 16, 64).select(F.lit("generated").alias("series"), as_double(F.col("v")).alias("v")))
+
+
+#: The timed queries.
+HEADLINE = ["ann_summary", "knn_topk", "knn_cosine", "lid_per_query", "relative_contrast", "k_occurrence", "ivf_gini", "mmd_rbf", "pairwise_hist_l1", "cov_fro", "w1_by_dim", "correlation", "distance_cdf", "dim_profiles_items", "norm_hist", "tensor_stats", "zero_probe"]
