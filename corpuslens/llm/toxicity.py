@@ -188,6 +188,21 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return out.select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def clean(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
+    """The rows of docs(text, ...) that score below the threshold, with all their columns."""
+    shared.small_batches(docs.sparkSession)
+    sent, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
+
+    def run(batches):
+        for batch in batches:
+            for a, b, texts in _runs(batch, at):
+                kept = batch.slice(a, b - a).filter(pa.array(sent.value.scores(features(texts)) < threshold))
+                if kept.num_rows:
+                    yield kept
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op7_toxicity(spark, sf_dir: str) -> DataFrame:
     docs = shared.read(spark, sf_dir, "documents")
     return score(docs, train(docs, shared.read(spark, sf_dir, "labels")))
