@@ -65,6 +65,35 @@ def _lists(keys: list[np.ndarray], places: np.ndarray) -> tuple[list[np.ndarray]
     return [k[at] for k in keys], pa.ListArray.from_arrays(pa.array(np.append(at, len(places)), pa.int32()), pa.array(places.astype(np.int32)))
 
 
+def _by_group(groups: int, ids: np.ndarray, classes: np.ndarray, places: np.ndarray) -> pa.Table:
+    """A row for each group of documents, with the ids, classes and places of all of its entries as bytes."""
+    group = (shared.mix(classes.view(np.uint64) + np.uint64(1)) % np.uint64(groups)).astype(np.int32)
+    order = np.lexsort((places, classes, ids, group))
+    at = _groups(group[order])
+    columns = [x[order] for x in (ids, classes, places.astype(np.uint32))]
+    ends = np.append(at, len(order))
+    bytes_ = [pa.array([c[ends[k] : ends[k + 1]].tobytes() for k in range(len(at))], pa.binary()) for c in columns]
+    return pa.table([pa.array(group[order][at], pa.int32()), *bytes_], ["group", "id", "class", "pos"])
+
+
+GROUPED = "group int, id binary, class binary, pos binary"
+
+
+def _documents(table: pa.Table) -> pa.Table:
+    """The places of each document of a group, as one list."""
+    ids, classes, pos = (_column(table, n, k) for n, k in (("id", np.int64), ("class", np.int64), ("pos", np.uint32)))
+    (ids, classes), places = _lists([ids, classes], pos)
+    return pa.table({"id": pa.array(ids), "class": pa.array(classes), "places": places})
+
+
+def _told(table: pa.Table, *names: str) -> list[np.ndarray]:
+    """What the workers have settled at once: the named columns, for each place."""
+    rows = table.filter(table.column("own").is_valid()).combine_chunks()
+    places = rows.column("places").combine_chunks()
+    n = np.diff(np.asarray(places.offsets)) if len(places) else np.zeros(0, np.int64)
+    return [np.repeat(np.asarray(rows.column(k).combine_chunks(), np.int64), n) for k in names] + [np.asarray(places.flatten(), np.uint32)]
+
+
 def _groups(*keys: np.ndarray) -> np.ndarray:
     """The first place of each run of equal keys."""
     if not len(keys[0]):
@@ -135,14 +164,17 @@ def _column(table: pa.Table, name: str, kind) -> np.ndarray:
     return np.frombuffer(b"".join(x for x in table.column(name).to_pylist() if x is not None), kind)
 
 
-def _anchor_bucket(table: pa.Table) -> pa.Table:
-    told = table.filter(table.column("own").is_valid()).select(["own", "places"]).rename_columns(["class", "places"])
-    h, classes, pos, many = (_column(table, n, k) for n, k in (("h", np.uint64), ("class", np.int64), ("pos", np.uint32), ("many", np.uint8)))
-    order, at, several = _repeated(h, _place(classes, pos), many)
-    hit = order[np.repeat(several, np.diff(np.append(at, len(h))))]
-    hit = hit[many[hit] == 0]
-    (own,), places = _lists([classes[hit]], pos[hit])
-    return pa.concat_tables([told, pa.table({"class": pa.array(own), "places": places})])
+def _anchor_bucket(groups: int):
+    def run(table: pa.Table) -> pa.Table:
+        own, places = _told(table, "own")
+        h, classes, pos, many = (_column(table, n, k) for n, k in (("h", np.uint64), ("class", np.int64), ("pos", np.uint32), ("many", np.uint8)))
+        order, at, several = _repeated(h, _place(classes, pos), many)
+        hit = order[np.repeat(several, np.diff(np.append(at, len(h))))]
+        hit = hit[many[hit] == 0]
+        classes = np.concatenate([own, classes[hit]])
+        return _by_group(groups, np.zeros(len(classes), np.int64), classes, np.concatenate([places, pos[hit]]))
+
+    return run
 
 
 WINDOWS = "bucket int, h binary, g binary, id binary, class binary, pos binary, own long, own_class long, places array<int>"
@@ -211,12 +243,14 @@ def _windows(buckets: int):
     return run
 
 
-def _window_bucket(table: pa.Table) -> pa.Table:
-    told = table.filter(table.column("own").is_valid()).select(["own", "own_class", "places"]).rename_columns(["id", "class", "places"])
-    entry = [_column(table, n, k) for n, k in _WINDOW_KINDS]
-    _, rest = _later(*entry)
-    (own, own_class), places = _lists([entry[2][rest], entry[3][rest]], entry[4][rest])
-    return pa.concat_tables([told, pa.table({"id": pa.array(own), "class": pa.array(own_class), "places": places})])
+def _window_bucket(groups: int):
+    def run(table: pa.Table) -> pa.Table:
+        entry = [_column(table, n, k) for n, k in _WINDOW_KINDS]
+        _, rest = _later(*entry)
+        told = _told(table, "own", "own_class")
+        return _by_group(groups, *(np.concatenate([t, e[rest]]) for t, e in zip(told, entry[2:], strict=True)))
+
+    return run
 
 
 def _removed(batches):
@@ -268,17 +302,19 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     shared.small_batches(spark)
-    buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets, groups = 2 * parts, parts
     own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("id"), "text")
     facts = shared.table(own.mapInArrow(_facts, "id long, n_words long, digest binary, class long"), "words")
     heads = facts.groupBy("digest").agg(F.min("id").alias("head"), F.min("class").alias("class"))
-    anchors = own.select("text").mapInArrow(_anchors(buckets), ANCHORS).groupBy("bucket").applyInArrow(_anchor_bucket, "class long, places array<int>")
-    marked = anchors.groupBy("class").agg(F.flatten(F.collect_list("places")).alias("places"))
+    lists = "id long, class long, places array<int>"
+    anchors = own.select("text").mapInArrow(_anchors(buckets), ANCHORS).groupBy("bucket").applyInArrow(_anchor_bucket(groups), GROUPED)
+    marked = anchors.groupBy("group").applyInArrow(_documents, lists).select("class", "places")
     marked = shared.table(heads.where("class is not null").join(marked, "class").select(F.col("head").alias("id"), "class", "places"), "marked")
     texts = _filter(marked.select("id"))(own).join(marked.hint("shuffle_hash"), "id")
     texts = shared.table(texts.select("id", "text", "class", "places").mapInArrow(_own_class, "id long, text string, class long, places array<int>"), "texts")
-    later = texts.mapInArrow(_windows(buckets), WINDOWS).groupBy("bucket").applyInArrow(_window_bucket, "id long, class long, places array<int>")
-    later = later.groupBy("id", "class").agg(F.flatten(F.collect_list("places")).alias("places"))
+    later = texts.mapInArrow(_windows(buckets), WINDOWS).groupBy("bucket").applyInArrow(_window_bucket(groups), GROUPED)
+    later = later.groupBy("group").applyInArrow(_documents, lists)
     changed = texts.select("id", "text", "class").join(later.hint("shuffle_hash"), ["id", "class"]).mapInArrow(_removed, "id long, class long, n_removed long, kept_sha256 string, spans array<struct<first:long,end:long>>").dropDuplicates(["id", "class"])
     return _result(facts, heads, changed)
 
