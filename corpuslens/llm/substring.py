@@ -17,7 +17,7 @@ from corpuslens.llm import shared
 WINDOW, PERIOD, COVER = 20, 13, (0, 1, 3, 9)
 ANCHOR = WINDOW - PERIOD + 1
 #: Entries that a worker gathers before it sends them; bits of the filter that spares most texts the shuffle. Both bound memory only.
-GATHERED, FILTER_BITS = 1 << 21, 24
+GATHERED, FILTER_BITS = 1 << 19, 24
 LAST = (1 << 63) - 1
 ROLLS = shared.Rolling(41), shared.Rolling(43)
 COVERED = np.zeros(PERIOD, bool)
@@ -156,6 +156,8 @@ def _anchors(buckets: int):
                     gathered, n = [[], [], []], 0
         if n:
             yield from flush(*gathered)
+        gathered.clear()
+        shared.tidy()
 
     return run
 
@@ -183,6 +185,7 @@ _WINDOW_KINDS = (("h", np.uint64), ("g", np.uint64), ("id", np.int64), ("class",
 
 def _own_class(batches):
     """Of rows joined by their id, those whose text is of the class."""
+    shared.tidy()
     for batch in batches:
         texts, classes = batch.column(1).to_pylist(), batch.column(2).to_pylist()
         same = [int.from_bytes(_digest(t.encode())[:8], "little", signed=True) == c for t, c in zip(texts, classes, strict=True)]
@@ -239,6 +242,8 @@ def _windows(buckets: int):
                         gathered, n = [[] for _ in _WINDOW_KINDS], 0
         if n:
             yield from flush(*gathered)
+        gathered.clear()
+        shared.tidy()
 
     return run
 
