@@ -11,11 +11,16 @@ from corpuslens.llm import graph, shared
 
 #: A signature has SYMBOLS minima of BITS bits each, cut into chunks of CHUNK symbols. Signatures that differ in fewer than
 #: 2 * SYMBOLS / CHUNK symbols agree in some chunk but for at most one symbol (pigeonhole), and every chunk is looked up with each
-#: of its symbols left out. So all pairs within DISTANCE are found; at a Jaccard similarity of 0.8, one pair in ten million differs in more.
+#: of its symbols left out. So all pairs within DISTANCE (at most 31) are found; at a Jaccard similarity of just 0.8, 14 pairs in a
+#: million differ in more, and at 0.85 one in a thousand million.
 SYMBOLS, BITS, CHUNK = 64, 14, 4
-DISTANCE = 2 * SYMBOLS // CHUNK - 1
+DISTANCE = 27
+#: The last bits of all symbols are a sketch of 64 bits; at a similarity of 0.8, fewer than one pair in a million differs in more than this.
+SKETCH = 20
 #: Four symbols go into a long, each with a spare bit above it.
 LANES = SYMBOLS // 4
+#: Parts of the hashes whose shingles are counted, to tell rare from common ones.
+RARITY_BITS = 16
 ROLL = shared.Rolling(11)
 LOWER = shared.lower_codes(ROLL.codes)
 _rng = np.random.default_rng(23)
@@ -84,8 +89,9 @@ def _describe(width: int):
                         pa.array([None if x is None else np.array(x, np.uint64).tobytes() for x in h], pa.binary()),
                         pa.array([None if x is None else s for x, s in zip(h, packed(signs).tolist(), strict=True)], pa.list_(pa.int64())),
                         pa.array([None if x is None else s for x, s in zip(h, lookup_keys(signs).tolist(), strict=True)], pa.list_(pa.int64())),
+                        pa.array(np.packbits((signs & 1).astype(np.uint8), axis=1).view(np.int64).ravel()),
                     ],
-                    ["doc_id", "n_shingles", "digest", "sign", "keys"],
+                    ["doc_id", "n_shingles", "digest", "sign", "keys", "sketch"],
                 )
 
     return run
@@ -107,24 +113,67 @@ def packed(signs: np.ndarray) -> np.ndarray:
     return sum(wide[:, :, k] << (BITS + 1) * k for k in range(4))
 
 
-def _differing(x: str, y: str):
-    """In how many symbols two packed signatures differ: adding all ones to the exclusive or carries into the spare bit of each symbol that is not zero."""
+def _lanes(x: str, y: str, i: int) -> str:
+    """In how many of its four symbols a long of two packed signatures differs: adding all ones to the exclusive or carries into the spare bit of each symbol that is not zero."""
     ones = sum(((1 << BITS) - 1) << (BITS + 1) * k for k in range(4))
     spare = sum(1 << BITS << (BITS + 1) * k for k in range(4))
-    return F.expr(" + ".join(f"bit_count((({x}[{i}] ^ {y}[{i}]) + {ones}L) & {spare}L)" for i in range(LANES)))
+    return f"bit_count((({x}[{i}] ^ {y}[{i}]) + {ones}L) & {spare}L)"
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """pairs(a, b) of doc_ids whose full shingle sets have 100 * intersection >= percent * union."""
-    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
+def _differing(x: str, y: str):
+    return F.expr(" + ".join(_lanes(x, y, i) for i in range(LANES)))
+
+
+def _full_sets(ids: DataFrame, docs: DataFrame, width: int) -> DataFrame:
     texts = docs.select("doc_id", "text").join(ids.hint("shuffle_hash"), "doc_id", "left_semi")
-    sets = shared.table(texts.mapInArrow(_sets(width), "doc_id long, shingles array<long>"), "sets")
+    return shared.table(texts.mapInArrow(_sets(width), "doc_id long, shingles array<long>"), "sets")
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """pairs(a, b) of doc_ids whose full shingle sets have 100 * intersection >= percent * union."""
     left = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b")
     both = left.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a")
     common = F.size(F.array_intersect("x", "y")).cast("long")
     return both.select("a", "b", common.alias("n"), (F.size("x") + F.size("y")).cast("long").alias("s")).where(f"100 * n >= {percent} * (s - n)").select("a", "b")
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
+
+
+def _common(batches):
+    """How many shingles fall into each of 2**RARITY_BITS parts of the hashes."""
+    n = np.zeros(1 << RARITY_BITS, np.int64)
+    for batch in batches:
+        flat = np.asarray(batch.column(1).flatten(), np.int64).view(np.uint64)
+        n += np.bincount((flat >> np.uint64(64 - RARITY_BITS)).astype(np.int64), minlength=len(n))
+    full = np.flatnonzero(n)
+    yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(n[full])], ["part", "n"])
+
+
+def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
+    """doc_id, n, tokens, lasts: of each set's n shingles in the order of their rarity, as many as can hold the first one in common
+    with a set that is similar enough, each with the one before it. Rarity is known by parts of the hashes, a fixed number of counts; any order gives all pairs."""
+    counts = sets.mapInArrow(_common, "part int, n long").groupBy("part").agg(F.sum("n").alias("n")).toArrow()
+    known = np.zeros(1 << RARITY_BITS, np.int64)
+    known[np.asarray(counts.column("part"))] = np.asarray(counts.column("n"))
+    sent = sets.sparkSession.sparkContext.broadcast(known)
+
+    def run(batches):
+        for batch in batches:
+            own = batch.column(1)
+            at, flat = np.asarray(own.offsets), np.asarray(own.values, np.int64)
+            out = []
+            for a, b in zip(at[:-1], at[1:], strict=True):
+                x = flat[a:b]
+                order = np.lexsort((x, sent.value[(x.view(np.uint64) >> np.uint64(64 - RARITY_BITS)).astype(np.int64)]))
+                out.append(x[order[: len(x) - -(-percent * len(x) // 100) + 1]])
+            lasts = [[None, *x[:-1].tolist()] if len(x) else [] for x in out]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(at), pa.int64()), pa.array(out, pa.list_(pa.int64())), pa.array(lasts, pa.list_(pa.int64()))], ["doc_id", "n", "tokens", "lasts"])
+
+    return sets.mapInArrow(run, "doc_id long, n long, tokens array<long>, lasts array<long>")
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """For each row of docs(doc_id, text, ...): doc_id, n_shingles, component_id, kept.
 
@@ -135,16 +184,16 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     returned. A row with a null doc_id links with nothing; its component_id and kept are null. Other columns are ignored; an
     empty table gives no rows.
 
-    Equal sets become one class. Classes that meet under a key of the signature index first link to the smallest of that key,
-    which settles most; then, within keys that still hold several components, all pairs of different components within the
-    signature distance. Every link is confirmed on full sets.
+    Equal sets become one class. Classes that meet under a key of the signature index first link to the centre and the smallest
+    of that key, which settles most. Then, of members of keys that still hold several components, pairs of different components
+    that share a rare shingle early enough and are within the signature distance. Every link is confirmed on full sets.
     """
     if percent < 80:
         raise ValueError("the signature index is made for similarities of 0.8 and more")
     spark = docs.sparkSession
     shared.small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    known = shared.table(docs.mapInArrow(_describe(width), "doc_id long, n_shingles long, digest binary, sign array<long>, keys array<long>"), "minhash")
+    known = shared.table(docs.mapInArrow(_describe(width), "doc_id long, n_shingles long, digest binary, sign array<long>, keys array<long>, sketch long"), "minhash")
     first = known.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("class"))
     classes = shared.table(known.where("digest is not null").select("doc_id", "digest").join(first, "digest").select("doc_id", "class"), "classes")
     whole = classes.groupBy("doc_id").agg(F.min("class").alias("class"), F.max("class").alias("last"))
@@ -152,8 +201,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     heads = classes.where("doc_id = class").select("doc_id").distinct()
     facts = known.select("doc_id", "n_shingles", "sign", "keys").join(heads, "doc_id", "left_semi")
     keys = facts.select(F.col("doc_id").alias("b"), F.explode("keys").alias("key"))
-    shown = keys.groupBy("key").agg(F.min("b").alias("a"), F.max("b").alias("last")).where("a < last").select("key", "a")
-    members = shared.table(keys.join(shown, "key").select("key", "a", "b"), "members")
+    shown = keys.groupBy("key").agg(F.min("b").alias("first"), F.max("b").alias("last"), F.count(F.lit(1)).alias("n")).where("first < last").select("key", "n")
+    members = shared.table(keys.join(shown, "key").select("key", "b", "n"), "members")
+    # The centre of a key is the member that meets most others: near the text that the others were made from, so it has most links.
+    met = members.groupBy("b").agg(F.sum("n").alias("met"))
+    rank = F.col("met") * F.lit(1 << 20) + F.pmod(F.xxhash64("b"), F.lit(1 << 20))
+    centres = members.join(met, "b").groupBy("key").agg(F.max_by("b", rank).alias("centre"), F.min("b").alias("least"))
     facts = known.select("doc_id", "n_shingles", "sign")
 
     def within(pairs: DataFrame) -> DataFrame:
@@ -161,20 +214,27 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         near = pairs.join(x, "a").join(y, "b").where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
         return near.where(_differing("s_a", "s_b") <= DISTANCE).select("a", "b")
 
-    stars = shared.table(within(members.where("a < b").select("a", "b").distinct()), "stars")
-    links = shared.table(_confirmed(stars, docs, width, percent).unionByName(several), "links")
+    tips = members.join(centres, "key").select("b", F.explode(F.array("centre", "least")).alias("a")).where("a <> b")
+    stars = shared.table(within(tips.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()), "stars")
+    links = shared.table(_confirmed(stars, _full_sets(_ends(stars), docs, width), percent).unionByName(several), "links")
     parts = graph.components(links)
     # What the stars leave: keys whose members lie in several components.
     own = members.select("key", "b").join(parts.withColumnRenamed("node", "b"), "b", "left").select("key", "b", F.coalesce("component", "b").alias("c"))
     own = shared.table(own, "own")
     mixed = own.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("key")
-    left = own.join(mixed, "key").join(facts.withColumnRenamed("doc_id", "b"), "b")
-    left = left.select("key", "b", "c", F.col("n_shingles").alias("n"), "sign")
-    x, y = left.alias("x"), left.alias("y")
-    rest = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.c") < F.col("y.c")) & F.expr(f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)") & (_differing("x.sign", "y.sign") <= DISTANCE))
+    left = shared.table(own.join(mixed, "key"), "left")
+    sets = _full_sets(left.select(F.col("b").alias("doc_id")).distinct(), docs, width)
+    # Of two similar sets, the first shingle in common stands early enough in both for the needed number to follow.
+    own = left.select(F.col("b").alias("doc_id"), "c").distinct()
+    own = own.join(known.select("doc_id", "sketch"), "doc_id")
+    tokens = _prefixes(sets, percent).join(own, "doc_id").select(F.col("doc_id").alias("b"), "c", "n", "sketch", F.posexplode(F.arrays_zip("tokens", "lasts")).alias("i", "t")).select("*", F.col("t.tokens").alias("token"), F.col("t.lasts").alias("last")).drop("t")
+    x, y = tokens.alias("x"), tokens.alias("y")
+    enough = F.expr(f"{100 + percent} * least(x.n - x.i, y.n - y.i) >= {percent} * (x.n + y.n)")
+    rest = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.c") < F.col("y.c")) & enough)
     rest = rest.select(F.least("x.b", "y.b").alias("a"), F.greatest("x.b", "y.b").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
+    rest = within(rest)
     rest = shared.table(rest, "rest")
-    more = shared.table(_confirmed(rest, docs, width, percent), "more")
+    more = shared.table(_confirmed(rest, sets, percent), "more")
     if not more.isEmpty():
         parts = graph.components(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
     ends = whole.select("doc_id", "class").join(parts.withColumnRenamed("node", "class"), "class", "left").select("doc_id", F.coalesce("component", "class").alias("component_id"))

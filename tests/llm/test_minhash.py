@@ -71,3 +71,15 @@ def test_pairs_within_the_distance_share_a_key():
     for row in b:
         row[rng.choice(M.SYMBOLS, M.DISTANCE, replace=False)] += 1
     assert all(set(x) & set(y) for x, y in zip(M.lookup_keys(a).tolist(), M.lookup_keys(b).tolist(), strict=True))
+
+
+def test_differing_symbols_are_counted(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    a = rng.integers(0, (1 << M.BITS) - 1, (200, M.SYMBOLS))
+    b = a.copy()
+    for i, row in enumerate(b):
+        row[rng.choice(M.SYMBOLS, i % 32, replace=False)] += 1
+    df = spark.createDataFrame(list(zip(range(200), M.packed(a).tolist(), M.packed(b).tolist(), strict=True)), "i int, x array<long>, y array<long>")
+    assert {(r.i, r.d) for r in df.select("i", M._differing("x", "y").alias("d")).collect()} == {(i, i % 32) for i in range(200)}
