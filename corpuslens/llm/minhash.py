@@ -230,7 +230,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     tokens = _prefixes(sets, percent).join(own, "doc_id").select(F.col("doc_id").alias("b"), "c", "n", "sketch", F.posexplode(F.arrays_zip("tokens", "lasts")).alias("i", "t")).select("*", F.col("t.tokens").alias("token"), F.col("t.lasts").alias("last")).drop("t")
     x, y = tokens.alias("x"), tokens.alias("y")
     enough = F.expr(f"{100 + percent} * least(x.n - x.i, y.n - y.i) >= {percent} * (x.n + y.n)")
-    rest = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.c") < F.col("y.c")) & enough)
+    again = F.expr("coalesce(x.last = y.last, false)")  # then the pair comes up there
+    rest = x.join(y, ~again & (F.col("x.token") == F.col("y.token")) & (F.col("x.c") < F.col("y.c")) & enough & (F.bit_count(F.col("x.sketch").bitwiseXOR(F.col("y.sketch"))) <= SKETCH))
     rest = rest.select(F.least("x.b", "y.b").alias("a"), F.greatest("x.b", "y.b").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
     rest = within(rest)
     rest = shared.table(rest, "rest")
