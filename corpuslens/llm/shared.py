@@ -21,14 +21,15 @@ WHITE = np.zeros(256, bool)
 WHITE[[32, *range(9, 14)]] = True
 
 _tables: list[tuple[SparkSession, str]] = []
+_local: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and the executors share. Only where the cluster names none (tests), a local one."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
-        at = f"file://{tempfile.mkdtemp(prefix='corpuslens-')}"
-        spark.conf.set("spark.checkpoint.dir", at)
+        at = _local.setdefault("folder", "") or f"file://{tempfile.mkdtemp(prefix='corpuslens-')}"
+        _local["folder"] = at
     return at.rstrip("/")
 
 
