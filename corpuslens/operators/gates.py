@@ -140,3 +140,12 @@ def parse_spec(spec: Column) -> tuple[Column, Column]:
     stem = F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"(?<=.)\.[^.]*$", "")
     label = F.when(cut > 1, F.expr("substring(spec, 1, instr(spec, '=') - 1)")).otherwise(stem)
     return label, path
+
+
+def resolve_variants(variants: DataFrame, files: DataFrame) -> DataFrame:
+    """variants(name, config, run_dir) and files(path) -> name, found, reason: what each lacks, its configuration first."""
+    have = lambda alias: files.select(F.col("path").alias(alias), F.lit(True).alias(f"has_{alias}"))
+    own = variants.withColumn("checkpoint", F.concat_ws("/", "run_dir", F.lit("checkpoint.pt")))
+    own = own.join(have("config"), "config", "left").join(have("checkpoint"), "checkpoint", "left")
+    reason = F.when(F.col("has_config").isNull(), F.concat(F.lit("no configuration at "), "config")).when(F.col("has_checkpoint").isNull(), F.concat(F.lit("no checkpoint at "), "checkpoint"))
+    return own.select("name", reason.isNull().alias("found"), reason.alias("reason"))

@@ -82,3 +82,18 @@ def shuffled_batches(spark: SparkSession, df: DataFrame, size: int, epoch: int,
     """key, batch: a new order for each epoch, whole batches only."""
     n = df.count()
     return ranked(df, f"{seed}:{epoch}", key).where(F.col("rn") <= n // size * size).select(key, F.expr(f"cast((rn - 1) div {size} as long)").alias("batch"))
+
+
+def glyph_rows(df: DataFrame, rows: int, seed, key: str = "vec_id") -> DataFrame | None:
+    """For a drawing: two samples of the real series that share no row, and one of each other series; column part tells them apart. None unless
+    all series have enough rows."""
+    names = sorted(r.series for r in df.select("series").distinct().collect())
+    counts = {r.series: r["count"] for r in df.groupBy("series").count().collect()}
+    if counts.get("real", 0) < 2 * rows or any(counts[s] < rows for s in names):
+        return None
+    first = disjoint_draws(df.where("series = 'real'"), 2, rows, seed, key)
+    out = first.select(key, "series", F.concat(F.lit("real_"), "draw").alias("part"))
+    for s in names:
+        if s != "real":
+            out = out.unionByName(sample(df.where(F.col("series") == s), rows, seed, key).select(key, "series", F.col("series").alias("part")))
+    return out

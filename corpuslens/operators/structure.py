@@ -203,3 +203,44 @@ def best_so_far(df: DataFrame) -> DataFrame:
     """run, step, value, and whether it is below all before it."""
     past = Window.partitionBy("run").orderBy("step").rowsBetween(Window.unboundedPreceding, -1)
     return df.withColumn("best", F.coalesce(F.col("value") < F.min("value").over(past), F.lit(True)))
+
+
+def empty_cells(df: DataFrame) -> DataFrame:
+    """One row for 128-wide rows: the share of 4 x 4 cells whose eight bins are all zero, and the share that independent zeros of the bins' rates would give."""
+    from corpuslens.functions.vectors import cell_of
+
+    row, col, _ = cell_of(F.col("dim"))
+    x = exploded(df, "vec_id").select("vec_id", "dim", row.alias("row"), col.alias("col"), (F.col("x") == 0).cast("int").alias("zero"))
+    seen = x.groupBy("vec_id", "row", "col").agg(F.min("zero").alias("empty")).agg(F.avg("empty").alias("empty_share"))
+    rates = x.groupBy("dim", "row", "col").agg(F.avg("zero").alias("rate")).groupBy("row", "col").agg(F.product("rate").alias("p")).agg(F.avg("p").alias("independent_share"))
+    return seen.join(rates)  # single rows
+
+
+def group_correlations(r: np.ndarray) -> list[tuple[str, float]]:
+    """Mean correlations of the components of 128-wide rows: within a cell by how far apart their orientations are on the circle, and between
+    cells that touch and that don't, at the same orientation."""
+    d = np.arange(len(r))
+    row, col, bin_ = d // 32, d // 8 % 4, d % 8
+    same = (row[:, None] == row) & (col[:, None] == col)
+    gap = np.minimum((bin_[:, None] - bin_) % 8, (bin_ - bin_[:, None]) % 8)
+    steps = np.maximum(np.abs(row[:, None] - row), np.abs(col[:, None] - col))
+    out = [(f"cell_gap_{g}", same & (gap == g)) for g in range(1, 5)]
+    out += [("touching_cells", ~same & (gap == 0) & (steps == 1)), ("apart_cells", (gap == 0) & (steps > 1))]
+    return [(name, float(r[mask].mean())) for name, mask in out]
+
+
+def penalty_scale(points: DataFrame, batch: int, trials: int, k: int, seed=42) -> DataFrame:
+    """floor: the mean and deviation of the log-ratio penalty between two batches of one corpus; signal: between a batch of it and one of the other
+    series. The first trials (a quarter, 20 at most) are left out."""
+    real, synth = (points.where(F.col("series") == s).drop("series") for s in ("real", "synth"))
+    rows = []
+    for t in range(trials):
+        draws = sampling.disjoint_draws(real, 2, batch, f"{seed}:{t}").persist()
+        a, b = (fidelity.log_ratio_profile(K.knn(draws.where(F.col("draw") == d), k)) for d in (0, 1))
+        c = fidelity.log_ratio_profile(K.knn(sampling.sample(synth, batch, f"{seed}:{t}"), k))
+        rows.append((t, fidelity.log_ratio_penalty(a, b).first().penalty, fidelity.log_ratio_penalty(a, c).first().penalty))
+        draws.unpersist()
+    kept = rows[min(20, trials // 4) :]
+    floor_, signal = np.array([x[1] for x in kept]), np.array([x[2] for x in kept])
+    out = (len(kept), float(floor_.mean()), float(floor_.std()), float(signal.mean()), float(signal.std()), float(signal.mean() / floor_.mean()) if floor_.mean() else None)
+    return points.sparkSession.createDataFrame([out], "trials int, floor_mean double, floor_std double, signal_mean double, signal_std double, ratio double")

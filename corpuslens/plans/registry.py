@@ -724,6 +724,45 @@ def _(spark, sf):
     return spark.range(1, 51).select(F.col("id").alias("step"), F.round(1 / (1 - F.pow(F.lit(0.99), F.col("id"))), 6).alias("factor"))
 
 
+FILES = ["c/v0.yaml", "c/v1.yaml", "r/v0/checkpoint.pt", "r/v2/checkpoint.pt"]
+RUNS = [(f"v{i}", f"c/v{i}.yaml", f"r/v{i}") for i in range(3)]
+
+
+@query("resolve_variants", f"""WITH v(name, config, run_dir) AS (VALUES {', '.join(map(str, RUNS))}), f(path) AS (VALUES {', '.join(f"('{x}')" for x in FILES)}),
+r AS (SELECT name, CASE WHEN config NOT IN (SELECT path FROM f) THEN 'no configuration at ' || config WHEN run_dir || '/checkpoint.pt' NOT IN (SELECT path FROM f) THEN 'no checkpoint at ' || run_dir || '/checkpoint.pt' END AS reason FROM v) SELECT name, reason IS NULL AS found, reason FROM r""")
+def _(spark, sf):
+    return gates.resolve_variants(spark.createDataFrame(RUNS, "name string, config string, run_dir string"), spark.createDataFrame([(x,) for x in FILES], "path string"))
+
+
+@query("glyph_rows", f"WITH {SIDES}, r AS (SELECT vec_id, series, row_number() OVER (ORDER BY md5(concat_ws(':', '42', vec_id)), vec_id) AS rn FROM re) SELECT vec_id, series, 'real_' || ((rn - 1) // 8) AS part FROM r WHERE rn <= 16 UNION ALL SELECT vec_id, series, series FROM {drawn('sy', 8)}")
+def _(spark, sf):
+    return sampling.glyph_rows(corpus(spark, sf), 8, 42)
+
+
+def relu(spark, sf: str) -> DataFrame:
+    return wide(spark, sf).withColumn("v", F.transform("v", lambda x: F.greatest(x, F.lit(0.0))))
+
+
+@query("empty_cells", f"""WITH {WIDE}, z AS (SELECT vec_id, dim, dim // 8 AS cell, (x <= 0)::INT AS zero FROM c)
+SELECT (SELECT round(avg(e), 6) FROM (SELECT min(zero) AS e FROM z GROUP BY vec_id, cell)) AS empty_share, (SELECT round(avg(p), 6) FROM (SELECT product(rate) AS p FROM (SELECT dim, cell, avg(zero) AS rate FROM z GROUP BY ALL) GROUP BY cell)) AS independent_share""")
+def _(spark, sf):
+    return rounded(structure.empty_cells(relu(spark, sf)), "empty_share", "independent_share")
+
+
+@query("group_correlations")
+def _(spark, sf):
+    zeros = relu(spark, sf).select(F.lit("x").alias("series"), F.transform("v", lambda x: (x == 0).cast("double")).alias("v"))
+    c, _, _ = fidelity.covariances(zeros, 0)["x"]
+    d = np.sqrt(np.diag(c))
+    return rounded(spark.createDataFrame(structure.group_correlations(c / np.outer(d, d)), "pairs string, mean double"), "mean")
+
+
+@query("penalty_scale")
+def _(spark, sf):
+    out = structure.penalty_scale(corpus(spark, sf).select("vec_id", "v", "series"), 64, 4, 10)
+    return rounded(out, "floor_mean", "floor_std", "signal_mean", "signal_std", "ratio")
+
+
 # Preprocessing and generation
 
 
