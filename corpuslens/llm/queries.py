@@ -18,8 +18,11 @@ QUERIES = {
 }
 
 SQL = {
+    "op1_minhash_near_dedup": minhash.SQL,
+    "op2_vector_near_dedup": vectors.SQL,
     "op3_exact_dedup": exact_dedup.SQL,
     "op5_warc": warc.SQL,
+    "op6_substring_dedup": substring.SQL,
     "op8_url_lists": url_lists.SQL,
     "op9_source_mixing": mixing.SQL,
     "op10_line_dedup": lines.SQL,

@@ -140,3 +140,19 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.98) -> DataFrame:
 
 def op2_vector_near_dedup(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(shared.read(spark, sf_dir, "embeddings"))
+
+
+SQL = """
+WITH RECURSIVE sound AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings
+  WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+ways AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM sound a JOIN sound b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+  WHERE list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))) >= 0.98),
+reached(vec_id, other) AS (
+  SELECT vec_id, vec_id FROM embeddings UNION SELECT ways.b, other FROM reached JOIN ways ON ways.a = reached.vec_id),
+counts AS (SELECT a AS vec_id, count(*) AS n FROM ways GROUP BY a)
+SELECT vec_id, coalesce(any_value(n), 0) AS n_links, min(other) AS component_id, vec_id = min(other) AS kept
+FROM reached LEFT JOIN counts USING (vec_id) GROUP BY vec_id
+"""
