@@ -13,19 +13,17 @@ def _key(seed, name: str = "vec_id"):
 
 
 def ranked(df: DataFrame, seed, key: str = "vec_id") -> DataFrame:
-    """df(key) -> key, rn from 1: a permutation. Only ids are sorted, in parallel by ranges, and numbered by their partition's offset."""
-    spark = df.sparkSession
-    ids = df.select(key, _key(seed, key).alias("__h")).repartitionByRange("__h", key).sortWithinPartitions("__h", key)
-    ids = ids.withColumn("__p", F.spark_partition_id())
-    own = Window.partitionBy("__p").orderBy("__h", key)
-    local = ids.withColumn("__i", F.row_number().over(own))
-    counts = sorted((r["__p"], r["n"]) for r in ids.groupBy("__p").agg(F.count(F.lit(1)).alias("n")).collect())  # a row for each partition
+    """df(key) -> key, rn from 1: a permutation by hash. Rows are numbered within the 4096 blocks of hashes that begin alike, and a
+    block's offset is the count of those before it; so no task sorts more than its blocks."""
+    ids = df.select(key, _key(seed, key).alias("__h")).withColumn("__b", F.substring("__h", 1, 3))
+    counts = sorted((r["__b"], r["n"]) for r in ids.groupBy("__b").agg(F.count(F.lit(1)).alias("n")).collect())  # a row for each block
     base, offsets = 0, []
-    for p, n in counts:
-        offsets.append((p, base))
+    for b, n in counts:
+        offsets.append((b, base))
         base += n
-    before = F.broadcast(spark.createDataFrame(offsets or [(0, 0)], "__p int, __base long"))
-    return local.join(before, "__p").select(key, (F.col("__base") + F.col("__i")).cast("long").alias("rn"))
+    before = F.broadcast(df.sparkSession.createDataFrame(offsets, "__b string, __base long"))
+    own = Window.partitionBy("__b").orderBy("__h", key)
+    return ids.withColumn("__i", F.row_number().over(own)).join(before, "__b").select(key, (F.col("__base") + F.col("__i")).cast("long").alias("rn"))
 
 
 def sample(df: DataFrame, rows: int, seed, key: str = "vec_id") -> DataFrame:
