@@ -18,6 +18,8 @@ LENGTHS, BITS, MAX_ROWS = (4, 6, 8), 20, 6000
 LEAST_ROWS, SMOOTH, PENALTY, STEPS, RATE = 8, 1.0, 1e-5, 80, 0.1
 #: Features with weights: those whose ratio is largest against its chance spread. One row in so many sets only the scale and bias of scores.
 KEPT, CALIBRATION = 50_000, 5
+#: Rows whose terms are held at once.
+BLOCK = 250
 ROLL = shared.Rolling(31)
 
 
@@ -67,14 +69,24 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
 
 
 def _weights(rows: list[np.ndarray], scale: np.ndarray, labels: np.ndarray, ratio: np.ndarray) -> np.ndarray:
-    """Logistic regression over presence * log-count ratio. rows: numbers of the chosen features."""
-    number = np.concatenate(rows)
-    row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    value = ratio[number] * scale[row]
+    """Logistic regression over presence * log-count ratio. rows: numbers of the chosen features. Rows are taken in blocks, so that
+    besides the features themselves little memory is held."""
+    blocks = []
+    for k in range(0, len(rows), BLOCK):
+        part = rows[k : k + BLOCK]
+        blocks.append((slice(k, k + len(part)), np.concatenate(part), np.repeat(np.arange(len(part), dtype=np.int32), [len(r) for r in part])))
 
     def gradient(w: np.ndarray) -> np.ndarray:
-        error = _sigmoid(np.bincount(row, value * w[number], len(rows)) + w[-1]) - labels
-        return np.append(np.bincount(number, value * error[row], len(ratio)) / len(rows) + PENALTY * w[:-1], error.mean())
+        out, scaled = np.zeros(len(w)), w[:-1] * ratio
+        for at, number, row in blocks:
+            n = at.stop - at.start
+            error = _sigmoid(np.bincount(row, scaled[number], n) * scale[at] + w[-1]) - labels[at]
+            out[:-1] += np.bincount(number, (error * scale[at])[row], len(ratio))
+            out[-1] += error.sum()
+        out[:-1] *= ratio
+        out /= len(rows)
+        out[:-1] += PENALTY * w[:-1]
+        return out
 
     return _descend(gradient, np.zeros(len(ratio) + 1), STEPS, RATE)[:-1] * ratio
 
@@ -164,10 +176,14 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model
     best = counts.where(F.col("seen") >= LEAST_ROWS).select("feature", ratio.alias("ratio"), (F.abs(ratio) * F.sqrt("seen")).alias("weight")).orderBy(F.desc("weight"), "feature").limit(KEPT).toArrow()
     chosen, ratios = np.asarray(best.column("feature")), np.asarray(best.column("ratio"))
     got = rows.mapInArrow(_picked(chosen), "toxic int, apart boolean, size int, own array<int>").toArrow()
-    own = got.column("own").combine_chunks()
-    flat, at = np.asarray(own.values), np.asarray(own.offsets)
-    parts = [flat[at[i] : at[i + 1]] for i in range(len(own))]
-    return fit(parts, np.asarray(got.column("size")), np.asarray(got.column("toxic")) > 0, np.asarray(got.column("apart")).astype(bool), chosen, ratios)
+    parts = [x.copy() for c in got.column("own").chunks for x in np.split(np.asarray(c.flatten()), np.cumsum(np.diff(np.asarray(c.offsets)))[:-1])[: len(c)]]
+    sizes, toxic, apart = (np.asarray(got.column(c)) for c in ("size", "toxic", "apart"))
+    del got
+    shared.tidy()
+    model = fit(parts, sizes, toxic > 0, apart.astype(bool), chosen, ratios)
+    del parts
+    shared.tidy()
+    return model
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
