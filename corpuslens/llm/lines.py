@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: A chunk ends after a line at which the rolling hash of the last two lines is 0 modulo CHUNK_LINES, so its mean length is that.
 CHUNK_LINES, STEP = 4, 31
+#: Tasks that the uses of one chunk are dealt over.
+PARTS = 16
 LAST = (1 << 63) - 1
 
 
@@ -42,9 +44,11 @@ def _chunks(docs: DataFrame) -> DataFrame:
 def repeated_chunks(docs: DataFrame) -> DataFrame:
     """docs(id, text) -> id, tag, spans: the chunks of a text that occurred before, as (first line, lines), in order."""
     # Rows meet by digest and are counted by their bytes; a group is one row for each task before the shuffle.
-    groups = _chunks(docs).groupBy("digest", "chunk").agg(F.min("id").alias("head"), F.count(F.lit(1)).alias("uses")).where("uses > 1").select("digest", "head")
-    again = _chunks(docs).select("id", "tag", "first", "n", "digest").join(groups, "digest").distinct()
-    own = Window.partitionBy("digest", "id")  # the repeats of a chunk within a document
+    groups = _chunks(docs).groupBy("digest", "chunk").agg(F.min("id").alias("head"), F.count(F.lit(1)).alias("uses")).where("uses > 1")
+    groups = groups.select("digest", "head", F.explode(F.array(*map(F.lit, range(PARTS)))).alias("part"))
+    part = F.pmod(F.xxhash64("id"), F.lit(PARTS)).cast("int").alias("part")
+    again = _chunks(docs).select("id", "tag", "first", "n", "digest", part).join(groups, ["digest", "part"]).distinct()
+    own = Window.partitionBy("digest", "part", "id")  # the repeats of a chunk within a document
     later = again.withColumn("least", F.min(F.struct("tag", "first")).over(own)).where("id <> head or struct(tag, first) <> least")
     return later.groupBy("id", "tag").agg(F.array_sort(F.collect_list(F.struct("first", "n"))).alias("spans"))
 
