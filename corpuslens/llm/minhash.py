@@ -21,6 +21,8 @@ SKETCH = 20
 LANES = SYMBOLS // 4
 #: Parts of the hashes whose shingles are counted, to tell rare from common ones.
 RARITY_BITS = 16
+#: Tasks that a group of copies is dealt over.
+PARTS = 16
 ROLL = shared.Rolling(11)
 LOWER = shared.lower_codes(ROLL.codes)
 _rng = np.random.default_rng(23)
@@ -194,8 +196,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     shared.small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     known = shared.table(docs.mapInArrow(_describe(width), "doc_id long, n_shingles long, digest binary, sign array<long>, keys array<long>, sketch long"), "minhash")
-    first = known.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("class"))
-    classes = shared.table(known.where("digest is not null").select("doc_id", "digest").join(first, "digest").select("doc_id", "class"), "classes")
+    # Only copies need to meet; a large group of them is dealt over PARTS tasks.
+    first = known.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("class"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    first = first.select("digest", "class", F.explode(F.array(*map(F.lit, range(PARTS)))).alias("part"))
+    own = known.where("digest is not null").select("doc_id", "digest", F.pmod(F.xxhash64("doc_id"), F.lit(PARTS)).cast("int").alias("part"))
+    classes = shared.table(own.join(first, ["digest", "part"], "left").select("doc_id", F.coalesce("class", "doc_id").alias("class")), "classes")
     whole = classes.groupBy("doc_id").agg(F.min("class").alias("class"), F.max("class").alias("last"))
     several = classes.join(whole.where("class < last").select("doc_id", F.col("class").alias("a")), "doc_id").select("a", F.col("class").alias("b"))
     heads = classes.where("doc_id = class").select("doc_id").distinct()
