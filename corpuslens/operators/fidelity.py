@@ -181,11 +181,25 @@ def log_ratio_penalty(real: DataFrame, synth: DataFrame) -> DataFrame:
 
 
 def ema(values: DataFrame, decay: float = 0.99) -> DataFrame:
-    """values(key, step, x) -> key, step, ema: the first value, then decay * before + (1 - decay) * x. Steps of a key are folded in order."""
-    own = Window.partitionBy("key").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
-    past = values.withColumn("past", F.collect_list("x").over(own))
-    fold = F.aggregate(F.slice("past", 2, F.greatest(F.size("past") - 1, F.lit(0))), F.col("past")[0], lambda s, x: s * decay + x * (1 - decay))
-    return past.select("key", "step", fold.alias("ema"))
+    """values(key, step, x) -> key, step, ema: the first value, then decay * before + (1 - decay) * x. Steps of a key are folded in order, in one
+    stream whose state is one number. A null x changes nothing; before the first value the average is null."""
+    import pyarrow as pa
+
+    def fold(batches):
+        own, now = object(), None
+        for batch in batches:
+            out = []
+            for key, x in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if key != own:
+                    own, now = key, None
+                if x is not None:
+                    now = x if now is None else now * decay + x * (1 - decay)
+                out.append(now)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.float64())], ["key", "step", "ema"])
+
+    rows = values.select("key", "step", F.col("x").cast("double").alias("x"))
+    kinds = [f"{c} {rows.schema[c].dataType.simpleString()}" for c in ("key", "step")]
+    return rows.repartition("key").sortWithinPartitions("key", "step").mapInArrow(fold, ", ".join([*kinds, "ema double"]))
 
 
 def ema_bias_correction(decay: float, steps: int) -> float:

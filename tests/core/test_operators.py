@@ -212,3 +212,28 @@ def test_w1_orders_shifted_dimensions(spark):
     y = x + [9, 0, 5]
     df = frame(spark, np.concatenate([x, y]), ["real"] * 200 + ["synth"] * 200)
     assert [r.dim for r in fidelity.dimension_divergence(df, 2).orderBy("ord").collect()] == [0, 2]
+
+
+def test_the_average_of_all_events(spark):
+    """ema_target takes every event, and folds a long key in a stream; against a plain loop."""
+    import duckdb
+
+    from corpuslens.plans import registry
+
+    sf = "/root/testdata/sf0.01"
+    rows = duckdb.sql(f"select event_type, value from '{sf}/events.parquet' order by event_id").fetchall()
+    now, n, total, want = {}, {}, {}, {}
+    for key, x in rows:
+        n[key], total[key] = n.get(key, 0) + 1, total.get(key, 0.0) + x
+        mean = total[key] / n[key]
+        now[key] = now[key] * 0.99 + mean * (1 - 0.99) if key in now else mean
+        want[key, n[key]] = now[key]
+    got = {(r.key, r.step): r.ema for r in registry.QUERIES["ema_target"](spark, sf).collect()}
+    assert len(got) == len(rows) and got.keys() == want.keys()
+    assert all(abs(got[k] - want[k]) < 2e-6 for k in want)
+
+
+def test_averages_of_several_keys_and_nulls(spark):
+    x = spark.createDataFrame([("a", 2, 3.0), (None, 1, 5.0), ("a", 1, None), ("a", 3, 5.0), ("b", 1, 7.0), ("a", 4, None)], "key string, step long, x double")
+    got = {(r.key, r.step): r.ema for r in fidelity.ema(x, 0.5).collect()}
+    assert got == {("a", 1): None, ("a", 2): 3.0, ("a", 3): 4.0, ("a", 4): 4.0, ("b", 1): 7.0, (None, 1): 5.0}
