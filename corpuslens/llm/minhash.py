@@ -11,12 +11,12 @@ from corpuslens.llm import graph, shared
 
 #: A signature has SYMBOLS minima of BITS bits each, cut into chunks of CHUNK symbols. Signatures that differ in fewer than
 #: 2 * SYMBOLS / CHUNK symbols agree in some chunk but for at most one symbol (pigeonhole), and every chunk is looked up with each
-#: of its symbols left out. So all pairs within DISTANCE (at most 31) are found; at a Jaccard similarity of just 0.8, 14 pairs in a
-#: million differ in more, and at 0.85 one in a thousand million.
+#: of its symbols left out. So all pairs within DISTANCE are found; at a Jaccard similarity of just 0.8, 8 pairs in a hundred
+#: million differ in more.
 SYMBOLS, BITS, CHUNK = 64, 14, 4
-DISTANCE = 27
-#: The last bits of all symbols are a sketch of 64 bits; at a similarity of 0.8, fewer than one pair in a million differs in more than this.
-SKETCH = 20
+DISTANCE = 2 * SYMBOLS // CHUNK - 1
+#: The last bits of all symbols are a sketch of 64 bits; at a similarity of 0.8, 1.3 pairs in ten thousand million differ in more than this.
+SKETCH = 25
 #: Four symbols go into a long, each with a spare bit above it.
 LANES = SYMBOLS // 4
 #: Parts of the hashes whose shingles are counted, to tell rare from common ones.

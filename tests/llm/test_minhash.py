@@ -83,3 +83,11 @@ def test_differing_symbols_are_counted(spark):
         row[rng.choice(M.SYMBOLS, i % 32, replace=False)] += 1
     df = spark.createDataFrame(list(zip(range(200), M.packed(a).tolist(), M.packed(b).tolist(), strict=True)), "i int, x array<long>, y array<long>")
     assert {(r.i, r.d) for r in df.select("i", M._differing("x", "y").alias("d")).collect()} == {(i, i % 32) for i in range(200)}
+
+
+def test_the_filters_drop_no_more_than_the_index():
+    from math import comb
+
+    tail = lambda p, k: sum(comb(M.SYMBOLS, i) * p**i * (1 - p) ** (M.SYMBOLS - i) for i in range(k + 1, M.SYMBOLS + 1))
+    assert M.DISTANCE == 2 * M.SYMBOLS // M.CHUNK - 1
+    assert tail(0.1, M.SKETCH) < tail(0.2, M.DISTANCE) / 100 < 1e-9
