@@ -450,9 +450,9 @@ def _(spark, sf):
     return panel(panels.histogram(panels.norms(items(spark, sf)), 40))
 
 
-@query("pairwise_hist", f"WITH {SIDES}, {pairs_sql(3000, 're', name='pr')}, {pairs_sql(3000, 'sy', name='ps')}, vals AS (SELECT 'real' AS series, list_distance(va, vb) AS x FROM pr UNION ALL SELECT 'synth', list_distance(va, vb) FROM ps), {hist('vals', 40)}")
+@query("pairwise_hist", f"WITH {SIDES}, {pairs_sql(200_000, 're', name='pr')}, {pairs_sql(200_000, 'sy', name='ps')}, vals AS (SELECT 'real' AS series, list_distance(va, vb) AS x FROM pr UNION ALL SELECT 'synth', list_distance(va, vb) FROM ps), {hist('vals', 40)}")
 def _(spark, sf):
-    return panel(panels.histogram(panels.pairwise(corpus(spark, sf), 3000, 42), 40))
+    return panel(panels.histogram(panels.pairwise(corpus(spark, sf), 200_000, 42), 40))
 
 
 @query("kth_nn_hist", f"WITH {SIDES}, {near(5, 're', 're', 'ka')}, {near(5, 'sy', 'sy', 'kb')}, vals AS (SELECT 'real' AS series, max(d) AS x FROM ka GROUP BY q UNION ALL SELECT 'synth', max(d) FROM kb GROUP BY q), {hist('vals', 40)}")
@@ -475,11 +475,11 @@ def _(spark, sf):
     return panel(panels.histogram(panels.hubness(corpus(spark, sf), 10), 30))
 
 
-@query("distance_cdf", f"""WITH {SIDES}, qs AS {drawn('re', 100)}, ts AS {drawn('re', 200, 43)}, d AS (SELECT q.vec_id AS q, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_distance(q.v, t.v), t.vec_id) AS i, list_distance(q.v, t.v) AS d FROM qs q JOIN ts t ON q.vec_id <> t.vec_id),
+@query("distance_cdf", f"""WITH {SIDES}, qs AS {drawn('re', 200)}, ts AS {drawn('re', 5000, 43)}, d AS (SELECT q.vec_id AS q, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_distance(q.v, t.v), t.vec_id) AS i, list_distance(q.v, t.v) AS d FROM qs q JOIN ts t ON q.vec_id <> t.vec_id),
 n AS (SELECT min(m) AS m FROM (SELECT max(i) AS m FROM d GROUP BY q)) SELECT i, round(i / any_value(m), 6) AS y, round(quantile_cont(d, 0.1), 6) AS q10, round(quantile_cont(d, 0.5), 6) AS q50, round(quantile_cont(d, 0.9), 6) AS q90 FROM d, n WHERE i <= m GROUP BY i""")
 def _(spark, sf):
     r = real(spark, sf)
-    return rounded(panels.distance_cdf(sampling.sample(r, 100, 42), sampling.sample(r, 200, 43)), "y", "q10", "q50", "q90")
+    return rounded(panels.distance_cdf(sampling.sample(r, 200, 42), sampling.sample(r, 5000, 43)), "y", "q10", "q50", "q90")
 
 
 CORR = PAIRED.format(f="corr(a.x, b.x)")
@@ -515,9 +515,9 @@ def _(spark, sf):
     return rounded(structure.anisotropy(corpus(spark, sf)), "mean_norm", "cos_median", "cos_min")
 
 
-@query("pairwise_cosine", f"WITH {E}, {pairs_sql(3000)}, c AS (SELECT list_cosine_similarity(va, vb) AS c FROM pairs) SELECT round(quantile_cont(c, 0.5), 6) + 0.0 AS cos_median, round(quantile_cont(c, 0.99), 6) AS cos_p99 FROM c")
+@query("pairwise_cosine", f"WITH {E}, {pairs_sql(200_000)}, c AS (SELECT list_cosine_similarity(va, vb) AS c FROM pairs) SELECT round(quantile_cont(c, 0.5), 6) + 0.0 AS cos_median, round(quantile_cont(c, 0.99), 6) AS cos_p99 FROM c")
 def _(spark, sf):
-    x = structure.pair_values(corpus(spark, sf), 3000, 42, structure.cosine)
+    x = structure.pair_values(corpus(spark, sf), 200_000, 42, structure.cosine)
     return rounded(x.agg(F.percentile("x", F.lit(0.5)).alias("cos_median"), F.percentile("x", F.lit(0.99)).alias("cos_p99")), "cos_median", "cos_p99")
 
 
@@ -573,15 +573,16 @@ def _(spark, sf):
     return out.select(*[F.round(c, 6 if c == "agreement" else 5).alias(c) for c in out.columns])
 
 
-_draws = {d: summary_sql(f"e{d}", 20, 10, 16, f"d{d}") for d in range(3)}
-_floor = ", ".join(f"e{d} AS (SELECT vec_id, v FROM rk WHERE (rn - 1) // 100 = {d})" for d in _draws) + ", " + ", ".join(c for c, _ in _draws.values())
+_draws = {d: summary_sql(f"e{d}", 100, 10, 256, f"d{d}") for d in range(10)}
+_floor = ", ".join(f"e{d} AS (SELECT vec_id, v FROM rk WHERE (rn - 1) // (SELECT least(20000, count(*) // 10) FROM e) = {d})" for d in _draws) + ", " + ", ".join(c for c, _ in _draws.values())
 _stats = " UNION ALL ".join(f"SELECT {d} AS draw, {r}" for d, (_, r) in _draws.items())
 _raw = _stats.replace("round(quantile_cont(lid, 0.5), 6)", "quantile_cont(lid, 0.5)").replace("round(quantile_cont(contrast, 0.5), 6)", "quantile_cont(contrast, 0.5)").replace(f"round({SKEW}, 6)", SKEW).replace(f"round({GINI}, 6)", GINI)
 
 
 @query("draw_noise_floor", f"WITH {E}, rk AS (SELECT *, row_number() OVER (ORDER BY md5(concat_ws(':', '42', vec_id)), vec_id) AS rn FROM e), {_floor}, st AS ({_raw}), lg AS (UNPIVOT (SELECT lid_median, relative_contrast_median, hubness_skew, ivf_gini FROM st) ON COLUMNS(*) INTO NAME statistic VALUE value) SELECT statistic, round(min(value), 5) + 0.0 AS low, round(quantile_cont(value, 0.5), 5) + 0.0 AS middle, round(max(value), 5) + 0.0 AS high, round(max(value) - min(value), 5) AS spread, round(100 * (max(value) - min(value)) / nullif(abs(quantile_cont(value, 0.5)), 0), 3) AS spread_pct FROM lg GROUP BY statistic")
 def _(spark, sf):
-    out = structure.draw_floor(structure.long_statistics(structure.draw_statistics(corpus(spark, sf), 3, 100, 20, 10, 16), "draw"))
+    e = corpus(spark, sf)
+    out = structure.draw_floor(structure.long_statistics(structure.draw_statistics(e, 10, min(20_000, e.count() // 10), 100, 10, 256), "draw"))
     return out.select("statistic", *[(F.round(c, 3 if c == "spread_pct" else 5) + F.lit(0.0)).alias(c) for c in ("low", "middle", "high", "spread", "spread_pct")])
 
 

@@ -42,3 +42,17 @@ def test_the_sql_gives_the_same(spark, duck, name):
 def test_the_others_give_rows(spark, name):
     assert registry.QUERIES[name](spark, SF).count() > 0
     spark.catalog.clearCache()
+
+
+def test_samples_have_the_reference_sizes(spark, monkeypatch):
+    """Clamped only by the rows there are: 500 vectors make 10 draws of 50."""
+    seen = {}
+    note = lambda name, fn: monkeypatch.setattr(*name, lambda *a, **k: seen.setdefault(name[1], a[1:3]) and fn(*a, **k))
+    for name in ((registry.structure, "draw_statistics"), (registry.structure, "pair_values"), (registry.panels, "pairwise")):
+        note(name, getattr(*name))
+    for q in ("draw_noise_floor", "pairwise_cosine", "pairwise_hist"):
+        registry.QUERIES[q](spark, SF)
+    spark.catalog.clearCache()
+    assert seen == {"draw_statistics": (10, 50), "pair_values": (200_000, 42), "pairwise": (200_000, 42)}
+    # Each query's distances to all real vectors but itself: more than the 200 targets of before.
+    assert registry.QUERIES["distance_cdf"](spark, SF).count() == registry.real(spark, SF).count() - 1 > 200
