@@ -229,18 +229,55 @@ def group_correlations(r: np.ndarray) -> list[tuple[str, float]]:
     return [(name, float(r[mask].mean())) for name, mask in out]
 
 
-def penalty_scale(points: DataFrame, batch: int, trials: int, k: int, seed=42) -> DataFrame:
-    """floor: the mean and deviation of the log-ratio penalty between two batches of one corpus; signal: between a batch of it and one of the other
-    series. The first trials (a quarter, 20 at most) are left out."""
-    real, synth = (points.where(F.col("series") == s).drop("series") for s in ("real", "synth"))
-    rows = []
-    for t in range(trials):
-        draws = sampling.disjoint_draws(real, 2, batch, f"{seed}:{t}").persist()
-        a, b = (fidelity.log_ratio_profile(K.knn(draws.where(F.col("draw") == d), k)) for d in (0, 1))
-        c = fidelity.log_ratio_profile(K.knn(sampling.sample(synth, batch, f"{seed}:{t}"), k))
-        rows.append((t, fidelity.log_ratio_penalty(a, b).first().penalty, fidelity.log_ratio_penalty(a, c).first().penalty))
-        draws.unpersist()
-    kept = rows[min(20, trials // 4) :]
-    floor_, signal = np.array([x[1] for x in kept]), np.array([x[2] for x in kept])
-    out = (len(kept), float(floor_.mean()), float(floor_.std()), float(signal.mean()), float(signal.std()), float(signal.mean() / floor_.mean()) if floor_.mean() else None)
-    return points.sparkSession.createDataFrame([out], "trials int, floor_mean double, floor_std double, signal_mean double, signal_std double, ratio double")
+def _batch_profile(x: np.ndarray, k: int) -> np.ndarray | None:
+    """The mean logarithm of each neighbour's distance over the last, within one batch; None where it can't be measured."""
+    k = min(k, len(x) - 1)
+    if k < 2:
+        return None
+    d = fidelity._direct(x, x)
+    np.fill_diagonal(d, np.inf)
+    r = np.sort(d, 1)[:, :k]
+    r = r[(r[:, 0] > 0) & (r[:, 0] < r[:, -1])]
+    return np.log(np.clip(r[:, :-1] / r[:, -1:], 1e-12, 1.0)).mean(0) if len(r) else None
+
+
+def _penalties(trials, decay: float) -> np.ndarray:
+    """trials of (real, other) profiles -> the penalty of each against the moving average of the real ones so far. One that can't be measured is 0 and leaves the average alone."""
+    now, out = None, []
+    for real, other in trials:
+        if real is None or other is None or len(real) != len(other):
+            out.append(0.0)
+            continue
+        real, other = np.asarray(real), np.asarray(other)
+        now = real if now is None or len(now) != len(real) else now * decay + real * (1 - decay)
+        out.append(float(np.abs(other - now).sum()))
+    return np.array(out)
+
+
+def penalty_scale(points: DataFrame, batch: int = 512, trials: int = 80, k: int = 20, max_points: int = 256, seed=42, decay: float = 0.99, adv_loss: float | None = None, fraction: float = 0.05) -> DataFrame:
+    """floor: the mean and deviation of the log-ratio penalty of batches of the real series against the moving average of other real batches'
+    profiles; signal: of batches of the other series. The first trials (a quarter, 20 at most) are left out, as the average still settles.
+    suggested_alpha is the weight at which the signal is `fraction` of adv_loss; null without one. Batches are clamped to the rows there are,
+    and max_points rows of a batch are measured (0: all)."""
+    import pandas as pd
+
+    n = {r.series: r["count"] for r in points.groupBy("series").count().collect()}
+    rows = min(batch, n.get("real", 0) // 2, n.get("synth", 0))
+    # Enough rows by far, so that a trial's first ones by hash are among them.
+    share = F.when(F.col("series") == "real", (8 * rows + 200) / max(1, n.get("real", 0))).otherwise((4 * rows + 200) / max(1, n.get("synth", 0)))
+    own = points.select("vec_id", "v", "series", F.explode(F.sequence(F.lit(0), F.lit(trials - 1))).alias("trial"))
+    own = own.withColumn("h", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("trial").cast("string"), F.col("vec_id").cast("string"))))
+    own = own.where(F.conv(F.substring("h", 1, 12), 16, 10).cast("double") < share * float(16**12))
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(["h", "vec_id"])
+        real, synth = (np.array(part.loc[part["series"] == s, "v"].tolist(), float) for s in ("real", "synth"))
+        held = [x[: max_points or None] for x in (real[:rows], real[rows : 2 * rows], synth[:rows])]
+        return pd.DataFrame([(part["trial"].iloc[0], *(_batch_profile(x, k) for x in held))], columns=["trial", "a", "b", "c"])
+
+    got = sorted(own.groupBy("trial").applyInPandas(run, "trial int, a array<double>, b array<double>, c array<double>").collect(), key=lambda r: r.trial)  # a few numbers a trial
+    warm = min(20, trials // 4)
+    floor_, signal = (_penalties(((r.a, r[c]) for r in got), decay)[warm:] for c in "bc")
+    alpha = None if adv_loss is None else fraction * abs(adv_loss) / max(float(signal.mean()), 1e-9)
+    out = (len(floor_), float(floor_.mean()), float(floor_.std()), float(signal.mean()), float(signal.std()), float(signal.mean() / floor_.mean()) if floor_.mean() else None, alpha)
+    return points.sparkSession.createDataFrame([out], "trials int, floor_mean double, floor_std double, signal_mean double, signal_std double, ratio double, suggested_alpha double")

@@ -760,8 +760,8 @@ def _(spark, sf):
 
 @query("penalty_scale")
 def _(spark, sf):
-    out = structure.penalty_scale(corpus(spark, sf).select("vec_id", "v", "series"), 64, 4, 10)
-    return rounded(out, "floor_mean", "floor_std", "signal_mean", "signal_std", "ratio")
+    out = structure.penalty_scale(corpus(spark, sf).select("vec_id", "v", "series"))
+    return rounded(out, "floor_mean", "floor_std", "signal_mean", "signal_std", "ratio", "suggested_alpha")
 
 
 # Preprocessing and generation

@@ -237,3 +237,29 @@ def test_averages_of_several_keys_and_nulls(spark):
     x = spark.createDataFrame([("a", 2, 3.0), (None, 1, 5.0), ("a", 1, None), ("a", 3, 5.0), ("b", 1, 7.0), ("a", 4, None)], "key string, step long, x double")
     got = {(r.key, r.step): r.ema for r in fidelity.ema(x, 0.5).collect()}
     assert got == {("a", 1): None, ("a", 2): 3.0, ("a", 3): 4.0, ("a", 4): 4.0, ("b", 1): 7.0, (None, 1): 5.0}
+
+
+def test_penalty_scale_against_numpy(spark):
+    from hashlib import md5
+
+    x = np.random.default_rng(3).standard_normal((90, 4))
+    series = ["real"] * 60 + ["synth"] * 30
+
+    def profile(rows):
+        logs = []
+        for i in rows:
+            d = sorted(math.dist(x[i], x[j]) for j in rows if j != i)[:5]
+            logs.append([math.log(y / d[-1]) for y in d[:-1]])
+        return np.mean(logs, 0)
+
+    average, floors, signals = None, [], []
+    for t in range(8):
+        order = sorted(range(90), key=lambda i: md5(f"42:{t}:{i}".encode()).hexdigest())
+        real, synth = ([i for i in order if series[i] == s] for s in ("real", "synth"))
+        a = profile(real[:20][:15])
+        average = a if average is None else 0.99 * average + 0.01 * a
+        floors.append(abs(profile(real[20:40][:15]) - average).sum())
+        signals.append(abs(profile(synth[:20][:15]) - average).sum())
+    got = structure.penalty_scale(frame(spark, x, series), 20, 8, 5, 15, adv_loss=-2.0).first()
+    f, s = np.array(floors[2:]), np.array(signals[2:])
+    assert list(got) == pytest.approx([6, f.mean(), f.std(), s.mean(), s.std(), s.mean() / f.mean(), 0.05 * 2 / s.mean()])
