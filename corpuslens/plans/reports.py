@@ -22,6 +22,19 @@ def put(path: str, text: str) -> None:
     os.replace(f"{path}.part", path)
 
 
+def put_rows(path: str, rows: DataFrame, shown: int) -> list[list]:
+    """Writes all rows as JSON lines, a partition at a time; returns the first `shown`."""
+    os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
+    head = []
+    with open(f"{path}.part", "w") as f:
+        for r in rows.toLocalIterator():
+            f.write(json.dumps(r.asDict(True), default=str) + "\n")
+            if len(head) < shown:
+                head.append(list(r))
+    os.replace(f"{path}.part", path)
+    return head
+
+
 def parse_spec(spec: str) -> tuple[str, str]:
     """[LABEL=]PATH."""
     label, sep, path = spec.partition("=")
@@ -85,7 +98,7 @@ def series_stats(df: DataFrame, config: panels.Config) -> dict:
 
 
 def eda_report(spark: SparkSession, real_path: str, output_dir: str, synthetic: list[str] = (), config: panels.Config | None = None, max_vectors: int = 50_000, metric: str = "l2") -> dict:
-    """summary.json and report.html of a corpus and its stand-ins; returns the summary."""
+    """summary.json and report.html of a corpus and any number of stand-ins, and every panel whole in a file of JSON lines; returns the summary."""
     config = config or panels.Config()
     df = load_series(spark, real_path, synthetic, max_vectors, config.preprocess, config.seed).persist()
     if metric == "angular":
@@ -93,15 +106,20 @@ def eda_report(spark: SparkSession, real_path: str, output_dir: str, synthetic:
     names = ["real", *(parse_spec(s)[0] for s in synthetic)]
     stats = [{"name": s, **series_stats(df.where(F.col("series") == s), config)} for s in names]
     worst = {s: [r.dim for r in fidelity.dimension_divergence(df.where(F.col("series").isin("real", s)).withColumn("series", F.when(F.col("series") == "real", "real").otherwise("synth")), config.top).orderBy("ord").collect()] for s in names[1:]}
-    built = panels.report(panels.Context(df.withColumn("series", F.when(F.col("series") == "real", "real").otherwise("synth")) if len(names) == 2 else df, config)) if len(names) <= 2 else {}
-    body = [stats_table(stats)]
-    for name, rows in built.items():
-        body.append(f"<h2>{html.escape(name)}</h2>" + table_html(rows.columns, [list(r) for r in rows.orderBy(*rows.columns[:3]).limit(200).collect()]))
+    built = {}
+    for s in names[1:] or ["synth"]:  # each stand-in beside the real series
+        pair = df.where(F.col("series").isin("real", s)).withColumn("series", F.when(F.col("series") == "real", "real").otherwise("synth"))
+        built |= {f"{s}: {name}" if len(names) > 2 else name: rows for name, rows in panels.report(panels.Context(pair, config)).items()}
+    body, files = [stats_table(stats)], {}
+    for i, (name, rows) in enumerate(built.items()):
+        files[name] = f"{output_dir}/panel_{i}.jsonl"
+        head = put_rows(files[name], rows.orderBy(*rows.columns[:3]), 200)
+        body.append(f"<h2>{html.escape(name)}</h2><p><a href='panel_{i}.jsonl'>all rows</a></p>" + table_html(rows.columns, head))
     put(f"{output_dir}/report.html", "<!doctype html><meta charset=utf-8><title>Report</title>" + "".join(body))
     summary = {
         "real_path": real_path, "synthetic_paths": list(synthetic), "preprocess": config.preprocess, "seed": config.seed,
         "ann_settings": {"k": config.k, "k_hub": config.k_hub, "max_rows": config.rows, "nlist": config.nlist, "metric": metric},
-        "knn_settings": {"k": config.knn, "max_rows": config.rows}, "stats": stats, "worst_dimensions": worst, "report_html": f"{output_dir}/report.html",
+        "knn_settings": {"k": config.knn, "max_rows": config.rows}, "stats": stats, "worst_dimensions": worst, "panels": files, "report_html": f"{output_dir}/report.html",
     }
     put(f"{output_dir}/summary.json", json.dumps(summary, indent=2))
     return summary

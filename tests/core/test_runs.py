@@ -61,3 +61,23 @@ def test_streamed_average(spark, tmp_path):
     q.stop()
     got = {(r.key, r.step): r.ema for r in spark.sql("select * from averages").collect()}
     assert set(got) == {("k", 1), ("j", 1), ("k", 2), ("k", 3)} and got["j", 1] == 4
+
+
+def test_report_has_every_series_and_whole_panels(spark, tmp_path, monkeypatch):
+    from corpuslens.plans import reports
+
+    rng = np.random.default_rng(5)
+    for name in ("real", "a", "b"):
+        np.save(tmp_path / f"{name}.npy", rng.standard_normal((30, 4)).astype(np.float32))
+    monkeypatch.setattr(reports, "series_stats", lambda df, config: {})
+    seen = []
+
+    def panel(context):
+        df = context.df
+        seen.append(sorted(r.series for r in df.select("series").distinct().collect()))
+        return {"long": spark.range(350).withColumnRenamed("id", "dim")}
+
+    monkeypatch.setattr(reports.panels, "report", panel)
+    out = reports.eda_report(spark, str(tmp_path / "real.npy"), str(tmp_path / "out"), [f"a={tmp_path}/a.npy", f"b={tmp_path}/b.npy"])
+    assert seen == [["real", "synth"]] * 2 and list(out["panels"]) == ["a: long", "b: long"]
+    assert all(len(open(p).readlines()) == 350 for p in out["panels"].values())
