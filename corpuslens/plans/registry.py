@@ -625,8 +625,10 @@ def _(spark, sf):
 @query("separability_auc")
 def _(spark, sf):
     e = corpus(spark, sf).withColumn("label", (F.col("series") == "real").cast("int"))
-    pool = e.where("vec_id % 3 = 0 and series = 'real'")
-    return rounded(one(spark, auc=structure.separability(e.where("vec_id % 3 <> 0"), pool, 10)), "auc")
+    r = e.where("series = 'real'")
+    pool = sampling.sample(r, r.count() // 3, 42)
+    points = e.join(pool.select("vec_id"), "vec_id", "left_anti")  # the real rows of the pool only
+    return rounded(one(spark, auc=structure.separability(points, pool, 10)), "auc")
 
 
 SUMMARY = f"""SELECT series, count(*) AS rows, round(avg(mean), 6) + 0.0 AS mean, round(max(high), 6) AS high, round(min(low), 6) AS low, round(avg(neg), 6) AS negative_fraction, round(avg(zero), 6) AS zero_fraction, round(avg(norm), 6) AS norm_mean, round(stddev_pop(norm), 6) + 0.0 AS norm_std, round(1 - count(DISTINCT v) / count(*), 6) AS duplicate_fraction

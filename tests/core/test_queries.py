@@ -56,3 +56,17 @@ def test_samples_have_the_reference_sizes(spark, monkeypatch):
     assert seen == {"draw_statistics": (10, 50), "pair_values": (200_000, 42), "pairwise": (200_000, 42)}
     # Each query's distances to all real vectors but itself: more than the 200 targets of before.
     assert registry.QUERIES["distance_cdf"](spark, SF).count() == registry.real(spark, SF).count() - 1 > 200
+
+
+def test_separability_uses_every_row(spark, monkeypatch):
+    seen = {}
+
+    def note(points, pool, k):
+        seen.update(points={(r.vec_id, r.series) for r in points.collect()}, pool={(r.vec_id, r.series) for r in pool.collect()})
+        return 0.5
+
+    monkeypatch.setattr(registry.structure, "separability", note)
+    registry.QUERIES["separability_auc"](spark, SF)
+    every = {(r.vec_id, r.series) for r in registry.corpus(spark, SF).collect()}
+    assert seen["points"] | seen["pool"] == every and not seen["points"] & seen["pool"]
+    assert {s for _, s in seen["pool"]} == {"real"}
