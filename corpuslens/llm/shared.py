@@ -12,6 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,15 +21,21 @@ BATCH_ROWS, CHUNK_BYTES = 1000, 1 << 20
 WHITE = np.zeros(256, bool)
 WHITE[[32, *range(9, 14)]] = True
 
+#: Keys whose groups are taken out of a shuffle, and the least rows of such a group. As many rows at most are broadcast.
+HOT_KEYS, HOT_ROWS = 4096, 64
+
 _tables: list[tuple[SparkSession, str]] = []
 _local: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and the executors share. Only where the cluster names none (tests), a local one."""
+    """The folder that the driver and the executors share. Where none is named, a local one if all run on one machine, else an error."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
-        at = _local.setdefault("folder", "") or f"file://{tempfile.mkdtemp(prefix='corpuslens-')}"
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        at = _local.get("folder") or f"file://{tempfile.mkdtemp(prefix='corpuslens-')}"
         _local["folder"] = at
     return at.rstrip("/")
 
@@ -40,11 +47,14 @@ def drop_table(spark: SparkSession, path: str) -> None:
 
 
 def _drop_all() -> None:
+    """At the end of the process, when the session may have been stopped already."""
     for spark, path in _tables:
         try:
             drop_table(spark, path)
-        except Exception:  # the session has ended; the cluster's own clean-up takes the folder
-            pass
+        except Exception:  # without a JVM, by pyarrow's file systems; if it doesn't open the folder, the cluster's own clean-up takes it
+            with contextlib.suppress(Exception):
+                fs, at = pafs.FileSystem.from_uri(path)
+                fs.delete_dir(at)
 
 
 atexit.register(_drop_all)
@@ -60,7 +70,39 @@ def table(df: DataFrame, name: str) -> DataFrame:
     """df, written to the shared folder and read again: its lineage is cut and its files outlive executors."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Deletes tables that table() wrote, once nothing reads them any more."""
+    for df in tables:
+        drop_table(df.sparkSession, df._written)
+        _tables[:] = [x for x in _tables if x[1] != df._written]
+
+
+def written() -> int:
+    """How many tables there are now, for drop_since()."""
+    return len(_tables)
+
+
+def drop_since(mark: int, keep: DataFrame | None = None) -> None:
+    """Deletes what was written since written() gave the mark, but for keep."""
+    kept = keep._written if keep is not None else None
+    for spark, path in _tables[mark:]:
+        if path != kept:
+            drop_table(spark, path)
+    _tables[mark:] = [x for x in _tables[mark:] if x[1] == kept]
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """rows joined with groups(key, n, ...), which has a row for each key with n rows; n isn't returned. The largest groups, HOT_KEYS at
+    most, are broadcast to their rows, so no task gets such a group whole; the others meet by a shuffle. Both should be written tables."""
+    hot = groups.where(F.col("n") >= HOT_ROWS).orderBy(F.desc("n"), key).limit(HOT_KEYS)
+    few = F.broadcast(hot.select(key))
+    rest = rows.join(few, key, "left_anti").join(groups.join(few, key, "left_anti").drop("n"), key, how)
+    return rows.join(F.broadcast(hot.drop("n")), key).select(*rest.columns).unionByName(rest)
 
 
 def small_batches(spark: SparkSession) -> None:
