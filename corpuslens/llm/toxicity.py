@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from corpuslens.llm import shared
 
-#: Lengths of n-grams, bits of a feature's number, and the most labelled rows that a model is fitted on (those with the least hash of doc_id).
+#: Lengths of n-grams, bits of a feature's number, and the most labelled documents that a model is fitted on (of those there are, and half of
+#: them of either label if there are so many; those with the least hash of doc_id).
 LENGTHS, BITS, MAX_ROWS = (4, 6, 8), 20, 6000
 #: Rows in which a feature must occur, smoothing of counts, weight of the L2 penalty, steps and rate of the descent.
 LEAST_ROWS, SMOOTH, PENALTY, STEPS, RATE = 8, 1.0, 1e-5, 80, 0.1
@@ -91,12 +92,12 @@ def _weights(rows: list[np.ndarray], scale: np.ndarray, labels: np.ndarray, rati
     return _descend(gradient, np.zeros(len(ratio) + 1), STEPS, RATE)[:-1] * ratio
 
 
-def fit(rows: list[np.ndarray], sizes: np.ndarray, labels: np.ndarray, apart: np.ndarray, chosen: np.ndarray, ratio: np.ndarray) -> Model:
-    """Weights from the rows that aren't apart, scale and bias from those that are, which the weights haven't seen. Where either
-    part has rows of one label only, or none: no weights, and a bias that tells the label's share. sizes: features of each row,
-    not only chosen ones."""
+def fit(rows: list[np.ndarray], sizes: np.ndarray, labels: np.ndarray, apart: np.ndarray, chosen: np.ndarray, ratio: np.ndarray, counts: tuple[float, float]) -> Model:
+    """Weights from the rows that aren't apart, scale and bias from those that are, which the weights haven't seen; there a row counts as
+    many times as its label has documents for each that was taken. Where either part has rows of one label only, or none: no weights,
+    and a bias that tells the label's share. sizes: features of each row, not only chosen ones. counts: clean and toxic documents there are."""
     labels = np.asarray(labels, np.float64)
-    share = (labels.sum() + 0.5) / (len(labels) + 1)
+    share = (counts[1] + 0.5) / (sum(counts) + 1)
     prior = Model(np.zeros(1 << BITS, np.float32), float(np.log(share / (1 - share))))
     if any(len(set(part.tolist())) < 2 for part in (labels[apart], labels[~apart])):
         return prior
@@ -105,9 +106,11 @@ def fit(rows: list[np.ndarray], sizes: np.ndarray, labels: np.ndarray, apart: np
     z = np.array([own[r].sum() for r, a in zip(rows, apart, strict=True) if a]) * scale[apart]
     y, centre, unit = labels[apart], z.mean(), z.std() or 1.0
     z = (z - centre) / unit
+    stands_for = np.where(y > 0, counts[1] / max(1.0, labels.sum()), counts[0] / max(1.0, (1 - labels).sum()))
+    stands_for /= stands_for.mean()
 
     def gradient(x: np.ndarray) -> np.ndarray:
-        error = _sigmoid(x[0] * z + x[1]) - y
+        error = (_sigmoid(x[0] * z + x[1]) - y) * stands_for
         return np.array([(error * z).mean(), error.mean()]) + np.array([1e-3 * x[0], 0])
 
     slope, bias = _descend(gradient, np.array([1.0, prior.bias]), 600, 0.1)
@@ -158,15 +161,27 @@ def _picked(chosen: np.ndarray):
     return run
 
 
+def bounded(n: tuple[int, int], limit: int) -> tuple[int, int]:
+    """How many clean and toxic documents are taken of those there are: half of the limit each, and what one lacks from the other."""
+    toxic = min(n[1], max(limit // 2, limit - n[0]))
+    return min(n[0], limit - toxic), toxic
+
+
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model:
-    """Fits on labels(doc_id, toxic) outside fold 0: at most max_rows of them, by the least hash of doc_id. Null labels and
-    labels without a document are left out; of several labels of a document, the largest counts. What comes to the driver is
-    bounded by max_rows and KEPT, whatever the input's size."""
+    """Fits on labels(doc_id, toxic) outside fold 0 of documents that docs(doc_id, text) holds: at most max_rows of them, by the
+    least hash of doc_id. Null doc_ids and labels are left out; of several labels of a document, the largest counts; of several
+    texts of a doc_id, the one of the least hash. A null text has the features of an empty one, and a long one all of its own.
+    Without usable labels, as with an empty table, the model has no weights and tells the same score of all. Other columns are
+    ignored. What comes to the driver is bounded by max_rows and KEPT, whatever the input's size."""
     spark = docs.sparkSession
     shared.small_batches(spark)
     told = labels.where("doc_id is not null and toxic is not null").where(fold(F.col("doc_id")) != 0).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    told = told.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows).withColumn("apart", F.pmod(F.xxhash64(F.lit("apart"), "doc_id"), F.lit(CALIBRATION)) == 0)
-    rows = docs.select("doc_id", "text").join(F.broadcast(told), "doc_id").select("text", "toxic", "apart")  # at most max_rows rows of three numbers
+    told = shared.table(told.join(docs.select("doc_id").distinct(), "doc_id", "left_semi"), "told")
+    n = told.agg(F.count_if(F.col("toxic") <= 0).alias("clean"), F.count_if(F.col("toxic") > 0).alias("toxic")).first()
+    taken = [told.where(side).orderBy(F.xxhash64("doc_id"), "doc_id").limit(k) for side, k in zip(("toxic <= 0", "toxic > 0"), bounded(tuple(n), max_rows), strict=True)]
+    taken = taken[0].unionByName(taken[1]).withColumn("apart", F.pmod(F.xxhash64(F.lit("apart"), "doc_id"), F.lit(CALIBRATION)) == 0)
+    rows = docs.select("doc_id", "text").join(F.broadcast(taken), "doc_id")  # at most max_rows rows of three numbers
+    rows = rows.groupBy("doc_id", "toxic", "apart").agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("least")).select("least.text", "toxic", "apart")
     rows = shared.table(rows, "labelled")
     counts = rows.where("not apart").select("text", "toxic").mapInArrow(_counted, "feature int, seen long, ones long").groupBy("feature").agg(F.sum("seen").alias("seen"), F.sum("ones").alias("ones"))
     counts = shared.table(counts, "counts")
@@ -180,7 +195,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model
     sizes, toxic, apart = (np.asarray(got.column(c)) for c in ("size", "toxic", "apart"))
     del got
     shared.tidy()
-    model = fit(parts, sizes, toxic > 0, apart.astype(bool), chosen, ratios)
+    model = fit(parts, sizes, toxic > 0, apart.astype(bool), chosen, ratios, tuple(n))
     del parts
     shared.tidy()
     return model
@@ -205,7 +220,9 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def clean(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
-    """The rows of docs(text, ...) that score below the threshold, with all their columns."""
+    """The rows of docs(text, ...) that score below the threshold, with all their columns. Each row is judged by its own whole text,
+    also where rows repeat or share a doc_id; null and empty texts have the score of a text without features. An empty table gives
+    no rows."""
     shared.small_batches(docs.sparkSession)
     sent, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
 

@@ -1,3 +1,4 @@
+import math
 import random
 import zlib
 
@@ -63,3 +64,100 @@ def test_features_do_not_depend_on_neighbours():
     texts = ["abcdefgh ijkl", "x", "", "é東🙂 q" * 50]
     for t, own in zip(texts, X.features(texts), strict=True):
         assert own.tolist() == X.features([t])[0].tolist()
+
+
+def number(gram):
+    """A feature's number, by whole numbers without wrapping arrays."""
+    whole = 1 << 64
+
+    def mix(h):
+        for _ in range(2):
+            h = (h ^ h >> 32) * 0xD6E8FEB86659FD93 % whole
+        return h ^ h >> 32
+
+    h = sum(mix(ord(c) + 1) * pow(X.ROLL.base, i, whole) for i, c in enumerate(gram)) % whole
+    return mix((h + len(gram)) % whole) >> 64 - X.BITS
+
+
+def grams(text):
+    whole = f" {(text or '').lower()} "
+    return {number(whole[i : i + n]) for n in X.LENGTHS for i in range(len(whole) - n + 1)}
+
+
+def plain_fit(rows):
+    """rows: (text, toxic, apart), all that is told. -> the score of a text, by counts, log-count ratios and a plain descent."""
+    own = [(grams(t), float(y), a) for t, y, a in rows]
+    part = [(g, y) for g, y, a in own if not a]
+    seen = {f for g, _ in part for f in g}
+    ones = {f: sum(f in g for g, y in part if y) for f in seen}
+    rest = {f: sum(f in g for g, y in part if not y) for f in seen}
+    p, q = (sum(n.values()) + X.SMOOTH * 2**X.BITS for n in (ones, rest))
+    ratio = {f: math.log((ones[f] + X.SMOOTH) / p) - math.log((rest[f] + X.SMOOTH) / q) for f in seen if ones[f] + rest[f] >= X.LEAST_ROWS}
+    chosen = sorted(ratio, key=lambda f: (-abs(ratio[f]) * math.sqrt(ones[f] + rest[f]), f))[: X.KEPT]
+    r = np.array([ratio[f] for f in chosen])
+
+    def matrix(sets):
+        return np.array([[(f in g) / math.sqrt(max(1, len(g))) for f in chosen] for g in sets])
+
+    def descend(gradient, x, steps, rate):
+        m, v = np.zeros(len(x)), np.zeros(len(x))
+        for t in range(1, steps + 1):
+            g = gradient(x)
+            m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
+            x = x - rate * m / (1 - 0.9**t) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
+        return x
+
+    sigmoid = lambda z: 1 / (1 + np.exp(-z))
+    a, y = matrix([g for g, _ in part]) * r, np.array([y for _, y in part])
+    step = lambda w: np.append(a.T @ (sigmoid(a @ w[:-1] + w[-1]) - y) / len(y) + X.PENALTY * w[:-1], (sigmoid(a @ w[:-1] + w[-1]) - y).mean())
+    w = descend(step, np.zeros(len(r) + 1), X.STEPS, X.RATE)[:-1] * r
+    z, t = matrix([g for g, _, b in own if b]) @ w, np.array([y for _, y, b in own if b])
+    centre, unit = z.mean(), z.std()
+    z = (z - centre) / unit
+    share = (sum(y for _, y, _ in own) + 0.5) / (len(own) + 1)
+    error = lambda x: sigmoid(x[0] * z + x[1]) - t
+    slope, bias = descend(lambda x: np.array([(error(x) * z).mean() + 1e-3 * x[0], error(x).mean()]), np.array([1.0, math.log(share / (1 - share))]), 600, 0.1)
+    return lambda text: float(sigmoid(slope * ((matrix([grams(text)])[0] @ w - centre) / unit) + bias))
+
+
+def test_against_plain_counts_ratios_and_descent(spark):
+    rows = made(220, 6)
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(500, "blockhead word1"), (501, None)], "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    got = {r.doc_id: r.score for r in X.score(docs, X.train(docs, labels)).collect()}
+    told = [(i, t, y) for i, t, y in rows if zlib.crc32(str(i).encode()) % 5]
+    apart = {r.id: r.a for r in spark.createDataFrame([(i,) for i, _, _ in told], "id long").selectExpr("id", f"pmod(xxhash64('apart', id), {X.CALIBRATION}) = 0 as a").collect()}
+    score = plain_fit([(t, y, apart[i]) for i, t, y in told])
+    for i, t in [*[(i, t) for i, t, _ in rows[:60]], (500, "blockhead word1"), (501, None)]:
+        assert got[i] == pytest.approx(score(t), abs=2e-4)
+
+
+def test_foreign_labels_take_no_places(spark):
+    """Labels of documents that aren't there change no score, however many there are."""
+    rows = made(300, 7)
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    own = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    foreign = spark.range(1000, 50_000).selectExpr("id as doc_id", "cast(id % 2 as int) as toxic")
+    want = {r.doc_id: r.score for r in X.score(docs, X.train(docs, own)).collect()}
+    got = {r.doc_id: r.score for r in X.score(docs, X.train(docs, own.unionByName(foreign))).collect()}
+    assert got == want and len(set(got.values())) > 1
+
+
+def test_the_bound_holds_for_documents_and_either_label(spark):
+    assert X.bounded((10, 5), 100) == (10, 5)
+    assert X.bounded((1000, 5), 100) == (95, 5)
+    assert X.bounded((5, 1000), 100) == (5, 95)
+    assert X.bounded((1000, 1000), 100) == (50, 50)
+    rows = made(400, 8)
+    # Each text is there four times, and some ids with other texts too: still one row for each document.
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows] * 4 + [(i, "other " + t) for i, t, _ in rows[:50]], "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows] * 2, "doc_id long, toxic int")
+    held = []
+    fit = X.fit
+    try:
+        X.fit = lambda *a: held.append(a) or fit(*a)
+        X.train(docs, labels, 100)
+    finally:
+        X.fit = fit
+    told = [y for i, _, y in rows if zlib.crc32(str(i).encode()) % 5]
+    assert len(held[0][0]) == 100 and held[0][2].sum() == 50 and held[0][6] == (len(told) - sum(told), sum(told))
