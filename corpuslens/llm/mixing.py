@@ -14,6 +14,7 @@ from corpuslens.llm import shared
 SECTIONS, PASSES = 64, 7
 #: Hex digits of a document's hash that name its block.
 BLOCK_DIGITS = 3
+ADDED = ("mix_tokens", "mix_weight", "mix_block", "mix_copies")
 
 
 @dataclass
@@ -69,49 +70,76 @@ def solve(sources: DataFrame, entropy: float, repetition: float, budget: float |
     return Mixture(exponent, norm, seen.t * norm * most ** (1 - exponent) if budget is None else budget, seen.t, sources)
 
 
+def _mixed(docs: DataFrame, entropy: float, repetition: float, budget: float | None, seed: int) -> DataFrame:
+    """row (all columns of docs), and the columns of ADDED."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    own = docs.select(row.alias("row"), word_count(F.col("text")).alias("tokens"), F.coalesce("source", F.lit("")).alias("source"), digest.alias("hash"), F.xxhash64("text").alias("tag"))
+    own = own.withColumn("mix_block", F.substring("hash", 1, BLOCK_DIGITS))
+    lean = shared.table(own.drop("row"), "lean")
+    blocks = shared.table(lean.groupBy("source", "mix_block").agg(F.sum("tokens").alias("tokens")), "blocks")
+    sources = shared.table(blocks.groupBy("source").agg(F.sum("tokens").alias("tokens")).where("tokens > 0"), "sources")
+    found = solve(sources, entropy, repetition, budget)
+    weight = F.pow(F.col("tokens") / F.lit(float(found.total or 1)), F.lit(found.exponent)) / F.lit(found.norm)
+    plan = sources.select("source", F.col("tokens").alias("whole_tokens"), weight.alias("mix_weight"), F.round(weight * F.lit(found.budget)).cast("long").alias("share"))
+    plan = plan.withColumn("whole", F.expr("share div whole_tokens")).withColumn("rest", F.expr("share % whole_tokens"))
+    before = F.coalesce(F.sum("tokens").over(Window.partitionBy("source").orderBy("mix_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    cut = blocks.withColumn("before", before).join(plan, "source")  # a source has 4096 blocks at most
+    cut = cut.withColumn("state", F.when(F.col("before") >= F.col("rest"), 0).when(F.col("before") + F.col("tokens") < F.col("rest"), 1).otherwise(2))
+    # Where the budget ends within a block: the last place whose rows begin before its end, and how many of its equal rows do.
+    edge = lean.join(cut.where("state = 2").select("source", "mix_block", "before", "rest"), ["source", "mix_block"])
+    edge = edge.groupBy("source", "hash", "tag", "tokens", "before", "rest").agg(F.count(F.lit(1)).alias("n"))
+    order = Window.partitionBy("source").orderBy("hash", "tag", "tokens").rowsBetween(Window.unboundedPreceding, -1)
+    left = F.col("rest") - F.col("before") - F.coalesce(F.sum(F.col("tokens") * F.col("n")).over(order), F.lit(0))
+    fit = F.when(F.col("tokens") == 0, F.col("n")).otherwise(F.least("n", F.ceil(F.col("left") / F.nullif("tokens", F.lit(0)))))
+    ends = edge.withColumn("left", left).where("left > 0").groupBy("source").agg(F.max(F.struct("hash", "tag", "tokens", fit.alias("fit"), "n")).alias("end"))
+    ends = shared.table(ends, "ends")
+    verdict = cut.join(ends, "source", "left").select("source", "mix_block", "mix_weight", "whole", "state", "end")
+    out = own.join(verdict, ["source", "mix_block"], "left")
+    place, end = F.struct("hash", "tag", "tokens"), F.struct("end.hash", "end.tag", "end.tokens")
+    at_end = F.coalesce((F.col("state") == 2) & (place == end) & (F.col("end.fit") < F.col("end.n")), F.lit(False))
+    taken = F.coalesce((F.col("state") == 1) | ((F.col("state") == 2) & (place <= end)), F.lit(False))
+    if ends.where("end.fit < end.n").isEmpty():
+        out = out.withColumn("taken", taken)
+    else:
+        out = out.where(~at_end).withColumn("taken", taken).unionByName(_first_of_equals(out.where(at_end)))
+    copies = F.when(F.col("mix_weight").isNull(), F.lit(1)).otherwise(F.col("whole") + F.col("taken").cast("long")).cast("long")
+    return out.select("row", F.col("tokens").alias("mix_tokens"), F.coalesce("mix_weight", F.lit(0.0)).alias("mix_weight"), "mix_block", copies.alias("mix_copies"))
+
+
+def _first_of_equals(tied: DataFrame) -> DataFrame:
+    """Rows of each source that nothing tells apart, of which only end.fit are taken: numbered by written partitions, none of which goes to one task with another."""
+    tied = shared.table(tied.withColumn("number", F.monotonically_increasing_id()), "tied").withColumn("part", F.shiftright("number", 33))
+    sizes = tied.groupBy("source", "part").agg(F.count(F.lit(1)).alias("size"))
+    before = F.coalesce(F.sum("size").over(Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    tied = tied.join(sizes.select("source", "part", before.alias("earlier")), ["source", "part"])
+    turn = F.col("earlier") + F.row_number().over(Window.partitionBy("source", "part").orderBy("number"))
+    return tied.withColumn("taken", turn <= F.col("end.fit")).drop("number", "part", "earlier")
+
+
 def mixture(docs: DataFrame, entropy: float = 0.998, repetition: float = 1.5, budget: float | None = None, seed: int = 17) -> DataFrame:
-    """All rows and columns of docs(doc_id, text, source, ...), with the columns mix_tokens, mix_weight, mix_block and mix_copies (replaced, if docs has such).
+    """All rows and columns of docs(doc_id, text, source, ...), with the columns mix_tokens, mix_weight, mix_block and mix_copies; columns of
+    just these four names are replaced, all others stay, whatever they are called.
 
     A source's weight is its share of all words to the power of an exponent in [0, 1], over their sum; solve() finds the
-    exponent. Its budget is that weight of all tokens, rounded. Its documents stand in the order of a seeded hash, cut into
+    exponent. Its budget is that weight of all tokens, rounded. Its documents stand in the order of a seeded hash of doc_id, cut into
     blocks by the hash's first digits: each passes as often as the budget covers the source whole, and once more if it begins
     before what is left of the budget is used up. mix_copies says how often. Without a budget, every document passes at least once.
 
-    A null source is the source "". Null and empty texts have no words and pass with their place in the order. Sources without
-    any words have no weight (0), and their documents pass once. Repeated rows count each. Null doc_ids hash as "". An empty
-    table gives no rows. No task gets more than a source's share of one block in 4096 in one window.
+    Rows of one doc_id, and those without one (which hash as ""), stand in the order of their texts' hashes. Each row counts and
+    is decided by itself: of equal rows at the end of the budget, just as many pass as begin before it. A null source is the source
+    "". Null and empty texts have no words and pass with their place in the order; long ones count whole. Sources without any
+    words have no weight (0), and their documents pass once. An empty table gives no rows. No task gets more than a source's share of
+    one block in 4096 in one window, equal rows as one.
     """
-    names = [c for c in docs.columns if not c.startswith("mix_")]
-    own = docs.select(*names, word_count(F.col("text")).alias("mix_tokens"), F.coalesce("source", F.lit("")).alias("__source"), F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("__hash"))
-    own = own.withColumn("mix_block", F.substring("__hash", 1, BLOCK_DIGITS))
-    lean = docs.select(F.coalesce("source", F.lit("")).alias("__source"), "doc_id", word_count(F.col("text")).alias("tokens"), F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("__hash"))
-    lean = shared.table(lean.withColumn("mix_block", F.substring("__hash", 1, BLOCK_DIGITS)), "lean")
-    blocks = shared.table(lean.groupBy("__source", "mix_block").agg(F.sum("tokens").alias("tokens")), "blocks")
-    sources = blocks.groupBy("__source").agg(F.sum("tokens").alias("tokens")).where("tokens > 0")
-    sources = shared.table(sources.withColumnRenamed("__source", "source"), "sources")
-    found = solve(sources, entropy, repetition, budget)
-    weight = F.pow(F.col("tokens") / F.lit(float(found.total or 1)), F.lit(found.exponent)) / F.lit(found.norm)
-    plan = sources.select(F.col("source").alias("__source"), F.col("tokens").alias("__tokens"), weight.alias("mix_weight"), F.round(weight * F.lit(found.budget)).cast("long").alias("__budget"))
-    plan = plan.withColumn("__whole", F.expr("__budget div __tokens")).withColumn("__rest", F.expr("__budget % __tokens"))
-    before = F.coalesce(F.sum("tokens").over(Window.partitionBy("__source").orderBy("mix_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    cut = blocks.withColumn("__before", before).join(plan, "__source")  # a source has 4096 blocks at most
-    cut = cut.withColumn("__state", F.when(F.col("__before") >= F.col("__rest"), 0).when(F.col("__before") + F.col("tokens") < F.col("__rest"), 1).otherwise(2))
-    edge = lean.join(cut.where("__state = 2").select("__source", "mix_block", "__before", "__rest"), ["__source", "mix_block"])
-    order = Window.partitionBy("__source").orderBy("__hash", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    begins = edge.withColumn("__at", F.col("__before") + F.coalesce(F.sum("tokens").over(order), F.lit(0)))
-    # Where the budget ends within a block: the last hash that begins before its end.
-    ends = begins.where("__at < __rest").groupBy("__source").agg(F.max("__hash").alias("__end"))
-    verdict = cut.join(ends, "__source", "left").select("__source", "mix_block", "mix_weight", "__whole", "__state", "__end")
-    out = own.join(verdict, ["__source", "mix_block"], "left")
-    taken = (F.col("__state") == 1) | ((F.col("__state") == 2) & (F.col("__hash") <= F.col("__end")))
-    copies = F.when(F.col("mix_weight").isNull(), F.lit(1)).otherwise(F.col("__whole") + taken.cast("long")).cast("long")
-    return out.select(*names, "mix_tokens", F.coalesce("mix_weight", F.lit(0.0)).alias("mix_weight"), "mix_block", copies.alias("mix_copies"))
-
-
-def realised(docs: DataFrame, **options) -> DataFrame:
+    names = [F.col(f"row.`{c}`") for c in docs.columns if c not in ADDED]
+    return _mixed(docs, entropy, repetition, budget, seed).select(*names, *ADDED)
+
+
+def realised(docs: DataFrame, entropy: float = 0.998, repetition: float = 1.5, budget: float | None = None, seed: int = 17) -> DataFrame:
     """The rows of docs as often as mixture() says, with docs' columns only."""
-    out = mixture(docs, **options)
-    return out.where("mix_copies > 0").withColumn("__turn", F.explode(F.sequence(F.lit(1).cast("long"), "mix_copies"))).select(*[c for c in docs.columns if not c.startswith("mix_")])
+    out = _mixed(docs, entropy, repetition, budget, seed).where("mix_copies > 0")
+    return out.select("row", F.explode(F.sequence(F.lit(1).cast("long"), "mix_copies"))).select("row.*")
 
 
 def op9_source_mixing(spark, sf_dir: str) -> DataFrame:

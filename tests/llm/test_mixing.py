@@ -86,3 +86,31 @@ def test_repeated_rows_one_source_and_no_rows(spark):
     assert by == {(1, "s"): [1, 1], (None, None): [1], (None, "s"): [1]}
     assert M.mixture(df.limit(0)).count() == 0
     assert M.realised(df.limit(0)).count() == 0
+
+
+def test_columns_of_any_name_stay(spark):
+    names = ("__source", "__hash", "__turn", "mix_note", "hash", "tag", "tokens", "row", "state", "a.b", "mix_block")
+    df = spark.createDataFrame([(i, "a b c", "s", *[f"{c}{i}" for c in names]) for i in range(5)], "doc_id long, text string, source string, " + ", ".join(f"`{c}` string" for c in names))
+    out = M.mixture(df)
+    assert out.columns == ["doc_id", "text", "source", *names[:-1], "mix_tokens", "mix_weight", "mix_block", "mix_copies"]
+    assert {r.doc_id: tuple(r[c] for c in names[:-1]) for r in out.collect()} == {i: tuple(f"{c}{i}" for c in names[:-1]) for i in range(5)}
+    back = M.realised(df)
+    assert back.columns == df.columns and {tuple(r) for r in back.collect()} == {tuple(r) for r in df.collect()}
+
+
+@pytest.mark.parametrize("ids", [(7, 7), (None, None), (7, None)])
+def test_rows_of_one_id_are_decided_one_by_one(spark, ids):
+    """A budget of 100 tokens ends among 50 equal rows of 11 tokens, or among different texts of one id."""
+    equal = [(ids[0], "w " * 11, "s")] * 50
+    for data in (equal + [(i, "w " * 11, "s") for i in range(100, 150)], [(ids[1], f"{k} " * 11, "s") for k in range(50)] + equal):
+        df = spark.createDataFrame(data, "doc_id long, text string, source string").repartition(5)
+        got = M.mixture(df, budget=100.0).collect()
+        assert len(got) == 100 and sum(r.mix_copies for r in got) == 10  # ten of eleven tokens begin before 100
+
+
+def test_equal_rows_of_several_sources(spark):
+    data = [(1, "w " * 5, s) for s in "abc" for _ in range(40)] + [(2, "w " * 3, "a")]
+    df = spark.createDataFrame(data, "doc_id long, text string, source string").repartition(4)
+    got = M.mixture(df, budget=150.0)
+    used = {r.source: r.n for r in got.groupBy("source").agg({"mix_copies": "sum"}).toDF("source", "n").collect()}
+    assert got.count() == 121 and used["b"] == used["c"] == 10
