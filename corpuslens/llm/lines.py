@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpuslens.llm import shared
+
 #: A chunk ends after a line at which the rolling hash of the last two lines is 0 modulo CHUNK_LINES, so its mean length is that.
 CHUNK_LINES, STEP = 4, 31
-#: Tasks that the uses of one chunk are dealt over.
-PARTS = 16
 LAST = (1 << 63) - 1
 
 
@@ -32,48 +32,58 @@ def chunked(docs: DataFrame) -> DataFrame:
     return _apart(out, ends=ends).select("id", "tag", "lines", "ends")
 
 
+def _digest(chunk):
+    return F.unhex(F.sha2(chunk, 256))
+
+
 def _chunks(docs: DataFrame) -> DataFrame:
     """A row for each chunk of two lines or more: id, tag, first (from 0), n, chunk, digest."""
     firsts = F.concat(F.array(F.lit(0)), F.slice("ends", F.lit(1), F.size("ends") - 1))
     own = F.zip_with(firsts, "ends", lambda a, e: F.struct(a.alias("first"), (e - a).alias("n")))
     out = chunked(docs).select("id", "tag", "lines", F.explode(own).alias("own")).where("own.n > 1")
     out = out.select("id", "tag", "own.*", F.array_join(F.slice("lines", F.col("own.first") + 1, F.col("own.n")), "\n").alias("chunk"))
-    return out.withColumn("digest", F.unhex(F.sha2("chunk", 256)))
+    return out.withColumn("digest", _digest(F.col("chunk")))
 
 
 def repeated_chunks(docs: DataFrame) -> DataFrame:
     """docs(id, text) -> id, tag, spans: the chunks of a text that occurred before, as (first line, lines), in order."""
-    # Rows meet by digest and are counted by their bytes; a group is one row for each task before the shuffle.
-    groups = _chunks(docs).groupBy("digest", "chunk").agg(F.min("id").alias("head"), F.count(F.lit(1)).alias("uses")).where("uses > 1")
-    groups = groups.select("digest", "head", F.explode(F.array(*map(F.lit, range(PARTS)))).alias("part"))
-    part = F.pmod(F.xxhash64("id"), F.lit(PARTS)).cast("int").alias("part")
-    again = _chunks(docs).select("id", "tag", "first", "n", "digest", part).join(groups, ["digest", "part"]).distinct()
-    own = Window.partitionBy("digest", "part", "id")  # the repeats of a chunk within a document
-    later = again.withColumn("least", F.min(F.struct("tag", "first")).over(own)).where("id <> head or struct(tag, first) <> least")
-    return later.groupBy("id", "tag").agg(F.array_sort(F.collect_list(F.struct("first", "n"))).alias("spans"))
+    place = F.struct("id", "tag", "first")
+    uses = shared.table(_chunks(docs).select("id", "tag", "first", "n", "digest"), "uses").withColumnRenamed("n", "lines")
+    # All chunks are compared by their bytes here; a group is one row for each task before the shuffle.
+    alike = _chunks(docs).groupBy("digest", "chunk").agg(F.min(place).alias("head"), F.count(F.lit(1)).alias("n"))
+    groups = alike.groupBy("digest").agg(F.count(F.lit(1)).alias("kinds"), F.min("head").alias("head"), F.sum("n").alias("n")).where("n > 1")
+    groups = shared.table(groups, "chunk_groups")
+    # Where a digest has one kind of bytes, it stands for them.
+    again = shared.join_groups(uses, groups.where("kinds = 1").drop("kinds"), "digest").select("id", "tag", "first", "lines", "head")
+    rivals = groups.where("kinds > 1").select("digest")
+    if not rivals.isEmpty():  # and where it doesn't, the bytes are compared with each use's own
+        both = _chunks(docs).join(rivals, "digest", "left_semi").withColumnRenamed("n", "lines")
+        again = again.unionByName(both.join(alike.join(rivals, "digest", "left_semi").where("n > 1").drop("n"), ["digest", "chunk"]).select("id", "tag", "first", "lines", "head"))
+    later = again.where(place != F.col("head"))
+    return later.groupBy("id", "tag").agg(F.array_sort(F.collect_set(F.struct("first", F.col("lines").alias("n")))).alias("spans"))
 
 
 def line_dedup(docs: DataFrame) -> DataFrame:
     """All rows and columns of docs(doc_id, text, ...), with repeated chunks of lines taken out of text, and two more columns:
-    lines_before, lines_removed (names that docs has already are replaced).
+    lines_before, lines_removed (columns of just these names are replaced, all others stay, whatever they are called).
 
     A text is cut into chunks of lines at boundaries that depend on two neighbouring lines only, so an insertion moves no later
     boundary. A chunk of two lines or more that occurs with the same bytes in a document of smaller doc_id, or earlier in the
     same document, is removed. Single-line chunks stay. Null texts stay null with 0 lines removed of 1 (as empty texts have one
-    empty line). Repeated rows of a doc_id and text count as one and get the same result; several texts of one doc_id count as
-    parts of one document, in a fixed order. Null doc_ids come last. An empty table gives no rows.
+    empty line); long texts are cut whole. Repeated rows of a doc_id and text count as one and get the same result; several texts of
+    one doc_id count as parts of one document, in a fixed order. Rows with a null doc_id come last, as parts of one document too
+    (the place of the largest long, which they keep null). An empty table gives no rows.
     """
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("id"), F.xxhash64("text").alias("tag"), "text")
+    spans = repeated_chunks(own.select("id", "text"))
+    out = _apart(own.join(spans.hint("shuffle_hash"), ["id", "tag"], "left"), lines=F.split(F.coalesce("text", F.lit("")), "\n"))
+    gone = F.coalesce(F.aggregate("spans", F.lit(0), lambda n, s: n + s["n"]), F.lit(0))
+    starts = F.concat(F.array(F.lit(0)), F.transform("spans", lambda s: s["first"] + s["n"]))
+    stops = F.concat(F.transform("spans", lambda s: s["first"]), F.array(F.size("lines")))
+    kept = F.array_join(F.flatten(F.zip_with(starts, stops, lambda a, b: F.slice("lines", a + 1, b - a))), "\n")
+    text = F.when(F.col("spans").isNull(), F.col("text")).otherwise(kept).alias("text")
     names = [c for c in docs.columns if c not in ("lines_before", "lines_removed")]
-    key = docs.select(*names).withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))).withColumn("__tag", F.xxhash64("text"))
-    spans = repeated_chunks(docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("id"), "text")).select(F.col("id").alias("__id"), F.col("tag").alias("__tag"), F.col("spans").alias("__spans"))
-    out = key.join(spans.hint("shuffle_hash"), ["__id", "__tag"], "left")
-    out = _apart(out, __lines=F.split(F.coalesce("text", F.lit("")), "\n"))
-    gone = F.coalesce(F.aggregate("__spans", F.lit(0), lambda n, s: n + s["n"]), F.lit(0))
-    starts = F.concat(F.array(F.lit(0)), F.transform("__spans", lambda s: s["first"] + s["n"]))
-    stops = F.concat(F.transform("__spans", lambda s: s["first"]), F.array(F.size("__lines")))
-    kept = F.array_join(F.flatten(F.zip_with(starts, stops, lambda a, b: F.slice("__lines", a + 1, b - a))), "\n")
-    text = F.when(F.col("__spans").isNull(), F.col("text")).otherwise(kept).alias("text")
-    return out.select(*[text if c == "text" else F.col(c) for c in names], F.size("__lines").cast("long").alias("lines_before"), gone.cast("long").alias("lines_removed"))
+    return out.select(*[text if c == "text" else F.col(f"row.`{c}`") for c in names], F.size("lines").cast("long").alias("lines_before"), gone.cast("long").alias("lines_removed"))
 
 
 def op10_line_dedup(spark, sf_dir: str) -> DataFrame:

@@ -70,3 +70,33 @@ def test_repeated_rows_and_no_rows(spark):
     got = sorted((r.doc_id, r.lines_removed) for r in L.line_dedup(df).collect())
     assert got[0] == got[1] == (1, 0) and got[2] == got[3] and got[2][1] > 20
     assert L.line_dedup(df.limit(0)).count() == 0
+
+
+def test_clashing_columns_and_missing_ids(spark):
+    text = "\n".join(f"l{i}" for i in range(30))
+    names = ("__lines", "__spans", "__id", "__tag", "id", "tag", "row", "spans", "lines", "a.b", "lines_before")
+    kinds = "doc_id long, text string, " + ", ".join(f"`{c}` string" for c in names)
+    big = (1 << 63) - 1
+    df = spark.createDataFrame([(i, t, *[f"{c}{k}" for c in names]) for k, (i, t) in enumerate([(1, text), (None, "x\n" + text), (None, "y\n" + text), (big, "z\n" + text)])], kinds)
+    out = L.line_dedup(df)
+    assert out.columns == ["doc_id", "text", *names[:-1], "lines_before", "lines_removed"]
+    got = sorted(out.collect(), key=lambda r: r.row)
+    assert [r.doc_id for r in got] == [1, None, None, big]
+    assert [tuple(r[c] for c in names[:-1]) for r in got] == [tuple(f"{c}{k}" for c in names[:-1]) for k in range(4)]
+    assert got[0].lines_removed == 0 and all(r.lines_removed > 20 for r in got[1:])
+
+
+def test_bytes_are_compared_where_digests_are_equal(spark, monkeypatch):
+    """With digests of a few bits, chunks of other bytes share most of them; results are the same."""
+    monkeypatch.setattr(L, "_digest", lambda chunk: L.F.unhex(L.F.substring(L.F.sha2(chunk, 256), 1, 2)))
+    data = rows()
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    assert {r.doc_id: (r.text, r.lines_before, r.lines_removed) for r in L.line_dedup(df).collect()} == brute(data)
+
+
+def test_a_chunk_of_many_documents(spark):
+    """More rows than a group may have in the shuffle: it is broadcast to its uses."""
+    text = "\n".join(f"l{i}" for i in range(30))
+    df = spark.createDataFrame([(i, f"own {i}\n{text}") for i in range(200)], "doc_id long, text string").repartition(4)
+    got = {r.doc_id: (r.text, r.lines_before, r.lines_removed) for r in L.line_dedup(df).collect()}
+    assert got == brute([(i, f"own {i}\n{text}") for i in range(200)])
