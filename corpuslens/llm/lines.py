@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from corpuslens.llm import shared
 
 #: A chunk ends after a line at which the rolling hash of the last two lines is 0 modulo CHUNK_LINES, so its mean length is that.
-CHUNK_LINES, STEP = 4, 31
+CHUNK_LINES, STEP = 2, 31
 LAST = (1 << 63) - 1
 
 
@@ -97,7 +97,7 @@ WITH lines AS (
 hashed AS (
   SELECT *, count(*) OVER (PARTITION BY doc_id) AS n, ('0x' || substr(md5(line), 1, 8))::BIGINT AS h FROM lines),
 rolled AS (
-  SELECT *, (h + 31 * coalesce(lag(h) OVER w, 0)) % 4 = 0 AS ends FROM hashed WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+  SELECT *, (h + 31 * coalesce(lag(h) OVER w, 0)) % 2 = 0 AS ends FROM hashed WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
 placed AS (
   SELECT *, coalesce(sum(ends::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS k FROM rolled),
 chunks AS (
