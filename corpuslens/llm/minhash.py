@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -11,18 +13,15 @@ from corpuslens.llm import graph, shared
 
 #: A signature has SYMBOLS minima of BITS bits each, cut into chunks of CHUNK symbols. Signatures that differ in fewer than
 #: 2 * SYMBOLS / CHUNK symbols agree in some chunk but for at most one symbol (pigeonhole), and every chunk is looked up with each
-#: of its symbols left out. So all pairs within DISTANCE are found; at a Jaccard similarity of just 0.8, 8 pairs in a hundred
-#: million differ in more.
+#: of its symbols left out. So all pairs within GUARANTEED share a key, and of those beyond it nearly all: at a Jaccard similarity of
+#: just 0.8, a pair in 10**12 shares none. Pairs of a key are compared on full sets if they are within DISTANCE, which 2 pairs in
+#: 10**14 at 0.8 are not.
 SYMBOLS, BITS, CHUNK = 64, 14, 4
-DISTANCE = 2 * SYMBOLS // CHUNK - 1
-#: The last bits of all symbols are a sketch of 64 bits; at a similarity of 0.8, 1.3 pairs in ten thousand million differ in more than this.
-SKETCH = 25
+GUARANTEED, DISTANCE = 2 * SYMBOLS // CHUNK - 1, 40
 #: Four symbols go into a long, each with a spare bit above it.
 LANES = SYMBOLS // 4
 #: Parts of the hashes whose shingles are counted, to tell rare from common ones.
 RARITY_BITS = 16
-#: Tasks that a group of copies is dealt over.
-PARTS = 16
 ROLL = shared.Rolling(11)
 LOWER = shared.lower_codes(ROLL.codes)
 _rng = np.random.default_rng(23)
@@ -78,8 +77,7 @@ def _describe(width: int):
             for a, b, data, offsets in shared.text_chunks(batch):
                 hashes, at = shingle_sets(data, offsets, width)
                 size = np.diff(at)
-                digest = [hashes[at[i] : at[i + 1]] for i in range(b - a)]
-                h = [(int(d.sum(dtype=np.uint64)), int((shared.mix(d) ^ (d << np.uint64(1))).sum(dtype=np.uint64))) if len(d) else None for d in digest]
+                digests = [hashlib.sha256(hashes[at[i] : at[i + 1]]).digest() if size[i] else None for i in range(b - a)]
                 full = np.flatnonzero(size)
                 signs = np.zeros((b - a, SYMBOLS), np.int64)
                 if len(full):
@@ -88,12 +86,11 @@ def _describe(width: int):
                     [
                         batch.column(0).slice(a, b - a),
                         pa.array(size, pa.int64()),
-                        pa.array([None if x is None else np.array(x, np.uint64).tobytes() for x in h], pa.binary()),
-                        pa.array([None if x is None else s for x, s in zip(h, packed(signs).tolist(), strict=True)], pa.list_(pa.int64())),
-                        pa.array([None if x is None else s for x, s in zip(h, lookup_keys(signs).tolist(), strict=True)], pa.list_(pa.int64())),
-                        pa.array(np.packbits((signs & 1).astype(np.uint8), axis=1).view(np.int64).ravel()),
+                        pa.array(digests, pa.binary()),
+                        pa.array([None if x is None else s for x, s in zip(digests, packed(signs).tolist(), strict=True)], pa.list_(pa.int64())),
+                        pa.array([None if x is None else s for x, s in zip(digests, lookup_keys(signs).tolist(), strict=True)], pa.list_(pa.int64())),
                     ],
-                    ["doc_id", "n_shingles", "digest", "sign", "keys", "sketch"],
+                    ["doc_id", "n_shingles", "digest", "sign", "keys"],
                 )
 
     return run
@@ -126,6 +123,11 @@ def _differing(x: str, y: str):
     return F.expr(" + ".join(_lanes(x, y, i) for i in range(LANES)))
 
 
+def _meets(x: str, y: str):
+    """Whether two packed signatures share a key: some chunk, which is one long, differs in one symbol at most."""
+    return F.expr(f"least({', '.join(_lanes(x, y, i) for i in range(LANES))}) <= 1")
+
+
 def _full_sets(ids: DataFrame, docs: DataFrame, width: int) -> DataFrame:
     texts = docs.select("doc_id", "text").join(ids.hint("shuffle_hash"), "doc_id", "left_semi")
     return shared.table(texts.mapInArrow(_sets(width), "doc_id long, shingles array<long>"), "sets")
@@ -186,21 +188,23 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     returned. A row with a null doc_id links with nothing; its component_id and kept are null. Other columns are ignored; an
     empty table gives no rows.
 
-    Equal sets become one class. Classes that meet under a key of the signature index first link to the centre and the smallest
-    of that key, which settles most. Then, of members of keys that still hold several components, pairs of different components
-    that share a rare shingle early enough and are within the signature distance. Every link is confirmed on full sets.
+    Equal sets (by SHA-256) become one class. Classes that meet under a key of the signature index are linked to the centre and the
+    smallest of that key, which settles most. What is left are keys whose members still lie in several components: their pairs from
+    different components, all of them, but without listing a large key's pairs that can't be similar. Of sets that are similar
+    enough, the rarest shingles have one in common, so a key is split by these. Every pair shares a key of the index, and every link
+    is confirmed on full sets: of 64-bit hashes of shingles, of which two different ones in a pair of sets of 10,000 are equal once in 10**11 pairs.
     """
     if percent < 80:
         raise ValueError("the signature index is made for similarities of 0.8 and more")
     spark = docs.sparkSession
     shared.small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    known = shared.table(docs.mapInArrow(_describe(width), "doc_id long, n_shingles long, digest binary, sign array<long>, keys array<long>, sketch long"), "minhash")
-    # Only copies need to meet; a large group of them is dealt over PARTS tasks.
+    known = shared.table(docs.mapInArrow(_describe(width), "doc_id long, n_shingles long, digest binary, sign array<long>, keys array<long>"), "minhash")
+    # Only copies need to meet; the rows of a large group of them get its class by a broadcast.
     first = known.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("class"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    first = first.select("digest", "class", F.explode(F.array(*map(F.lit, range(PARTS)))).alias("part"))
-    own = known.where("digest is not null").select("doc_id", "digest", F.pmod(F.xxhash64("doc_id"), F.lit(PARTS)).cast("int").alias("part"))
-    classes = shared.table(own.join(first, ["digest", "part"], "left").select("doc_id", F.coalesce("class", "doc_id").alias("class")), "classes")
+    first = shared.table(first, "copies")
+    own = shared.join_groups(known.where("digest is not null").select("doc_id", "digest"), first, "digest", "left")
+    classes = shared.table(own.select("doc_id", F.coalesce("class", "doc_id").alias("class")), "classes")
     whole = classes.groupBy("doc_id").agg(F.min("class").alias("class"), F.max("class").alias("last"))
     several = classes.join(whole.where("class < last").select("doc_id", F.col("class").alias("a")), "doc_id").select("a", F.col("class").alias("b"))
     heads = classes.where("doc_id = class").select("doc_id").distinct()
@@ -217,32 +221,35 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     def within(pairs: DataFrame) -> DataFrame:
         x, y = (facts.select(F.col("doc_id").alias(k), F.col("n_shingles").alias(f"n_{k}"), F.col("sign").alias(f"s_{k}")) for k in "ab")
         near = pairs.join(x, "a").join(y, "b").where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
-        return near.where(_differing("s_a", "s_b") <= DISTANCE).select("a", "b")
+        return near.where(_meets("s_a", "s_b") & (_differing("s_a", "s_b") <= DISTANCE)).select("a", "b")
 
     tips = members.join(centres, "key").select("b", F.explode(F.array("centre", "least")).alias("a")).where("a <> b")
     stars = shared.table(within(tips.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()), "stars")
-    links = shared.table(_confirmed(stars, _full_sets(_ends(stars), docs, width), percent).unionByName(several), "links")
+    sets = _full_sets(_ends(stars), docs, width)
+    links = shared.table(_confirmed(stars, sets, percent).unionByName(several), "links")
     parts = graph.components(links)
-    # What the stars leave: keys whose members lie in several components.
+    shared.drop(first, sets, links)
+    # What the stars leave: the pairs of keys whose members lie in several components.
     own = members.select("key", "b").join(parts.withColumnRenamed("node", "b"), "b", "left").select("key", "b", F.coalesce("component", "b").alias("c"))
-    own = shared.table(own, "own")
-    mixed = own.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("key")
-    left = shared.table(own.join(mixed, "key"), "left")
+    placed = shared.table(own, "placed")
+    mixed = placed.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("key")
+    left = shared.table(placed.join(mixed, "key"), "left")
+    shared.drop(members, placed)
     sets = _full_sets(left.select(F.col("b").alias("doc_id")).distinct(), docs, width)
-    # Of two similar sets, the first shingle in common stands early enough in both for the needed number to follow.
+    # A key is split by rare shingles: of two similar sets, the first one in common stands early enough in both for the needed number to follow.
     own = left.select(F.col("b").alias("doc_id"), "c").distinct()
-    own = own.join(known.select("doc_id", "sketch"), "doc_id")
-    tokens = _prefixes(sets, percent).join(own, "doc_id").select(F.col("doc_id").alias("b"), "c", "n", "sketch", F.posexplode(F.arrays_zip("tokens", "lasts")).alias("i", "t")).select("*", F.col("t.tokens").alias("token"), F.col("t.lasts").alias("last")).drop("t")
+    tokens = _prefixes(sets, percent).join(own, "doc_id").select(F.col("doc_id").alias("b"), "c", "n", F.posexplode(F.arrays_zip("tokens", "lasts")).alias("i", "t")).select("*", F.col("t.tokens").alias("token"), F.col("t.lasts").alias("last")).drop("t")
     x, y = tokens.alias("x"), tokens.alias("y")
     enough = F.expr(f"{100 + percent} * least(x.n - x.i, y.n - y.i) >= {percent} * (x.n + y.n)")
     again = F.expr("coalesce(x.last = y.last, false)")  # then the pair comes up there
-    rest = x.join(y, ~again & (F.col("x.token") == F.col("y.token")) & (F.col("x.c") < F.col("y.c")) & enough & (F.bit_count(F.col("x.sketch").bitwiseXOR(F.col("y.sketch"))) <= SKETCH))
+    rest = x.join(y, ~again & (F.col("x.token") == F.col("y.token")) & (F.col("x.c") < F.col("y.c")) & enough)
     rest = rest.select(F.least("x.b", "y.b").alias("a"), F.greatest("x.b", "y.b").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
     rest = within(rest)
     rest = shared.table(rest, "rest")
     more = shared.table(_confirmed(rest, sets, percent), "more")
     if not more.isEmpty():
         parts = graph.components(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
+    shared.drop(stars, left, sets, rest, more)
     ends = whole.select("doc_id", "class").join(parts.withColumnRenamed("node", "class"), "class", "left").select("doc_id", F.coalesce("component", "class").alias("component_id"))
     out = known.select("doc_id", "n_shingles").join(ends, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
