@@ -1,8 +1,11 @@
 """From raw documents to token ids: toxic documents go, repeated runs of lines go, near-duplicates go, sources are mixed, texts are encoded.
 
 Each stage takes (spark, docs, sf_dir) and gives documents with the same columns, but for the last one, which gives token counts
-and digests. What a stage decides holds for all later ones. Rows that share a doc_id stay or go together; rows with a null
-doc_id are never taken for duplicates; null texts have no words, no lines to remove and no ids. Empty documents give no rows.
+and digests. What a stage decides holds for all later ones. The classifier judges each row by its own text, also where rows share a
+doc_id; of near-duplicates, rows that share a doc_id stay or go together. Rows with a null doc_id are no near-duplicates of others,
+and for the lines the parts of one document that comes last. Null texts have no words, no lines to remove and no ids; long ones are
+taken whole. Rows that repeat are rows like others. Extra columns pass all stages but the last, whatever their names. Without
+documents there are no rows.
 """
 
 from __future__ import annotations
@@ -57,5 +60,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = shared.read(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
+        mark, last = shared.written(), docs
         docs = shared.table(stage(spark, docs, sf_dir), f"stage-{name}")
+        shared.drop_since(mark, docs)  # what the stage wrote on its way
+        if name != STAGES[0][0]:
+            shared.drop(last)
     return STAGES[-1][1](spark, docs, sf_dir)
