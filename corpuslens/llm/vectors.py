@@ -11,74 +11,82 @@ from pyspark.sql import functions as F
 
 from corpuslens.llm import graph, shared
 
-#: Filters of a set that a random vector passes on average, and vectors that pass a filter: these two set the number of directions and the
-#: height of the caps from the number of rows, so that candidates grow in proportion to the rows.
+#: Filters of a set that a random vector passes on average, and each vector at least; and vectors that pass a filter: these set the number of
+#: directions and the height of the caps from the number of rows, so that candidates grow in proportion to the rows.
 PASSED, SHARED, LEAST_CODES = 8, 4, 256
-#: Independent sets of directions. Dimensions from which on they are product codes.
-SETS, NARROW = 4, 16
+#: Independent sets of directions. Dimensions from which on they are product codes. Radius of the smallest caps, in angles of linked vectors:
+#: smaller ones would part them, so in few dimensions, where links themselves grow with the square of the rows, directions are fewer.
+SETS, NARROW, WIDTH = 4, 8, 1.5
 #: Widest vectors whose cosine is written out term by term, to be compiled.
 UNROLLED = 128
+#: Between these, squares of components neither overflow nor vanish; vectors whose largest component lies outside are divided by it.
+SMALL, LARGE = 1e-100, 1e100
 
 
 def cap_height(dim: int, share: float) -> float:
     """The least inner product with a direction of the given share of all unit vectors."""
+    if dim == 2:
+        return math.cos(math.pi * share)
     t = np.linspace(0, 1, 200_001)
     density = np.maximum(1 - t * t, 0) ** ((dim - 3) / 2)
     above = np.cumsum(density[::-1])[::-1]
     return float(t[np.searchsorted(-above / (2 * above[0]), -share)])
 
 
-def codes(rows: int, dim: int, number: int = 0) -> tuple[np.ndarray, np.ndarray, float]:
-    """A direction is a codeword of either half of the (rotated) space; both codes, and the least inner product with a unit vector
-    that passes. Below NARROW dimensions the first code spans the space alone, and the height is measured."""
+def codes(rows: int, dim: int, number: int = 0, cosine: float = 0.98) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """A rotation, a code for either half of the rotated space, and the least inner product with a unit vector that passes. A direction
+    is a codeword of each half. Below NARROW dimensions the first code holds random directions of the whole space."""
+    if dim == 1:
+        return np.eye(1), np.array([[1.0], [-1.0]]), np.zeros((1, 0)), 0.5
     n = max(LEAST_CODES, math.ceil(math.sqrt(PASSED * rows / SHARED)))
+    highest = math.cos(min(math.pi / 2, WIDTH * math.acos(cosine)))
+    while n > 4 and cap_height(dim, min(0.5, PASSED / (n * n))) > highest:
+        n = n * 9 // 10
+    height = cap_height(dim, min(0.5, PASSED / (n * n)))
     rng = np.random.default_rng([dim, 77, number])
     if dim < NARROW:
-        c = rng.standard_normal((min(n * n, 1 << 13), dim))
-        c /= np.linalg.norm(c, axis=1, keepdims=True)
-        c = np.unique(c.round(12), axis=0)
-        x = rng.standard_normal((200, dim))
-        scores = x / np.linalg.norm(x, axis=1, keepdims=True) @ c.T
-        return c, np.zeros((1, dim)), float(np.quantile(scores, 1 - min(0.5, PASSED / len(c))))
+        c = rng.standard_normal((n * n, dim))
+        return np.eye(dim), c / np.linalg.norm(c, axis=1, keepdims=True), np.zeros((1, 0)), height
     rotation = np.linalg.qr(rng.standard_normal((dim, dim)))[0]
     half = dim // 2
     words = []
     for size in (half, dim - half):
         c = rng.standard_normal((n, size))
         words.append(c / np.linalg.norm(c, axis=1, keepdims=True) / math.sqrt(2))
-    return words[0] @ rotation[:half], words[1] @ rotation[half:], cap_height(dim, min(0.5, PASSED / (n * n)))
+    return rotation, *words, height
 
 
-def decode(unit: np.ndarray, first: np.ndarray, second: np.ndarray, height: float) -> list[np.ndarray]:
-    """For each unit vector, the numbers of all directions that it exceeds the height in, ascending; its best one in any case."""
-    out = []
-    for x, y in zip(unit @ first.T, unit @ second.T, strict=True):
+def decode(unit: np.ndarray, rotation: np.ndarray, first: np.ndarray, second: np.ndarray, height: float) -> list[np.ndarray]:
+    """For each unit vector, the numbers of all directions that it exceeds the height in, ascending; its PASSED best ones in any case."""
+    out, turned, half = [], unit @ rotation.T, first.shape[1]
+    for x, y in zip(turned[:, :half] @ first.T, turned[:, half:] @ second.T, strict=True):
         order = np.argsort(y)
         ys = y[order]
-        low = min(height, x.max() + ys[-1]) - 1e-9
+        best = np.sort((np.partition(x, -min(PASSED, len(x)))[-PASSED:, None] + ys[-PASSED:]).ravel())
+        low = min(height, best[-PASSED:][0]) - 1e-9
         left = np.flatnonzero(x >= low - ys[-1])  # no other codeword has a partner
         begin = np.searchsorted(ys, low - x[left], "left")
-        out.append(np.sort(np.concatenate([a * len(y) + order[b:] for a, b in zip(left.tolist(), begin.tolist(), strict=True)] or [np.zeros(0, np.int64)])))
+        out.append(np.sort(np.concatenate([a * len(y) + order[b:] for a, b in zip(left.tolist(), begin.tolist(), strict=True)])))
     return out
 
 
-def _filters(rows: int):
+def _filters(rows: int, cosine: float):
     def run(batches):
-        known: dict[int, tuple] = {}
+        known: dict[int, list] = {}
         for batch in batches:
             vectors = [np.asarray(v, np.float64) for v in batch.column(1).to_pylist()]
             out: list = [None] * len(vectors)
             for dim in {len(v) for v in vectors}:
                 at = [i for i, v in enumerate(vectors) if len(v) == dim]
                 if dim not in known:
-                    known[dim] = [codes(rows, dim, k) for k in range(SETS)]
+                    known[dim] = [codes(rows, dim, k, cosine) for k in range(SETS)]
                 x = np.array([vectors[i] for i in at])
                 x /= np.abs(x).max(1, keepdims=True)
                 x /= np.linalg.norm(x, axis=1, keepdims=True)
                 found = [decode(x, *c) for c in known[dim]]
                 for i, parts in zip(at, zip(*found, strict=True), strict=True):
                     out[i] = np.concatenate([p + (k << 56) for k, p in enumerate(parts)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int64()))], ["vec_id", "filters"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int64()))], ["class", "filters"])
 
     return run
 
@@ -87,13 +95,14 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.98) -> DataFrame:
     """For each row of vectors(vec_id, embedding, label, ...): vec_id, n_links, component_id, kept.
 
     Rows are linked if their labels are equal and not null and their cosine, in double precision, is `cosine` or more; a pair is
-    found if it shares a filter. n_links counts the other rows linked directly, copies included; component_id is the smallest
+    found if it shares a filter. Vectors of any finite size are compared alike: where squares would overflow or vanish, both are taken of
+    the vector over its largest component. n_links counts the other rows linked directly, copies included; component_id is the smallest
     vec_id that links reach. Vectors that are null, empty, zero, or hold null or non-finite components link with nothing, nor do
     vectors of different lengths. Rows that share a vec_id are one node, each with the links of its own vector; rows with a null
     vec_id link with nothing (n_links 0; component_id and kept null). Other columns are ignored; an empty table gives no rows.
 
-    Equal vectors are one class, so copies are never paired. Classes meet under (label, filter), as ids only; then each pair is
-    compared once.
+    Equal vectors (by SHA-256 of what they hold) are one class, so copies are never paired. Classes meet under (label, filter), as ids
+    only; then each pair is compared once. A filter that many pass is a skewed key of a join of two plain shuffles, which Spark splits.
     """
     spark = vectors.sparkSession
     shared.small_batches(spark)
@@ -102,9 +111,20 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.98) -> DataFrame:
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", "label")
     sound = rows.where("vec_id is not null and label is not null and embedding is not null and size(embedding) > 0").where(finite & some)
     sound = sound.withColumn("embedding", F.transform("embedding", lambda x: x + F.lit(0).cast("float")))  # -0.0 is 0.0
-    classes = shared.table(sound.groupBy("label", "embedding").agg(F.min("vec_id").alias("head"), F.count(F.lit(1)).alias("copies")).withColumn("class", F.monotonically_increasing_id()), "vector_classes")
+    most = F.array_max(F.transform("embedding", lambda x: F.abs(x.cast("double"))))
+    if dict(rows.dtypes)["embedding"] != "array<float>":
+        fair = F.transform("embedding", lambda x: F.when(F.col("most").between(SMALL, LARGE), x.cast("double")).otherwise(x.cast("double") / F.col("most")))
+        sound = sound.withColumn("most", most).withColumn("fair", fair)
+    else:
+        sound = sound.withColumn("fair", F.col("embedding"))
+    # What is hashed ends with the label, and tells the vector's length by its commas.
+    digest = F.unhex(F.sha2(F.concat_ws(",", F.col("embedding").cast("array<string>"), F.concat(F.lit("l"), F.col("label").cast("string"))), 256))
+    sound = sound.select("vec_id", "label", F.col("fair").alias("embedding"), digest.alias("digest"))
+    lean = shared.table(sound.select("vec_id", "digest"), "vector_digests")
+    classes = sound.groupBy("digest").agg(F.first("label").alias("label"), F.first("embedding").alias("embedding"), F.min("vec_id").alias("head"), F.count(F.lit(1)).alias("copies"))
+    classes = shared.table(classes.withColumn("class", F.monotonically_increasing_id()), "vector_classes")
     facts = classes.agg(F.count(F.lit(1)).alias("n"), F.min(F.size("embedding")).alias("least"), F.max(F.size("embedding")).alias("most")).first()
-    passed = classes.select("class", "embedding").mapInArrow(_filters(facts.n), "class long, filters array<long>")
+    passed = classes.select("class", "embedding").mapInArrow(_filters(facts.n, cosine), "class long, filters array<long>")
     caps = classes.select("class", "label", F.size("embedding").alias("dim")).join(passed, "class")
     caps = shared.table(caps.select("class", "label", "dim", F.explode("filters").alias("filter")), "caps")
     equal = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("label", "dim", "filter")]
@@ -124,8 +144,8 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.98) -> DataFrame:
     heads = small.select("class", "head")
     edges = pairs.join(heads.select(F.col("class").alias("a"), F.col("head").alias("p")), "a").join(heads.select(F.col("class").alias("b"), F.col("head").alias("q")), "b").select(F.col("p").alias("a"), F.col("q").alias("b"))
     # Rows of one class and rows of one vec_id belong together too.
-    own = sound.join(classes.select("label", "embedding", "class", "head", "copies"), ["label", "embedding"]).select("vec_id", "class", "head", "copies")
-    own = shared.table(own, "vector_rows")
+    own = shared.join_groups(lean, classes.select("digest", "class", "head", "copies", F.col("copies").alias("n")), "digest")
+    own = shared.table(own.select("vec_id", "class", "head", "copies"), "vector_rows")
     twice = own.groupBy("vec_id").agg(F.min("head").alias("a"), F.max("head").alias("b")).where("a < b")
     alike = own.join(twice.select("vec_id", "a"), "vec_id").select("a", F.col("head").alias("b"))
     parts = graph.components(edges.unionByName(alike))

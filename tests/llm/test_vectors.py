@@ -62,18 +62,40 @@ def test_null_and_shared_ids_and_no_rows(spark):
     assert not run(spark, [])
 
 
+def test_tiny_and_huge_components(spark):
+    """Components whose squares vanish or overflow, of doubles: linked by their direction like any others."""
+    rng = np.random.default_rng(6)
+    data, want = [], {}
+    for k, size in enumerate((5e-324, 1e-300, 1e-170, 1e-90, 1.0, 1e90, 1e200, 1e308)):
+        v = rng.uniform(0.2, 1, 5) if size > 5e-324 else np.array([1.0, 1, 1, 0, 1])
+        far = np.array([-1.0, 1, -1, 0, 1])
+        data += [(10 * k, (v * size).tolist(), k), (10 * k + 1, (v * size * 0.5 if size > 5e-324 else v * 1e-322).tolist(), k), (10 * k + 2, (far * size).tolist(), k)]
+        want |= {10 * k: (1, 10 * k), 10 * k + 1: (1, 10 * k), 10 * k + 2: (0, 10 * k + 2)}
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>, label int").repartition(3)
+    assert {r.vec_id: (r.n_links, r.component_id) for r in V.near_duplicates(df).collect()} == want
+
+
+def test_many_copies_of_a_vector(spark):
+    v, w = [0.6, 0.8, 0.0], [0.0, 0.6, 0.8]
+    data = [(i, v, 1) for i in range(300)] + [(i, w, 1) for i in range(300, 303)] + [(400, v, 2)]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in V.near_duplicates(spark.createDataFrame(data, "vec_id long, embedding array<double>, label int").repartition(4)).collect()}
+    assert got == {i: (299, 0) for i in range(300)} | {i: (2, 300) for i in range(300, 303)} | {400: (0, 400)}
+
+
 def test_recall_of_pairs_at_the_limit():
+    """By dimension and number of rows, for which the codes are made."""
     rng = np.random.default_rng(1)
-    a = rng.standard_normal((2000, 64))
-    a /= np.linalg.norm(a, axis=1, keepdims=True)
-    b = rng.standard_normal((2000, 64))
-    b -= (b * a).sum(1, keepdims=True) * a
-    b /= np.linalg.norm(b, axis=1, keepdims=True)
-    b = 0.98 * a + np.sqrt(1 - 0.98**2) * b
-    for rows in (500, 50_000, 5_000_000):
-        hit = np.zeros(len(a), bool)
-        for k in range(V.SETS):
-            c = V.codes(rows, 64, k)
-            hit |= [len(np.intersect1d(x, y)) > 0 for x, y in zip(V.decode(a, *c), V.decode(b, *c), strict=True)]
-            print(rows, len(c[0]), hit.mean(), np.mean([len(x) for x in V.decode(a, *c)]))
-        assert hit.mean() > 0.99
+    for dim, sizes in {2: (500, 5_000_000), 4: (500, 5_000_000), 7: (500, 5_000_000), 8: (500, 500_000_000), 12: (50_000, 500_000_000), 16: (500, 500_000_000), 64: (500, 5_000_000, 500_000_000), 768: (5_000_000,)}.items():
+        a = rng.standard_normal((100, dim))
+        a /= np.linalg.norm(a, axis=1, keepdims=True)
+        b = rng.standard_normal((100, dim))
+        b -= (b * a).sum(1, keepdims=True) * a
+        b /= np.linalg.norm(b, axis=1, keepdims=True)
+        b = 0.98 * a + np.sqrt(1 - 0.98**2) * b
+        for rows in sizes:
+            hit = np.zeros(len(a), bool)
+            for k in range(V.SETS):
+                c = V.codes(rows, dim, k)
+                hit |= [len(np.intersect1d(x, y)) > 0 for x, y in zip(V.decode(a, *c), V.decode(b, *c), strict=True)]
+            print(dim, rows, len(c[1]), len(c[2]), round(c[3], 3), hit.mean())
+            assert hit.mean() > 0.98
