@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import math
 import uuid
 import zlib
 from bisect import bisect_left, bisect_right
@@ -19,6 +20,8 @@ from corpuslens.llm import shared
 
 #: Payloads from this size on are stored once. Lines of an index block; bytes after which a new archive is begun.
 LEAST, BLOCK_LINES, ARCHIVE_BYTES = 1000, 512, 1 << 28
+#: Keys that a task looks up, and bytes of records that it reads.
+LOOKUPS, READ_BYTES = 50_000, 1 << 25
 FIRST = -(1 << 63)
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "1970-01-01T00:00:00Z"
@@ -41,12 +44,14 @@ def reversed_key(url: str | None) -> str:
 
 @dataclass
 class Archives:
-    """captures: key, id, file, offset, length of every record. parts: first_key, first_id, file, directory offset and length of
-    each index file, in order: as many rows as there are index files."""
+    """captures: key, id, file, offset, length of every record, of which there are so many with so many bytes. parts: first_key,
+    first_id, file, directory offset and length of each index file, in order: as many rows as there are index files."""
 
     captures: DataFrame
     parts: list[tuple]
     folder: str
+    records: int
+    bytes: int
 
 
 def _open(uri: str):
@@ -54,26 +59,50 @@ def _open(uri: str):
     return fs, path
 
 
-def _record(page_id: int, url: str, payload: bytes, digest: bytes, size: int, refers: int | None) -> bytes:
+def _member(record: bytes) -> bytes:
+    pack = zlib.compressobj(6, zlib.DEFLATED, 31)
+    return pack.compress(record) + pack.flush()
+
+
+def _named(place: str) -> str:
+    """The id of the record at a place (file and offset), which no other record has."""
+    return f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, place)}>"
+
+
+def _info(name: str) -> bytes:
+    """What stands first in an archive."""
+    body = b"software: corpuslens\r\nformat: WARC File Format 1.1\r\n"
+    head = ["WARC/1.1", "WARC-Type: warcinfo", _named(f"{name}:0"), f"WARC-Date: {DATE}", f"WARC-Filename: {name}", "Content-Type: application/warc-fields", f"Content-Length: {len(body)}"]
+    return "\r\n".join(head).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
+
+
+def _uri(url: str | None) -> str:
+    return " ".join((url or "").split())
+
+
+def _record(page_id: int | None, url: str | None, payload: bytes, digest: bytes, size: int, refers: int | None, refers_url: str | None = None, place: str = "") -> bytes:
+    """The ids of pages stand in headers of their own, of which a null one has none."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
     body = http + payload if refers is None else http
     head = [
         "WARC/1.1",
         f"WARC-Type: {'response' if refers is None else 'revisit'}",
-        f"WARC-Record-ID: <urn:page:{page_id}>",
+        _named(place),
         f"WARC-Date: {DATE}",
-        f"WARC-Target-URI: {' '.join((url or '').split())}",
+        f"WARC-Target-URI: {_uri(url)}",
         f"WARC-Payload-Digest: sha1:{base64.b32encode(digest).decode()}",
         "Content-Type: application/http;msgtype=response",
     ]
+    if page_id is not None:
+        head.append(f"X-Page-ID: {page_id}")
     if refers is not None:
-        head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: <urn:page:{refers}>"]
+        head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To-Target-URI: {_uri(refers_url)}", f"WARC-Refers-To-Date: {DATE}", f"X-Refers-To-Page-ID: {refers}"]
     head.append(f"Content-Length: {len(body)}")
     return "\r\n".join(head).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
 
 
 def parse(record: bytes) -> dict:
-    """Of one record: page_id, url, type, refers_to, payload (None for a revisit), payload_bytes, payload_digest (hex)."""
+    """Of one response or revisit: page_id, url, type, refers_to, payload (None for a revisit), payload_bytes, payload_digest (hex)."""
     head, _, rest = record.partition(b"\r\n\r\n")
     lines = head.decode().split("\r\n")
     if not lines[0].startswith("WARC/1."):
@@ -82,11 +111,11 @@ def parse(record: bytes) -> dict:
     block = rest[: int(fields["content-length"])]
     http, _, payload = block.partition(b"\r\n\r\n")
     digest = base64.b32decode(fields["warc-payload-digest"].removeprefix("sha1:"))
-    number = lambda x: int(x.strip("<>").rpartition(":")[2])
-    out = {"page_id": number(fields["warc-record-id"]), "url": fields.get("warc-target-uri", ""), "type": fields["warc-type"], "refers_to": None, "payload": payload, "payload_bytes": len(payload), "payload_digest": digest.hex()}
+    own = fields.get("x-page-id")
+    out = {"page_id": None if own is None else int(own), "url": fields.get("warc-target-uri", ""), "type": fields["warc-type"], "refers_to": None, "payload": payload, "payload_bytes": len(payload), "payload_digest": digest.hex()}
     if out["type"] == "revisit":
         size = next(int(x.partition(b":")[2]) for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:"))
-        out |= {"refers_to": number(fields["warc-refers-to"]), "payload": None, "payload_bytes": size}
+        out |= {"refers_to": int(fields["x-refers-to-page-id"]), "payload": None, "payload_bytes": size}
     elif hashlib.sha1(payload).digest() != digest:
         raise ValueError(f"the payload of page {out['page_id']} doesn't have its digest")
     return out
@@ -101,17 +130,17 @@ def _writer(folder: str):
         out, name, at = None, "", 0
         for batch in batches:
             rows = []
-            for page_id, url, html, refers in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            for page_id, url, html, refers, refers_url in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
                 if out is None or at >= ARCHIVE_BYTES:
                     if out is not None:
                         out.close()
-                    name, at = f"{uuid.uuid4().hex}.warc.gz", 0
+                    name = f"{uuid.uuid4().hex}.warc.gz"
                     out = fs.open_output_stream(f"{path}/{name}", compression=None)
+                    at = out.write(_member(_info(name)))
                 payload = (html or "").encode()
-                pack = zlib.compressobj(6, zlib.DEFLATED, 31)
-                member = pack.compress(_record(page_id, url, payload, hashlib.sha1(payload).digest(), len(payload), refers)) + pack.flush()
+                member = _member(_record(page_id, url, payload, hashlib.sha1(payload).digest(), len(payload), refers, refers_url, f"{name}:{at}"))
                 out.write(member)
-                rows.append((reversed_key(url), page_id, name, at, len(member)))
+                rows.append((reversed_key(url), FIRST if page_id is None else page_id, name, at, len(member)))
                 at += len(member)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), CAPTURE_TYPES, strict=True)] if rows else [pa.nulls(0, t) for t in CAPTURE_TYPES], CAPTURE_NAMES)
         if out is not None:
@@ -176,20 +205,30 @@ def _indexer(folder: str):
 def write(pages: DataFrame, least: int = LEAST) -> Archives:
     """Archives and index of pages(page_id, url, html, ...), in the shared folder: a record for each row, with the html in UTF-8 as
     payload (null: empty). Of equal payloads of `least` bytes or more, the row with the largest page_id is a response and the
-    others are revisits of it; rows that share that page_id are all responses. A null page_id counts as the smallest number, and a
-    null url as empty. Other columns are ignored; of an empty table there are no files and no index."""
+    others are revisits of it; rows that share that page_id are all responses, each a record of its own. A null page_id counts as the
+    smallest number and stays null, and a null url as empty. Other columns are ignored; of an empty table there are no files and no index."""
     spark = pages.sparkSession
     shared.small_batches(spark)
-    own = pages.select(F.coalesce(F.col("page_id").cast("long"), F.lit(FIRST)).alias("id"), "url", F.coalesce("html", F.lit("")).alias("html"))
-    digests = own.select("id", F.octet_length("html").alias("size"), F.unhex(F.sha2("html", 256)).alias("digest")).where(f"size >= {least}")
-    heads = digests.groupBy("digest").agg(F.max("id").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "head")
-    revisits = digests.join(heads, "digest").where("id <> head").select("id", "digest", "head").distinct()
-    rows = own.withColumn("digest", F.unhex(F.sha2("html", 256))).join(revisits.hint("shuffle_hash"), ["id", "digest"], "left").select("id", "url", "html", "head")
+    digest = F.unhex(F.sha2("html", 256)).alias("digest")
+    own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("page_id").cast("long"), F.lit(FIRST)).alias("id"), "url", F.coalesce("html", F.lit("")).alias("html"))
+    large = own.where(F.octet_length("html") >= least).select("id", "url", digest)
+    digests = shared.table(large.select("id", "digest"), "digests")
+    heads = large.groupBy("digest").agg(F.max(F.struct("id", "url")).alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    heads = shared.table(heads, "heads")
+    revisits = shared.join_groups(digests, heads, "digest").where("id <> head.id").distinct()
+    rows = own.select("*", digest).join(revisits.hint("shuffle_hash"), ["id", "digest"], "left").select("page_id", "url", "html", F.col("head.id").alias("refers"), F.col("head.url").alias("refers_url"))
     folder = shared.new_path(spark, "warc")
     captures = shared.table(rows.mapInArrow(_writer(folder), CAPTURES), "captures")
-    ordered = captures.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "key", "id").sortWithinPartitions("key", "id")
+    shared.drop(digests, heads)
+    seen = captures.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("size")).first()
+    ordered = captures.repartitionByRange(_tasks(spark, seen.n, LOOKUPS), "key", "id").sortWithinPartitions("key", "id")
     parts = shared.table(ordered.mapInArrow(_indexer(folder), PARTS), "parts").collect()  # a row for each partition
-    return Archives(captures, sorted((tuple(r) for r in parts), key=_order), folder)
+    return Archives(captures, sorted((tuple(r) for r in parts), key=_order), folder, seen.n, seen.size)
+
+
+def _tasks(spark: SparkSession, size: int, share: int) -> int:
+    """How many tasks share work of a size, with a share each at most; a number that is given isn't merged to fewer."""
+    return max(spark.sparkContext.defaultParallelism, math.ceil(size / share))
 
 
 class Index:
@@ -246,10 +285,9 @@ def lookup(spark: SparkSession, archives: Archives, wanted: DataFrame) -> DataFr
         return spark.createDataFrame([], CAPTURES)
 
     def keys(batches):
-        index = Index(folder, parts)
         for batch in batches:
             own = [(reversed_key(u), FIRST if i is None else i) for u, i in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in own], pa.string()), pa.array([i for _, i in own], pa.int64()), pa.array([index.part((k.encode(), i)) for k, i in own], pa.int32())], ["key", "id", "part"])
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in own], pa.string()), pa.array([i for _, i in own], pa.int64())], ["key", "id"])
 
     def find(batches):
         index = Index(folder, parts)
@@ -257,8 +295,9 @@ def lookup(spark: SparkSession, archives: Archives, wanted: DataFrame) -> DataFr
             rows = [x for k, i in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for x in index.find((k.encode(), i))]
             yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate(CAPTURE_TYPES)], CAPTURE_NAMES)
 
-    asked = wanted.select("url", F.col("page_id").cast("long").alias("page_id")).mapInArrow(keys, "key string, id long, part int").distinct()
-    return asked.repartition(F.col("part")).sortWithinPartitions("part", "key", "id").select("key", "id").mapInArrow(find, CAPTURES)
+    asked = wanted.select("url", F.col("page_id").cast("long").alias("page_id")).mapInArrow(keys, "key string, id long").distinct()
+    ordered = asked.repartitionByRange(_tasks(spark, archives.records, LOOKUPS), "key", "id").sortWithinPartitions("key", "id")
+    return shared.table(ordered.mapInArrow(find, CAPTURES), "found")
 
 
 READ = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
@@ -275,14 +314,16 @@ def read_records(archives: Archives, captures: DataFrame, payloads: bool = False
             size, rows = 0, []
             for capture in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 r = parse(index.record(capture))
-                rows.append([None if r["page_id"] == FIRST else r["page_id"], r["url"], r["payload_bytes"], r["payload_digest"], r["type"], r["refers_to"]] + [r["payload"]] * payloads)
+                rows.append([r["page_id"], r["url"], r["payload_bytes"], r["payload_digest"], r["type"], r["refers_to"]] + [r["payload"]] * payloads)
                 size += len(r["payload"] or b"") * payloads
                 if size > shared.CHUNK_BYTES:
                     yield _batch(rows, payloads)
                     size, rows = 0, []
             yield _batch(rows, payloads)
 
-    ordered = captures.repartition(F.col("file")).sortWithinPartitions("file", "offset")
+    # Ranges of one archive go to several tasks, as each record is a member of its own.
+    tasks = _tasks(captures.sparkSession, archives.bytes, READ_BYTES)
+    ordered = captures.repartitionByRange(tasks, "file", "offset").sortWithinPartitions("file", "offset")
     return ordered.select(*CAPTURE_NAMES).mapInArrow(run, READ + ", payload binary" * payloads)
 
 

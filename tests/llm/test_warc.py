@@ -1,6 +1,7 @@
 import gzip
 import hashlib
 import random
+import re
 from collections import Counter
 
 import pytest
@@ -47,7 +48,9 @@ def test_records_come_back(spark, monkeypatch, lines):
     assert sorted(r.id for r in W.lookup(spark, archives, some).collect()) == [5, 9]
     files = archives.captures.select("file").distinct().collect()
     whole = b"".join(gzip.decompress(open(f"{archives.folder.removeprefix('file://')}/{r.file}", "rb").read()) for r in files)
-    assert whole.count(b"WARC-Record-ID") == len(data)
+    assert whole.count(b"X-Page-ID") == len(data) and whole.count(b"WARC-Type: warcinfo") == len(files)
+    ids = re.findall(rb"WARC-Record-ID: <urn:uuid:([0-9a-f-]{36})>", whole)
+    assert len(ids) == len(set(ids)) == len(data) + len(files)
 
 
 def test_repeated_and_missing_ids_and_no_rows(spark):
@@ -71,3 +74,19 @@ def test_a_damaged_payload_is_an_error():
     assert W.parse(record)["payload"] == b"abc"
     with pytest.raises(ValueError):
         W.parse(record.replace(b"\r\n\r\nabc", b"\r\n\r\nabd"))
+
+
+def test_the_smallest_id_is_not_a_missing_one(spark):
+    least, body = -(1 << 63), "z" * 1500
+    df = frame(spark, [(least, "http://a.com/", body), (None, "http://a.com/", "small"), (None, "http://a.com/", body), (4, "u v", "w" * 2000), (least, "u v", "w" * 2000)])
+    archives = W.write(df)
+    got = W.read_records(archives, W.lookup(spark, archives, df)).collect()
+    assert Counter((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in got) == Counter([(least, 1500, "response", None), (None, 5, "response", None), (None, 1500, "response", None), (4, 2000, "response", None), (least, 2000, "revisit", 4)])
+
+
+def test_many_copies_and_several_read_tasks(spark):
+    df = frame(spark, [(i, f"http://h{i % 7}.com/", "z" * 1500) for i in range(300)])
+    archives = W.write(df)
+    records = W.read_records(archives, W.lookup(spark, archives, df))
+    assert Counter((r.record_type, r.refers_to) for r in records.collect()) == {("response", None): 1, ("revisit", 299): 299}
+    assert records.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
