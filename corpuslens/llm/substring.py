@@ -18,6 +18,8 @@ WINDOW, PERIOD, COVER = 20, 13, (0, 1, 3, 9)
 ANCHOR = WINDOW - PERIOD + 1
 #: Entries that a worker gathers before it sends them; bits of the filter that spares most texts the shuffle. Both bound memory only.
 GATHERED, FILTER_BITS = 1 << 19, 24
+#: Bytes of a bucket of entries, of which a worker holds one at a time; and of an entry of an anchor, of a window, and of a place.
+BUCKET_BYTES, ANCHOR_BYTES, WINDOW_BYTES, PLACE_BYTES = 1 << 24, 21, 36, 20
 LAST = (1 << 63) - 1
 ROLLS = shared.Rolling(41), shared.Rolling(43)
 COVERED = np.zeros(PERIOD, bool)
@@ -42,7 +44,7 @@ def _facts(batches):
         for a, b, data, offsets in shared.text_chunks(batch):
             words = [t.split() for t in _rows_of(data, offsets)]
             digests = [hashlib.sha256(b" ".join(w)).digest() for w in words]
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([len(w) for w in words], pa.int64()), pa.array(digests, pa.binary()), pa.array([int.from_bytes(d[:8], "little", signed=True) for d in digests], pa.int64())], ["id", "n_words", "digest", "class"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([len(w) for w in words], pa.int64()), pa.array(digests, pa.binary()), pa.array([int.from_bytes(d[:8], "little", signed=True) for d in digests], pa.int64()), batch.column(2).slice(a, b - a)], ["id", "n_words", "digest", "class", "doc_id"])
 
 
 def _sent(bucket: np.ndarray, buckets: int, columns: list[np.ndarray], names: list[str], extra: dict) -> Iterator[pa.RecordBatch]:
@@ -299,36 +301,53 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     Words are runs without ASCII white space. Each word that is covered by a window of 20 words whose words also start earlier
     (smaller doc_id, or same document and earlier start) is removed; windows are judged on the input. Null and empty texts have
     no words. Repeated rows of a doc_id and text count as one, and get the same result; several texts of a doc_id count as parts
-    of one document, in a fixed order of their digests. Rows with a null doc_id come after all others. Other columns are
-    ignored; an empty table gives no rows.
-
-    Texts of equal words are settled by their digest. For the others, anchors that occur at several places mark candidate
-    windows, and 128-bit hashes of those tell the first. Texts without such anchors are never shuffled, but for a few by chance.
+    of one document, in a fixed order of their digests. Rows with a null doc_id come after all others, with the largest long, and keep
+    their null. Other columns are ignored; an empty table gives no rows.
+
+    Texts of equal words are settled by their SHA-256. For the others, each anchor that occurs at several places extends to the windows
+    that hold it, and 128-bit hashes of their words tell the first of equal ones (among 10**13 different windows, two are taken for
+    equal once in 6 * 10**12 corpora). Texts without such anchors are never shuffled, but for a few by chance. A text is known by 64
+    bits of its digest on the way; two that share them share nothing else, as ids and windows decide. Entries are dealt into buckets
+    by their hashes; their number grows with the words, so that a bucket's size doesn't.
     """
     spark = docs.sparkSession
     shared.small_batches(spark)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets, groups = 2 * parts, parts
-    own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("id"), "text")
-    facts = shared.table(own.mapInArrow(_facts, "id long, n_words long, digest binary, class long"), "words")
+    least = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def buckets(entries: int, size: int) -> int:
+        return max(least, -(-entries * size // BUCKET_BYTES))
+
+    def dealt(entries: DataFrame, by: str, number: int, fn, kind: str) -> DataFrame:
+        """fn of each bucket, two buckets a task."""
+        return entries.repartition(-(-number // 2), by).groupBy(by).applyInArrow(fn, kind)
+
+    own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("id"), "text", F.col("doc_id").cast("long").alias("doc_id"))
+    facts = shared.table(own.mapInArrow(_facts, "id long, n_words long, digest binary, class long, doc_id long"), "words")
+    own = own.select("id", "text")
     heads = facts.groupBy("digest").agg(F.min("id").alias("head"), F.min("class").alias("class"))
     lists = "id long, class long, places array<int>"
-    anchors = own.select("text").mapInArrow(_anchors(buckets), ANCHORS).groupBy("bucket").applyInArrow(_anchor_bucket(groups), GROUPED)
-    marked = anchors.groupBy("group").applyInArrow(_documents, lists).select("class", "places")
-    marked = shared.table(heads.where("class is not null").join(marked, "class").select(F.col("head").alias("id"), "class", "places"), "marked")
+    n_anchors = (facts.agg(F.sum("n_words")).first()[0] or 0) * len(COVER) // PERIOD
+    n, groups = buckets(n_anchors, ANCHOR_BYTES), buckets(n_anchors, PLACE_BYTES)
+    anchors = dealt(own.select("text").mapInArrow(_anchors(n), ANCHORS), "bucket", n, _anchor_bucket(groups), GROUPED)
+    marked = dealt(anchors, "group", groups, _documents, lists).select("class", "places")
+    marked = shared.table(heads.join(marked, "class").select(F.col("head").alias("id"), "class", "places"), "marked")
+    n_windows = (marked.agg(F.sum(F.size("places"))).first()[0] or 0) * PERIOD
     texts = _filter(marked.select("id"))(own).join(marked.hint("shuffle_hash"), "id")
     texts = shared.table(texts.select("id", "text", "class", "places").mapInArrow(_own_class, "id long, text string, class long, places array<int>"), "texts")
-    later = texts.mapInArrow(_windows(buckets), WINDOWS).groupBy("bucket").applyInArrow(_window_bucket(groups), GROUPED)
-    later = later.groupBy("group").applyInArrow(_documents, lists)
+    shared.drop(marked)
+    n, groups = buckets(n_windows, WINDOW_BYTES), buckets(n_windows, PLACE_BYTES)
+    later = dealt(texts.mapInArrow(_windows(n), WINDOWS), "bucket", n, _window_bucket(groups), GROUPED)
+    later = dealt(later, "group", groups, _documents, lists)
     changed = texts.select("id", "text", "class").join(later.hint("shuffle_hash"), ["id", "class"]).mapInArrow(_removed, "id long, class long, n_removed long, kept_sha256 string, spans array<struct<first:long,end:long>>").dropDuplicates(["id", "class"])
-    return _result(facts, heads, changed)
+    return _result(facts, changed)
 
 
-def _result(facts: DataFrame, heads: DataFrame, changed: DataFrame) -> DataFrame:
-    out = facts.join(heads.select("digest", "head"), "digest").join(changed, ["id", "class"], "left")
+def _result(facts: DataFrame, changed: DataFrame) -> DataFrame:
+    copies = shared.table(facts.groupBy("digest").agg(F.min("id").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1"), "copies")
+    out = shared.join_groups(facts, copies, "digest", "left").join(changed, ["id", "class"], "left")
     copy = (F.col("id") != F.col("head")) & (F.col("n_words") >= WINDOW)
     return out.select(
-        F.when(F.col("id") != LAST, F.col("id")).alias("doc_id"),
+        "doc_id",
         "n_words",
         F.when(copy, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
         F.when(copy, F.lit(hashlib.sha256(b"").hexdigest())).otherwise(F.coalesce("kept_sha256", F.lower(F.hex("digest")))).alias("kept_sha256"),

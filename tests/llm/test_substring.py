@@ -64,6 +64,21 @@ def test_repeated_rows_and_no_rows(spark):
     assert S.repeated_windows(df.limit(0)).count() == 0
 
 
+def test_the_largest_id_is_not_a_missing_one(spark):
+    text = " ".join(map(str, range(30)))
+    big = (1 << 63) - 1
+    df = spark.createDataFrame([(big, text), (3, text), (None, "x " + text), (big, "other")], "doc_id long, text string")
+    assert sorted((r.doc_id or 0, r.n_words, r.n_removed) for r in S.repeated_windows(df).collect()) == [(0, 31, 30), (3, 30, 0), (big, 1, 0), (big, 30, 30)]
+
+
+def test_small_buckets_and_many_copies(spark, monkeypatch):
+    """Buckets by the number of entries: thousands of them give what a few do."""
+    monkeypatch.setattr(S, "BUCKET_BYTES", 200)
+    data = rows()[:60] + [(10**7 + i, rows()[2][1]) for i in range(100)]
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    assert got(S.repeated_windows(df)) == brute(data)
+
+
 def test_any_two_places_share_a_cover_place():
     for i in range(S.PERIOD):
         for j in range(S.PERIOD):
