@@ -30,34 +30,71 @@ def mean_var_l2(df: DataFrame) -> DataFrame:
     return own.agg(far("mean").alias("mean_l2"), far("var").alias("var_l2"))
 
 
-def covariances(df: DataFrame, ddof: int = 1, centred: bool = True) -> dict[str, tuple[np.ndarray, np.ndarray, int]]:
-    """series -> (covariance, mean, rows). Each task sums its own outer products; only D x D sums meet, and the driver gets one for each task and series."""
+def _sums(batches, add):
+    """add(batch) gives (series, part, count, numbers); a row for each series and part, added up."""
     import pyarrow as pa
 
+    held: dict = {}
+    for batch in batches:
+        for series, part, n, x in add(batch):
+            old = held.get((series, part))
+            held[series, part] = (n, x) if old is None else (old[0] + n, old[1] + x)
+    rows = list(held.items())
+    yield pa.RecordBatch.from_arrays([pa.array([s for (s, _), _ in rows], pa.string()), pa.array([p for (_, p), _ in rows], pa.int32()), pa.array([n for _, (n, _) in rows], pa.int64()), pa.array([x.tolist() for _, (_, x) in rows], pa.list_(pa.float64()))], ["series", "part", "n", "x"])
+
+
+SUMS = "series string, part int, n long, x array<double>"
+
+
+def _added(parts: DataFrame) -> DataFrame:
+    """A row for each series and part: the sum of all tasks' rows, added up as they come in, each part in one task."""
+
     def run(batches):
-        sums: dict = {}
+        rows = lambda b: zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), (np.asarray(x, float) for x in b.column(3).to_pylist()), strict=True)
+        yield from _sums(batches, rows)
+
+    return parts.repartition("series", "part").mapInArrow(run, SUMS)
+
+
+def covariances(df: DataFrame, ddof: int = 1, centred: bool = True) -> dict[str, tuple[np.ndarray, np.ndarray, int]]:
+    """series -> (covariance, mean, rows): the means first, then outer products of what differs from them, against cancellation. Each task
+    adds up its own; rows of these matrices meet on the executors, and the driver gets one D x D matrix of each series."""
+    own = df.select("series", "v")
+
+    def by_series(batch):
+        names, v = np.asarray(batch.column(0).to_pylist(), object), K.matrix(batch.column(1))
+        for s in sorted(set(names.tolist())):
+            yield s, v[names == s]
+
+    def totals(batches):
+        yield from _sums(batches, lambda b: [(s, 0, len(x), x.sum(0)) for s, x in by_series(b)])
+
+    means = {r.series: (r.n, np.array(r.x) / r.n) for r in _added(own.mapInArrow(totals, SUMS)).collect()}  # one vector for each series
+    sent = df.sparkSession.sparkContext.broadcast({s: m for s, (_, m) in means.items()})
+
+    def products(batches):
+        import pyarrow as pa
+
+        held: dict = {}
         for batch in batches:
-            names = np.asarray(batch.column(0).to_pylist(), object)
-            v = K.matrix(batch.column(1))
-            for s in set(names.tolist()):
-                x = v[names == s]
-                n, shift, g, t = sums.get(s) or (0, x.mean(0), 0.0, 0.0)
-                y = x - shift  # against cancellation
-                sums[s] = (n + len(x), shift, g + y.T @ y, t + y.sum(0))
-        for s, (n, shift, g, t) in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([s]), pa.array([n], pa.int64()), pa.array([shift.tolist()]), pa.array([t.tolist()]), pa.array([g.ravel().tolist()])], ["series", "n", "shift", "t", "g"])
-
-    parts = df.select("series", "v").mapInArrow(run, "series string, n long, shift array<double>, t array<double>, g array<double>").collect()
+            for s, x in by_series(batch):
+                y = x - sent.value[s]
+                g, t = held.get(s, (0.0, 0.0))
+                held[s] = g + y.T @ y, t + y.sum(0)
+        for s, (g, t) in held.items():  # the last part holds the sums, which rounding of the mean leaves
+            parts = [*g, t]
+            yield pa.RecordBatch.from_arrays([pa.array([s] * len(parts)), pa.array(range(len(parts)), pa.int32()), pa.array([0] * len(parts), pa.int64()), pa.array([x.tolist() for x in parts], pa.list_(pa.float64()))], ["series", "part", "n", "x"])
+
+    rows: dict = {s: {} for s in means}
+    for r in _added(own.mapInArrow(products, SUMS)).toLocalIterator():
+        rows[r.series][r.part] = np.array(r.x)
     out = {}
-    for s in sorted({p.series for p in parts}):
-        own = [p for p in parts if p.series == s]
-        n = sum(p.n for p in own)
-        mean = sum(p.n * np.array(p.shift) + np.array(p.t) for p in own) / n
-        gram = 0.0
-        for p in own:
-            d, t = np.array(p.shift) - (mean if centred else 0), np.array(p.t)
-            gram = gram + np.array(p.g).reshape(len(t), -1) + np.outer(d, t) + np.outer(t, d) + p.n * np.outer(d, d)
-        out[s] = (gram / (n - ddof), mean, n)
+    for s in sorted(means):
+        n, mean = means[s]
+        rest = rows[s].pop(len(mean)) / n
+        gram = np.array([rows[s][i] for i in range(len(mean))]) - n * np.outer(rest, rest)
+        mean = mean + rest
+        out[s] = ((gram if centred else gram + n * np.outer(mean, mean)) / (n - ddof), mean, n)
     return out
 
 
@@ -69,19 +106,11 @@ def covariance_fro(df: DataFrame) -> float:
 def _mean_of(a: DataFrame, b: DataFrame, fn) -> float:
     """The mean of fn over all pairs of distances; sums of blocks are added up by the cluster."""
     held = K.Targets(b)
-    rows = K.blocks(a, held, lambda ids, x, tids, tv: (ids, fn(_direct(x, tv)).sum(1)), "q long, s double")
+    rows = K.blocks(a, held, lambda ids, x, tids, tv: (ids, fn(K.distances(x, tv)).sum(1)), "q long, s double")
     got = rows.agg(F.sum("s").alias("s"), F.count(F.lit(1)).alias("n")).first()
     return got.s / (got.n * len(held))
 
 
-def _direct(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    d = K.distances(x, y)
-    near = np.argwhere(d < 1e-3)  # where expanding squares rounds
-    if len(near):
-        d[near[:, 0], near[:, 1]] = np.sqrt(((x[near[:, 0]] - y[near[:, 1]]) ** 2).sum(1))
-    return d
-
-
 def mmd_rbf(real: DataFrame, synth: DataFrame, gamma: float = 1.0) -> float:
     """The squared discrepancy, biased: pairs of a row with itself count."""
     kernel = lambda d: np.exp(-gamma * d * d)
@@ -98,7 +127,7 @@ def pairwise_hist_l1(real: DataFrame, synth: DataFrame, bins: int = 50) -> DataF
 
     def counts(b: DataFrame) -> DataFrame:
         def run(ids, x, tids, tv):
-            own = np.array([np.histogram(r, edges)[0] for r in _direct(x, tv)])
+            own = np.array([np.histogram(r, edges)[0] for r in K.distances(x, tv)])
             return np.tile(np.arange(bins), len(ids)), own.ravel().astype(np.int64)
 
         got = K.blocks(real, K.Targets(b), run, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n"))
@@ -154,7 +183,7 @@ def pdist(df: DataFrame) -> DataFrame:
     held = K.Targets(df)
 
     def run(ids, x, tids, tv):
-        d = _direct(x, tv)
+        d = K.distances(x, tv)
         d[tids[None, :] <= ids[:, None]] = np.nan
         some = (tids[None, :] > ids[:, None]).any(1)
         low = np.where(some, np.nanmin(np.where(some[:, None], d, 0.0), 1), np.inf) if len(d) else np.zeros(0)

@@ -56,10 +56,26 @@ def blocks(queries: DataFrame, targets: Targets, run: Callable, schema: str, key
     return queries.select(key, "v").repartition(parts, key).mapInArrow(each, schema)
 
 
+def squares(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Squared Euclidean distances by expanded squares, and how far rounding may have moved those of each row of x: in proportion to the squares of
+    the norms, whatever the distance."""
+    a, b = (x * x).sum(1), (y * y).sum(1)
+    slack = 4 * np.finfo(float).eps * (x.shape[1] + 8) * (a + (b.max() if len(b) else 0))
+    return np.maximum(a[:, None] + b[None, :] - 2 * (x @ y.T), 0), slack
+
+
 def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Euclidean distances by expanded squares: fast, but rounded near zero."""
-    squares = (x * x).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2 * (x @ y.T)
-    return np.sqrt(np.maximum(squares, 0))
+    """Euclidean distances: by expanded squares, and where rounding would show, anew from the differences."""
+    d, slack = squares(x, y)
+    rough = d < 1e6 * slack[:, None]
+    np.sqrt(d, out=d)
+    step = max(1, CELLS // max(1, x.shape[1]))
+    for i in np.flatnonzero(rough.any(1)):
+        near = np.flatnonzero(rough[i])
+        for k in range(0, len(near), step):
+            at = near[k : k + step]
+            d[i, at] = np.sqrt(((x[i] - y[at]) ** 2).sum(1))
+    return d
 
 
 def _exact(metric: str, q: np.ndarray, t: np.ndarray) -> np.ndarray:
@@ -69,28 +85,52 @@ def _exact(metric: str, q: np.ndarray, t: np.ndarray) -> np.ndarray:
     return np.sqrt(((q[:, None, :] - t) ** 2).sum(2))
 
 
-def _nearest(k: int, metric: str, own: bool):
+def first_equal(v: np.ndarray) -> np.ndarray:
+    """For each row, the first row with the same components."""
+    if not v.size:
+        return np.arange(len(v))
+    whole = np.ascontiguousarray(v + 0.0).view(np.dtype((np.void, v.shape[1] * v.itemsize))).ravel()
+    _, first, own = np.unique(whole, return_index=True, return_inverse=True)
+    return first[own]
+
+
+def _nearest(k: int, metric: str, own: bool, same):
+    """same: the broadcast of first_equal() of the targets."""
+
+    def ranked(x, tv, candidates):
+        """Exact distances of one query to candidates, of which equal ones are computed once, a bounded number at a time."""
+        first, back = np.unique(same.value[candidates], return_inverse=True)
+        step = max(1, CELLS // max(1, tv.shape[1]))
+        return np.concatenate([_exact(metric, x[None], tv[first[i : i + step]][None])[0] for i in range(0, len(first), step)])[back]
+
     def run(ids, x, tids, tv):
-        rough = distances(x, tv)
         if metric == "cosine":
             unit = lambda m: m / np.maximum(np.sqrt((m * m).sum(1, keepdims=True)), 1e-300)
             rough = 1 - unit(x) @ unit(tv).T
+            slack = np.full(len(x), 8 * np.finfo(float).eps * (x.shape[1] + 8))
+        else:
+            rough, slack = squares(x, tv)
         if own:
             at = np.searchsorted(tids, ids)
             hit = (at < len(tids)) & (tids[np.minimum(at, len(tids) - 1)] == ids)
             rough[np.flatnonzero(hit), at[hit]] = np.inf
         more = min(rough.shape[1], k + 8)
         part = np.argpartition(rough, more - 1, axis=1)[:, :more]
-        # Rounding may have kept out a target that ties with the last of these: take all that come near it.
-        edge = np.take_along_axis(rough, part, 1).max(1)
-        wide = int((rough <= edge[:, None] + 1e-6).sum(1).max())
-        if more < wide <= rough.shape[1]:
-            part = np.argpartition(rough, wide - 1, axis=1)[:, :wide]
-        d = np.concatenate([_exact(metric, x[i : i + 64], tv[part[i : i + 64]]) for i in range(0, len(x), 64)]) if len(x) else np.zeros((0, more))
+        near = np.sort(np.take_along_axis(rough, part, 1), axis=1)
+        # Rounding may have kept out targets that tie with the k-th: rows for which that can be are widened, each by itself.
+        edge = near[:, k - 1] + 2 * slack
+        d = np.empty((len(x), more))
+        for i in range(0, len(x), 64):
+            d[i : i + 64] = _exact(metric, x[i : i + 64], tv[part[i : i + 64]])
         if own:
             d[np.isinf(np.take_along_axis(rough, part, 1))] = np.inf
         order = np.lexsort((tids[part], d), axis=1)[:, :k]
         d, t = np.take_along_axis(d, order, 1), np.take_along_axis(tids[part], order, 1)
+        for i in np.flatnonzero((near[:, -1] <= edge) & (more < rough.shape[1])):
+            candidates = np.flatnonzero(rough[i] <= edge[i])
+            exact = ranked(x[i], tv, candidates)
+            best = np.lexsort((tids[candidates], exact))[:k]
+            d[i], t[i] = exact[best], tids[candidates[best]]
         keep = np.isfinite(d)
         rank = np.broadcast_to(np.arange(1, d.shape[1] + 1), d.shape)
         return np.repeat(ids, keep.sum(1)), rank[keep].astype(np.int64), t[keep], d[keep]
@@ -108,4 +148,5 @@ def knn(points: DataFrame, k: int, metric: str = "l2", targets: DataFrame | None
         raise ValueError("neighbours need two points at least")
     if k < 1:
         raise ValueError("k must be 1 at least")
-    return blocks(points, held, _nearest(min(k, len(held) - (targets is None)), metric, targets is None), KNN)
+    same = points.sparkSession.sparkContext.broadcast(first_equal(held.v))  # a number for each target, of which there are no more than their vectors allow
+    return blocks(points, held, _nearest(min(k, len(held) - (targets is None)), metric, targets is None, same), KNN)
