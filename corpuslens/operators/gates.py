@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import copy
 import math
+import os
 
 import yaml
 from pyspark.sql import Column, DataFrame
@@ -142,10 +144,60 @@ def parse_spec(spec: Column) -> tuple[Column, Column]:
     return label, path
 
 
+#: The files of a training run.
+CHECKPOINT, RUN_CONFIG, RUN_METADATA = "best_generator.pt", "run_config.yaml", "run_metadata.json"
+
+
 def resolve_variants(variants: DataFrame, files: DataFrame) -> DataFrame:
-    """variants(name, config, run_dir) and files(path) -> name, found, reason: what each lacks, its configuration first."""
-    have = lambda alias: files.select(F.col("path").alias(alias), F.lit(True).alias(f"has_{alias}"))
-    own = variants.withColumn("checkpoint", F.concat_ws("/", "run_dir", F.lit("checkpoint.pt")))
-    own = own.join(have("config"), "config", "left").join(have("checkpoint"), "checkpoint", "left")
-    reason = F.when(F.col("has_config").isNull(), F.concat(F.lit("no configuration at "), "config")).when(F.col("has_checkpoint").isNull(), F.concat(F.lit("no checkpoint at "), "checkpoint"))
+    """variants(name, run_dir) and files(path, text; null for what isn't text) -> name, found, reason: the first that a run lacks of its
+    directory, checkpoint and configuration, or why its samples couldn't be brought back to the corpus's coordinates."""
+    from corpuslens.operators import preprocess
+
+    blocker = F.udf(lambda config, metadata: None if config is None else preprocess.run_blocker(config, metadata), "string")  # a row for each run
+    parts = files.select(F.regexp_replace("path", "/[^/]*$", "").alias("run_dir"), F.regexp_extract("path", "[^/]*$", 0).alias("file"), "text")
+    text = lambda name: F.max(F.when(F.col("file") == name, F.col("text")))
+    has = lambda name: F.bool_or(F.col("file") == name)
+    runs = parts.groupBy("run_dir").agg(has(CHECKPOINT).alias("checkpoint"), has(RUN_CONFIG).alias("config"), text(RUN_CONFIG).alias("config_text"), text(RUN_METADATA).alias("metadata"))
+    own = variants.select("name", "run_dir").join(runs, "run_dir", "left").withColumn("blocker", blocker("config_text", "metadata"))
+    lacks = lambda what: F.concat(F.lit(f"no {what} in "), "run_dir")
+    reason = F.when(F.col("checkpoint").isNull(), F.concat(F.lit("no run directory at "), "run_dir")).when(~F.col("checkpoint"), lacks(CHECKPOINT)).when(~F.col("config"), lacks(RUN_CONFIG)).otherwise(F.col("blocker"))
     return own.select("name", reason.isNull().alias("found"), reason.alias("reason"))
+
+
+def run_files(spark, root: str, variants: list[dict]) -> DataFrame:
+    """files(path, text) of the directories that a manifest names, by their paths in it."""
+    rows = []
+    for run in dict.fromkeys(v["run_dir"] for v in variants):
+        at = os.path.join(root, run)
+        for name in sorted(os.listdir(at)) if os.path.isdir(at) else ():
+            text = None
+            if name in (RUN_CONFIG, RUN_METADATA):
+                with open(os.path.join(at, name)) as f:
+                    text = f.read()
+            rows.append((f"{run}/{name}", text))
+        if os.path.isdir(at):
+            rows.append((f"{run}/.", None))  # an empty directory is one too
+    return spark.createDataFrame(rows, "path string, text string")
+
+
+def manifest_of(folder: str, dataset: str) -> str:
+    """Where a family's manifest lies."""
+    return f"{folder}/{dataset}.yaml"
+
+
+def known_datasets(folder: str) -> list[str]:
+    """The families that have a manifest in the folder."""
+    return sorted(f.removesuffix(".yaml") for f in os.listdir(folder) if f.endswith(".yaml")) if os.path.isdir(folder) else []
+
+
+def with_changes(config: dict, changes: dict, output_dir: str) -> dict:
+    """A copy of a configuration with other values at dotted keys, which must be there already, and its own output_dir."""
+    out = copy.deepcopy(config)
+    for key, value in changes.items():
+        at, *parts = out, *key.split(".")
+        for part in parts[:-1]:
+            at = at[part]
+        if parts[-1] not in at:
+            raise GateError(f"{key} is no key of the configuration")
+        at[parts[-1]] = value
+    return out | {"output_dir": output_dir}

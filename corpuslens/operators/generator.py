@@ -23,6 +23,10 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(x / 2))
 
 
+def unit_rows(x: np.ndarray, eps: float = 1e-8) -> np.ndarray:
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), eps)
+
+
 @dataclass
 class Mlp:
     """A plain network."""
@@ -36,7 +40,8 @@ class Mlp:
 
 @dataclass
 class Gated:
-    """A trunk, a head of sizes (softplus) and a head of gates: an output is its size where the noisy gate is open, else exactly 0."""
+    """A trunk, a head of sizes (softplus) and a head of gates: an output is its size where the noisy gate is open, else exactly 0. Rows are of
+    unit norm and never zero: where all gates are closed the most likely one opens, and sizes have a floor."""
 
     trunk: list
     sizes: tuple
@@ -44,17 +49,21 @@ class Gated:
     slope: float = 0.2
     temperature: float = 1.0
     clamp: float = 10.0
+    eps: float = 1e-8
 
     def gate(self, logits: np.ndarray, noise: np.ndarray) -> np.ndarray:
         bounded = self.clamp * np.tanh(logits / self.clamp)
-        logistic = np.log(noise) - np.log1p(-noise)
-        return _sigmoid((bounded + logistic) / self.temperature) > 0.5
+        u = np.clip(noise, self.eps, 1 - self.eps)
+        opened = _sigmoid((bounded + np.log(u) - np.log1p(-u)) / self.temperature) > 0.5
+        shut = np.flatnonzero(~opened.any(1))
+        opened[shut, bounded[shut].argmax(1)] = True
+        return opened
 
     def __call__(self, z: np.ndarray, noise: np.ndarray) -> np.ndarray:
         h = _dense(z, self.trunk, self.slope)
         h = np.where(h >= 0, h, self.slope * h)
-        size = np.logaddexp(0, h @ self.sizes[0].T + self.sizes[1])
-        return size * self.gate(h @ self.gates[0].T + self.gates[1], noise)
+        size = np.maximum(np.logaddexp(0, h @ self.sizes[0].T + self.sizes[1]), 100 * self.eps)
+        return unit_rows(size * self.gate(h @ self.gates[0].T + self.gates[1], noise), self.eps)
 
 
 @dataclass
@@ -87,7 +96,7 @@ def random_layers(sizes: list[int], seed: int) -> list:
 
 
 def generate(spark: SparkSession, network, rows: int, latent: int, width: int, seed: int = 42) -> DataFrame:
-    """vec_id, v: each row's noise comes from its own id, so partitions and retries change nothing."""
+    """vec_id, v, of unit norm: each row's noise comes from its own id, so partitions and retries change nothing."""
     sent = spark.sparkContext.broadcast(network)
 
     def run(batches):
@@ -95,7 +104,7 @@ def generate(spark: SparkSession, network, rows: int, latent: int, width: int, s
             rngs = [np.random.default_rng([seed, i]) for i in batch.column(0).to_pylist()]
             z = np.array([r.standard_normal(latent) for r in rngs]).reshape(-1, latent)
             noise = np.array([r.uniform(1e-12, 1 - 1e-12, width) for r in rngs]).reshape(-1, width)
-            v = sent.value(z, noise).astype(np.float32) if len(rngs) else np.zeros((0, width), np.float32)
+            v = unit_rows(sent.value(z, noise)).astype(np.float32) if len(rngs) else np.zeros((0, width), np.float32)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(v), pa.list_(pa.float32()))], ["vec_id", "v"])
 
     return spark.range(rows).mapInArrow(run, "vec_id long, v array<float>")

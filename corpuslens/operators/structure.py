@@ -110,7 +110,10 @@ def long_statistics(wide: DataFrame, *keys: str) -> DataFrame:
 
 
 def draw_floor(stats: DataFrame) -> DataFrame:
-    """statistic, low, middle, high, spread, and spread in percent of the median."""
+    """statistic, low, middle, high, spread, and spread in percent of the median. A draw in which a statistic couldn't be measured is an error."""
+    lacking = stats.where(F.col("value").isNull() | F.isnan("value")).select("statistic").distinct().collect()  # four names at most
+    if lacking:
+        raise ValueError(f"not measured in every draw: {', '.join(sorted(r.statistic for r in lacking))}")
     g = stats.groupBy("statistic").agg(F.min("value").alias("low"), F.percentile("value", F.lit(0.5)).alias("middle"), F.max("value").alias("high"))
     return g.withColumn("spread", F.col("high") - F.col("low")).withColumn("spread_pct", 100 * F.col("spread") / F.nullif(F.abs("middle"), F.lit(0.0)))
 
@@ -234,13 +237,29 @@ def _batch_profile(x: np.ndarray, k: int) -> np.ndarray | None:
     k = min(k, len(x) - 1)
     if k < 2:
         return None
-    d = fidelity._direct(x, x)
+    d = K.distances(x, x)
     np.fill_diagonal(d, np.inf)
     r = np.sort(d, 1)[:, :k]
     r = r[(r[:, 0] > 0) & (r[:, 0] < r[:, -1])]
     return np.log(np.clip(r[:, :-1] / r[:, -1:], 1e-12, 1.0)).mean(0) if len(r) else None
 
 
+def batch_knn(points: DataFrame, k: int) -> DataFrame:
+    """points(batch, vec_id, v) -> batch, q, rk, t, d: the k nearest others of the same batch, ties by id. A batch is held by one worker, as in training."""
+    import pandas as pd
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("vec_id")
+        ids, x = part["vec_id"].to_numpy(), np.array(part["v"].tolist(), float)
+        d = np.array([np.sqrt(((x - row) ** 2).sum(1)) for row in x])  # from differences, so equal rows tie
+        np.fill_diagonal(d, np.inf)
+        n = min(k, len(x) - 1)
+        at = np.argsort(d, axis=1, kind="stable")[:, :n]
+        return pd.DataFrame({"batch": part["batch"].iloc[0], "q": np.repeat(ids, n), "rk": np.tile(np.arange(1, n + 1), len(ids)), "t": ids[at].ravel(), "d": np.take_along_axis(d, at, 1).ravel()})
+
+    return points.select("batch", "vec_id", "v").groupBy("batch").applyInPandas(run, "batch long, q long, rk long, t long, d double")
+
+
 def _penalties(trials, decay: float) -> np.ndarray:
     """trials of (real, other) profiles -> the penalty of each against the moving average of the real ones so far. One that can't be measured is 0 and leaves the average alone."""
     now, out = None, []

@@ -3,16 +3,20 @@
 from __future__ import annotations
 
 import ast
+import os
 import struct
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from corpuslens.operators import sampling
+
 #: Bytes of a split, and of a batch.
 SPLIT, BATCH = 32 << 20, 1 << 20
 MAGIC = bytes([0x93]) + b"NUMPY"
@@ -159,6 +163,57 @@ def write_fvecs(df: DataFrame, path: str) -> int:
     return n
 
 
+def write_npy(df: DataFrame, path: str) -> int:
+    """One local .npy file of 32-bit floats, in the order of vec_id, streamed through the driver a partition at a time and put in place whole;
+    returns the rows. Rows of several lengths are an error."""
+    size = df.agg(F.count(F.lit(1)).alias("n"), F.min(F.size("v")).alias("a"), F.max(F.size("v")).alias("b")).first()
+    if size.a != size.b:
+        raise ValueError(f"rows have {size.a} to {size.b} dimensions")
+    with open(f"{path}.part", "wb") as f:
+        np.lib.format.write_array_header_1_0(f, {"descr": "<f4", "fortran_order": False, "shape": (size.n, size.a or 0)})
+        for r in df.orderBy("vec_id").select("v").toLocalIterator(prefetchPartitions=True):
+            f.write(np.asarray(r.v, "<f4").tobytes())
+    os.replace(f"{path}.part", path)
+    return size.n
+
+
+def sample_fvecs(spark: SparkSession, source: str, path: str, rows: int, seed: int = 42) -> int:
+    """A .npy file of so many rows of an .fvecs file, drawn without replacement; more than it holds, or none, are an error."""
+    if rows <= 0:
+        raise ValueError("at least one row must be asked for")
+    own = load(spark, source, "fvecs")
+    if (n := own.count()) < rows:
+        raise ValueError(f"{rows} rows were asked for; there are {n}")
+    return write_npy(sampling.sample(own, rows, seed), path)
+
+
+def sample_shards(spark: SparkSession, shards: list[str], rows: int, seed: int = 42, column: str = "openai") -> DataFrame:
+    """vec_id, v: a sample without replacement over all Parquet shards in their order (all rows if there are fewer). Row counts come from the
+    footers, and only shards in which a drawn row lies are opened, for one column."""
+
+    def counted(batches):
+        for batch in batches:
+            n = []
+            for path in batch.column(1).to_pylist():
+                with _open(path) as f:
+                    n.append(pq.ParquetFile(f).metadata.num_rows)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64())], ["shard", "n"])
+
+    listed = spark.createDataFrame(list(enumerate(shards)), "shard long, path string").repartition(len(shards))
+    counts = [r.n for r in listed.mapInArrow(counted, "shard long, n long").orderBy("shard").collect()]  # a number for each file
+    bounds = np.cumsum([0, *counts]).tolist()
+    drawn = sampling.sample(spark.range(bounds[-1]).withColumnRenamed("id", "vec_id"), rows, seed)
+    edges = F.broadcast(spark.createDataFrame([(i, bounds[i], bounds[i + 1]) for i in range(len(shards))], "shard long, low long, high long"))  # a row for each file
+    placed = drawn.join(edges, (F.col("vec_id") >= F.col("low")) & (F.col("vec_id") < F.col("high"))).select("vec_id", "shard", (F.col("vec_id") - F.col("low")).alias("row"))
+    out = None
+    for i in sorted(r.shard for r in placed.select("shard").distinct().collect()):
+        own = spark.read.parquet(shards[i]).select(F.col("_metadata.row_index").alias("row"), F.lit(i).cast("long").alias("shard"), F.col(column).cast("array<float>").alias("v"))
+        out = own if out is None else out.unionByName(own)
+    if out is None:
+        return spark.createDataFrame([], "vec_id long, v array<float>")
+    return out.join(placed, ["shard", "row"]).select("vec_id", "v")
+
+
 #: The corpora's dimensions, metrics and default subset sizes.
 FAMILIES = [
     ("sift", 128, "l2", "hdf5", [250_000, 1_000_000]),
