@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuslens.functions.vectors import cell_of, exploded, norm
-from corpuslens.operators import difficulty, fidelity, structure
+from corpuslens.operators import difficulty, fidelity, sampling, structure
 from corpuslens.operators import knn as K
 
 
@@ -114,6 +115,41 @@ def pca_spectrum(df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, "series string, comp int, ratio double, cum double")
 
 
+def scatter(df: DataFrame) -> DataFrame:
+    """vec_id, series, x, y: rows on the two leading directions of all series together. A direction's largest component is positive."""
+    c, mean, _ = fidelity.covariances(df.select(F.lit("x").alias("series"), "v"))["x"]
+    axes = np.linalg.eigh(c)[1][:, ::-1][:, :2]
+    axes = axes * np.sign(axes[np.abs(axes).argmax(0), np.arange(axes.shape[1])])
+    on = lambda k: F.aggregate(F.zip_with("v", F.array(*map(F.lit, axes[:, k].tolist())), lambda a, b: a * b), F.lit(float(-(mean @ axes[:, k]))), lambda s, x: s + x)
+    return df.select("vec_id", "series", on(0).alias("x"), (on(1) if axes.shape[1] > 1 else F.lit(0.0)).alias("y"))
+
+
+def steady_histogram(values: DataFrame, bins: int, span: float = 1e-6) -> DataFrame:
+    """histogram() of values(series, x), but one bin where all values of a series lie as close as rounding lets them: within `span` of their size.
+    Values that are no finite numbers are an error."""
+    ends = values.groupBy("series").agg(F.min("x").alias("a"), F.max("x").alias("b"), F.count_if(F.col("x").isNull() | F.isnan("x") | (F.abs("x") == float("inf"))).alias("off")).collect()  # a row for each series
+    if bad := [r.series for r in ends if r.off]:
+        raise ValueError(f"values of {', '.join(sorted(bad))} are not finite")
+    out = None
+    for r in sorted(ends, key=lambda r: r.series):
+        own = values.where(F.col("series") == r.series)
+        if r.b - r.a <= span * max(abs(r.a), abs(r.b), 1.0):
+            own = own.limit(1).select("series", F.lit(0).alias("bin"), F.lit(r.a).alias("lo"), F.lit(r.b).alias("hi"), F.lit(1.0).alias("density"))
+        else:
+            own = histogram(own, bins)
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+def lorenz(df: DataFrame, nlist: int, seed) -> DataFrame:
+    """series, i, share_cells, share_points: how points are spread over cells."""
+    out = None
+    for s in sorted(r.series for r in df.select("series").distinct().collect()):
+        own = difficulty.lorenz(difficulty.ivf_occupancy(df.where(F.col("series") == s), nlist, seed)).select(F.lit(s).alias("series"), "*")
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
 def condition_note(conditions: DataFrame) -> DataFrame:
     """conditions(series, n, k, nlist) -> note: one sentence if all series were measured alike, else one for each."""
     text = F.concat_ws(", ", F.concat(F.lit("n="), "n"), F.concat(F.lit("k="), "k"), F.concat(F.lit("nlist="), "nlist"))
@@ -148,31 +184,56 @@ class Config:
     max_dim: int = 256
     seed: int = 42
     preprocess: str = "l2"
+    glyphs: int = 8
 
 
 @dataclass
 class Context:
     df: DataFrame
     config: Config = field(default_factory=Config)
+    _measured: DataFrame | None = None
 
     def width(self) -> int:
         return self.df.select(F.size("v").alias("d")).first().d
 
+    def measured(self) -> DataFrame:
+        """The rows that the statistics are taken of: config.rows of each series at most, the same for all panels."""
+        if self._measured is None:
+            for s in sorted(r.series for r in self.df.select("series").distinct().collect()):
+                own = sampling.sample(self.df.where(F.col("series") == s), self.config.rows, self.config.seed)
+                self._measured = own if self._measured is None else self._measured.unionByName(own)
+        return self._measured
+
 
 def _wide(c: Context) -> bool:
     return c.width() > c.config.max_dim
 
 
+def _rays(c: Context) -> DataFrame | None:
+    """Drawings of a few rows of each series; only 128-wide rows have the layout."""
+    if c.width() != 128:
+        return None
+    rows = sampling.glyph_rows(c.df, c.config.glyphs, c.config.seed)
+    if rows is None:
+        return None
+    own = c.df.join(F.broadcast(rows), ["vec_id", "series"]).withColumn("key", F.concat_ws(":", "part", "vec_id"))  # a few rows
+    scale = glyph_scale(own).first().scale
+    return glyph_rays(own.select(F.col("key").alias("vec_id"), "v"), scale)
+
+
 #: name -> the panel's rows, or None if it doesn't apply. A new entry adds a panel.
 PANELS: dict[str, Callable[[Context], DataFrame | None]] = {
-    "lid": lambda c: histogram(lids(c.df, c.config.k), c.config.bins),
-    "contrast": lambda c: histogram(contrasts(c.df, c.config.k, c.config.seed), c.config.bins),
-    "hubness": lambda c: histogram(hubness(c.df, c.config.k_hub), c.config.bins),
+    "lid": lambda c: histogram(lids(c.measured(), c.config.k), c.config.bins),
+    "contrast": lambda c: histogram(contrasts(c.measured(), c.config.k, c.config.seed), c.config.bins),
+    "hubness": lambda c: histogram(hubness(c.measured(), c.config.k_hub), c.config.bins),
+    "ivf": lambda c: lorenz(c.measured(), c.config.nlist, c.config.seed),
+    "glyphs": _rays,
+    "scatter": lambda c: scatter(c.measured()),
     "values": lambda c: histogram(values(c.df), c.config.bins),
     "marginals": lambda c: None if _wide(c) else dim_marginals(c.df, c.config.bins),
     "profiles": lambda c: dim_profiles(c.df),
     "pairwise": lambda c: histogram(pairwise(c.df, c.config.pairs, c.config.seed), c.config.bins),
-    "knn": lambda c: histogram(kth_distance(c.df, c.config.knn), c.config.bins),
+    "knn": lambda c: histogram(kth_distance(c.measured(), c.config.knn), c.config.bins),
     "norms": lambda c: histogram(norms(c.df), c.config.bins) if c.config.preprocess == "none" else None,
     "pca": lambda c: pca_spectrum(c.df),
     "correlation": lambda c: None if _wide(c) else structure.correlation(c.df),

@@ -727,14 +727,58 @@ def _(spark, sf):
     return spark.range(1, 51).select(F.col("id").alias("step"), F.round(1 / (1 - F.pow(F.lit(0.99), F.col("id"))), 6).alias("factor"))
 
 
-FILES = ["c/v0.yaml", "c/v1.yaml", "r/v0/checkpoint.pt", "r/v2/checkpoint.pt"]
-RUNS = [(f"v{i}", f"c/v{i}.yaml", f"r/v{i}") for i in range(3)]
+_whitened = '{"data": {"preprocess": {"center": true, "whiten": true}}}'
+_state = '{"preprocess_state": {"descriptor_dim": 1, "mean": [0.5], "whitening_matrix": null, "config": {"center": true, "l2_normalize": %s}}}'
+FILES = [(f"r/v{i}/best_generator.pt", None) for i in (0, 1, 3, 4, 5, 6)] + [("r/v0/run_config.yaml", '{"data": {}}'), ("r/v7/notes", None)]
+FILES += [(f"r/v{i}/run_config.yaml", _whitened) for i in (3, 4, 5, 6)] + [("r/v4/run_metadata.json", "{}"), ("r/v5/run_metadata.json", _state % "true"), ("r/v6/run_metadata.json", _state % "false")]
+RUNS = [(f"v{i}", f"r/v{i}") for i in range(8)]
+_files = ", ".join(f"('{p}', {'NULL' if t is None else chr(39) + t + chr(39)})" for p, t in FILES)
 
 
-@query("resolve_variants", f"""WITH v(name, config, run_dir) AS (VALUES {', '.join(map(str, RUNS))}), f(path) AS (VALUES {', '.join(f"('{x}')" for x in FILES)}),
-r AS (SELECT name, CASE WHEN config NOT IN (SELECT path FROM f) THEN 'no configuration at ' || config WHEN run_dir || '/checkpoint.pt' NOT IN (SELECT path FROM f) THEN 'no checkpoint at ' || run_dir || '/checkpoint.pt' END AS reason FROM v) SELECT name, reason IS NULL AS found, reason FROM r""")
+@query("resolve_variants", f"""WITH v(name, run_dir) AS (VALUES {', '.join(map(str, RUNS))}), f(path, text) AS (VALUES {_files}),
+r AS (SELECT name, run_dir, bool_or(starts_with(path, run_dir || '/')) AS dir, bool_or(path = run_dir || '/best_generator.pt') AS pt, bool_or(path = run_dir || '/run_config.yaml') AS cfg,
+  max(CASE WHEN path = run_dir || '/run_config.yaml' THEN text END) AS config, max(CASE WHEN path = run_dir || '/run_metadata.json' THEN text END) AS meta FROM v, f GROUP BY ALL),
+w AS (SELECT *, coalesce((config::JSON -> 'data' -> 'preprocess' ->> 'whiten')::BOOLEAN, false) OR coalesce((config::JSON -> 'data' -> 'preprocess' ->> 'center')::BOOLEAN, false) AS moved, meta::JSON -> 'preprocess_state' AS state FROM r),
+z AS (SELECT name, CASE WHEN NOT dir THEN 'no run directory at ' || run_dir WHEN NOT pt THEN 'no best_generator.pt in ' || run_dir WHEN NOT cfg THEN 'no run_config.yaml in ' || run_dir
+  WHEN NOT moved THEN NULL WHEN meta IS NULL THEN 'it centres or whitens, but there are no metadata' WHEN state IS NULL THEN 'it centres or whitens, but its metadata hold no preprocess_state'
+  WHEN (state -> 'config' ->> 'l2_normalize')::BOOLEAN AND (state -> 'mean') IS NOT NULL THEN 'rows were divided by their norms after centring' END AS reason FROM w) SELECT name, reason IS NULL AS found, reason FROM z""")
 def _(spark, sf):
-    return gates.resolve_variants(spark.createDataFrame(RUNS, "name string, config string, run_dir string"), spark.createDataFrame([(x,) for x in FILES], "path string"))
+    return gates.resolve_variants(spark.createDataFrame(RUNS, "name string, run_dir string"), spark.createDataFrame(FILES, "path string, text string"))
+
+
+_bands = "bd(statistic, min, max) AS (VALUES ('lid_median', 8.0::DOUBLE, 16.0::DOUBLE), ('relative_contrast_median', 1.5, NULL), ('hubness_skew', NULL, NULL), ('ivf_gini', 0.2, 0.3))"
+
+
+@query("gate_on_corpus", f"WITH {E}, {_all[0]}, st AS (SELECT {_all[1]}), {_bands}, lg(statistic, value) AS ({' UNION ALL '.join(f"SELECT '{s}', {s}::DOUBLE FROM st" for s in FOUR)}) SELECT statistic, value, min, max, CASE WHEN value IS NULL OR isnan(value) THEN 'fail' WHEN min IS NULL AND max IS NULL THEN 'unset' WHEN value < min OR value > max THEN 'fail' ELSE 'pass' END AS outcome FROM bd LEFT JOIN lg USING (statistic)")
+def _(spark, sf):
+    """The bands of a gate on statistics that are measured here."""
+    values = structure.long_statistics(rounded(difficulty.summary(corpus(spark, sf)), *FOUR))
+    return gates.check_statistics(values, gates.bands(spark, gates.load_gate(GATE)))
+
+
+CUSTOMERS = "e AS (SELECT c_custkey AS vec_id, [c_acctbal, c_nationkey::DOUBLE, 100000.0 + c_custkey % 7] AS v FROM customer)"
+
+
+@query("knn_large_norms", f"WITH {CUSTOMERS}, {near(10)} SELECT q, rk, t, round(d, 6) AS d FROM knn")
+def _(spark, sf):
+    """Rows of norms around 100,000 whose distances are below 1."""
+    v = F.array("c_acctbal", F.col("c_nationkey").cast("double"), F.lit(100_000.0) + F.col("c_custkey") % 7)
+    return rounded(K.knn(spark.read.parquet(f"{sf}/customer.parquet").select(F.col("c_custkey").alias("vec_id"), v.alias("v")), 10), "d")
+
+
+@query("batch_knn", f"WITH {E}, b AS (SELECT *, vec_id // 64 AS batch FROM e) SELECT batch, q, rk, t, round(d, 6) AS d FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY d, t) AS rk FROM (SELECT x.batch, x.vec_id AS q, y.vec_id AS t, list_distance(x.v, y.v) AS d FROM b x JOIN b y ON x.batch = y.batch AND x.vec_id <> y.vec_id)) WHERE rk <= 12")
+def _(spark, sf):
+    return rounded(structure.batch_knn(corpus(spark, sf).withColumn("batch", F.expr("vec_id div 64")), 12), "d")
+
+
+@query("scatter")
+def _(spark, sf):
+    return rounded(panels.scatter(corpus(spark, sf)), "x", "y")
+
+
+@query("ivf_lorenz_by_series")
+def _(spark, sf):
+    return rounded(panels.lorenz(corpus(spark, sf), 16, 42), "share_cells", "share_points")
 
 
 @query("glyph_rows", f"WITH {SIDES}, r AS (SELECT vec_id, series, row_number() OVER (ORDER BY md5(concat_ws(':', '42', vec_id)), vec_id) AS rn FROM re) SELECT vec_id, series, 'real_' || ((rn - 1) // 8) AS part FROM r WHERE rn <= 16 UNION ALL SELECT vec_id, series, series FROM {drawn('sy', 8)}")
@@ -752,7 +796,11 @@ def _(spark, sf):
     return rounded(structure.empty_cells(relu(spark, sf)), "empty_share", "independent_share")
 
 
-@query("group_correlations")
+_pairs = "r AS (SELECT a.dim AS i, b.dim AS j, corr(a.zero, b.zero) AS r FROM z a JOIN z b ON a.vec_id = b.vec_id GROUP BY ALL), g AS (SELECT r, i // 8 = j // 8 AS same, least((i - j + 16) % 8, (j - i + 16) % 8) AS gap, greatest(abs(i // 32 - j // 32), abs(i // 8 % 4 - j // 8 % 4)) AS steps FROM (SELECT i::INT AS i, j::INT AS j, r FROM r))"
+
+
+@query("group_correlations", f"""WITH {WIDE}, z AS (SELECT vec_id, dim, (x <= 0)::INT AS zero FROM c), {_pairs.replace("(i - j + 16)", "(i % 8 - j % 8 + 8)").replace("(j - i + 16)", "(j % 8 - i % 8 + 8)")}
+SELECT 'cell_gap_' || gap AS pairs, round(avg(r), 6) AS mean FROM g WHERE same AND gap > 0 GROUP BY gap UNION ALL SELECT CASE WHEN steps = 1 THEN 'touching_cells' ELSE 'apart_cells' END, round(avg(r), 6) FROM g WHERE NOT same AND gap = 0 GROUP BY 1""")
 def _(spark, sf):
     zeros = relu(spark, sf).select(F.lit("x").alias("series"), F.transform("v", lambda x: (x == 0).cast("double")).alias("v"))
     c, _, _ = fidelity.covariances(zeros, 0)["x"]

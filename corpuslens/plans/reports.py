@@ -6,11 +6,12 @@ import html
 import json
 import os
 
+import yaml
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuslens.functions.vectors import as_double, l2_normalize, norm
-from corpuslens.operators import difficulty, fidelity, gates, panels, sampling, structure
+from corpuslens.operators import difficulty, fidelity, gates, generator, panels, preprocess, sampling, structure
 from corpuslens.sources import matrices
 
 
@@ -125,6 +126,63 @@ def eda_report(spark: SparkSession, real_path: str, output_dir: str, synthetic:
     return summary
 
 
+def structure_report(spark: SparkSession, path: str, output_dir: str | None = None, rows: int = 50_000, draws: int = 10, config: panels.Config | None = None) -> dict:
+    """Facts about one corpus as it is stored: norms, cosines, anisotropy, spectrum, and how far its statistics move between disjoint draws;
+    with a folder, summary.json and report.html with the panels of all these."""
+    config = config or panels.Config()
+    df = load_series(spark, path, (), rows, "none", config.seed).persist()
+    n = df.count()
+    cosines = structure.pair_values(df, config.pairs, config.seed, structure.cosine).select(F.lit("real").alias("series"), "x")
+    draw = structure.draw_statistics(df, draws, min(config.rows, n // draws), config.k, config.k_hub, config.nlist, config.seed)
+    floor = structure.draw_floor(structure.long_statistics(draw, "draw")).orderBy("statistic")
+    spectrum = structure.spectrum_facts(structure.eigenvalues(df)["real"])
+    quantiles = cosines.agg(F.percentile("x", F.lit(0.5)).alias("pair_cosine_median"), F.percentile("x", F.lit(0.99)).alias("pair_cosine_p99"))
+    facts = {"rows": n} | structure.norm_facts(df).first().asDict() | structure.anisotropy(df).first().asDict() | quantiles.first().asDict() | spectrum
+    out = {"path": path, "facts": facts, "noise_floor": {r.statistic: r.asDict() for r in floor.collect()}}
+    if output_dir:
+        shown = {"norms": panels.steady_histogram(panels.norms(df), config.bins), "cosines": panels.steady_histogram(cosines, config.bins), "spectrum": panels.pca_spectrum(df)}
+        body = [table_html(["fact", "value"], list(facts.items())), table_html(floor.columns, [list(r) for r in floor.collect()])]
+        for name, panel in shown.items():
+            head = put_rows(f"{output_dir}/{name}.jsonl", panel.orderBy(*panel.columns[:2]), 200)
+            body.append(f"<h2>{name}</h2><p><a href='{name}.jsonl'>all rows</a></p>" + table_html(panel.columns, head))
+        put(f"{output_dir}/report.html", "<!doctype html><meta charset=utf-8><title>Structure</title>" + "".join(body))
+        put(f"{output_dir}/summary.json", json.dumps(out, indent=2))
+    df.unpersist()
+    return out
+
+
+def generate_samples(spark: SparkSession, name: str, network, latent: int, width: int, rows: int, path: str, seed: int = 42, state: preprocess.State | None = None) -> int:
+    """A variant's samples as a .npy file, by a seed of its own name, in the corpus's coordinates."""
+    made = generator.generate(spark, network, rows, latent, width, sampling.variant_seed(seed, name))
+    return matrices.write_npy(preprocess.invert(made.select("vec_id", as_double(F.col("v")).alias("v")), state), path)
+
+
+def compare_variants(spark: SparkSession, manifest: str, root: str, real_path: str, output_dir: str, networks: dict, rows: int = 50_000, config: panels.Config | None = None) -> dict:
+    """The report of a corpus beside the samples of each variant of a manifest (its text) whose run is whole; the summary, with what was left out
+    and why. networks: name -> (network, latent, width), as checkpoints of other libraries aren't read. All variants must be of one metric."""
+    variants = gates.load_variants(manifest)
+    files = gates.run_files(spark, root, variants)
+    checked = gates.resolve_variants(spark.createDataFrame([(v["name"], v["run_dir"]) for v in variants], "name string, run_dir string"), files).collect()  # a row for each variant
+    reasons = {r.name: r.reason for r in checked}
+    found = [v for v in variants if reasons[v["name"]] is None]
+    if not found:
+        raise gates.GateError(f"no variant is whole: {'; '.join(f'{n}: {r}' for n, r in reasons.items())}")
+    texts = {r.path: r.text for r in files.collect()}
+    configs = {v["name"]: yaml.safe_load(texts[f"{v['run_dir']}/{gates.RUN_CONFIG}"]) or {} for v in found}
+    metrics = {((c.get("data") or {}).get("preprocess") or {}).get("metric", "l2") for c in configs.values()}
+    if len(metrics) > 1:
+        raise gates.GateError(f"the variants are of several metrics: {', '.join(sorted(metrics))}")
+    os.makedirs(output_dir, exist_ok=True)
+    specs = []
+    for v in found:
+        metadata = texts.get(f"{v['run_dir']}/{gates.RUN_METADATA}")
+        state = preprocess.State.from_run(metadata) if metadata and preprocess.needs_inversion(texts[f"{v['run_dir']}/{gates.RUN_CONFIG}"]) else None
+        path = f"{output_dir}/{v['name']}.npy"
+        generate_samples(spark, v["name"], *networks[v["name"]], rows, path, state=state)
+        specs.append(f"{v['name']}={path}")
+    return eda_report(spark, real_path, output_dir, specs, config, metric=metrics.pop()) | {"skipped": {n: r for n, r in reasons.items() if r is not None}}
+
+
 def table_html(columns: list[str], rows: list[list]) -> str:
     line = lambda tag, cells: "<tr>" + "".join(f"<{tag}>{html.escape(str(c))}</{tag}>" for c in cells) + "</tr>"
     return f"<table>{line('th', columns)}{''.join(line('td', [panels.format_stat(x) if isinstance(x, (int, float)) or x is None else x for x in r]) for r in rows)}</table>"

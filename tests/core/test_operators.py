@@ -263,3 +263,141 @@ def test_penalty_scale_against_numpy(spark):
     got = structure.penalty_scale(frame(spark, x, series), 20, 8, 5, 15, adv_loss=-2.0).first()
     f, s = np.array(floors[2:]), np.array(signals[2:])
     assert list(got) == pytest.approx([6, f.mean(), f.std(), s.mean(), s.std(), s.mean() / f.mean(), 0.05 * 2 / s.mean()])
+
+
+@pytest.mark.parametrize(("size", "step"), [(500.0, 1e-6), (1e5, 1e-3), (1.0, 1e-9)])
+@pytest.mark.parametrize("metric", ["l2", "cosine"])
+def test_knn_of_close_rows_with_large_norms(spark, size, step, metric):
+    rng = np.random.default_rng(11)
+    far = np.full(8, size / math.sqrt(8))
+    x = far + step * rng.integers(-40, 40, (300, 8))
+    got = {}
+    for r in K.knn(frame(spark, x), 5, metric).orderBy("q", "rk").collect():
+        got.setdefault(r.q, []).append((r.t, r.d))
+    for q in range(300):
+        d = K._exact(metric, x[q][None], x[None])[0]
+        d[q] = np.inf
+        assert got[q] == [(j, d[j]) for j in sorted(range(300), key=lambda j: (d[j], j))[:5]]
+
+
+def test_distances_of_close_rows_with_large_norms():
+    rng = np.random.default_rng(12)
+    x = 500 + 1e-6 * rng.integers(0, 50, (60, 64))
+    want = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    assert np.allclose(K.distances(x, x), want, rtol=1e-6, atol=0)
+    y = rng.standard_normal((50, 16))
+    assert np.allclose(K.distances(y, y), np.sqrt(((y[:, None] - y[None]) ** 2).sum(2)), rtol=1e-6, atol=0)
+
+
+def test_knn_among_many_copies_in_bounded_memory():
+    """20,000 copies of a wide row: one block of queries stays within what its distances take."""
+    import tracemalloc
+    from types import SimpleNamespace
+
+    rng = np.random.default_rng(13)
+    v = np.concatenate([np.repeat(rng.standard_normal((1, 256)), 20_000, 0), rng.standard_normal((500, 256))])
+    ids = np.arange(len(v))
+    run = K._nearest(10, "l2", True, SimpleNamespace(value=K.first_equal(v)))
+    tracemalloc.start()
+    q, rk, t, d = run(ids[:200], v[:200], ids, v)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 400 << 20
+    assert (d == 0).all() and t.reshape(200, 10)[0].tolist() == list(range(1, 11)) and t.reshape(200, 10)[50].tolist() == list(range(10))
+
+
+def test_covariances_meet_on_the_executors(spark):
+    x = np.random.default_rng(14).standard_normal((400, 6)) * [1, 2, 3, 4, 5, 6] + 10
+    series = ["real"] * 250 + ["synth"] * 150
+    df = frame(spark, x, series).repartition(7)
+    for centred in (True, False):
+        got = fidelity.covariances(df, 1, centred)
+        for s, part in (("real", x[:250]), ("synth", x[250:])):
+            want = np.cov(part.T) if centred else part.T @ part / (len(part) - 1)
+            assert got[s][2] == len(part) and np.allclose(got[s][0], want) and np.allclose(got[s][1], part.mean(0))
+
+
+def test_gated_rows_are_of_unit_norm_and_never_zero(spark):
+    rng = np.random.default_rng(15)
+    layers = lambda s: G.random_layers([8, 128], s)[0]
+    for gate_bias, size_bias in ((0.0, 0.0), (-1e3, 0.0), (0.0, -1e4), (-1e3, -1e4)):
+        gates_, sizes = layers(3), layers(2)
+        network = G.build("structured_gate", trunk=G.random_layers([4, 8], 1), sizes=(sizes[0], sizes[1] + size_bias), gates=(gates_[0], gates_[1] + gate_bias), kernel=np.full((3, 3, 3), 1 / 27))
+        v = network(rng.standard_normal((40, 4)), rng.uniform(0, 1, (40, 128)))
+        assert np.allclose(np.linalg.norm(v, axis=1), 1) and (v >= 0).all()
+        if gate_bias:
+            assert ((v > 0).sum(1) <= 2).all()  # all gates are closed but for the rescued one, or a lucky one
+    rows = G.generate(spark, G.Mlp(G.random_layers([4, 6], 5)), 20, 4, 6).collect()
+    assert np.allclose([np.linalg.norm(r.v) for r in rows], 1, atol=1e-6)
+
+
+def test_a_draw_without_a_statistic_is_an_error(spark):
+    stats = spark.createDataFrame([("a", 1.0), ("a", None), ("b", 2.0)], "statistic string, value double")
+    with pytest.raises(ValueError, match="a"):
+        structure.draw_floor(stats)
+
+
+def test_npy_files_and_fvecs_samples(spark, tmp_path):
+    x = np.random.default_rng(16).standard_normal((50, 5)).astype(np.float32)
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, v array<float>").repartition(4)
+    assert matrices.write_npy(df, str(tmp_path / "x.npy")) == 50 and np.array_equal(np.load(tmp_path / "x.npy"), x)
+    matrices.write_fvecs(df, str(tmp_path / "x.fvecs"))
+    assert matrices.sample_fvecs(spark, str(tmp_path / "x.fvecs"), str(tmp_path / "s.npy"), 20) == 20
+    drawn = np.load(tmp_path / "s.npy")
+    assert drawn.shape == (20, 5) and len({tuple(r) for r in drawn} & {tuple(r) for r in x}) == 20
+    for n in (0, 51):
+        with pytest.raises(ValueError):
+            matrices.sample_fvecs(spark, str(tmp_path / "x.fvecs"), str(tmp_path / "s.npy"), n)
+    with pytest.raises(ValueError):
+        matrices.write_npy(spark.createDataFrame([(1, [1.0]), (2, [1.0, 2.0])], "vec_id long, v array<float>"), str(tmp_path / "bad.npy"))
+
+
+def test_samples_across_shards(spark, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    paths, at = [], 0
+    for i, n in enumerate((30, 20, 50)):
+        rows = [[float(k)] * 4 for k in range(at, at + n)]
+        pq.write_table(pa.table({"openai": pa.array(rows, pa.list_(pa.float32())), "text": ["t"] * n}), tmp_path / f"{i}.parquet")
+        paths.append(str(tmp_path / f"{i}.parquet"))
+        at += n
+    got = matrices.sample_shards(spark, paths, 40).collect()
+    assert len({r.vec_id for r in got}) == 40 and all(r.v == [float(r.vec_id)] * 4 for r in got)
+    assert len({0 if r.vec_id < 30 else 1 if r.vec_id < 50 else 2 for r in got}) == 3
+    assert matrices.sample_shards(spark, paths, 1000).count() == 100
+    few = {r.vec_id for r in matrices.sample_shards(spark, paths, 1).collect()}
+    assert len(few) == 1
+
+
+def test_runs_that_cannot_be_brought_back():
+    moved, plain = "data: {preprocess: {whiten: true}}", "data: {preprocess: {l2_normalize: true}}"
+    state = '{"preprocess_state": {"descriptor_dim": 1, "mean": [1.0], "whitening_matrix": [[2.0]], "config": {"whiten": true, "l2_normalize": %s, "unknown": 1}}}'
+    assert preprocess.run_blocker(plain, None) is None and preprocess.run_blocker("", None) is None
+    assert preprocess.run_blocker(moved, state % "false") is None
+    for metadata in (None, "{", "{}", '{"preprocess_state": {"mean": null}}', state % "true"):
+        assert preprocess.run_blocker(moved, metadata)
+
+
+def test_configurations_with_changes():
+    base = {"seed": 1, "training": {"alpha": 0.1, "steps": 5}, "output_dir": "x"}
+    assert gates.with_changes(base, {"seed": 2, "training.alpha": 0.5}, "runs/a") == {"seed": 2, "training": {"alpha": 0.5, "steps": 5}, "output_dir": "runs/a"}
+    assert base["training"]["alpha"] == 0.1
+    with pytest.raises(gates.GateError):
+        gates.with_changes(base, {"training.beta": 1}, "x")
+
+
+def test_scatter_against_numpy(spark):
+    x = np.random.default_rng(17).standard_normal((200, 6)) @ np.diag([5, 3, 1, 1, 1, 1]) + 4
+    got = np.array([[r.x, r.y] for r in panels.scatter(frame(spark, x)).orderBy("vec_id").collect()])
+    _, _, axes = np.linalg.svd(x - x.mean(0), full_matrices=False)
+    axes = axes[:2] * np.sign(axes[:2][np.arange(2), np.abs(axes[:2]).argmax(1)])[:, None]
+    assert np.allclose(got, (x - x.mean(0)) @ axes.T)
+
+
+def test_histograms_of_what_hardly_varies(spark):
+    rows = [("a", 1.0 + i * 1e-9) for i in range(50)] + [("b", float(i)) for i in range(50)]
+    got = panels.steady_histogram(spark.createDataFrame(rows, "series string, x double"), 10).collect()
+    assert len([r for r in got if r.series == "a"]) == 1 and len([r for r in got if r.series == "b"]) == 10
+    with pytest.raises(ValueError, match="b"):
+        panels.steady_histogram(spark.createDataFrame([*rows, ("b", math.nan)], "series string, x double"), 10)

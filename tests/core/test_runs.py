@@ -81,3 +81,64 @@ def test_report_has_every_series_and_whole_panels(spark, tmp_path, monkeypatch):
     out = reports.eda_report(spark, str(tmp_path / "real.npy"), str(tmp_path / "out"), [f"a={tmp_path}/a.npy", f"b={tmp_path}/b.npy"])
     assert seen == [["real", "synth"]] * 2 and list(out["panels"]) == ["a: long", "b: long"]
     assert all(len(open(p).readlines()) == 350 for p in out["panels"].values())
+
+
+SMALL = panels.Config(k=10, k_hub=5, rows=50, nlist=8, pairs=200, bins=8, top=4, glyphs=3)
+
+
+def test_structure_of_a_corpus(spark, files, tmp_path):
+    got = reports.structure_report(spark, f"{files}/real.npy", str(tmp_path), draws=2, config=SMALL)
+    x = np.load(files / "real.npy").astype(float)
+    n = np.linalg.norm(x, axis=1)
+    assert got["facts"]["rows"] == 200 and got["facts"]["norm_mean"] == pytest.approx(n.mean())
+    assert got["facts"]["mean_norm"] == pytest.approx(np.linalg.norm(x.mean(0)))
+    assert set(got["noise_floor"]) == set(gates.STATISTICS) and json.load(open(tmp_path / "summary.json")) == got
+    assert all((tmp_path / f"{p}.jsonl").stat().st_size for p in ("norms", "cosines", "spectrum"))
+
+
+def test_variants_are_compared(spark, files, tmp_path):
+    from corpuslens.operators import generator as G
+
+    runs = {"whole": "data: {}", "moved": "data: {preprocess: {center: true}}", "bare": None}
+    for name, config in runs.items():
+        (tmp_path / "r" / name).mkdir(parents=True)
+        (tmp_path / "r" / name / "best_generator.pt").touch()
+        if config:
+            (tmp_path / "r" / name / "run_config.yaml").write_text(config)
+    manifest = "variants: [" + ", ".join(f"{{name: {n}, config: c, run_dir: r/{n}}}" for n in (*runs, "gone")) + "]"
+    networks = {"whole": (G.Mlp(G.random_layers([4, 8], 1)), 4, 8)}
+    out = reports.compare_variants(spark, manifest, str(tmp_path), f"{files}/real.npy", str(tmp_path / "out"), networks, 60, SMALL)
+    assert [s["name"] for s in out["stats"]] == ["real", "whole"] and set(out["skipped"]) == {"moved", "bare", "gone"}
+    assert np.load(tmp_path / "out" / "whole.npy").shape == (60, 8)
+    assert {"scatter", "ivf"} <= set(out["panels"]) and "glyphs" not in out["panels"]
+    (tmp_path / "m").mkdir()
+    (tmp_path / "m" / "deep.yaml").write_text(manifest)
+    assert gates.known_datasets(str(tmp_path / "m")) == ["deep"] and gates.manifest_of("m", "deep") == "m/deep.yaml"
+    with pytest.raises(gates.GateError):
+        reports.compare_variants(spark, "variants: [{name: gone, config: c, run_dir: r/gone}]", str(tmp_path), "x", "y", {})
+
+
+def test_panels_of_wide_rows(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, np.maximum(rng.standard_normal(128), 0).tolist(), "real" if i < 20 else "synth") for i in range(40)]
+    built = panels.report(panels.Context(spark.createDataFrame(rows, "vec_id long, v array<double>, series string"), SMALL))
+    rays = built["glyphs"].select("vec_id").distinct().collect()
+    assert len(rays) == 9 and len({r.vec_id.split(":")[0] for r in rays}) == 3
+    curve = {s: [r.share_points for r in built["ivf"].where(f"series = '{s}'").orderBy("i").collect()] for s in ("real", "synth")}
+    assert all(len(c) == 8 and c == sorted(c) and c[-1] == 1 for c in curve.values())
+
+
+def test_commands(spark, files, tmp_path, capsys):
+    from corpuslens.__main__ import main
+
+    stats = {"lid_median": 12.0, "relative_contrast_median": 2.0, "hubness_skew": 2.0, "ivf_gini": 0.3, "ann_measured_rows": 5, "ann_k": 2, "ann_nlist": 2}
+    (tmp_path / "s.json").write_text(json.dumps({"stats": [stats | {"name": "real"}, stats | {"name": "a", "lid_median": 13.0}, stats | {"name": "b", "lid_median": 14.0}]}))
+    gate = "canonical: {n: 5, k: 2, k_hub: 1, nlist: 2}\nstatistics: {lid_median: {min: %d}, relative_contrast_median: {min: 1}, hubness_skew: {min: 1}, ivf_gini: %s}"
+    for low, gini, code in ((8, "{min: 0}", 0), (13, "{min: 0}", 1), (8, "null", 2)):
+        (tmp_path / "g.yaml").write_text(gate % (low, gini))
+        assert main(["gate", str(tmp_path / "g.yaml"), str(tmp_path / "s.json")], spark) == code
+    assert main(["gate", str(tmp_path / "g.yaml"), str(tmp_path / "s.json"), "--allow-unset"], spark) == 0
+    assert main(["gate", str(tmp_path / "g.yaml"), str(tmp_path / "s.json"), "--series", "none"], spark) == 2
+    capsys.readouterr()
+    assert main(["floor", str(tmp_path / "s.json"), "a", "b"], spark) == 0
+    assert {r["statistic"]: r["gap"] for r in json.loads(capsys.readouterr().out)}["lid_median"] == 1.5
