@@ -19,8 +19,8 @@ LENGTHS, BITS, MAX_ROWS = (4, 6, 8), 20, 6000
 LEAST_ROWS, SMOOTH, PENALTY, STEPS, RATE = 8, 1.0, 1e-5, 80, 0.1
 #: Features with weights: those whose ratio is largest against its chance spread. One row in so many sets only the scale and bias of scores.
 KEPT, CALIBRATION = 50_000, 5
-#: Rows whose terms are held at once.
-BLOCK = 250
+#: Rows whose terms are held at once, and characters whose n-grams are.
+BLOCK, CHUNK_CHARS = 250, 1 << 18
 ROLL = shared.Rolling(31)
 
 
@@ -124,12 +124,12 @@ def fold(doc_id):
 
 
 def _runs(batch: pa.RecordBatch, column: int):
-    """Runs of rows of a batch of about CHUNK_BYTES characters."""
+    """Runs of rows of a batch of about CHUNK_CHARS characters; a row is never cut."""
     texts = pc.fill_null(batch.column(column), "").to_pylist()
     size, k = 0, 0
     for end in range(1, len(texts) + 1):
         size += len(texts[end - 1])
-        if size >= shared.CHUNK_BYTES or end == len(texts):
+        if size >= CHUNK_CHARS or end == len(texts):
             yield k, end, texts[k:end]
             size, k = 0, end
 
@@ -213,6 +213,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             for a, b, texts in _runs(batch, 1):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(sent.value.scores(features(texts)), pa.float64())], ["doc_id", "score"])
+        shared.tidy()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     out = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double")
@@ -232,6 +233,7 @@ def clean(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
                 kept = batch.slice(a, b - a).filter(pa.array(sent.value.scores(features(texts)) < threshold))
                 if kept.num_rows:
                     yield kept
+        shared.tidy()
 
     return docs.mapInArrow(run, docs.schema)
 
