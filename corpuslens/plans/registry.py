@@ -832,4 +832,4 @@ def _(spark, sf):
 
 
 #: The timed queries.
-HEADLINE = ["ann_summary", "knn_topk", "knn_cosine", "lid_per_query", "relative_contrast", "k_occurrence", "ivf_gini", "mmd_rbf", "pairwise_hist_l1", "cov_fro", "w1_by_dim", "correlation", "distance_cdf", "dim_profiles_items", "norm_hist", "tensor_stats", "zero_probe"]
+HEADLINE = ["ann_summary", "knn_topk", "knn_cosine", "knn_large_norms", "lid_per_query", "relative_contrast", "k_occurrence", "ivf_gini", "mmd_rbf", "pairwise_hist_l1", "cov_fro", "w1_by_dim", "correlation", "distance_cdf", "dim_profiles_items", "norm_hist", "tensor_stats", "zero_probe"]
