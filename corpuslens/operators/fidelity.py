@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpuslens.functions.quantiles import quantiles
 from corpuslens.functions.vectors import exploded
 from corpuslens.operators import knn as K
 
@@ -154,10 +155,10 @@ def ann_proxy_recall(queries: DataFrame, train: DataFrame, synth: DataFrame, k:
 
 def wasserstein_by_dim(df: DataFrame, levels: int = 512) -> DataFrame:
     """dim, w1: the mean difference of quantiles at evenly spaced levels, interpolated."""
-    at = F.array(*[F.lit(float(x)) for x in np.linspace(0, 1, levels)])
-    q = exploded(df, "series").groupBy("series", "dim").agg(F.percentile("x", at).alias("q"))
-    gaps = F.zip_with("q_real", "q_synth", lambda a, b: F.abs(a - b))
-    return _pair(q, "q").select("dim", (F.aggregate(gaps, F.lit(0.0), lambda s, x: s + x) / levels).alias("w1"))
+    q = quantiles(exploded(df, "series"), 0.0, 1 / (levels - 1), levels, "series", "dim").where(F.col("series").isin("real", "synth"))
+    of = lambda s: F.max(F.when(F.col("series") == s, F.col("q")))
+    gaps = q.groupBy("dim", "i").agg(F.abs(of("real") - of("synth")).alias("gap")).where(F.col("gap").isNotNull())
+    return gaps.groupBy("dim").agg(F.avg("gap").alias("w1"))
 
 
 def dimension_divergence(df: DataFrame, top: int = 16) -> DataFrame:

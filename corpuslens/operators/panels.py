@@ -9,6 +9,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpuslens.functions.quantiles import quantile
 from corpuslens.functions.vectors import cell_of, exploded, norm
 from corpuslens.operators import difficulty, fidelity, sampling, structure
 from corpuslens.operators import knn as K
@@ -91,8 +92,8 @@ def glyph_cells(df: DataFrame) -> DataFrame:
 
 def glyph_scale(df: DataFrame) -> DataFrame:
     """scale: 1 over the 99th percentile of absolute values that aren't zero; 0 if there are none."""
-    p = F.percentile(F.abs("x"), F.lit(0.99))
-    return exploded(df, "vec_id").where("x <> 0").agg(F.coalesce(F.lit(1.0) / p, F.lit(0.0)).alias("scale"))
+    p = quantile(exploded(df, "vec_id").where("x <> 0").select(F.abs("x").alias("x")), 0.99)
+    return p.select(F.coalesce(F.lit(1.0) / F.col("q"), F.lit(0.0)).alias("scale"))
 
 
 def glyph_rays(df: DataFrame, scale: float, pitch: float = 1.0) -> DataFrame:

@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpuslens.functions.quantiles import quantile
 from corpuslens.functions.vectors import dot, exploded, norm
 from corpuslens.operators import difficulty, fidelity, sampling
 from corpuslens.operators import knn as K
@@ -38,7 +39,8 @@ def mean_vector(points: DataFrame) -> DataFrame:
 def anisotropy(points: DataFrame) -> DataFrame:
     mean = mean_vector(points).withColumn("size", norm(F.col("mean")))
     own = points.join(F.broadcast(mean)).select("size", (dot(F.col("v"), F.col("mean")) / F.greatest("size", F.lit(1e-12))).alias("c"))  # the mean is one row
-    return own.agg(F.max("size").alias("mean_norm"), F.percentile("c", F.lit(0.5)).alias("cos_median"), F.min("c").alias("cos_min"))
+    ends = own.agg(F.max("size").alias("mean_norm"), F.min("c").alias("cos_min"))
+    return ends.join(quantile(own.select(F.col("c").alias("x")), 0.5)).select("mean_norm", F.col("q").alias("cos_median"), "cos_min")  # single rows
 
 
 def pair_values(points: DataFrame, pairs: int, seed, value) -> DataFrame:
