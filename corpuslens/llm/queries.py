@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpuslens.llm import bpe, exact_dedup, lines, minhash, mixing, substring, toxicity, url_lists, vectors, warc
+from corpuslens.llm import bpe, divergence, exact_dedup, filter_audit, lines, minhash, mixing, pieces, substring, toxicity, url_lists, vectors, warc
 
 QUERIES = {
     "op1_minhash_near_dedup": minhash.op1_minhash_near_dedup,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_url_lists": url_lists.op8_url_lists,
     "op9_source_mixing": mixing.op9_source_mixing,
     "op10_line_dedup": lines.op10_line_dedup,
+    "op11_source_divergence": divergence.op11_source_divergence,
+    "op12_filter_audit": filter_audit.op12_filter_audit,
+    "op13_sentencepiece": pieces.op13_sentencepiece,
 }
 
 SQL = {
@@ -26,4 +29,6 @@ SQL = {
     "op8_url_lists": url_lists.SQL,
     "op9_source_mixing": mixing.SQL,
     "op10_line_dedup": lines.SQL,
+    "op11_source_divergence": divergence.SQL,
+    "op12_filter_audit": filter_audit.SQL,
 }
