@@ -9,7 +9,6 @@ from corpuslens.llm import shared
 
 #: A chunk ends after a line at which the rolling hash of the last two lines is 0 modulo CHUNK_LINES, so its mean length is that.
 CHUNK_LINES, STEP = 2, 31
-LAST = (1 << 63) - 1
 
 
 def _apart(df: DataFrame, **columns) -> DataFrame:
@@ -71,10 +70,10 @@ def line_dedup(docs: DataFrame) -> DataFrame:
     boundary. A chunk of two lines or more that occurs with the same bytes in a document of smaller doc_id, or earlier in the
     same document, is removed. Single-line chunks stay. Null texts stay null with 0 lines removed of 1 (as empty texts have one
     empty line); long texts are cut whole. Repeated rows of a doc_id and text count as one and get the same result; several texts of
-    one doc_id count as parts of one document, in a fixed order. Rows with a null doc_id come last, as parts of one document too
-    (the place of the largest long, which they keep null). An empty table gives no rows.
+    one doc_id count as parts of one document, in a fixed order. Rows with a null doc_id come last, as parts of one document too,
+    whatever the largest doc_id is, and keep their null. An empty table gives no rows.
     """
-    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("id"), F.xxhash64("text").alias("tag"), "text")
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), shared.id_places(docs).alias("id"), F.xxhash64("text").alias("tag"), "text")
     spans = repeated_chunks(own.select("id", "text"))
     out = _apart(own.join(spans.hint("shuffle_hash"), ["id", "tag"], "left"), lines=F.split(F.coalesce("text", F.lit("")), "\n"))
     gone = F.coalesce(F.aggregate("spans", F.lit(0), lambda n, s: n + s["n"]), F.lit(0))

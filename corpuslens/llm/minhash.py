@@ -23,7 +23,6 @@ LANES = SYMBOLS // 4
 #: Parts of the hashes whose shingles are counted, to tell rare from common ones.
 RARITY_BITS = 16
 ROLL = shared.Rolling(11)
-LOWER = shared.lower_codes(ROLL.codes)
 _rng = np.random.default_rng(23)
 SCALE = _rng.integers(0, 1 << 31, SYMBOLS, np.uint32) * np.uint32(2) + np.uint32(1)
 SHIFT = _rng.integers(0, 1 << 32, SYMBOLS, np.uint32)
@@ -32,7 +31,7 @@ SHIFT = _rng.integers(0, 1 << 32, SYMBOLS, np.uint32)
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of each row's distinct shingles, sorted, end to end; and where each row's begin and end."""
     first, end, at = shared.word_places(data, offsets)
-    words = shared.mix(ROLL.runs(LOWER[data], first, end) + (end - first).astype(np.uint64))
+    words = shared.word_hashes(shared.LOWER[data], first, end)
     n = np.diff(at)
     windows = np.where(n >= width, n - width + 1, (n > 0).astype(n.dtype))
     total = np.concatenate([[0], np.cumsum(windows)])
@@ -192,7 +191,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     smallest of that key, which settles most. What is left are keys whose members still lie in several components: their pairs from
     different components, all of them, but without listing a large key's pairs that can't be similar. Of sets that are similar
     enough, the rarest shingles have one in common, so a key is split by these. Every pair shares a key of the index, and every link
-    is confirmed on full sets: of 64-bit hashes of shingles, of which two different ones in a pair of sets of 10,000 are equal once in 10**11 pairs.
+    is confirmed on full sets: of 64-bit hashes of shingles, of which two different ones in a pair of sets of 10,000 are equal once in 10**11 pairs,
+    whatever the words look like (shared.word_hashes).
     """
     if percent < 80:
         raise ValueError("the signature index is made for similarities of 0.8 and more")

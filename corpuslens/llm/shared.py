@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import contextlib
 import ctypes
+import hashlib
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -13,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyarrow import fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of an Arrow batch and bytes of text that numpy works on at once; they bound a worker's memory, not results.
@@ -105,6 +106,23 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, how: str = "inner"
     return rows.join(F.broadcast(hot.drop("n")), key).select(*rest.columns).unionByName(rest)
 
 
+def id_places(docs: DataFrame) -> Column:
+    """Of docs' doc_id, a long that keeps its order and tells all values apart, with null after all others. It is doc_id itself, and the largest
+    long for null, unless that is a doc_id too: then the ids above the largest free long move down by one."""
+    top, step = (1 << 63) - 1, 1024
+    doc_id = F.col("doc_id").cast("long")
+    ids = docs.select(doc_id.alias("id"))
+    seen = ids.agg(F.count_if(F.col("id").isNull()).alias("missing"), F.max("id").alias("most")).first()
+    if not seen.missing or seen.most != top:
+        return F.coalesce(doc_id, F.lit(top))
+    free, end = None, top
+    while free is None:
+        taken = {r.id for r in ids.where(F.col("id").between(end - step + 1, end)).distinct().collect()}  # as many as a step at most
+        free = next((x for x in range(end, end - step, -1) if x not in taken), None)
+        end -= step
+    return F.coalesce(F.when(doc_id > free, doc_id - 1).otherwise(doc_id), F.lit(top))
+
+
 def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
@@ -162,10 +180,30 @@ class Rolling:
         return (prefix[end] - prefix[first]) * down[first]
 
 
-def lower_codes(codes: np.ndarray) -> np.ndarray:
-    """The table for bytes whose A-Z count as a-z."""
-    out = codes.copy()
-    out[65:91] = codes[97:123]
+#: The bytes whose A-Z are a-z; and the masks of the first bytes of a long.
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+FIRST_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+WORD_KEY = b"words of a corpus"
+_WORD_MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+
+
+def word_hashes(data: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the words data[first:end]. Up to 16 bytes go through bijective finalisers as two longs, of which the second is 0 up to 8
+    bytes; longer words through a keyed BLAKE2b, so that no structure of a word makes it meet another."""
+    size = end - first
+    padded = np.zeros(len(data) + 16, np.uint8)
+    padded[: len(data)] = data
+    longs = np.ndarray((len(data) + 9,), "<u8", padded, 0, (1,))
+    low = longs[first] & FIRST_BYTES[np.minimum(size, 8)]
+    high = longs[first + 8] & FIRST_BYTES[np.clip(size - 8, 0, 8)]
+    out = mix(low + size.astype(np.uint64) * _WORD_MIX[0]) + mix(high ^ _WORD_MIX[1])
+    long = np.flatnonzero(size > 16)
+    if len(long):
+        whole = data.tobytes()
+        words = [whole[a:b] for a, b in zip(first[long].tolist(), end[long].tolist(), strict=True)]
+        known = {w: hashlib.blake2b(w, digest_size=8, key=WORD_KEY).digest() for w in set(words)}
+        out[long] = np.frombuffer(b"".join([known[w] for w in words]), np.uint64)
     return out
 
 

@@ -20,14 +20,20 @@ ANCHOR = WINDOW - PERIOD + 1
 GATHERED, FILTER_BITS = 1 << 19, 24
 #: Bytes of a bucket of entries, of which a worker holds one at a time; and of an entry of an anchor, of a window, and of a place.
 BUCKET_BYTES, ANCHOR_BYTES, WINDOW_BYTES, PLACE_BYTES = 1 << 24, 21, 36, 20
-LAST = (1 << 63) - 1
-ROLLS = shared.Rolling(41), shared.Rolling(43)
+ROLL = shared.Rolling(41)
+WINDOW_KEY = b"windows of a corpus"
 COVERED = np.zeros(PERIOD, bool)
 COVERED[list(COVER)] = True
 
 
-def word_hashes(data: np.ndarray, first: np.ndarray, end: np.ndarray, roll: shared.Rolling) -> np.ndarray:
-    return shared.mix(roll.runs(roll.codes[data], first, end) + (end - first).astype(np.uint64))
+def window_digests(text: bytes, sizes: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keyed 128-bit digests, as two longs, of the words of the windows that begin at these words of a text; sizes: of its words."""
+    words = b" ".join(text.split())
+    ends = np.cumsum(sizes + 1)
+    starts = ends - sizes - 1
+    digests = [hashlib.blake2b(words[a:b], digest_size=16, key=WINDOW_KEY).digest() for a, b in zip(starts[begin].tolist(), (ends[begin + WINDOW - 1] - 1).tolist(), strict=True)]
+    h = np.frombuffer(b"".join(digests), np.uint64)
+    return h[::2], h[1::2]
 
 
 def _digest(text: bytes) -> bytes:
@@ -148,9 +154,9 @@ def _anchors(buckets: int):
                 chosen = np.flatnonzero(COVERED[pos % PERIOD] & (pos + ANCHOR <= count[row]) & (count[row] >= WINDOW))
                 if not len(chosen):
                     continue
-                words = word_hashes(data, first, end, ROLLS[0])
+                words = shared.word_hashes(data, first, end)
                 classes = np.array([int.from_bytes(_digest(t)[:8], "little", signed=True) if k >= WINDOW else 0 for t, k in zip(_rows_of(data, offsets), count, strict=True)], np.int64)
-                for x, y in zip(gathered, (shared.mix(ROLLS[0].runs(words, chosen, chosen + ANCHOR)), classes[row[chosen]], pos[chosen].astype(np.uint32)), strict=True):
+                for x, y in zip(gathered, (shared.mix(ROLL.runs(words, chosen, chosen + ANCHOR)), classes[row[chosen]], pos[chosen].astype(np.uint32)), strict=True):
                     x.append(y)
                 n += len(chosen)
                 if n >= GATHERED:
@@ -222,8 +228,7 @@ def _windows(buckets: int):
             ids, classes, places = (batch.column(batch.schema.get_field_index(k)) for k in ("id", "class", "places"))
             for a, _, data, offsets in shared.text_chunks(batch):
                 first, end, at = shared.word_places(data, offsets)
-                hashes = [word_hashes(data, first, end, r) for r in ROLLS]
-                for i in range(len(offsets) - 1):
+                for i, text in enumerate(_rows_of(data, offsets)):
                     count = at[i + 1] - at[i]
                     anchors = np.asarray(places[a + i].values, np.int64)
                     open_ = np.zeros(count + 1, np.int64)
@@ -233,9 +238,8 @@ def _windows(buckets: int):
                     k = len(begin)
                     if not k:
                         continue
-                    begin += at[i]
-                    new = [shared.mix(r.runs(w, begin, begin + WINDOW)) for r, w in zip(ROLLS, hashes, strict=True)]
-                    new += [np.full(k, ids[a + i].as_py(), np.int64), np.full(k, classes[a + i].as_py(), np.int64), (begin - at[i]).astype(np.uint32)]
+                    own = slice(at[i], at[i + 1])
+                    new = [*window_digests(text, end[own] - first[own], begin), np.full(k, ids[a + i].as_py(), np.int64), np.full(k, classes[a + i].as_py(), np.int64), begin.astype(np.uint32)]
                     for x, y in zip(gathered, new, strict=True):
                         x.append(y)
                     n += k
@@ -301,12 +305,12 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     Words are runs without ASCII white space. Each word that is covered by a window of 20 words whose words also start earlier
     (smaller doc_id, or same document and earlier start) is removed; windows are judged on the input. Null and empty texts have
     no words. Repeated rows of a doc_id and text count as one, and get the same result; several texts of a doc_id count as parts
-    of one document, in a fixed order of their digests. Rows with a null doc_id come after all others, with the largest long, and keep
+    of one document, in a fixed order of their digests. Rows with a null doc_id come after all others, whatever the largest doc_id is, and keep
     their null. Other columns are ignored; an empty table gives no rows.
 
     Texts of equal words are settled by their SHA-256. For the others, each anchor that occurs at several places extends to the windows
-    that hold it, and 128-bit hashes of their words tell the first of equal ones (among 10**13 different windows, two are taken for
-    equal once in 6 * 10**12 corpora). Texts without such anchors are never shuffled, but for a few by chance. A text is known by 64
+    that hold it, and keyed 128-bit BLAKE2b digests of their words' bytes tell the first of equal ones (among 10**13 different windows, two are
+    taken for equal once in 6 * 10**12 corpora, whatever the words look like). Texts without such anchors are never shuffled, but for a few by chance. A text is known by 64
     bits of its digest on the way; two that share them share nothing else, as ids and windows decide. Entries are dealt into buckets
     by their hashes; their number grows with the words, so that a bucket's size doesn't.
     """
@@ -321,7 +325,7 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
         """fn of each bucket, two buckets a task."""
         return entries.repartition(-(-number // 2), by).groupBy(by).applyInArrow(fn, kind)
 
-    own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("id"), "text", F.col("doc_id").cast("long").alias("doc_id"))
+    own = docs.select(shared.id_places(docs).alias("id"), "text", F.col("doc_id").cast("long").alias("doc_id"))
     facts = shared.table(own.mapInArrow(_facts, "id long, n_words long, digest binary, class long, doc_id long"), "words")
     own = own.select("id", "text")
     heads = facts.groupBy("digest").agg(F.min("id").alias("head"), F.min("class").alias("class"))

@@ -100,3 +100,23 @@ def test_a_chunk_of_many_documents(spark):
     df = spark.createDataFrame([(i, f"own {i}\n{text}") for i in range(200)], "doc_id long, text string").repartition(4)
     got = {r.doc_id: (r.text, r.lines_before, r.lines_removed) for r in L.line_dedup(df).collect()}
     assert got == brute([(i, f"own {i}\n{text}") for i in range(200)])
+
+
+def test_missing_ids_come_after_the_largest_one(spark):
+    text = "\n".join(f"l{i}" for i in range(30))
+    big = (1 << 63) - 1
+    for ids in ([None, big], [None, big - 2, big, big - 1]):
+        data = [(i, f"{text}\nown {i}") for i in ids]
+        df = spark.createDataFrame(data, "doc_id long, text string")
+        assert {r.doc_id: (r.text, r.lines_before, r.lines_removed) for r in L.line_dedup(df).collect()} == brute(data)
+
+
+def test_places_of_ids(spark):
+    from corpuslens.llm import shared
+
+    top = (1 << 63) - 1
+    for ids in ([1, None, 5], [None, top, -top - 1, 0], [*range(top - 1500, top + 1), None, 7]):
+        df = spark.createDataFrame([(i,) for i in ids], "doc_id long")
+        got = {r.doc_id: r.p for r in df.select("doc_id", shared.id_places(df).alias("p")).collect()}
+        order = sorted(got, key=lambda i: (i is None, i or 0))
+        assert [got[i] for i in order] == sorted(set(got.values())) and len(set(got.values())) == len(ids)

@@ -122,3 +122,27 @@ def test_keys_are_shared_where_a_chunk_differs_once(spark):
     want = {i: bool(set(x) & set(y)) for i, (x, y) in enumerate(zip(M.lookup_keys(a).tolist(), M.lookup_keys(b).tolist(), strict=True))}
     df = spark.createDataFrame(list(zip(range(300), M.packed(a).tolist(), M.packed(b).tolist(), strict=True)), "i int, x array<long>, y array<long>")
     assert {r.i: r.m for r in df.select("i", M._meets("x", "y").alias("m")).collect()} == want and len(set(want.values())) == 2
+
+
+def thue_morse(n):
+    """Two words of n letters that collide under polynomials of any odd base modulo 2**64, if n is 1,024 or more."""
+    bits = [bin(i).count("1") & 1 for i in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+def test_structured_words_are_told_apart(spark):
+    import numpy as np
+
+    from corpuslens.llm import shared
+
+    data = []
+    for k, n in enumerate((8, 16, 17, 32, 64, 1024, 2048, 4096)):
+        for j, w in enumerate(thue_morse(n)):
+            data += [(10 * k + j, f"x {w} y"), (100 + 10 * k + j, f"{w}"), (200 + 10 * k + j, f"one two {w} three four five six seven {w.upper()}")]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in M.near_duplicates(df, 4).collect()}
+    assert got == brute(data, 4) and sum(k for *_, k in got.values()) == len(data)
+    words = [w.encode() for n in range(1, 200) for w in thue_morse(n)] + [bytes([c]) * n for c in (0, 1, 97, 255) for n in range(1, 40)]
+    flat = np.frombuffer(b" ".join(words), np.uint8)
+    first, end, _ = shared.word_places(flat, np.array([0, len(flat)]))
+    assert len(first) == len(words) and len(set(shared.word_hashes(flat, first, end).tolist())) == len(set(words))

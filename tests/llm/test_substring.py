@@ -3,6 +3,7 @@ import random
 import re
 
 import pytest
+from test_minhash import thue_morse
 
 from corpuslens.llm import substring as S
 
@@ -83,3 +84,22 @@ def test_any_two_places_share_a_cover_place():
     for i in range(S.PERIOD):
         for j in range(S.PERIOD):
             assert any(S.COVERED[(i + d) % S.PERIOD] and S.COVERED[(j + d) % S.PERIOD] for d in range(S.PERIOD))
+
+
+@pytest.mark.parametrize("n", [16, 64, 1024, 2048])
+def test_structured_words_are_told_apart(spark, n):
+    a, b = thue_morse(n)
+    side = [f"l{i}" for i in range(15)], [f"r{i}" for i in range(15)]
+    data = [(i, " ".join([*side[0], w, *side[1]])) for i, w in enumerate((a, b))] + [(5, " ".join([a] * 25)), (6, " ".join([b] * 25)), (7, " ".join([a, b] * 15)), (8, " ".join([b, a] * 15))]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    assert got(S.repeated_windows(df)) == brute(data)
+
+
+def test_missing_ids_come_after_the_largest_one(spark):
+    text = " ".join(map(str, range(30)))
+    big = (1 << 63) - 1
+    for ids in ([big, None], [big, big - 1, big - 3, None]):
+        data = [(i, text) for i in reversed(ids)]
+        df = spark.createDataFrame(data, "doc_id long, text string")
+        first = min(i for i in ids if i is not None)
+        assert {r.doc_id: r.n_removed for r in S.repeated_windows(df).collect()} == {i: 0 if i == first else 30 for i in ids}
