@@ -12,8 +12,8 @@ from corpuslens.llm import shared
 
 #: Sections of an interval that one pass tells apart (a pass is six bisections), and passes.
 SECTIONS, PASSES = 64, 7
-#: Hex digits of a document's hash that name its block.
-BLOCK_DIGITS = 3
+#: Hex digits of a document's hash that name its block, and bits of its text's hash that name its part among the rows of one hash.
+BLOCK_DIGITS, PART_BITS = 3, 12
 ADDED = ("mix_tokens", "mix_weight", "mix_block", "mix_copies")
 
 
@@ -73,8 +73,9 @@ def solve(sources: DataFrame, entropy: float, repetition: float, budget: float |
 def _mixed(docs: DataFrame, entropy: float, repetition: float, budget: float | None, seed: int) -> DataFrame:
     """row (all columns of docs), and the columns of ADDED."""
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    own = docs.select(row.alias("row"), word_count(F.col("text")).alias("tokens"), F.coalesce("source", F.lit("")).alias("source"), digest.alias("hash"), F.xxhash64("text").alias("tag"))
+    tag = F.xxhash64("text")
+    name = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit(":"), tag.cast("string")))  # rows without a doc_id stand by their texts
+    own = docs.select(row.alias("row"), word_count(F.col("text")).alias("tokens"), F.coalesce("source", F.lit("")).alias("source"), F.md5(F.concat(F.lit(f"{seed}:"), name)).alias("hash"), tag.alias("tag"))
     own = own.withColumn("mix_block", F.substring("hash", 1, BLOCK_DIGITS))
     lean = shared.table(own.drop("row"), "lean")
     blocks = shared.table(lean.groupBy("source", "mix_block").agg(F.sum("tokens").alias("tokens")), "blocks")
@@ -88,9 +89,14 @@ def _mixed(docs: DataFrame, entropy: float, repetition: float, budget: float | N
     cut = cut.withColumn("state", F.when(F.col("before") >= F.col("rest"), 0).when(F.col("before") + F.col("tokens") < F.col("rest"), 1).otherwise(2))
     # Where the budget ends within a block: the last place whose rows begin before its end, and how many of its equal rows do.
     edge = lean.join(cut.where("state = 2").select("source", "mix_block", "before", "rest"), ["source", "mix_block"])
-    edge = edge.groupBy("source", "hash", "tag", "tokens", "before", "rest").agg(F.count(F.lit(1)).alias("n"))
-    order = Window.partitionBy("source").orderBy("hash", "tag", "tokens").rowsBetween(Window.unboundedPreceding, -1)
-    left = F.col("rest") - F.col("before") - F.coalesce(F.sum(F.col("tokens") * F.col("n")).over(order), F.lit(0))
+    edge = edge.groupBy("source", "hash", "tag", "tokens", "before", "rest").agg(F.count(F.lit(1)).alias("n")).withColumn("part", F.shiftright("tag", 64 - PART_BITS))
+    # First the part of a hash in which it ends, as one doc_id may have most rows; then the place in it.
+    past = lambda *by: Window.partitionBy("source").orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    parts = edge.groupBy("source", "hash", "part").agg(F.sum(F.col("tokens") * F.col("n")).alias("m"), F.max(F.col("rest") - F.col("before")).alias("open"))
+    parts = parts.withColumn("open", F.col("open") - F.coalesce(F.sum("m").over(past("hash", "part")), F.lit(0))).where("open > 0")
+    last = parts.groupBy("source").agg(F.max(F.struct("hash", "part", "open")).alias("last")).select("source", "last.*")
+    edge = edge.join(last, ["source", "hash", "part"])
+    left = F.col("open") - F.coalesce(F.sum(F.col("tokens") * F.col("n")).over(past("hash", "tag", "tokens")), F.lit(0))
     fit = F.when(F.col("tokens") == 0, F.col("n")).otherwise(F.least("n", F.ceil(F.col("left") / F.nullif("tokens", F.lit(0)))))
     ends = edge.withColumn("left", left).where("left > 0").groupBy("source").agg(F.max(F.struct("hash", "tag", "tokens", fit.alias("fit"), "n")).alias("end"))
     ends = shared.table(ends, "ends")
@@ -126,11 +132,11 @@ def mixture(docs: DataFrame, entropy: float = 0.998, repetition: float = 1.5, bu
     blocks by the hash's first digits: each passes as often as the budget covers the source whole, and once more if it begins
     before what is left of the budget is used up. mix_copies says how often. Without a budget, every document passes at least once.
 
-    Rows of one doc_id, and those without one (which hash as ""), stand in the order of their texts' hashes. Each row counts and
+    Rows of one doc_id stand in the order of their texts' hashes, and those without one where a hash of that puts them. Each row counts and
     is decided by itself: of equal rows at the end of the budget, just as many pass as begin before it. A null source is the source
     "". Null and empty texts have no words and pass with their place in the order; long ones count whole. Sources without any
-    words have no weight (0), and their documents pass once. An empty table gives no rows. No task gets more than a source's share of
-    one block in 4096 in one window, equal rows as one.
+    words have no weight (0), and their documents pass once. An empty table gives no rows. No task gets more in one window than the hashes of one
+    block in 4096 of a source with 4096 parts of each, or the rows of one such part, equal rows as one.
     """
     names = [F.col(f"row.`{c}`") for c in docs.columns if c not in ADDED]
     return _mixed(docs, entropy, repetition, budget, seed).select(*names, *ADDED)

@@ -114,3 +114,28 @@ def test_equal_rows_of_several_sources(spark):
     got = M.mixture(df, budget=150.0)
     used = {r.source: r.n for r in got.groupBy("source").agg({"mix_copies": "sum"}).toDF("source", "n").collect()}
     assert got.count() == 121 and used["b"] == used["c"] == 10
+
+
+def test_rows_without_ids_are_spread(spark):
+    data = [(None, f"{k} " * 3, "ab"[k % 2]) for k in range(4000)]
+    df = spark.createDataFrame(data, "doc_id long, text string, source string").repartition(4)
+    got = M.mixture(df, budget=3001.0, entropy=0.0)
+    blocks = Counter(r.mix_block for r in got.collect())
+    assert len(blocks) > 1000 and max(blocks.values()) < 20
+    used = {r.source: r.n for r in got.groupBy("source").agg({"mix_copies": "sum"}).toDF("source", "n").collect()}
+    assert all(500 <= n <= 501 for n in used.values())
+
+
+def test_many_texts_of_one_id_go_by_parts(spark):
+    """The order by parts of a hash is the order by the whole hash: as many rows pass as begin before the budget's end."""
+    rng = random.Random(3)
+    data = [(7, " ".join([str(k)] * rng.randrange(0, 9)), "s") for k in range(3000)]
+    df = spark.createDataFrame(data, "doc_id long, text string, source string").repartition(4)
+    rows = df.selectExpr("xxhash64(text) as tag", "size(filter(split(text, ' '), x -> x != '')) as n").orderBy("tag", "n").collect()
+    for budget in (0.0, 1.0, 777.0, 5000.0, float(sum(r.n for r in rows) - 1)):
+        start, want = 0, 0
+        for r in rows:
+            want += start < budget
+            start += r.n
+        got = M.mixture(df, budget=budget).agg({"mix_copies": "sum"}).first()[0]
+        assert got == want
