@@ -235,7 +235,8 @@ def clean(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
                     yield kept
         shared.tidy()
 
-    return docs.mapInArrow(run, docs.schema)
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])  # as columns may have any name
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
 
 
 def op7_toxicity(spark, sf_dir: str) -> DataFrame:

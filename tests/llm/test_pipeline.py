@@ -60,7 +60,7 @@ def test_against_brute_force(spark, tmp_path):
 def test_stages_keep_columns_and_take_no_rows(spark, tmp_path):
     rows, labels = made()
     spark.createDataFrame(labels, "doc_id long, toxic int, quality int").write.parquet(f"{tmp_path}/labels.parquet")
-    df = spark.createDataFrame([(*r, "t", 1.5, "x") for r in rows[:40]], "doc_id long, text string, lang string, source string, n_chars long, tag string, score double, key string")
+    df = spark.createDataFrame([(*r, "t", 1.5, "x", "y", 2) for r in rows[:40]], "doc_id long, text string, lang string, source string, n_chars long, tag string, score double, key string, `x.y` string, `a b` int")
     for name, stage in corpus_pipeline.STAGES:
         for docs in (df, df.limit(0)):
             out = stage(spark, docs, str(tmp_path))
