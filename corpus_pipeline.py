@@ -16,6 +16,11 @@ from pyspark.sql import functions as F
 from corpuslens.llm import bpe, lines, minhash, mixing, shared, toxicity
 
 
+def _named(docs: DataFrame) -> list:
+    """docs' columns, which may have any name."""
+    return [F.col(f"`{c}`") for c in docs.columns]
+
+
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier scores below 0.5; it is fitted on the labels outside fold 0."""
     return toxicity.clean(docs, toxicity.train(docs, shared.read(spark, sf_dir, "labels")))
@@ -26,13 +31,13 @@ def remove_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     out = lines.line_dedup(docs)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("lines_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    return out.select(*_named(docs))
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of near-duplicates (five-word shingles, similarity of 0.8 or more, over any number of links) the one with the smallest doc_id."""
     gone = minhash.near_duplicates(docs, width=5, percent=80).where("not kept").select("doc_id").distinct()
-    return docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(*_named(docs))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
