@@ -25,16 +25,18 @@ def lid(knn: DataFrame) -> DataFrame:
     return survivors(knn).groupBy("q").agg((F.lit(-1.0) / F.avg(F.ln(ratio))).alias("lid"))
 
 
-def mean_distances(points: DataFrame, targets: DataFrame) -> DataFrame:
+def mean_distances(points: DataFrame, targets: DataFrame, most: int | None = None) -> DataFrame:
     """q, mean: of the distances to all targets; a query that is a target counts itself with 0."""
-    def run(ids, x, tids, tv):
-        d = K.distances(x, tv)
-        at = np.minimum(np.searchsorted(tids, ids), len(tids) - 1)
-        same = np.flatnonzero(tids[at] == ids)
+
+    def run(ids, x, block):
+        d = K.distances(x, block.v)
+        at = np.minimum(np.searchsorted(block.ids, ids), len(block.ids) - 1)
+        same = np.flatnonzero(block.ids[at] == ids)
         d[same, at[same]] = 0
-        return ids, d.mean(1)
+        return ids, d.sum(1), np.full(len(ids), len(block.ids))
 
-    return K.blocks(points, K.Targets(targets), run, "q long, mean double")
+    sums = K.blocks(points, K.Targets(targets, most=most), run, "q long, s double, n long")
+    return sums.groupBy("q").agg((F.sum("s") / F.sum("n")).alias("mean"))
 
 
 def relative_contrast(points: DataFrame, knn: DataFrame, seed=42) -> DataFrame:

@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpuslens.functions import scans
 from corpuslens.functions.quantiles import quantiles
 from corpuslens.functions.vectors import exploded
 from corpuslens.operators import knn as K
@@ -104,21 +105,20 @@ def covariance_fro(df: DataFrame) -> float:
     return float(np.linalg.norm(c["real"][0] - c["synth"][0]))
 
 
-def _mean_of(a: DataFrame, b: DataFrame, fn) -> float:
+def _mean_of(a: DataFrame, b: DataFrame, fn, most: int | None = None) -> float:
     """The mean of fn over all pairs of distances; sums of blocks are added up by the cluster."""
-    held = K.Targets(b)
-    rows = K.blocks(a, held, lambda ids, x, tids, tv: (ids, fn(K.distances(x, tv)).sum(1)), "q long, s double")
-    got = rows.agg(F.sum("s").alias("s"), F.count(F.lit(1)).alias("n")).first()
-    return got.s / (got.n * len(held))
+    run = lambda ids, x, block: (ids[:1], [fn(K.distances(x, block.v)).sum()], [len(ids) * len(block.ids)])
+    got = K.blocks(a, K.Targets(b, most=most), run, "q long, s double, n long").agg(F.sum("s").alias("s"), F.sum("n").alias("n")).first()
+    return got.s / got.n
 
 
-def mmd_rbf(real: DataFrame, synth: DataFrame, gamma: float = 1.0) -> float:
+def mmd_rbf(real: DataFrame, synth: DataFrame, gamma: float = 1.0, most: int | None = None) -> float:
     """The squared discrepancy, biased: pairs of a row with itself count."""
     kernel = lambda d: np.exp(-gamma * d * d)
-    return _mean_of(real, real, kernel) + _mean_of(synth, synth, kernel) - 2 * _mean_of(real, synth, kernel)
+    return _mean_of(real, real, kernel, most) + _mean_of(synth, synth, kernel, most) - 2 * _mean_of(real, synth, kernel, most)
 
 
-def pairwise_hist_l1(real: DataFrame, synth: DataFrame, bins: int = 50) -> DataFrame:
+def pairwise_hist_l1(real: DataFrame, synth: DataFrame, bins: int = 50, most: int | None = None) -> DataFrame:
     """bin, real, synth: densities of distances within real (a row with itself too) and from real to synth, over edges that the norms bound."""
     from corpuslens.functions.vectors import norm
 
@@ -127,11 +127,10 @@ def pairwise_hist_l1(real: DataFrame, synth: DataFrame, bins: int = 50) -> DataF
     edges = np.linspace(0, high, bins + 1)
 
     def counts(b: DataFrame) -> DataFrame:
-        def run(ids, x, tids, tv):
-            own = np.array([np.histogram(r, edges)[0] for r in K.distances(x, tv)])
-            return np.tile(np.arange(bins), len(ids)), own.ravel().astype(np.int64)
+        def run(ids, x, block):
+            return np.arange(bins), np.histogram(K.distances(x, block.v), edges)[0].astype(np.int64)
 
-        got = K.blocks(real, K.Targets(b), run, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n"))
+        got = K.blocks(real, K.Targets(b, most=most), run, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n"))
         total = F.sum("n").over(Window.partitionBy())
         return got.select("bin", F.when(total > 0, F.col("n") / (total * F.lit(high / bins))).otherwise(0.0).alias("density"))
 
@@ -179,21 +178,17 @@ def tensor_stats(df: DataFrame) -> dict[str, float]:
     return m.asDict() | {"cov_fro": covariance_fro(df), "negative_fraction": s["synth"].neg, "nnz_std_gap": abs(s["real"].std - s["synth"].std)}
 
 
-def pdist(df: DataFrame) -> DataFrame:
+def pdist(df: DataFrame, most: int | None = None) -> DataFrame:
     """pdist_mean, pdist_min over pairs of different rows (0 with fewer than two), std_mean: the mean deviation of a component."""
-    held = K.Targets(df)
 
-    def run(ids, x, tids, tv):
-        d = K.distances(x, tv)
-        d[tids[None, :] <= ids[:, None]] = np.nan
-        some = (tids[None, :] > ids[:, None]).any(1)
-        low = np.where(some, np.nanmin(np.where(some[:, None], d, 0.0), 1), np.inf) if len(d) else np.zeros(0)
-        return ids, np.nansum(d, 1), low
+    def run(ids, x, block):
+        d, pair = K.distances(x, block.v), block.ids[None, :] > ids[:, None]
+        return ids[:1], [d[pair].sum()], [pair.sum()], [d[pair].min(initial=np.inf)]
 
-    got = K.blocks(df, held, run, "q long, s double, low double").agg(F.sum("s").alias("s"), F.min("low").alias("low"), F.count(F.lit(1)).alias("n"))
-    pairs = F.col("n") * (F.col("n") - 1) / 2
+    got = K.blocks(df, K.Targets(df, most=most), run, "q long, s double, n long, low double").agg(F.sum("s").alias("s"), F.sum("n").alias("n"), F.min("low").alias("low"))
     std = exploded(df, "vec_id").groupBy("dim").agg(F.stddev_pop("x").alias("std")).agg(F.avg("std").alias("std_mean"))
-    return got.join(std).select(F.when(pairs > 0, F.col("s") / pairs).otherwise(0.0).alias("pdist_mean"), F.when(pairs > 0, F.col("low")).otherwise(0.0).alias("pdist_min"), "std_mean")
+    some = F.col("n") > 0
+    return got.join(std).select(F.when(some, F.col("s") / F.col("n")).otherwise(0.0).alias("pdist_mean"), F.when(some, F.col("low")).otherwise(0.0).alias("pdist_min"), "std_mean")
 
 
 def log_ratio_profile(knn: DataFrame) -> DataFrame:
@@ -210,26 +205,62 @@ def log_ratio_penalty(real: DataFrame, synth: DataFrame) -> DataFrame:
     return both.agg(F.coalesce(F.sum(F.abs(F.col("r") - F.col("s"))), F.lit(0.0)).alias("penalty"))
 
 
-def ema(values: DataFrame, decay: float = 0.99) -> DataFrame:
-    """values(key, step, x) -> key, step, ema: the first value, then decay * before + (1 - decay) * x. Steps of a key are folded in order, in one
-    stream whose state is one number. A null x changes nothing; before the first value the average is null."""
+def ema(values: DataFrame, decay: float = 0.99, piece_rows: int = scans.PIECE_ROWS) -> DataFrame:
+    """values(key, step, x) -> key, step, ema: the first value, then decay * before + (1 - decay) * x, in the order of step. A null x changes nothing;
+    before the first value the average is null. values is read twice.
+
+    A long key is cut into pieces of steps. What a piece makes of the average that it begins with is a line, x * slope + shift, so a first pass finds
+    these lines, they are put together piece by piece, and a second pass folds each piece from where the one before it ends. A piece is
+    a stream whose state is one number.
+    """
     import pyarrow as pa
 
-    def fold(batches):
+    rows = values.select("key", "step", F.col("x").cast("double").alias("x"))
+    cut = scans.pieces(rows, ["key"], "step", piece_rows)
+    kind = {c: rows.schema[c].dataType.simpleString() for c in ("key", "step")}
+
+    def folded(batches, ends: bool):
+        """The average after each row, or what a piece does as a whole: the number of its values, and where it ends from 0 and from nothing."""
+        own, now, done = object(), None, []
+        for batch in batches:
+            keys, parts, x, carried = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("key", "piece", "x", "carried"))
+            out = []
+            for key, part, value, before in zip(keys, parts, x, carried, strict=True):
+                if (key, part) != own:
+                    own, now = (key, part), before
+                    done.append([key, part, 0, 0.0, None])
+                if value is not None:
+                    now = value if now is None else now * decay + value * (1 - decay)
+                    if ends:
+                        last = done[-1]
+                        last[2:] = last[2] + 1, last[3] * decay + value * (1 - decay), now
+                out.append(now)
+            if not ends:
+                done.clear()
+                yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("key")), batch.column(batch.schema.get_field_index("step")), pa.array(out, pa.float64())], ["key", "step", "ema"])
+        if ends:
+            types = [batch.schema.field("key").type if done else pa.string(), pa.int32(), pa.int64(), pa.float64(), pa.float64()]
+            if done:
+                yield pa.RecordBatch.from_arrays([pa.array([d[i] for d in done], types[i]) for i in range(5)], ["key", "piece", "n", "shift", "fresh"])
+
+    def carried(batches):
+        """What each piece begins with; rows of a key in the order of its pieces."""
         own, now = object(), None
         for batch in batches:
             out = []
-            for key, x in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                if key != own:
-                    own, now = key, None
-                if x is not None:
-                    now = x if now is None else now * decay + x * (1 - decay)
+            for key, n, shift, fresh in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3, 4)), strict=True):
+                now = now if key == own else None
+                own = key
                 out.append(now)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.float64())], ["key", "step", "ema"])
-
-    rows = values.select("key", "step", F.col("x").cast("double").alias("x"))
-    kinds = [f"{c} {rows.schema[c].dataType.simpleString()}" for c in ("key", "step")]
-    return rows.repartition("key").sortWithinPartitions("key", "step").mapInArrow(fold, ", ".join([*kinds, "ema double"]))
+                if n:
+                    now = fresh if now is None else now * decay**n + shift
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.float64())], ["key", "piece", "carried"])
+
+    sorted_in = lambda df: df.repartition("key", "piece").sortWithinPartitions("key", "piece", "step")
+    ends = sorted_in(cut.withColumn("carried", F.lit(None).cast("double"))).mapInArrow(lambda b: folded(b, True), f"key {kind['key']}, piece int, n long, shift double, fresh double")
+    ends = ends.repartition("key").sortWithinPartitions("key", "piece")  # scans.PIECES rows of a key at most
+    begins = ends.mapInArrow(carried, f"key {kind['key']}, piece int, carried double").where("carried is not null")
+    return sorted_in(scans.join_keys(cut, begins, ["key", "piece"], "left")).mapInArrow(lambda b: folded(b, False), f"key {kind['key']}, step {kind['step']}, ema double")
 
 
 def ema_bias_correction(decay: float, steps: int) -> float:

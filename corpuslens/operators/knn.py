@@ -1,16 +1,18 @@
-"""Exact nearest neighbours: blocks of queries against a broadcast block of targets, by matrix products, then exact distances of the few."""
+"""Exact nearest neighbours: blocks of queries against blocks of targets, by matrix products, then exact distances of the few. Few targets are
+broadcast as one block; more meet the queries by a shuffle, in a grid of blocks of either."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: The most bytes of target vectors that are broadcast. Target sets are samples of a stated number of rows; larger ones are refused.
-BROADCAST_BYTES = 512 << 20
+#: The most bytes of target vectors that are broadcast (and held by the driver on the way), and of the vectors of a block beyond that.
+BROADCAST_BYTES, BLOCK_BYTES = 128 << 20, 24 << 20
 #: Distances that are held at once.
 CELLS = 1 << 22
 
@@ -20,40 +22,74 @@ def matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
 
+class Block:
+    """Target vectors in the order of their ids."""
+
+    def __init__(self, ids: pa.Array, vectors: pa.Array):
+        ids = np.asarray(ids, np.int64)
+        order = np.argsort(ids, kind="stable")
+        self.ids = ids[order]
+        self.v = matrix(vectors)[order] if len(order) else np.zeros((0, 0))
+
+    @cached_property
+    def same(self) -> np.ndarray:
+        return first_equal(self.v)
+
+
+def _columns(table: pa.Table) -> tuple[pa.Array, pa.Array]:
+    return table.column(0).combine_chunks(), table.column("v").combine_chunks()
+
+
 class Targets:
-    """The rows of df(vec_id, v), ordered by vec_id, broadcast after a check of their size."""
-
-    def __init__(self, df: DataFrame, key: str = "vec_id"):
-        size = df.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("d")).first()
-        if (size.n or 0) * (size.d or 0) * 8 > BROADCAST_BYTES:
-            raise ValueError(f"{size.n} targets of {size.d} dimensions are more than {BROADCAST_BYTES >> 20} MB; sample them first")
-        rows = df.select(key, "v").toArrow().combine_chunks()
-        ids = np.asarray(rows.column(0), np.int64)
-        order = np.argsort(ids)
-        v = matrix(rows.column("v").combine_chunks() if rows.num_rows else pa.array([], pa.list_(pa.float64())))
-        self.ids, self.v = ids[order], v[order] if len(order) else v
-        self.sent = df.sparkSession.sparkContext.broadcast((self.ids, self.v))
+    """The rows of df(key, v), whose keys differ. After a check of their size they are broadcast, or else stay where they are, to be met in blocks."""
+
+    def __init__(self, df: DataFrame, key: str = "vec_id", most: int | None = None):
+        self.df = df.select(key, "v")
+        self.size, self.rows = _bytes(self.df)
+        small = self.size <= (BROADCAST_BYTES if most is None else most)
+        self.sent = df.sparkSession.sparkContext.broadcast(Block(*_columns(self.df.toArrow()))) if small and self.rows else None
 
     def __len__(self) -> int:
-        return len(self.ids)
+        return self.rows
+
+
+def _bytes(df: DataFrame) -> tuple[int, int]:
+    """Bytes of the vectors as doubles, and rows."""
+    size = df.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("d")).first()
+    return (size.n or 0) * (size.d or 0) * 8, size.n
 
 
 def blocks(queries: DataFrame, targets: Targets, run: Callable, schema: str, key: str = "vec_id") -> DataFrame:
-    """run(ids, vectors, target ids, target vectors) -> columns, for blocks of queries. Queries are spread over all cores first: a small file is one split."""
-    sent, names = targets.sent, [x.strip().split()[0] for x in schema.split(",")]
-    step = max(1, CELLS // max(1, len(targets)))
+    """run(ids, vectors, block) -> columns, for blocks of queries and of targets. A query meets each target once, all in one block if targets are
+    broadcast, otherwise in several; whoever calls this adds up or merges what a query has from each. Without targets there are no rows."""
+    spark, sent = queries.sparkSession, targets.sent
+    fields = [x.split() for x in schema.split(",")]
+    names, kinds = [n for n, _ in fields], {"long": pa.int64(), "double": pa.float64()}
+
+    def met(ids: pa.Array, v: pa.Array, block: Block) -> Iterator[pa.RecordBatch]:
+        own, x = np.asarray(ids, np.int64), matrix(v)
+        step = max(1, CELLS // max(1, len(block.ids)))
+        for k in range(0, len(own) if len(block.ids) else 0, step):
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in run(own[k : k + step], x[k : k + step], block)], names)
 
     def each(batches):
-        ids, v = sent.value
         for batch in batches:
-            own = np.asarray(batch.column(0), np.int64)
-            x = matrix(batch.column(1))
-            for k in range(0, len(own), step):
-                out = run(own[k : k + step], x[k : k + step], ids, v)
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in out], names)
+            yield from met(batch.column(0), batch.column(1), sent.value)
 
-    parts = queries.sparkSession.sparkContext.defaultParallelism
-    return queries.select(key, "v").repartition(parts, key).mapInArrow(each, schema)
+    if sent or not len(targets):
+        spread = queries.select(key, "v").repartition(spark.sparkContext.defaultParallelism, key)  # a small file is one split
+        return spread.mapInArrow(each if sent else lambda batches: iter(()), schema)
+
+    def cell(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = list(met(*_columns(left), Block(*_columns(right)))) if left.num_rows and right.num_rows else []
+        return pa.Table.from_batches(out) if out else pa.table([pa.array([], kinds[k]) for _, k in fields], names)
+
+    rows, columns = (max(1, -(-size // BLOCK_BYTES)) for size in (_bytes(queries.select("v"))[0], targets.size))
+    part = lambda name, n: F.pmod(F.xxhash64(name), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = queries.select(key, "v", part(key, rows).alias("row")).withColumn("column", every(columns))
+    right = targets.df.toDF("target", "v").withColumn("column", part("target", columns)).withColumn("row", every(rows))
+    return left.groupBy("row", "column").cogroup(right.groupBy("row", "column")).applyInArrow(cell, schema)
 
 
 def squares(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -94,16 +130,15 @@ def first_equal(v: np.ndarray) -> np.ndarray:
     return first[own]
 
 
-def _nearest(k: int, metric: str, own: bool, same):
-    """same: the broadcast of first_equal() of the targets."""
-
-    def ranked(x, tv, candidates):
+def _nearest(k: int, metric: str, own: bool):
+    def ranked(x, block, candidates):
         """Exact distances of one query to candidates, of which equal ones are computed once, a bounded number at a time."""
-        first, back = np.unique(same.value[candidates], return_inverse=True)
-        step = max(1, CELLS // max(1, tv.shape[1]))
-        return np.concatenate([_exact(metric, x[None], tv[first[i : i + step]][None])[0] for i in range(0, len(first), step)])[back]
+        first, back = np.unique(block.same[candidates], return_inverse=True)
+        step = max(1, CELLS // max(1, block.v.shape[1]))
+        return np.concatenate([_exact(metric, x[None], block.v[first[i : i + step]][None])[0] for i in range(0, len(first), step)])[back]
 
-    def run(ids, x, tids, tv):
+    def run(ids, x, block):
+        tids, tv, best_of = block.ids, block.v, min(k, len(block.ids))
         if metric == "cosine":
             unit = lambda m: m / np.maximum(np.sqrt((m * m).sum(1, keepdims=True)), 1e-300)
             rough = 1 - unit(x) @ unit(tv).T
@@ -114,22 +149,22 @@ def _nearest(k: int, metric: str, own: bool, same):
             at = np.searchsorted(tids, ids)
             hit = (at < len(tids)) & (tids[np.minimum(at, len(tids) - 1)] == ids)
             rough[np.flatnonzero(hit), at[hit]] = np.inf
-        more = min(rough.shape[1], k + 8)
+        more = min(rough.shape[1], best_of + 8)
         part = np.argpartition(rough, more - 1, axis=1)[:, :more]
         near = np.sort(np.take_along_axis(rough, part, 1), axis=1)
-        # Rounding may have kept out targets that tie with the k-th: rows for which that can be are widened, each by itself.
-        edge = near[:, k - 1] + 2 * slack
+        # Rounding may have kept out targets that tie with the last: rows for which that can be are widened, each by itself.
+        edge = near[:, best_of - 1] + 2 * slack
         d = np.empty((len(x), more))
         for i in range(0, len(x), 64):
             d[i : i + 64] = _exact(metric, x[i : i + 64], tv[part[i : i + 64]])
         if own:
             d[np.isinf(np.take_along_axis(rough, part, 1))] = np.inf
-        order = np.lexsort((tids[part], d), axis=1)[:, :k]
+        order = np.lexsort((tids[part], d), axis=1)[:, :best_of]
         d, t = np.take_along_axis(d, order, 1), np.take_along_axis(tids[part], order, 1)
         for i in np.flatnonzero((near[:, -1] <= edge) & (more < rough.shape[1])):
             candidates = np.flatnonzero(rough[i] <= edge[i])
-            exact = ranked(x[i], tv, candidates)
-            best = np.lexsort((tids[candidates], exact))[:k]
+            exact = ranked(x[i], block, candidates)
+            best = np.lexsort((tids[candidates], exact))[:best_of]
             d[i], t[i] = exact[best], tids[candidates[best]]
         keep = np.isfinite(d)
         rank = np.broadcast_to(np.arange(1, d.shape[1] + 1), d.shape)
@@ -141,12 +176,17 @@ def _nearest(k: int, metric: str, own: bool, same):
 KNN = "q long, rk long, t long, d double"
 
 
-def knn(points: DataFrame, k: int, metric: str = "l2", targets: DataFrame | None = None) -> DataFrame:
-    """q, rk (from 1), t, d: the k nearest of targets (or of the other points), ties by id. k is cut to what there is; fewer than two points are an error."""
-    held = Targets(points if targets is None else targets)
+def knn(points: DataFrame, k: int, metric: str = "l2", targets: DataFrame | None = None, most: int | None = None) -> DataFrame:
+    """q, rk (from 1), t, d: the k nearest of targets (or of the other points), ties by id. k is cut to what there is; fewer than two points are an
+    error. More than `most` bytes of targets (BROADCAST_BYTES) aren't broadcast: each block of them gives its k nearest, and these are merged."""
+    held = Targets(points if targets is None else targets, most=most)
     if targets is None and len(held) < 2:
         raise ValueError("neighbours need two points at least")
     if k < 1:
         raise ValueError("k must be 1 at least")
-    same = points.sparkSession.sparkContext.broadcast(first_equal(held.v))  # a number for each target, of which there are no more than their vectors allow
-    return blocks(points, held, _nearest(min(k, len(held) - (targets is None)), metric, targets is None, same), KNN)
+    k = min(k, len(held) - (targets is None))
+    found = blocks(points, held, _nearest(k, metric, targets is None), KNN)
+    if held.sent:
+        return found
+    rank = F.row_number().over(Window.partitionBy("q").orderBy("d", "t"))
+    return found.withColumn("rk", rank.cast("long")).where(F.col("rk") <= k).select("q", "rk", "t", "d")

@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpuslens.functions import scans
 from corpuslens.functions.quantiles import quantile
 from corpuslens.functions.vectors import dot, exploded, norm
 from corpuslens.operators import difficulty, fidelity, sampling
@@ -187,27 +188,86 @@ def buffer_stability(points: DataFrame, first: DataFrame, second: DataFrame, k:
     return own.agg((F.sqrt(F.avg(F.pow(F.col("x") - F.col("y"), 2))) / F.sqrt(F.avg(F.pow("x", F.lit(2))))).alias("change"), at(1).alias("corr_r1"), at(5).alias("corr_r5"))
 
 
-def separability(points: DataFrame, real: DataFrame, k: int, seed: int = 42) -> float:
-    """Area under the curve of a logistic regression that tells points(label) apart by logarithms of distances to real, on a held-out half."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.evaluation import BinaryClassificationEvaluator
-    from pyspark.ml.feature import StandardScaler
-    from pyspark.ml.functions import array_to_vector
-
-    near = K.knn(points, k, targets=real).groupBy("q").agg(F.array_sort(F.collect_list("d")).alias("d"))
-    own = near.join(points.select(F.col("vec_id").alias("q"), F.col("label").cast("double").alias("label")), "q")
-    own = own.select("q", "label", array_to_vector(F.transform("d", lambda x: F.log1p(x))).alias("raw"))
-    own = own.withColumn("half", F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("q").cast("string"))), 1, 4), 16, 10).cast("int") % 2).persist()
-    fit, rest = own.where("half = 0"), own.where("half = 1")
-    scaler = StandardScaler(inputCol="raw", outputCol="features", withMean=True).fit(fit)
-    model = LogisticRegression(maxIter=50, regParam=1e-3).fit(scaler.transform(fit))
-    return BinaryClassificationEvaluator().evaluate(model.transform(scaler.transform(rest)))
-
-
-def best_so_far(df: DataFrame) -> DataFrame:
-    """run, step, value, and whether it is below all before it."""
-    past = Window.partitionBy("run").orderBy("step").rowsBetween(Window.unboundedPreceding, -1)
-    return df.withColumn("best", F.coalesce(F.col("value") < F.min("value").over(past), F.lit(True)))
+def _sums(df: DataFrame, fn, size: int) -> np.ndarray:
+    """The sum over all rows of df(y, x) of fn(y, X), a vector of numbers; each task adds up its own rows."""
+    import pyarrow as pa
+
+    def run(batches):
+        total = np.zeros(size)
+        for batch in batches:
+            if batch.num_rows:
+                total += fn(np.asarray(batch.column(0), float), K.matrix(batch.column(1)))
+        yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64()))], ["s"])
+
+    parts = df.select("y", "x").mapInArrow(run, "s array<double>").select(F.posexplode("s").alias("i", "s")).groupBy("i").agg(F.sum("s").alias("s"))
+    return np.array([r.s for r in parts.orderBy("i").collect()])
+
+
+def logistic(df: DataFrame, penalty: float = 1.0, steps: int = 25, enough: float = 1e-10) -> np.ndarray:
+    """The weights of df(y 0 or 1, x array) and the intercept, which is the last: the least sum of losses and penalty / 2 of the squared weights without
+    the intercept. By Newton steps, whose gradients and curvatures are sums over rows; the driver solves for one number a column."""
+    wide = df.select(F.size("x").alias("d")).first()
+    d = wide.d + 1
+    w = np.zeros(d)
+    ridge = np.full(d, penalty)
+    ridge[-1] = 0
+
+    def loss(y, x, at):
+        z = x @ at[:-1] + at[-1]
+        return np.array([(np.logaddexp(0, z) - y * z).sum()])
+
+    def slopes(y, x):
+        x = np.column_stack([x, np.ones(len(x))])
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -700, 700)))
+        return np.concatenate([x.T @ (p - y), (x.T @ (x * (p * (1 - p))[:, None])).ravel()])
+
+    cost = lambda at: float(_sums(df, lambda y, x: loss(y, x, at), 1)[0] + (ridge * at * at).sum() / 2)
+    now = cost(w)
+    for _ in range(steps):
+        got = _sums(df, slopes, d + d * d)
+        gradient, curvature = got[:d] + ridge * w, got[d:].reshape(d, d) + np.diag(ridge + 1e-12)
+        move, size = np.linalg.solve(curvature, gradient), 1.0
+        while (then := cost(w - size * move)) > now + 1e-9 * abs(now) and size > 1e-6:  # a step that overshoots is halved
+            size /= 2
+        w, now = w - size * move, then
+        if np.abs(size * move).max() <= enough * (1 + np.abs(w).max()):
+            break
+    return w
+
+
+def auc(scored: DataFrame) -> float | None:
+    """scored(y 0 or 1, score): the share of pairs of a 1 and a 0 in which the 1 scores higher; ties are half. None without such pairs."""
+    counts = scored.groupBy("score").agg(F.sum("y").cast("double").alias("ones"), F.sum(1 - F.col("y")).cast("double").alias("zeros"))
+    placed = scans.running(counts.withColumn("all", F.lit(0)), ["all"], "score", {"below": ("sum", F.col("zeros"))}, True)
+    r = placed.agg(F.sum(F.col("ones") * (F.coalesce("below", F.lit(0.0)) + F.col("zeros") / 2)).alias("won"), F.sum("ones").alias("ones"), F.sum("zeros").alias("zeros")).first()
+    return r.won / (r.ones * r.zeros) if r.ones and r.zeros else None
+
+
+def separability(points: DataFrame, real: DataFrame, k: int, seed: int = 42) -> float | None:
+    """Area under the curve of a logistic regression that tells points(label) apart by logarithms of distances to real, on a held-out half: the rows
+    whose hash is odd. Features are standardised by the other half, on which it is fitted."""
+    near = K.knn(points, k, targets=real).groupBy("q").agg(F.transform(F.array_sort(F.collect_list("d")), lambda x: F.log1p(x)).alias("x"))
+    own = near.join(points.select(F.col("vec_id").alias("q"), F.col("label").cast("double").alias("y")), "q")
+    half = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("q").cast("string"))), 1, 4), 16, 10).cast("int") % 2
+    own = own.select("y", "x", half.alias("half")).persist()
+    try:
+        fit = own.where("half = 0")
+        facts = exploded(fit, "y", column="x").groupBy("dim").agg(F.avg("x").alias("mean"), F.stddev_pop("x").alias("std")).orderBy("dim").collect()  # k rows
+        if not facts:
+            return None
+        mean, std = (F.array(*[F.lit(float(r[c])) for r in facts]) for c in ("mean", "std"))
+        even = F.transform(F.arrays_zip(F.col("x").alias("x"), mean.alias("m"), std.alias("s")), lambda z: (z["x"] - z["m"]) / (z["s"] + 1e-9))
+        w = logistic(fit.select("y", even.alias("x")))
+        score = dot(F.col("x"), F.array(*[F.lit(float(v)) for v in w[:-1]])) + float(w[-1])
+        return auc(own.where("half = 1").select("y", even.alias("x")).select("y", score.alias("score")))
+    finally:
+        own.unpersist()
+
+
+def best_so_far(df: DataFrame, piece_rows: int = scans.PIECE_ROWS) -> DataFrame:
+    """df(run, step, value, ...) with best: whether the value is below all before it. Steps of a run differ. A null value is no best, unless nothing came before it."""
+    out = scans.running(df, ["run"], "step", {"least_before": ("min", F.col("value"))}, True, piece_rows)
+    return out.withColumn("best", F.coalesce(F.col("value") < F.col("least_before"), F.lit(True))).drop("least_before")
 
 
 def empty_cells(df: DataFrame) -> DataFrame:

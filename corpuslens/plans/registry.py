@@ -12,6 +12,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpuslens.functions import scans
 from corpuslens.functions.vectors import as_double, exploded, l2_normalize, r6, sound
 from corpuslens.operators import difficulty, fidelity, gates, panels, preprocess, sampling, structure
 from corpuslens.operators import generator as G
@@ -409,14 +410,16 @@ def _(spark, sf):
     return rounded(fidelity.log_ratio_penalty(a, b), "penalty")
 
 
+#: Small, so that a few thousand events of a key are several tasks' work too.
+EVENTS_OF_A_PIECE = 512
+
+
 @query("ema_target", """WITH RECURSIVE x AS (SELECT event_type AS key, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS step, avg(value) OVER (PARTITION BY event_type ORDER BY event_id) AS x FROM events),
 f AS (SELECT key, step, x AS ema FROM x WHERE step = 1 UNION ALL SELECT x.key, x.step, f.ema * 0.99 + x.x * (1 - 0.99) FROM f JOIN x ON x.key = f.key AND x.step = f.step + 1) SELECT key, step, round(ema, 6) AS ema FROM f""")
 def _(spark, sf):
-    from pyspark.sql import Window
-
-    own = Window.partitionBy("event_type").orderBy("event_id")
-    x = spark.read.parquet(f"{sf}/events.parquet").select(F.col("event_type").alias("key"), F.row_number().over(own).cast("long").alias("step"), F.avg("value").over(own).alias("x"))
-    return fidelity.ema(x).withColumn("ema", F.round("ema", 6))
+    events = spark.read.parquet(f"{sf}/events.parquet").select(F.col("event_type").alias("key"), "event_id", "value")
+    sums = scans.running(events, ["key"], "event_id", {"step": ("sum", F.lit(1).cast("long")), "total": ("sum", F.col("value")), "n": ("sum", F.col("value").isNotNull().cast("long"))}, piece_rows=EVENTS_OF_A_PIECE)
+    return fidelity.ema(sums.select("key", "step", (F.col("total") / F.nullif("n", F.lit(0))).alias("x")), piece_rows=EVENTS_OF_A_PIECE).withColumn("ema", F.round("ema", 6))
 
 
 # Panels
@@ -719,7 +722,7 @@ def _(spark, sf):
 
 @query("best_so_far", "SELECT event_type AS run, event_id AS step, value, coalesce(value < min(value) OVER (PARTITION BY event_type ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS best FROM events")
 def _(spark, sf):
-    return structure.best_so_far(spark.read.parquet(f"{sf}/events.parquet").select(F.col("event_type").alias("run"), F.col("event_id").alias("step"), "value"))
+    return structure.best_so_far(spark.read.parquet(f"{sf}/events.parquet").select(F.col("event_type").alias("run"), F.col("event_id").alias("step"), "value"), EVENTS_OF_A_PIECE)
 
 
 @query("ema_bias_correction", "SELECT t AS step, round(1 / (1 - 0.99::DOUBLE ** t), 6) AS factor FROM (SELECT unnest(range(1, 51)) AS t)")
@@ -766,6 +769,13 @@ def _(spark, sf):
     return rounded(K.knn(spark.read.parquet(f"{sf}/customer.parquet").select(F.col("c_custkey").alias("vec_id"), v.alias("v")), 10), "d")
 
 
+@query("knn_in_blocks", f"WITH {CUSTOMERS}, {near(7)} SELECT q, rk, t, round(d, 6) AS d FROM knn")
+def _(spark, sf):
+    """Targets that aren't broadcast: they meet the queries block by block."""
+    v = F.array("c_acctbal", F.col("c_nationkey").cast("double"), F.lit(100_000.0) + F.col("c_custkey") % 7)
+    return rounded(K.knn(spark.read.parquet(f"{sf}/customer.parquet").select(F.col("c_custkey").alias("vec_id"), v.alias("v")), 7, most=0), "d")
+
+
 @query("batch_knn", f"WITH {E}, b AS (SELECT *, vec_id // 64 AS batch FROM e) SELECT batch, q, rk, t, round(d, 6) AS d FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY d, t) AS rk FROM (SELECT x.batch, x.vec_id AS q, y.vec_id AS t, list_distance(x.v, y.v) AS d FROM b x JOIN b y ON x.batch = y.batch AND x.vec_id <> y.vec_id)) WHERE rk <= 12")
 def _(spark, sf):
     return rounded(structure.batch_knn(corpus(spark, sf).withColumn("batch", F.expr("vec_id div 64")), 12), "d")

@@ -292,14 +292,15 @@ def test_distances_of_close_rows_with_large_norms():
 def test_knn_among_many_copies_in_bounded_memory():
     """20,000 copies of a wide row: one block of queries stays within what its distances take."""
     import tracemalloc
-    from types import SimpleNamespace
+    import pyarrow as pa
 
     rng = np.random.default_rng(13)
     v = np.concatenate([np.repeat(rng.standard_normal((1, 256)), 20_000, 0), rng.standard_normal((500, 256))])
     ids = np.arange(len(v))
-    run = K._nearest(10, "l2", True, SimpleNamespace(value=K.first_equal(v)))
+    block = K.Block(pa.array(ids), pa.FixedSizeListArray.from_arrays(pa.array(v.ravel()), 256))
+    run = K._nearest(10, "l2", True)
     tracemalloc.start()
-    q, rk, t, d = run(ids[:200], v[:200], ids, v)
+    q, rk, t, d = run(ids[:200], v[:200], block)
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 400 << 20
