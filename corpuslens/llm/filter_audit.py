@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
+import json
 from itertools import permutations
+from math import factorial
 
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuslens.llm import shared
@@ -46,63 +46,57 @@ def joint_failures(failed: DataFrame) -> DataFrame:
     return failed.groupBy("part").agg(*sums)
 
 
-def survivors(joint: np.ndarray) -> np.ndarray:
-    """joint: by set, how many fail all of its filters -> by set, how many pass all of its filters: the signed sum over its subsets."""
-    sign = np.array([1 - 2 * (s.bit_count() & 1) for s in range(SETS)], np.int64)
-    out = joint * sign
-    for i in range(len(FILTERS)):  # a zeta transform over subsets
-        has = np.flatnonzero(np.arange(SETS) >> i & 1)
-        out[has] += out[has ^ 1 << i]
-    return out
+def _sum(sets: list[int], sign, weight, joint) -> Column:
+    """The sum over sets of sign * weight * joint count."""
+    return sum((F.lit(sign(s) * weight(s)) * joint(s) for s in sets), F.lit(0))
 
 
-def exactly(joint: np.ndarray) -> np.ndarray:
-    """By set, how many fail its filters and no other: the Moebius inversion of joint over supersets."""
-    out = joint.copy()
-    for i in range(len(FILTERS)):
-        lacks = np.flatnonzero(~np.arange(SETS) >> i & 1)
-        out[lacks] -= out[lacks | 1 << i]
-    return out
+def survivors(joint, passed: int) -> Column:
+    """How many pass all filters of a set: by the signed sum of the joint counts of its subsets."""
+    return _sum([s for s in range(SETS) if s & passed == s], lambda s: -1 if s.bit_count() & 1 else 1, lambda s: 1, joint)
 
 
-def shapley_over_orders(joint: np.ndarray) -> np.ndarray:
-    """By filter, what it removes summed over all orders: the Harsanyi dividend of a set, which is its joint count with a sign, goes to its members in equal shares."""
-    orders = len(list(permutations(FILTERS)))
-    out = np.zeros(len(FILTERS), np.int64)
-    for s in range(1, SETS):
-        size = s.bit_count()
-        for i in range(len(FILTERS)):
-            if s >> i & 1:
-                out[i] += (1 if size & 1 else -1) * joint[s] * (orders // size)
-    return out
+def only(joint, i: int) -> Column:
+    """How many fail filter i and no other: the Moebius inversion over the sets that hold it."""
+    return _sum([s for s in range(SETS) if s >> i & 1], lambda s: 1 if s.bit_count() & 1 else -1, lambda s: 1, joint)
 
 
-COLUMNS = "part string, filter_order string, step int, filter string, kept long, removed long, redundant long, unique_fails long, good_lost long, toxic_lost long, shapley long"
+def shapley_over_orders(joint, i: int) -> Column:
+    """What filter i removes, summed over all orders: the Harsanyi dividend of a set, its joint count with a sign, goes to its members in equal shares."""
+    return _sum([s for s in range(SETS) if s >> i & 1], lambda s: 1 if s.bit_count() & 1 else -1, lambda s: factorial(len(FILTERS)) // s.bit_count(), joint)
 
 
-def _report(batches):
+def report(joint: DataFrame) -> DataFrame:
     """All orders and steps of each part, from its joint counts."""
-    names = [c.strip().split()[0] for c in COLUMNS.split(",")]
-    for batch in batches:
-        for row in batch.to_pylist():
-            joint = {m: np.array([row[f"joint_{m}_{s}"] for s in range(SETS)], np.int64) for m in MEASURES}
-            left = {m: survivors(x) for m, x in joint.items()}
-            only, shapley = exactly(joint["n"]), shapley_over_orders(joint["n"])
-            rows = []
-            for order in permutations(range(len(FILTERS))):
-                before = 0
-                for step, i in enumerate(order, 1):
-                    after = before | 1 << i
-                    lost = {m: int(x[before] - x[after]) for m, x in left.items()}
-                    name = "".join(FILTERS[k] for k in order)
-                    rows.append((row["part"], name, step, FILTERS[i], int(left["n"][after]), lost["n"], int(joint["n"][1 << i]) - lost["n"], int(only[1 << i]), lost["good"], lost["toxic"], int(shapley[i])))
-                    before = after
-            yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows], pa.schema([(n, pa.string() if k == "string" else pa.int32() if k == "int" else pa.int64()) for n, k in (c.split() for c in COLUMNS.split(","))]))
+    of = {m: (lambda s, m=m: F.col(f"joint_{m}_{s}")) for m in MEASURES}
+    by_set = [F.array(*[survivors(of[m], s) for s in range(SETS)]).alias(f"left_{m}") for m in MEASURES]
+    by_filter = [F.array(*[f(i) for i in range(len(FILTERS))]).alias(n) for n, f in (("failing", lambda i: of["n"](1 << i)), ("only", lambda i: only(of["n"], i)), ("shares", lambda i: shapley_over_orders(of["n"], i)))]
+    steps = []
+    for order in permutations(range(len(FILTERS))):
+        before = 0
+        for step, i in enumerate(order, 1):
+            steps.append({"filter_order": "".join(FILTERS[k] for k in order), "step": step, "i": i, "before": before, "after": (before := before | 1 << i)})
+    kind = "array<struct<filter_order:string,step:int,i:int,before:int,after:int>>"
+    out = joint.select("part", *by_set, *by_filter).select("*", F.inline(F.from_json(F.lit(json.dumps(steps)), kind)))
+    lost = {m: F.col(f"left_{m}")[F.col("before")] - F.col(f"left_{m}")[F.col("after")] for m in MEASURES}
+    own = lambda name: F.col(name)[F.col("i")]
+    return out.select(
+        "part",
+        "filter_order",
+        "step",
+        F.col("left_n")[F.col("after")].alias("kept"),
+        lost["n"].alias("removed"),
+        (own("failing") - lost["n"]).alias("redundant"),
+        own("only").alias("unique_fails"),
+        lost["good"].alias("good_lost"),
+        lost["toxic"].alias("toxic_lost"),
+        own("shares").alias("shapley"),
+    )
 
 
 def filter_audit(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs(doc_id, text, lang, ...), labels(doc_id, quality, toxic, ...) -> a row for each part (lang), order of the five filters and step:
-    part, filter_order, step, filter, kept, removed, redundant, unique_fails, good_lost, toxic_lost, shapley.
+    part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, shapley.
 
     A document fails A with fewer than 200 words, B with 100 * distinct words < 50 * words, C with 100 * capitals > 3 * characters, D with
     any of #$%&*|, E if a smaller doc_id of the whole table has the same text. Null texts and parts count as empty ones. Rows that share
@@ -113,7 +107,6 @@ def filter_audit(docs: DataFrame, labels: DataFrame) -> DataFrame:
     Equal texts are told by SHA-256. The smallest doc_id of each digest is a partial aggregate and comes back by (digest, doc_id), a key
     that only equal rows share, which are counted before; so no group of copies meets in one task.
     """
-    spark = docs.sparkSession
     keys = ["digest", "doc_id", "part", *FILTERS[:4]]
     rows = shared.table(flags(docs).groupBy(*keys).agg(F.count(F.lit(1)).alias("rows")), "flags")
     lead = rows.groupBy("digest").agg(F.min("doc_id").alias("first_id")).select(F.col("digest").alias("first_digest"), "first_id", F.lit(0).alias("later"))
@@ -124,13 +117,11 @@ def filter_audit(docs: DataFrame, labels: DataFrame) -> DataFrame:
     told = told.withColumn("id", F.coalesce("doc_id", F.xxhash64("digest"))).withColumn("named", F.col("doc_id").isNotNull())
     failed = told.join(marks.withColumn("named", F.lit(True)), ["id", "named"], "left")
     failed = failed.select("part", *FILTERS, F.col("rows").alias("n"), *[(F.col("rows") * F.coalesce(m, F.lit(0))).alias(m) for m in MEASURES[1:]])
-    shared.small_batches(spark)
-    return joint_failures(failed).mapInArrow(_report, COLUMNS)
+    return report(joint_failures(failed))
 
 
 def op12_filter_audit(spark, sf_dir: str) -> DataFrame:
-    out = filter_audit(shared.read(spark, sf_dir, "documents"), shared.read(spark, sf_dir, "labels"))
-    return out.drop("filter")
+    return filter_audit(shared.read(spark, sf_dir, "documents"), shared.read(spark, sf_dir, "labels"))
 
 
 SQL = r"""

@@ -3,7 +3,6 @@ import re
 from collections import Counter
 from itertools import permutations
 
-import numpy as np
 import pytest
 
 from corpuslens.llm import filter_audit as X
@@ -55,28 +54,31 @@ def test_against_brute_force(spark):
     rows, labels = corpus()
     docs = spark.createDataFrame([(*r, 1, "x", "y") for r in rows], "doc_id long, text string, lang string, A int, digest string, `a.b` string").repartition(5)
     marks = spark.createDataFrame([(*r, "z") for r in labels], "doc_id long, quality int, toxic int, part string")
-    got = [tuple(r) for r in X.filter_audit(docs, marks).drop("filter").collect()]
+    got = [tuple(r) for r in X.filter_audit(docs, marks).collect()]
     want = brute(rows, labels)
     assert len(got) == len(want) == 600 * len({r[2] or "" for r in rows})
     assert {r[:3]: r[3:] for r in got} == want
     assert X.filter_audit(docs.limit(0), marks).count() == 0
-    none = {r[:3]: r[3:] for r in map(tuple, X.filter_audit(docs, marks.limit(0)).drop("filter").collect())}
+    none = {r[:3]: r[3:] for r in map(tuple, X.filter_audit(docs, marks.limit(0)).collect())}
     assert none == brute(rows, [])
 
 
-def test_transforms():
-    rng = np.random.default_rng(2)
-    exact = rng.integers(0, 50, X.SETS)
-    joint = np.array([sum(exact[t] for t in range(X.SETS) if t & s == s) for s in range(X.SETS)])
-    assert (X.exactly(joint) == exact).all()
-    assert X.survivors(joint).tolist() == [sum(exact[t] for t in range(X.SETS) if not t & s) for s in range(X.SETS)]
+def test_transforms(spark):
+    rng = random.Random(2)
+    exact = [rng.randrange(50) for _ in range(X.SETS)]
+    joint = [sum(exact[t] for t in range(X.SETS) if t & s == s) for s in range(X.SETS)]
+    df = spark.createDataFrame([tuple(joint)], [f"j{s}" for s in range(X.SETS)])
+    of = lambda s: df[f"j{s}"]
+    got = df.select(*[X.survivors(of, s) for s in range(X.SETS)], *[X.only(of, i) for i in range(5)], *[X.shapley_over_orders(of, i) for i in range(5)]).first()
+    assert list(got[: X.SETS]) == [sum(exact[t] for t in range(X.SETS) if not t & s) for s in range(X.SETS)]
+    assert list(got[X.SETS : X.SETS + 5]) == [exact[1 << i] for i in range(5)]
     gone = lambda s: sum(exact[t] for t in range(X.SETS) if t & s)
     by_order = [sum(gone(sum(1 << k for k in o[: o.index(i) + 1])) - gone(sum(1 << k for k in o[: o.index(i)])) for o in permutations(range(5))) for i in range(5)]
-    assert X.shapley_over_orders(joint).tolist() == by_order
+    assert list(got[-5:]) == by_order
 
 
 @pytest.mark.parametrize("rows", [[(1, "A" * 5, None)], [(None, None, None), (None, None, None)]])
 def test_few_rows(spark, rows):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     marks = spark.createDataFrame([], "doc_id long, quality int, toxic int")
-    assert {r[:3]: r[3:] for r in map(tuple, X.filter_audit(docs, marks).drop("filter").collect())} == brute(rows, [])
+    assert {r[:3]: r[3:] for r in map(tuple, X.filter_audit(docs, marks).collect())} == brute(rows, [])
