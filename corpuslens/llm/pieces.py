@@ -7,7 +7,9 @@ import heapq
 import re
 import struct
 import zlib
+from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -19,9 +21,8 @@ from pyspark.sql import types as T
 
 from corpuslens.llm import shared
 
-#: What stands for a space, and a chunk: no piece goes on past a mark that follows other characters.
+#: What stands for a space. A chunk is a run of marks and the characters up to the next mark, if no piece goes on past that.
 MARK = "▁"
-CHUNK = re.compile(f"{MARK}+[^{MARK}]*")
 #: Characters of a block of documents, whose distinct chunks are sent on together, and about so many bytes of a bucket of chunks that are
 #: segmented together. Both bound a worker's memory only.
 BLOCK_CHARS, BUCKET_BYTES = 1 << 23, 1 << 23
@@ -66,11 +67,10 @@ class Model:
         own = [dict(_fields(v)) for k, v in parts if k == 1]
         trainer, normaliser = (dict(_fields(next((v for k, v in parts if k == n), b""))) for n in (2, 3))
         pieces = [(p[1].decode(), struct.unpack("<f", p[2])[0] if 2 in p else 0.0, p.get(3, NORMAL)) for p in own]
-        if trainer.get(3) != BPE or not trainer.get(35) or trainer.get(24) or normaliser.get(2) or not normaliser.get(5, 1) or normaliser.get(4, 1):
-            raise ValueError("only BPE models with byte fallback that keep all characters and white space are supported")
+        if trainer.get(3) != BPE or not trainer.get(35) or trainer.get(24) or normaliser.get(2) or not normaliser.get(5, 1) or not normaliser.get(3, 1) or normaliser.get(4, 1):
+            raise ValueError("only BPE models with byte fallback that put a mark before a text and keep all characters and white space are supported")
         if {kind for _, _, kind in pieces} - {NORMAL, UNKNOWN, CONTROL, BYTE}:
             raise ValueError("models with user-defined or unused pieces are not supported")
-        self.prefix = MARK if normaliser.get(3, 1) else ""
         self.order = {p: -score for p, score, kind in pieces if kind == NORMAL}
         if any(re.search(f"[^{MARK}]{MARK}", p) for p in self.order):
             raise ValueError("a piece crosses a mark, so chunks can't be segmented apart")
@@ -79,10 +79,20 @@ class Model:
         self.bytes_of = [bytes([int(p[3:5], 16)]) if kind == BYTE else p.replace(MARK, " ").encode() if kind == NORMAL else b"" for p, _, kind in pieces]
 
     def chunks(self, text: str) -> list[str]:
+        """The chunks of a text in order, each as its characters after the first mark, with spaces for further marks. A mark in the text is a space."""
         if not text:
             return []
-        text = self.prefix + text.replace(" ", MARK)
-        return CHUNK.findall(text) if text[0] == MARK else [text[: text.find(MARK)] if MARK in text else text, *CHUNK.findall(text)]
+        parts = text.replace(MARK, " ").split(" ")
+        if "" not in parts:
+            return parts
+        out, marks = [], 0
+        for p in parts:
+            if p:
+                out.append(" " * marks + p)
+                marks = 0
+            else:
+                marks += 1
+        return out + [" " * (marks - 1)] * (marks > 0)
 
     def _heaped(self, chunk: str) -> list[str]:
         get, own, n = self.order.get, list(chunk), len(chunk)
@@ -105,6 +115,7 @@ class Model:
 
     def segment(self, chunk: str) -> list[int]:
         """Ids of a chunk: the best pair of neighbours is merged, the leftmost of equal ones, until none is a piece."""
+        chunk = MARK + chunk.replace(" ", MARK)
         if len(chunk) > LONG:
             own = self._heaped(chunk)
         else:
@@ -129,7 +140,7 @@ class Model:
     def decode(self, ids: list[int]) -> str:
         """The text of ids that encoding gave."""
         text = b"".join([self.bytes_of[i] for i in ids]).decode("utf-8", "replace")
-        return text[1:] if self.prefix and text[:1] == " " else text
+        return text.removeprefix(" ")
 
 
 _models: dict[str, Model] = {}
@@ -143,24 +154,13 @@ def model(name: str) -> Model:
     return _models[name]
 
 
-def _packed(sizes: np.ndarray, data: bytes) -> bytes:
-    return zstandard.compress(np.array([len(sizes)], "<u4").tobytes() + sizes.astype("<u4").tobytes() + data, 3)
-
-
-def _unpacked(blob: bytes) -> tuple[np.ndarray, bytes]:
-    raw = zstandard.decompress(blob)
-    n = int(np.frombuffer(raw, "<u4", 1)[0])
-    return np.frombuffer(raw, "<u4", n, 4), raw[4 + 4 * n :]
-
+def _packed(x: np.ndarray) -> bytes:
+    """Numbers below 2**32, as their lowest bytes, then their next ones and so on, which packs well."""
+    return zstandard.compress(x.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 3)
 
-def _strings(blob: bytes) -> list[str]:
-    sizes, data = _unpacked(blob)
-    text, ends = data.decode("utf-8"), np.cumsum(sizes).tolist()
-    return [text[a:b] for a, b in zip([0, *ends], ends)]
 
-
-def _pack_strings(strings: list[str]) -> bytes:
-    return _packed(np.array([len(s) for s in strings], np.int64), "".join(strings).encode())
+def _unpacked(blob: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.decompress(blob), np.uint8).reshape(4, -1).T.copy().view("<u4").ravel()
 
 
 def _blocks(batches) -> Iterator[tuple[int, pa.Array, list[str]]]:
@@ -184,15 +184,18 @@ def _blocks(batches) -> Iterator[tuple[int, pa.Array, list[str]]]:
         yield number, pa.concat_arrays(ids), texts
 
 
-def _dealt(own: Model, texts: list[str], buckets: int) -> list[list[str]]:
-    """The block's distinct chunks by bucket, in the order of their first appearance."""
-    seen: dict[str, None] = {}
-    for t in texts:
-        seen.update(dict.fromkeys(own.chunks(t)))
-    out: list[list[str]] = [[] for _ in range(buckets)]
-    for c in seen:
-        out[zlib.crc32(c.encode()) % buckets].append(c)
-    return out
+def _distinct(words: list[list[str]], buckets: int) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The distinct chunks of a block, the most frequent first, the bucket of each and its place among those of its bucket."""
+    seen: Counter = Counter()
+    for w in words:
+        seen.update(w)
+    chunks = [c for c, _ in seen.most_common()]
+    bucket = np.fromiter(map(zlib.crc32, map(str.encode, chunks)), np.int64, len(chunks)) % buckets
+    order = np.argsort(bucket, kind="stable")
+    ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
+    place = np.empty(len(chunks), np.int64)
+    place[order] = np.arange(len(chunks)) - ends[bucket[order]]
+    return chunks, bucket, place
 
 
 def encode(docs: DataFrame, model_path: str, keep_ids: bool = True, fixed: bool = False) -> DataFrame:
@@ -201,7 +204,7 @@ def encode(docs: DataFrame, model_path: str, keep_ids: bool = True, fixed: bool
 
     A text is marked (a mark before it and one for each space) and cut before each run of marks into chunks, which no piece crosses.
     Blocks of documents send their distinct chunks, each to the bucket of its hash; a bucket segments each of its distinct chunks once and
-    returns the ids to the blocks by position, where they are put in the place of the chunks.
+    returns the ids to the blocks by position. There they meet the documents, each chunk of which is a bucket and a place in it.
 
     A null text counts as empty: no ids, digests of nothing. Texts and chunks of any length are taken whole; a long text is a block of its
     own. Repeated and null doc_ids go through; other columns are ignored; an empty table gives no rows. fixed: docs gives the same rows in the
@@ -220,56 +223,65 @@ def encode(docs: DataFrame, model_path: str, keep_ids: bool = True, fixed: bool
     def send(batches):
         own = model(name)
         for block, _, texts in _blocks(batches):
-            dealt = _dealt(own, texts, buckets)
-            full = [k for k in range(buckets) if dealt[k]]
-            yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([block] * len(full), pa.int64()), pa.array([_pack_strings(dealt[k]) for k in full], pa.binary())], ["bucket", "block", "chunks"])
+            chunks, bucket, _ = _distinct([own.chunks(t) for t in texts], buckets)
+            dealt: dict[int, list[str]] = {}
+            for c, k in zip(chunks, bucket.tolist(), strict=True):
+                dealt.setdefault(k, []).append(c)
+            # No chunk holds a mark, so marks keep them apart.
+            yield pa.RecordBatch.from_arrays([pa.array(dealt, pa.int32()), pa.array([block] * len(dealt), pa.int64()), pa.array([zstandard.compress(MARK.join(x).encode(), 3) for x in dealt.values()], pa.binary())], ["bucket", "block", "chunks"])
         shared.tidy()
 
     def segment(table: pa.Table) -> pa.Table:
         own, known, out = model(name), {}, []
         for blob in table.column("chunks"):
-            chunks = _strings(blob.as_py())
+            chunks = zstandard.decompress(blob.as_py()).decode().split(MARK)
             for c in set(chunks).difference(known):
-                known[c] = np.array(own.segment(c), "<u4")
-            ids = [known[c] for c in chunks]
-            out.append(_packed(np.array([len(x) for x in ids], np.int64), np.concatenate(ids).tobytes()))
+                known[c] = ",".join(map(str, own.segment(c)))
+            out.append(zstandard.compress(";".join([known[c] for c in chunks]).encode(), 3))
         return pa.table([table.column("block"), table.column("bucket"), pa.array(out, pa.binary())], ["block", "bucket", "ids"])
 
-    def text_rows(batches):
+    def place(batches):
+        own = model(name)
         for block, ids, texts in _blocks(batches):
-            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), pa.array([_pack_strings(texts)], pa.binary())], ["block", "doc_ids", "texts"])
+            words = [own.chunks(t) for t in texts]
+            chunks, bucket, at = _distinct(words, buckets)
+            number = {c: i for i, c in enumerate(chunks)}
+            row = np.fromiter(map(number.__getitem__, chain.from_iterable(words)), np.int64, sum(map(len, words)))
+            parts = [_packed(np.fromiter(map(len, words), np.int64, len(words))), _packed(bucket[row]), _packed(at[row])]
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), *[pa.array([x], pa.binary()) for x in parts]], ["block", "doc_ids", "sizes", "bucket", "place"])
         shared.tidy()
 
     fields = [("doc_id", docs.schema["doc_id"].dataType), ("n_tokens", T.LongType()), ("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType())]
     fields += [("ids", T.BinaryType()), ("decoded", T.StringType())] * keep_ids
 
     def put_back(left: pa.Table, right: pa.Table) -> pa.Table:
-        own, known = model(name), {}
-        texts = _strings(left.column("texts")[0].as_py())
-        dealt = _dealt(own, texts, buckets)
-        blobs = dict(zip(right.column("bucket").to_pylist(), right.column("ids").to_pylist(), strict=True))
-        if left.num_rows != 1 or set(blobs) != {k for k in range(buckets) if dealt[k]}:
+        own = model(name)
+        sizes, bucket, at = (_unpacked(left.column(c)[0].as_py()).astype(np.int64) for c in ("sizes", "bucket", "place"))
+        begins, coded = np.full(buckets, -1, np.int64), []
+        for k, blob in zip(right.column("bucket").to_pylist(), right.column("ids").to_pylist(), strict=True):
+            begins[k] = len(coded)
+            coded += zstandard.decompress(blob).decode().split(";")
+        row = begins[bucket] + at
+        if left.num_rows != 1 or len(np.unique(row)) != len(coded) or (len(row) and (row.max() >= len(coded) or begins[bucket].min() < 0)):
             raise RuntimeError("the documents changed between two reads; pass fixed=False")
-        for k, blob in blobs.items():
-            sizes, data = _unpacked(blob)
-            ids, ends = np.frombuffer(data, "<u4").tolist(), np.cumsum(sizes).tolist()
-            for c, a, b in zip(dealt[k], [0, *ends], ends, strict=False):
-                known[c] = (b - a, ",".join(map(str, ids[a:b])), b"".join([own.bytes_of[i] for i in ids[a:b]]), ids[a:b] if keep_ids else None)
+        of = {str(i): b for i, b in enumerate(own.bytes_of)}
+        texts = [b"".join([of[i] for i in x.split(",")]) for x in coded]
+        coded, texts = np.array([*coded, ""], object)[:-1], np.array([*texts, b""], object)[:-1]
         rows: list[tuple] = []
-        for t in texts:
-            at = [known[c] for c in own.chunks(t)]
-            back = b"".join([x[2] for x in at])
-            back = back[1:] if own.prefix and back[:1] == b" " else back
-            row = (sum([x[0] for x in at]), hashlib.sha256(",".join([x[1] for x in at]).encode()).hexdigest(), hashlib.sha256(back).hexdigest())
-            rows.append((*row, np.array([i for x in at for i in x[3]], "<u4").tobytes(), back.decode("utf-8", "replace")) if keep_ids else row)
+        for a, b in zip(np.cumsum(sizes) - sizes, np.cumsum(sizes), strict=True):
+            ids, back = ",".join(coded[row[a:b]].tolist()), b"".join(texts[row[a:b]].tolist()).removeprefix(b" ")
+            n = ids.count(",") + 1 if b > a else 0
+            rows.append((n, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(back).hexdigest()))
+            if keep_ids:
+                rows[-1] += (np.array(ids.split(",") if n else [], "<u4").tobytes(), back.decode("utf-8", "replace"))
         columns = [left.column("doc_ids").combine_chunks().flatten()] + [pa.array(c) for c in zip(*rows, strict=True)]
         return pa.table(columns, [n for n, _ in fields])
 
     sent = docs.mapInArrow(send, "bucket int, block long, chunks binary")
     back = sent.repartition(max(1, buckets // 2), "bucket").groupBy("bucket").applyInArrow(segment, "block long, bucket int, ids binary")
-    kind = T.StructType([T.StructField("block", T.LongType()), T.StructField("doc_ids", T.ArrayType(docs.schema["doc_id"].dataType)), T.StructField("texts", T.BinaryType())])
+    kind = T.StructType([T.StructField("block", T.LongType()), T.StructField("doc_ids", T.ArrayType(docs.schema["doc_id"].dataType)), *[T.StructField(c, T.BinaryType()) for c in ("sizes", "bucket", "place")]])
     # Blocks without chunks hold empty texts only; their group of ids is empty.
-    both = docs.mapInArrow(text_rows, kind).groupBy("block").cogroup(back.groupBy("block"))
+    both = docs.mapInArrow(place, kind).groupBy("block").cogroup(back.groupBy("block"))
     return both.applyInArrow(put_back, T.StructType([T.StructField(n, t) for n, t in fields]))
 
 
