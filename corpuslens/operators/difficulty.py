@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +14,8 @@ from corpuslens.operators import sampling
 
 #: The targets of relative contrast are a sample of so many rows.
 CONTRAST_TARGETS = 2000
+#: The k-means cells: starts, rows of a batch, passes over the sample that they are fitted to, and its rows at most.
+STARTS, BATCH, PASSES, FIT_ROWS = 3, 1024, 10, 20_000
 
 
 def survivors(knn: DataFrame) -> DataFrame:
@@ -68,16 +73,56 @@ def ivf_occupancy(points: DataFrame, nlist: int, seed=42) -> DataFrame:
     return centroids.select(F.col("vec_id").alias("cell")).join(nearest, "cell", "left").select("cell", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
-def kmeans_occupancy(points: DataFrame, nlist: int, seed: int = 42) -> DataFrame:
-    """cell, n, by MLlib's k-means."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
+def fit_cells(ids: np.ndarray, x: np.ndarray, k: int, seed: int, start: int) -> tuple[np.ndarray, float]:
+    """k centroids of rows by mini-batch k-means, and the rows' mean squared distance to them. Rows go in the order of their ids' hashes. The first
+    centroids are drawn among the first rows in proportion to the squared distance to those drawn before. Each batch moves a centroid to the mean of all
+    rows that it has been given so far."""
+    order = sorted(range(len(ids)), key=lambda i: (hashlib.md5(f"{seed}:{start}:{ids[i]}".encode()).digest(), ids[i]))
+    x = x[order]
+    squares = lambda rows, c: np.maximum((rows * rows).sum(1)[:, None] + (c * c).sum(1) - 2 * rows @ c.T, 0)
+    rng, pool = np.random.default_rng([seed, start]), x[: 3 * max(BATCH, k)]
+    centroids = [pool[0]]
+    left = squares(pool, pool[:1])[:, 0]
+    for _ in range(1, k):
+        at = int(np.searchsorted(np.cumsum(left), rng.random() * left.sum())) if left.sum() > 0 else len(centroids)
+        centroids.append(pool[min(at, len(pool) - 1)])
+        left = np.minimum(left, squares(pool, centroids[-1][None])[:, 0])
+    c, given = np.array(centroids), np.zeros(k)
+    for _ in range(PASSES):
+        for i in range(0, len(x), BATCH):
+            rows = x[i : i + BATCH]
+            own = squares(rows, c).argmin(1)
+            n, sums = np.bincount(own, minlength=k), np.zeros_like(c)
+            np.add.at(sums, own, rows)
+            hit = n > 0
+            given[hit] += n[hit]
+            c[hit] += (sums[hit] - n[hit, None] * c[hit]) / given[hit, None]
+    far = [squares(x[i : i + BATCH], c).min(1).sum() for i in range(0, len(x), BATCH)]
+    return c, float(sum(far) / max(1, len(x)))
+
+
+def cells_of(points: DataFrame, nlist: int, seed: int = 42) -> DataFrame:
+    """vec_id (the cell's number), v: the centroids of the best of STARTS fits to a sample of FIT_ROWS rows at most."""
     k = lists_of(points.count(), nlist)
-    own = points.select(array_to_vector("v").alias("features"))
-    model = KMeans(k=k, seed=seed, maxIter=10).fit(own)
-    found = model.transform(own).groupBy(F.col("prediction").alias("cell")).agg(F.count(F.lit(1)).alias("n"))
-    return points.sparkSession.range(model.getK()).select(F.col("id").cast("int").alias("cell")).join(found, "cell", "left").select("cell", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+
+    def fit(table: pa.Table) -> pa.Table:
+        start = table.column("start")[0].as_py()
+        c, far = fit_cells(np.asarray(table.column("vec_id"), np.int64), K.matrix(table.column("v").combine_chunks()), k, seed, start)
+        return pa.table([pa.array([start] * k, pa.int32()), pa.array(range(k), pa.int64()), pa.array(c.tolist(), pa.list_(pa.float64())), pa.array([far] * k)], ["start", "vec_id", "v", "far"])
+
+    drawn = sampling.sample(points.select("vec_id", "v"), FIT_ROWS, seed).withColumn("start", F.explode(F.array(*map(F.lit, range(STARTS)))))
+    fits = drawn.groupBy("start").applyInArrow(fit, "start int, vec_id long, v array<double>, far double").collect()  # a few centroids for each start
+    if not fits:
+        raise ValueError("cells need points")
+    best = min((r.far, r.start) for r in fits)[1]
+    return points.sparkSession.createDataFrame([(r.vec_id, r.v) for r in fits if r.start == best], "vec_id long, v array<double>")
+
+
+def kmeans_occupancy(points: DataFrame, nlist: int, seed: int = 42) -> DataFrame:
+    """cell, n: all points by the nearest centroid (ties to the smaller number) of a mini-batch k-means; empty cells count 0."""
+    cells = cells_of(points, nlist, seed)
+    found = K.knn(points, 1, targets=cells).groupBy(F.col("t").alias("cell")).agg(F.count(F.lit(1)).alias("n"))
+    return cells.select(F.col("vec_id").alias("cell")).join(found, "cell", "left").select(F.col("cell").cast("int").alias("cell"), F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
 def gini(cells: DataFrame, column: str = "n") -> DataFrame:

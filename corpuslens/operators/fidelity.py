@@ -58,48 +58,82 @@ def _added(parts: DataFrame) -> DataFrame:
     return parts.repartition("series", "part").mapInArrow(run, SUMS)
 
 
-def covariances(df: DataFrame, ddof: int = 1, centred: bool = True) -> dict[str, tuple[np.ndarray, np.ndarray, int]]:
-    """series -> (covariance, mean, rows): the means first, then outer products of what differs from them, against cancellation. Each task
-    adds up its own; rows of these matrices meet on the executors, and the driver gets one D x D matrix of each series."""
-    own = df.select("series", "v")
+def _by_series(batch):
+    names, v = np.asarray(batch.column(0).to_pylist(), object), K.matrix(batch.column(1))
+    for s in sorted(set(names.tolist())):
+        yield s, v[names == s]
+
 
-    def by_series(batch):
-        names, v = np.asarray(batch.column(0).to_pylist(), object), K.matrix(batch.column(1))
-        for s in sorted(set(names.tolist())):
-            yield s, v[names == s]
+def means(df: DataFrame) -> dict[str, tuple[int, np.ndarray]]:
+    """series -> (rows, mean)."""
 
     def totals(batches):
-        yield from _sums(batches, lambda b: [(s, 0, len(x), x.sum(0)) for s, x in by_series(b)])
+        yield from _sums(batches, lambda b: [(s, 0, len(x), x.sum(0)) for s, x in _by_series(b)])
 
-    means = {r.series: (r.n, np.array(r.x) / r.n) for r in _added(own.mapInArrow(totals, SUMS)).collect()}  # one vector for each series
-    sent = df.sparkSession.sparkContext.broadcast({s: m for s, (_, m) in means.items()})
+    return {r.series: (r.n, np.array(r.x) / r.n) for r in _added(df.select("series", "v").mapInArrow(totals, SUMS)).collect()}  # one vector for each series
 
-    def products(batches):
-        import pyarrow as pa
 
+def _products(df: DataFrame, shift: dict[str, np.ndarray], scale: dict[str, np.ndarray] | None = None) -> DataFrame:
+    """series, part, x: the rows of the outer products' sum of what differs from shift (over scale), added up on the executors; the last part holds the plain sum."""
+    import pyarrow as pa
+
+    sent = df.sparkSession.sparkContext.broadcast((shift, scale))
+
+    def run(batches):
         held: dict = {}
+        shift, scale = sent.value
         for batch in batches:
-            for s, x in by_series(batch):
-                y = x - sent.value[s]
+            for s, x in _by_series(batch):
+                y = x - shift[s] if scale is None else (x - shift[s]) / scale[s]
                 g, t = held.get(s, (0.0, 0.0))
                 held[s] = g + y.T @ y, t + y.sum(0)
-        for s, (g, t) in held.items():  # the last part holds the sums, which rounding of the mean leaves
+        for s, (g, t) in held.items():
             parts = [*g, t]
             yield pa.RecordBatch.from_arrays([pa.array([s] * len(parts)), pa.array(range(len(parts)), pa.int32()), pa.array([0] * len(parts), pa.int64()), pa.array([x.tolist() for x in parts], pa.list_(pa.float64()))], ["series", "part", "n", "x"])
 
-    rows: dict = {s: {} for s in means}
-    for r in _added(own.mapInArrow(products, SUMS)).toLocalIterator():
+    return _added(df.select("series", "v").mapInArrow(run, SUMS))
+
+
+def covariances(df: DataFrame, ddof: int = 1, centred: bool = True) -> dict[str, tuple[np.ndarray, np.ndarray, int]]:
+    """series -> (covariance, mean, rows): the means first, then outer products of what differs from them, against cancellation. Each task
+    adds up its own; rows of these matrices meet on the executors, and the driver gets one D x D matrix of each series."""
+    mean_of = means(df)
+    rows: dict = {s: {} for s in mean_of}
+    for r in _products(df, {s: m for s, (_, m) in mean_of.items()}).toLocalIterator():
         rows[r.series][r.part] = np.array(r.x)
     out = {}
-    for s in sorted(means):
-        n, mean = means[s]
-        rest = rows[s].pop(len(mean)) / n
+    for s in sorted(mean_of):
+        n, mean = mean_of[s]
+        rest = rows[s].pop(len(mean)) / n  # what rounding of the mean leaves
         gram = np.array([rows[s][i] for i in range(len(mean))]) - n * np.outer(rest, rest)
         mean = mean + rest
         out[s] = ((gram if centred else gram + n * np.outer(mean, mean)) / (n - ddof), mean, n)
     return out
 
 
+def correlations(df: DataFrame) -> DataFrame:
+    """series, i, j, r: correlations of components; null where one doesn't vary. Means and deviations come first, a vector for each series; the products of what
+    they leave stay on the executors, a row of the matrix at a time."""
+    mean_of = means(df)
+    if not mean_of:
+        return df.sparkSession.createDataFrame([], "series string, i int, j int, r double")
+    sent = df.sparkSession.sparkContext.broadcast({s: m for s, (_, m) in mean_of.items()})
+
+    def squares(batches):
+        parts = lambda b: [x for s, v in _by_series(b) for y in [v - sent.value[s]] for x in ((s, 0, 0, (y * y).sum(0)), (s, 1, 0, y.sum(0)))]
+        yield from _sums(batches, parts)
+
+    found = {(r.series, r.part): np.array(r.x) for r in _added(df.select("series", "v").mapInArrow(squares, SUMS)).collect()}  # two vectors for each series
+    shift, scale = {}, {}
+    for s, (n, mean) in mean_of.items():
+        rest = found[s, 1] / n
+        std = np.sqrt(np.maximum(found[s, 0] / n - rest * rest, 0))
+        shift[s], scale[s] = mean + rest, np.where(std > 1e-14 * np.abs(mean), std, np.nan)
+    rows = F.broadcast(df.sparkSession.createDataFrame([(s, n) for s, (n, _) in mean_of.items()], "series string, rows long"))  # a row for each series
+    flat = _products(df, shift, scale).where(F.col("part") < F.size("x")).join(rows, "series").select("series", F.col("part").alias("i"), "rows", F.posexplode("x").alias("j", "x"))
+    return flat.select("series", "i", "j", F.when(F.isnan("x"), None).otherwise(F.col("x") / F.col("rows")).alias("r"))
+
+
 def covariance_fro(df: DataFrame) -> float:
     c = covariances(df)
     return float(np.linalg.norm(c["real"][0] - c["synth"][0]))

@@ -60,9 +60,57 @@ def distance(a, b):
     return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
 
 
+#: Into so many groups a series' triangles go before they are folded into one.
+FOLDS = 64
+
+
+def triangles(df: DataFrame, centred: bool = True) -> dict[str, tuple[np.ndarray, int]]:
+    """series -> (R, rows): the triangle of a QR decomposition of its rows (less their mean), so that nothing is squared and small singular values stay.
+    Each task folds its rows into a triangle, groups of triangles are folded into one each, and these into the last; the driver gets one for each series."""
+    import pyarrow as pa
+
+    mean_of = fidelity.means(df)
+    sent = df.sparkSession.sparkContext.broadcast({s: m if centred else 0 * m for s, (_, m) in mean_of.items()})
+    kind = "series string, part int, x array<double>"
+
+    def folded(batches, rows):
+        held: dict = {}
+        for batch in batches:
+            for key, x in rows(batch):
+                old = held.get(key)
+                held[key] = np.linalg.qr(x if old is None else np.vstack([old, x]), mode="r")
+        for (series, part), r in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([series] * len(r), pa.string()), pa.array([part] * len(r), pa.int32()), pa.array(r.tolist(), pa.list_(pa.float64()))], ["series", "part", "x"])
+
+    def first(batches):
+        from pyspark import TaskContext
+
+        part = TaskContext.get().partitionId() % FOLDS
+        yield from folded(batches, lambda b: [((s, part), x - sent.value[s]) for s, x in fidelity._by_series(b)])
+
+    def again(last: bool):
+        def rows(batch):
+            series, parts, x = np.asarray(batch.column(0).to_pylist(), object), np.asarray(batch.column(1)), K.matrix(batch.column(2))
+            for key in sorted(set(zip(series.tolist(), parts.tolist(), strict=True))):
+                yield (key[0], 0 if last else key[1]), x[(series == key[0]) & (parts == key[1])]
+
+        return lambda batches: folded(batches, rows)
+
+    own = df.select("series", "v").mapInArrow(first, kind)
+    own = own.repartition("series", "part").mapInArrow(again(False), kind)
+    held: dict = {}
+    for r in own.repartition("series").mapInArrow(again(True), kind).toLocalIterator():
+        held.setdefault(r.series, []).append(r.x)
+    return {s: (np.array(held[s]), n) for s, (n, _) in sorted(mean_of.items())}
+
+
 def eigenvalues(df: DataFrame, centred: bool = True, ddof: int = 0) -> dict[str, np.ndarray]:
-    """series -> eigenvalues of its D x D covariance (or Gram) matrix, descending; the D x D problem is solved on the driver."""
-    return {s: np.maximum(np.linalg.eigvalsh(c)[::-1], 0) for s, (c, _, _) in fidelity.covariances(df, ddof, centred).items()}
+    """series -> eigenvalues of its D x D covariance (or Gram) matrix, descending: squares of its rows' singular values."""
+    out = {}
+    for s, (r, n) in triangles(df, centred).items():
+        values = np.linalg.svd(r, compute_uv=False) ** 2 / (n - ddof)
+        out[s] = np.concatenate([values, np.zeros(r.shape[1] - len(values))])
+    return out
 
 
 def participation(values: np.ndarray) -> float:
@@ -151,14 +199,8 @@ def angular_vs_l2(points: DataFrame, k: int) -> DataFrame:
 
 
 def correlation(df: DataFrame) -> DataFrame:
-    """series, i, j, r: correlations of components, by one pass of outer products."""
-    rows = []
-    for s, (c, _, _) in fidelity.covariances(df, 0).items():
-        std = np.sqrt(np.diag(c))
-        with np.errstate(divide="ignore", invalid="ignore"):
-            r = c / np.outer(std, std)
-        rows += [(s, i, j, float(r[i, j]) if np.isfinite(r[i, j]) else None) for i in range(len(c)) for j in range(len(c))]
-    return df.sparkSession.createDataFrame(rows, "series string, i int, j int, r double")
+    """series, i, j, r: correlations of components, null where one doesn't vary."""
+    return fidelity.correlations(df)
 
 
 def residual_correlation(r: np.ndarray) -> np.ndarray:

@@ -53,14 +53,25 @@ def test_specs():
 
 
 def test_streamed_average(spark, tmp_path):
-    for i, rows in enumerate([[("k", 1, 1.0), ("j", 1, 4.0)], [("k", 2, 3.0), ("k", 3, 5.0)]]):
-        spark.createDataFrame(rows, "key string, step long, x double").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
-    stream = spark.readStream.schema("key string, step long, x double").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
-    q = ema(stream, 0.5).writeStream.format("memory").queryName("averages").outputMode("append").option("checkpointLocation", f"{tmp_path}/state").start()
-    q.processAllAvailable()
-    q.stop()
-    got = {(r.key, r.step): r.ema for r in spark.sql("select * from averages").collect()}
-    assert set(got) == {("k", 1), ("j", 1), ("k", 2), ("k", 3)} and got["j", 1] == 4
+    """As the table's average, over nulls, triggers and a restart."""
+    from corpuslens.operators import fidelity
+
+    parts = [[("k", 1, 1.0), ("j", 2, 4.0), ("j", 1, None), ("n", 1, None)], [("k", 3, 5.0), ("k", 2, 3.0), ("n", 2, None)], [("j", 3, None), ("k", 4, 2.0), ("j", 4, 8.0), ("n", 3, 7.0)]]
+    kind = "key string, step long, x double"
+
+    def go():
+        stream = spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+        q = ema(stream, 0.5).writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{tmp_path}/state").start(f"{tmp_path}/out")
+        q.processAllAvailable()
+        q.stop()
+
+    for i, rows in enumerate(parts):
+        spark.createDataFrame(rows, kind).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        if i != 1:  # the second and the third trigger run after a restart
+            go()
+    got = {(r.key, r.step): r.ema for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    want = {(r.key, r.step): r.ema for r in fidelity.ema(spark.createDataFrame([r for p in parts for r in p], kind), 0.5).collect()}
+    assert got == want and want["n", 2] is None and want["n", 3] == 7
 
 
 def test_report_has_every_series_and_whole_panels(spark, tmp_path, monkeypatch):

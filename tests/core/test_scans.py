@@ -132,3 +132,85 @@ def test_neighbours_in_a_grid_of_blocks(spark, monkeypatch):
     with pytest.raises(ValueError):
         K.knn(df.limit(1), 3, most=0)
     assert K.knn(df, 3, targets=df.limit(0).union(other.limit(1)), most=0).count() == df.count()
+
+
+def test_cells_against_a_plain_loop(spark):
+    import hashlib
+
+    from corpuslens.operators import difficulty
+
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(6, 5)) * 10
+    x = centres[rng.integers(0, 6, 2500)] + rng.normal(size=(2500, 5))
+    ids = rng.permutation(10**6)[:2500]
+
+    def loop(start):
+        order = sorted(range(len(ids)), key=lambda i: (hashlib.md5(f"7:{start}:{ids[i]}".encode()).digest(), ids[i]))
+        rows, draw = x[order], np.random.default_rng([7, start])
+        pool, c = rows[: 3 * 1024], [rows[0]]
+        while len(c) < 6:
+            d = np.array([min(((r - a) ** 2).sum() for a in c) for r in pool])
+            c.append(pool[np.searchsorted(np.cumsum(d), draw.random() * d.sum())])
+        c, given = np.array(c), np.zeros(6)
+        for _ in range(10):
+            for i in range(0, len(rows), 1024):
+                batch = rows[i : i + 1024]
+                own = [((r - c) ** 2).sum(1).argmin() for r in batch]
+                for j in range(6):
+                    if hits := [r for r, o in zip(batch, own, strict=True) if o == j]:
+                        given[j] += len(hits)
+                        c[j] = c[j] + (np.sum(hits, 0) - len(hits) * c[j]) / given[j]
+        return c, np.mean([((r - c) ** 2).sum(1).min() for r in rows])
+
+    for start in (0, 1, 2):
+        c, far = difficulty.fit_cells(ids, x, 6, 7, start)
+        want, want_far = loop(start)
+        assert np.allclose(c, want) and far == pytest.approx(want_far)
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x, strict=True)], "vec_id long, v array<double>").repartition(4)
+    best = min((loop(s) for s in (0, 1, 2)), key=lambda f: f[1])[0]
+    own = np.bincount([((r - best) ** 2).sum(1).argmin() for r in x], minlength=6)
+    got = {r.cell: r.n for r in difficulty.kmeans_occupancy(df, 6, 7).collect()}
+    assert sorted(got) == list(range(6)) and sorted(got.values()) == sorted(own.tolist())  # starts that end alike may number the cells otherwise
+    few = df.where(df.vec_id.isin([int(i) for i in ids[:5]]))
+    assert difficulty.kmeans_occupancy(few, 100).count() == 2  # as many cells as half of the rows
+    with pytest.raises(ValueError):
+        difficulty.kmeans_occupancy(df.where("false"), 100)
+
+
+def test_cells_of_equal_rows(spark):
+    from corpuslens.operators import difficulty
+
+    df = spark.range(20).selectExpr("id as vec_id", "array(1D, 2D) as v")
+    assert sorted(r.n for r in difficulty.kmeans_occupancy(df, 4).collect()) == [0, 0, 0, 20]
+
+
+def test_small_singular_values_stay(spark):
+    """Of a matrix whose condition is 10^9, also those that a covariance would lose."""
+    rng = np.random.default_rng(2)
+    q, _ = np.linalg.qr(rng.normal(size=(600, 8)))
+    x = q @ np.diag(10.0 ** -np.linspace(0, 9, 8)) @ np.linalg.qr(rng.normal(size=(8, 8)))[0]
+    rows = [("a", v.tolist()) for v in x] + [("b", v.tolist()) for v in x[:5] + 3]
+    df = spark.createDataFrame(rows, "series string, v array<double>").repartition(7)
+    for centred in (False, True):
+        got = structure.eigenvalues(df, centred)
+        for s, own in (("a", x), ("b", x[:5] + 3)):
+            want = np.linalg.svd(own - own.mean(0) * centred, compute_uv=False)
+            mine = np.sqrt(got[s] * len(own))
+            assert len(mine) == 8 and np.abs(mine[: len(want)] - want).max() < 1e-13 * want[0] and (mine[len(want) :] == 0).all()
+    assert np.sqrt(structure.eigenvalues(df, False)["a"] * 600)[-1] == pytest.approx(1e-9, rel=1e-5)
+
+
+def test_wide_correlations_stay_on_the_executors(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(300, 40)) @ rng.normal(size=(40, 40)) + 1e4
+    x[:, 7] = 2.5
+    df = spark.createDataFrame([("a" if i % 3 else "b", v.tolist()) for i, v in enumerate(x)], "series string, v array<double>").repartition(5)
+    monkeypatch.setattr(fidelity, "covariances", None)  # the driver asks for no matrix
+    got = {(r.series, r.i, r.j): r.r for r in structure.correlation(df).collect()}
+    for s, own in (("a", x[np.arange(300) % 3 > 0]), ("b", x[::3])):
+        with np.errstate(all="ignore"):
+            want = np.corrcoef(own.T)
+        for i in range(40):
+            for j in range(40):
+                assert got[s, i, j] is None if 7 in (i, j) else got[s, i, j] == pytest.approx(want[i, j], abs=1e-9)
+    assert structure.correlation(df.limit(0)).count() == 0
