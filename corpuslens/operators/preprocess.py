@@ -57,10 +57,10 @@ class State:
 
 
 def fit(train: DataFrame, settings: Settings) -> State:
-    """The mean, and the whitening matrix U diag(1 / sqrt(s + eps)) U' of the covariance with eps on its diagonal."""
+    """The mean if centring is asked for, and the whitening matrix U diag(1 / sqrt(s + eps)) U' of the covariance with eps on its diagonal if whitening is."""
     cov, mean, _ = fidelity.covariances(train.select(F.lit("x").alias("series"), as_double(F.col("v")).alias("v")))["x"]
     state = State(len(mean), settings)
-    if settings.center or settings.whiten:
+    if settings.center:
         state.mean = mean.tolist()
     if settings.whiten:
         s, u = np.linalg.eigh(cov + settings.eps * np.eye(len(cov)))
@@ -90,10 +90,11 @@ def apply(df: DataFrame, state: State) -> DataFrame:
 
 
 def inversion_blocker(state: State | None) -> str | None:
-    """Why the original scale can't be had back, or None."""
-    if state is None or (state.mean is None and state.matrix is None):
-        return None
-    return "rows were divided by their norms after centring" if state.settings.l2_normalize else None
+    """Why a run's samples can't be brought back, or None. What was divided by its norm after centring has lost how much of it was the mean; without
+    centring only a factor of each row is lost, and its direction comes back."""
+    if state is not None and state.mean is not None and state.settings.l2_normalize:
+        return "rows were divided by their norms after centring"
+    return None
 
 
 def needs_inversion(run_config: str) -> bool:
@@ -114,17 +115,18 @@ def run_blocker(run_config: str, metadata: str | None) -> str | None:
         return "it centres or whitens, but its metadata can't be read"
     if state is None:
         return "it centres or whitens, but its metadata hold no preprocess_state"
-    return inversion_blocker(state) if state.mean is not None else None
+    return inversion_blocker(state)
 
 
 def invert(df: DataFrame, state: State | None) -> DataFrame:
-    """Whitening and centring undone; identity where nothing was fitted. Norms are gone for good, so that is an error."""
+    """Whitening and centring undone, in this order; identity where neither was fitted. A mean with norms divided out is an error."""
     if reason := inversion_blocker(state):
         raise ValueError(reason)
     if state is None or (state.mean is None and state.matrix is None):
         return df.select("vec_id", "v")
     back = None if state.matrix is None else np.linalg.pinv(np.array(state.matrix))
-    return _mapped(df, lambda x: (x if back is None else x @ back) + np.array(state.mean))
+    mean = 0.0 if state.mean is None else np.array(state.mean)
+    return _mapped(df, lambda x: (x if back is None else x @ back) + mean)
 
 
 def training_data(df: DataFrame, fraction: float, settings: Settings, dim: int | None = None, seed=42) -> tuple[DataFrame, DataFrame, State]:

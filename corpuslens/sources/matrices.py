@@ -1,4 +1,5 @@
-"""Vector files as DataFrames (vec_id, v): .npy and .fvecs through Python data sources that split by byte ranges, and Parquet list columns."""
+"""Vector files as DataFrames (vec_id, v): .npy and .fvecs through Python data sources that split by byte ranges and write at byte offsets, and Parquet
+list columns."""
 
 from __future__ import annotations
 
@@ -6,15 +7,18 @@ import ast
 import os
 import struct
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.parquet as pq
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
+from corpuslens.functions import scans
 from corpuslens.operators import sampling
 
 #: Bytes of a split, and of a batch.
@@ -27,8 +31,8 @@ def _open(path: str):
     return fs.open_input_file(at)
 
 
-def npy_layout(f) -> tuple[int, np.dtype, int, int]:
-    """Where the numbers begin, their type, and the rows and columns of an open .npy file; anything but a row-major matrix is an error."""
+def npy_layout(f) -> tuple[int, np.dtype, bool, int, int]:
+    """Where the numbers begin, their type, whether they go column by column, and the rows and columns of an open .npy file; anything but a matrix is an error."""
     if f.read(6) != MAGIC:
         raise ValueError("no .npy file")
     version = f.read(2)
@@ -36,9 +40,7 @@ def npy_layout(f) -> tuple[int, np.dtype, int, int]:
     head = ast.literal_eval(f.read(size).decode("latin-1"))
     if len(head["shape"]) != 2:
         raise ValueError(f"a matrix is needed, not an array of shape {head['shape']}")
-    if head["fortran_order"]:
-        raise ValueError("column-major files aren't read")
-    return f.tell(), np.dtype(head["descr"]), *head["shape"]
+    return f.tell(), np.dtype(head["descr"]), head["fortran_order"], *head["shape"]
 
 
 def fvecs_layout(f) -> tuple[int, int]:
@@ -72,7 +74,7 @@ class _Reader(DataSourceReader):
     def read(self, partition: Rows) -> Iterator[pa.RecordBatch]:
         with _open(self.path) as f:
             _, width = self.shape(f)
-            step = max(1, BATCH // max(1, width))
+            step = max(1, (SPLIT if getattr(self, "by_column", False) else BATCH) // max(1, width))  # of a column, more at once
             for i in range(partition.first, partition.end, step):
                 end = min(partition.end, i + step)
                 v = self.block(f, i, end).astype(np.float32)
@@ -83,13 +85,15 @@ class _Reader(DataSourceReader):
 class NpyReader(_Reader):
     def shape(self, f):
         f.seek(0)
-        self.start, self.kind, rows, self.dim = npy_layout(f)
-        return rows, self.kind.itemsize * self.dim
+        self.start, self.kind, self.by_column, self.rows, self.dim = npy_layout(f)
+        return self.rows, self.kind.itemsize * self.dim
 
     def block(self, f, first: int, end: int) -> np.ndarray:
-        width = self.kind.itemsize * self.dim
-        f.seek(self.start + first * width)
-        return np.frombuffer(f.read((end - first) * width), self.kind).reshape(-1, self.dim)
+        size = self.kind.itemsize
+        read = lambda at, n: np.frombuffer(f.read_at(n * size, self.start + at * size), self.kind)
+        if self.by_column:  # a range of each column
+            return np.column_stack([read(c * self.rows + first, end - first) for c in range(self.dim)]) if self.dim else np.zeros((end - first, 0))
+        return read(first * self.dim, (end - first) * self.dim).reshape(-1, self.dim)
 
 
 class FvecsReader(_Reader):
@@ -106,10 +110,60 @@ class FvecsReader(_Reader):
         return raw[:, 1:].copy().view("<f4")
 
 
+class Placed(DataSourceArrowWriter):
+    """Writes rows (place, v) of 32-bit numbers at their places in a file of known size, which is put in its place when all rows are there. The
+    folder must be one that the driver and the executors share."""
+
+    def __init__(self, path: str, start: int, rows: int, dim: int, counted: bool):
+        self.path, self.start, self.rows, self.dim, self.counted = path, start, rows, dim, counted
+
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
+        width, n = 4 * (self.dim + self.counted), 0
+        at = os.open(f"{self.path}.part", os.O_WRONLY)
+        try:
+            for batch in iterator:
+                place, v = np.asarray(batch.column(0), np.int64), batch.column(1)
+                if (pc.list_value_length(v).to_numpy(False) != self.dim).any():
+                    raise ValueError(f"a row doesn't have {self.dim} dimensions")
+                x = np.asarray(v.flatten(), "<f4").reshape(-1, self.dim)
+                if self.counted:
+                    x = np.column_stack([np.full(len(x), self.dim, "<i4").view("<f4"), x])
+                cuts = [0, *(np.flatnonzero(np.diff(place) != 1) + 1).tolist(), len(place)]
+                for a, b in zip(cuts, cuts[1:], strict=False):  # rows that stand side by side
+                    if a < b:
+                        os.pwrite(at, np.ascontiguousarray(x[a:b]).tobytes(), self.start + int(place[a]) * width)
+                n += len(place)
+            os.fsync(at)
+        finally:
+            os.close(at)
+        return Written(n)
+
+    def commit(self, messages: list[WriterCommitMessage | None]) -> None:
+        if (n := sum(m.rows for m in messages if m)) != self.rows:
+            self.abort(messages)
+            raise RuntimeError(f"{n} rows were written, not {self.rows}")
+        os.replace(f"{self.path}.part", self.path)
+
+    def abort(self, messages: list[WriterCommitMessage | None]) -> None:
+        if os.path.exists(f"{self.path}.part"):
+            os.unlink(f"{self.path}.part")
+
+
+@dataclass
+class Written(WriterCommitMessage):
+    rows: int
+
+
 class _Source(DataSource):
+    counted = False
+
     def schema(self) -> str:
         return "vec_id long, v array<float>"
 
+    def writer(self, schema, overwrite: bool) -> Placed:
+        o = self.options
+        return Placed(o["path"], int(o["start"]), int(o["rows"]), int(o["dim"]), self.counted)
+
 
 class NpySource(_Source):
     @classmethod
@@ -121,6 +175,8 @@ class NpySource(_Source):
 
 
 class FvecsSource(_Source):
+    counted = True
+
     @classmethod
     def name(cls) -> str:
         return "fvecs"
@@ -153,30 +209,39 @@ def synthetic(spark: SparkSession, rows: int, dim: int, seed: int = 42) -> DataF
     return spark.range(rows).mapInArrow(run, "vec_id long, v array<float>")
 
 
-def write_fvecs(df: DataFrame, path: str) -> int:
-    """One local .fvecs file, in the order of vec_id, streamed through the driver a partition at a time; returns the rows."""
-    n = 0
-    with open(path, "wb") as f:
-        for r in df.orderBy("vec_id").select("v").toLocalIterator(prefetchPartitions=True):
-            f.write(struct.pack("<i", len(r.v)) + np.asarray(r.v, "<f4").tobytes())
-            n += 1
-    return n
-
-
-def write_npy(df: DataFrame, path: str) -> int:
-    """One local .npy file of 32-bit floats, in the order of vec_id, streamed through the driver a partition at a time and put in place whole;
-    returns the rows. Rows of several lengths are an error."""
+def _write(df: DataFrame, path: str, kind: str) -> int:
+    """Rows in the order of vec_id, written by the executors. The driver counts them, makes a file of the whole size and puts it in place at the end."""
     size = df.agg(F.count(F.lit(1)).alias("n"), F.min(F.size("v")).alias("a"), F.max(F.size("v")).alias("b")).first()
     if size.a != size.b:
         raise ValueError(f"rows have {size.a} to {size.b} dimensions")
+    dim = size.a or 0
+    own = scans.running(df.select(F.lit(0).alias("all"), "vec_id", F.col("v").cast("array<float>").alias("v")), ["all"], "vec_id", {"place": ("sum", F.lit(1).cast("long"))})
     with open(f"{path}.part", "wb") as f:
-        np.lib.format.write_array_header_1_0(f, {"descr": "<f4", "fortran_order": False, "shape": (size.n, size.a or 0)})
-        for r in df.orderBy("vec_id").select("v").toLocalIterator(prefetchPartitions=True):
-            f.write(np.asarray(r.v, "<f4").tobytes())
-    os.replace(f"{path}.part", path)
+        if kind == "npy":
+            np.lib.format.write_array_header_1_0(f, {"descr": "<f4", "fortran_order": False, "shape": (size.n, dim)})
+        start = f.tell()
+        f.truncate(start + size.n * 4 * (dim + (kind == "fvecs")))
+    df.sparkSession.dataSource.register(NpySource if kind == "npy" else FvecsSource)
+    try:
+        placed = own.select((F.col("place") - 1).alias("place"), "v").sortWithinPartitions("place")
+        placed.write.format(kind).mode("append").options(start=str(start), rows=str(size.n), dim=str(dim)).save(path)
+    except BaseException:
+        if os.path.exists(f"{path}.part"):
+            os.unlink(f"{path}.part")
+        raise
     return size.n
 
 
+def write_fvecs(df: DataFrame, path: str) -> int:
+    """One .fvecs file, in the order of vec_id, put in place whole; returns the rows. Rows of several lengths are an error."""
+    return _write(df, path, "fvecs")
+
+
+def write_npy(df: DataFrame, path: str) -> int:
+    """One .npy file of 32-bit floats, in the order of vec_id, put in place whole; returns the rows. Rows of several lengths are an error."""
+    return _write(df, path, "npy")
+
+
 def sample_fvecs(spark: SparkSession, source: str, path: str, rows: int, seed: int = 42) -> int:
     """A .npy file of so many rows of an .fvecs file, drawn without replacement; more than it holds, or none, are an error."""
     if rows <= 0:
@@ -188,30 +253,39 @@ def sample_fvecs(spark: SparkSession, source: str, path: str, rows: int, seed: i
 
 
 def sample_shards(spark: SparkSession, shards: list[str], rows: int, seed: int = 42, column: str = "openai") -> DataFrame:
-    """vec_id, v: a sample without replacement over all Parquet shards in their order (all rows if there are fewer). Row counts come from the
-    footers, and only shards in which a drawn row lies are opened, for one column."""
+    """vec_id, v: a sample without replacement over all Parquet shards in their order (all rows if there are fewer; 0 asks for all). Row counts come from the
+    footers. A task reads one row group, for one column, and only those in which a drawn row lies are read."""
 
     def counted(batches):
         for batch in batches:
-            n = []
-            for path in batch.column(1).to_pylist():
+            for shard, path in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 with _open(path) as f:
-                    n.append(pq.ParquetFile(f).metadata.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64())], ["shard", "n"])
-
-    listed = spark.createDataFrame(list(enumerate(shards)), "shard long, path string").repartition(len(shards))
-    counts = [r.n for r in listed.mapInArrow(counted, "shard long, n long").orderBy("shard").collect()]  # a number for each file
-    bounds = np.cumsum([0, *counts]).tolist()
-    drawn = sampling.sample(spark.range(bounds[-1]).withColumnRenamed("id", "vec_id"), rows, seed)
-    edges = F.broadcast(spark.createDataFrame([(i, bounds[i], bounds[i + 1]) for i in range(len(shards))], "shard long, low long, high long"))  # a row for each file
-    placed = drawn.join(edges, (F.col("vec_id") >= F.col("low")) & (F.col("vec_id") < F.col("high"))).select("vec_id", "shard", (F.col("vec_id") - F.col("low")).alias("row"))
-    out = None
-    for i in sorted(r.shard for r in placed.select("shard").distinct().collect()):
-        own = spark.read.parquet(shards[i]).select(F.col("_metadata.row_index").alias("row"), F.lit(i).cast("long").alias("shard"), F.col(column).cast("array<float>").alias("v"))
-        out = own if out is None else out.unionByName(own)
-    if out is None:
-        return spark.createDataFrame([], "vec_id long, v array<float>")
-    return out.join(placed, ["shard", "row"]).select("vec_id", "v")
+                    footer = pq.ParquetFile(f).metadata
+                n = [footer.row_group(g).num_rows for g in range(footer.num_row_groups)]
+                yield pa.RecordBatch.from_arrays([pa.array([shard] * len(n), pa.int64()), pa.array(range(len(n)), pa.int64()), pa.array(n, pa.int64())], ["shard", "part", "n"])
+
+    listed = spark.createDataFrame(list(enumerate(shards)), "shard long, path string").repartition(len(shards), "shard")
+    parts = listed.mapInArrow(counted, "shard long, part long, n long").orderBy("shard", "part").collect()  # a few numbers for each row group
+    ends = np.cumsum([0, *[r.n for r in parts]])
+    sent = spark.sparkContext.broadcast((ends, np.array([(r.shard, r.part) for r in parts], np.int64).reshape(-1, 2), shards))
+
+    def placed(batches):
+        for batch in batches:
+            ids = np.asarray(batch.column(0), np.int64)
+            own = np.searchsorted(sent.value[0], ids, "right") - 1
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.int64())], ["vec_id", "own"])
+
+    def read(table: pa.Table) -> pa.Table:
+        ends, parts, paths = sent.value
+        own = table.column("own")[0].as_py()
+        shard, part = parts[own].tolist()
+        rows = pc.subtract(table.column("vec_id"), int(ends[own])).combine_chunks()
+        with _open(paths[shard]) as f:
+            v = pq.ParquetFile(f).read_row_group(part, columns=[column]).column(0).combine_chunks()
+        return pa.table([table.column("vec_id"), v.take(rows).cast(pa.list_(pa.float32()))], ["vec_id", "v"])
+
+    drawn = sampling.sample(spark.range(int(ends[-1])).withColumnRenamed("id", "vec_id"), rows, seed)
+    return drawn.mapInArrow(placed, "vec_id long, own long").groupBy("own").applyInArrow(read, "vec_id long, v array<float>")
 
 
 #: The corpora's dimensions, metrics and default subset sizes.

@@ -109,6 +109,85 @@ def test_whitening_and_back(spark):
         preprocess.Settings(metric="dot")
 
 
+@pytest.mark.parametrize("center", [False, True])
+@pytest.mark.parametrize("whiten", [False, True])
+def test_every_transform_comes_back(spark, center, whiten):
+    x = np.random.default_rng(6).standard_normal((150, 5)) @ np.diag([1, 2, 3, 4, 9]) + 3
+    df = frame(spark, x)
+    state = preprocess.fit(df, preprocess.Settings(center=center, whiten=whiten, l2_normalize=False))
+    assert (state.mean is None) == (not center) and (state.matrix is None) == (not whiten)
+    back = preprocess.invert(preprocess.apply(df, state), state)
+    assert np.allclose([r.v for r in back.orderBy("vec_id").collect()], x)
+
+
+def test_directions_of_whitened_rows_come_back(spark):
+    """Whitened without centring, then divided by their norms: each row comes back but for a factor."""
+    x = np.random.default_rng(7).standard_normal((200, 6)) * [1, 2, 3, 4, 5, 6]
+    state = preprocess.fit(frame(spark, x), preprocess.Settings(whiten=True))
+    assert preprocess.inversion_blocker(state) is None
+    y = np.array([r.v for r in preprocess.invert(preprocess.apply(frame(spark, x), state), state).orderBy("vec_id").collect()])
+    unit = lambda m: m / np.linalg.norm(m, axis=1, keepdims=True)
+    assert np.allclose(unit(y), unit(x))
+    lost = preprocess.fit(frame(spark, x), preprocess.Settings(whiten=True, center=True))
+    with pytest.raises(ValueError):
+        preprocess.invert(frame(spark, x), lost)
+
+
+def test_column_major_files(spark, tmp_path, monkeypatch):
+    x = np.random.default_rng(8).standard_normal((77, 5)).astype(np.float32)
+    for name, kind in (("f4", "<f4"), ("f8", "<f8")):
+        np.save(tmp_path / f"rows_{name}.npy", x.astype(kind))
+        np.save(tmp_path / f"columns_{name}.npy", np.asfortranarray(x.astype(kind)))
+        for split in (1 << 25, 100):
+            monkeypatch.setattr(matrices, "SPLIT", split)
+            a, b = (sorted((r.vec_id, tuple(r.v)) for r in matrices.load(spark, str(tmp_path / f"{o}_{name}.npy")).collect()) for o in ("rows", "columns"))
+            assert a == b and len(a) == 77 and np.allclose([v for _, v in b], x)
+    np.save(tmp_path / "empty.npy", np.asfortranarray(np.zeros((0, 3), np.float32)))
+    assert matrices.load(spark, str(tmp_path / "empty.npy")).count() == 0
+
+
+def test_files_are_written_at_their_places(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    x = np.random.default_rng(9).standard_normal((5000, 3)).astype(np.float32)
+    order = np.random.default_rng(1).permutation(5000)
+    df = spark.createDataFrame([(int(i) * 3 - 999, [float(a) for a in x[i]]) for i in order], "vec_id long, v array<double>").repartition(7)
+    assert matrices.write_npy(df, str(tmp_path / "a.npy")) == matrices.write_fvecs(df, str(tmp_path / "a.fvecs")) == 5000
+    np.save(tmp_path / "b.npy", x)
+    assert (tmp_path / "a.npy").read_bytes() == (tmp_path / "b.npy").read_bytes()
+    rows = np.frombuffer((tmp_path / "a.fvecs").read_bytes(), "<i4").reshape(-1, 4)
+    assert (rows[:, 0] == 3).all() and (rows[:, 1:].copy().view("<f4") == x).all()
+    assert matrices.write_npy(df.where("false"), str(tmp_path / "none.npy")) == 0 and np.load(tmp_path / "none.npy").shape == (0, 0)
+    # A task that fails leaves nothing, neither a file nor a part of one.
+    bad = df.withColumn("v", F.when(F.col("vec_id") == 300, F.array(F.raise_error(F.lit("lost")).cast("double"), F.lit(1.0), F.lit(1.0))).otherwise(F.col("v")))
+    before = sorted(p.name for p in tmp_path.iterdir())
+    with pytest.raises(Exception, match="lost"):
+        matrices.write_npy(bad, str(tmp_path / "c.npy"))
+    with pytest.raises(ValueError):
+        matrices.write_npy(df.withColumn("v", F.when(F.col("vec_id") == 300, F.array(F.lit(1.0))).otherwise(F.col("v"))), str(tmp_path / "c.npy"))
+    assert sorted(p.name for p in tmp_path.iterdir()) == before
+
+
+def test_only_row_groups_with_drawn_rows_are_read(spark, tmp_path):
+    """All other row groups hold rubbish, which nothing could read."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    path = str(tmp_path / "0.parquet")
+    pq.write_table(pa.table({"openai": pa.array([[float(k)] * 4 for k in range(1000)], pa.list_(pa.float32())), "text": ["t"] * 1000}), path, row_group_size=50)
+    drawn = {r.vec_id for r in matrices.sample_shards(spark, [path], 5).collect()}
+    footer = pq.ParquetFile(path).metadata
+    data, hit = bytearray((tmp_path / "0.parquet").read_bytes()), {i // 50 for i in drawn}
+    for g in set(range(20)) - hit:
+        c = footer.row_group(g).column(0)
+        at = c.dictionary_page_offset or c.data_page_offset
+        data[at : at + c.total_compressed_size] = bytes([255]) * c.total_compressed_size
+    (tmp_path / "0.parquet").write_bytes(data)
+    assert 1 < len(hit) <= 5 and {r.vec_id: r.v for r in matrices.sample_shards(spark, [path], 5).collect()} == {i: [float(i)] * 4 for i in drawn}
+    with pytest.raises(Exception):
+        matrices.sample_shards(spark, [path], 1000).count()
+
+
 def test_unit_norm(spark):
     x = np.random.default_rng(6).standard_normal((60, 8))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
