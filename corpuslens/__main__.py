@@ -1,4 +1,5 @@
-"""Commands: python -m corpuslens gate|floor|evaluate|report|structure ... Exit codes: 0 well, 1 a gate failed, 2 a gate has no bands or the call is wrong."""
+"""Commands: python -m corpuslens gate|floor|evaluate|report|structure ... Exit codes: 0 well, 1 a gate failed or can't be checked, 2 a gate has no bands, or
+another command's call is wrong."""
 
 from __future__ import annotations
 
@@ -16,11 +17,16 @@ def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser("corpuslens")
     c = p.add_subparsers(dest="command", required=True)
     gate = c.add_parser("gate", help="a summary's statistics against the bands of a gate")
-    gate.add_argument("gate")
-    gate.add_argument("summary")
-    gate.add_argument("--series", default="real")
+    gate.add_argument("gate", nargs="?", help="the gate's file")
+    gate.add_argument("summary", nargs="?", help="the summary's file")
+    gate.add_argument("--gate-file")
+    gate.add_argument("--dataset", help="a family, whose gate is <gates-dir>/<dataset>.yaml")
+    gate.add_argument("--gates-dir", default="gates")
+    gate.add_argument("--run-dir", help="a folder that holds summary.json")
+    gate.add_argument("--series", "--stats-name", default="real")
     gate.add_argument("--allow-unset", action="store_true")
-    gate.add_argument("--allow-mismatch", action="store_true")
+    gate.add_argument("--allow-mismatch", "--allow-condition-mismatch", action="store_true")
+    gate.add_argument("--output", help="a file for the result besides")
     floor = c.add_parser("floor", help="how far series that differ by seed only lie apart")
     floor.add_argument("summary")
     floor.add_argument("series", nargs="+")
@@ -40,15 +46,32 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
+def _gate(a: argparse.Namespace, spark: SparkSession) -> int:
+    """What can't be checked is no verdict: it says so on stderr and exits with 1, and nothing is written."""
+    try:
+        given = [x for x in (a.gate, a.gate_file, a.dataset and f"{a.gates_dir}/{a.dataset}.yaml") if x]
+        summaries = [x for x in (a.summary, a.run_dir and f"{a.run_dir}/summary.json") if x]
+        if len(given) != 1 or len(summaries) != 1:
+            raise GateError("one gate (a file or a dataset) and one summary (a file or a run's folder) are needed")
+        with open(given[0]) as g, open(summaries[0]) as s:
+            got = reports.check_gate(spark, g.read(), json.load(s), a.series, a.allow_unset, a.allow_mismatch)
+        got = {"gate_file": given[0], "summary": summaries[0], "series": a.series} | got
+        if a.output:
+            reports.put(a.output, json.dumps(got, indent=2))
+    except (GateError, ValueError, OSError) as e:
+        print(f"gate: {e}", file=sys.stderr)
+        return 1
+    print(json.dumps(got, indent=2))
+    return got["exit_code"]
+
+
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     a = parser().parse_args(argv)
     spark = spark or SparkSession.builder.getOrCreate()
     read = lambda path: open(path).read()  # noqa: E731, SIM115
     try:
         if a.command == "gate":
-            got = reports.check_gate(spark, read(a.gate), json.loads(read(a.summary)), a.series, a.allow_unset, a.allow_mismatch)
-            print(json.dumps(got, indent=2))
-            return got["exit_code"]
+            return _gate(a, spark)
         if a.command == "floor":
             got = [r.asDict() for r in reports.noise_floor(spark, json.loads(read(a.summary)), a.series, a.real).collect()]
         elif a.command == "evaluate":

@@ -186,18 +186,30 @@ def ann_proxy_recall(queries: DataFrame, train: DataFrame, synth: DataFrame, k:
     return out.select(F.exp(-F.abs(F.col("ratio") - 1)).alias("ann_proxy_recall"))
 
 
+def wasserstein(df: DataFrame, levels: int = 512) -> DataFrame:
+    """series, dim, w1: for each series but the real one, the mean difference of its quantiles to the real series' at evenly spaced levels, interpolated."""
+    q = quantiles(exploded(df, "series"), 0.0, 1 / (levels - 1), levels, "series", "dim")
+    real = q.where("series = 'real'").select("dim", "i", F.col("q").alias("r"))
+    gaps = q.where("series <> 'real'").join(real, ["dim", "i"]).select("series", "dim", F.abs(F.col("q") - F.col("r")).alias("gap"))
+    return gaps.groupBy("series", "dim").agg(F.avg("gap").alias("w1"))
+
+
 def wasserstein_by_dim(df: DataFrame, levels: int = 512) -> DataFrame:
-    """dim, w1: the mean difference of quantiles at evenly spaced levels, interpolated."""
-    q = quantiles(exploded(df, "series"), 0.0, 1 / (levels - 1), levels, "series", "dim").where(F.col("series").isin("real", "synth"))
-    of = lambda s: F.max(F.when(F.col("series") == s, F.col("q")))
-    gaps = q.groupBy("dim", "i").agg(F.abs(of("real") - of("synth")).alias("gap")).where(F.col("gap").isNotNull())
-    return gaps.groupBy("dim").agg(F.avg("gap").alias("w1"))
+    """dim, w1 of the series synth against the series real."""
+    return wasserstein(df.where(F.col("series").isin("real", "synth")), levels).select("dim", "w1")
+
+
+def divergences(df: DataFrame, top: int = 16) -> DataFrame:
+    """series, dim, w1, ord: the dimensions that differ most from the real series in any other, in one order for all: by the worst of all series, ties by dim."""
+    w1 = wasserstein(df)
+    order = w1.groupBy("dim").agg(F.max("w1").alias("worst"))  # a row for each dimension
+    order = order.withColumn("ord", F.row_number().over(Window.orderBy(F.desc("worst"), "dim")).cast("long")).where(F.col("ord") <= top)
+    return w1.join(order, "dim").select("series", "dim", "w1", "ord")
 
 
 def dimension_divergence(df: DataFrame, top: int = 16) -> DataFrame:
-    """dim, w1, ord: the worst dimensions first, ties by dim."""
-    order = Window.orderBy(F.desc("w1"), "dim")
-    return wasserstein_by_dim(df).withColumn("ord", F.row_number().over(order).cast("long")).where(F.col("ord") <= top)
+    """dim, w1, ord of the series synth against the series real."""
+    return divergences(df.where(F.col("series").isin("real", "synth")), top).drop("series")
 
 
 def tensor_stats(df: DataFrame) -> dict[str, float]:

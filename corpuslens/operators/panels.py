@@ -158,10 +158,11 @@ def condition_note(conditions: DataFrame) -> DataFrame:
     return g.select(F.when(F.col("a") == F.col("b"), F.concat(F.lit("All series: "), "a")).otherwise(F.array_join("each", "; ")).alias("note"))
 
 
-def discarded_note(series: str, k: int, discarded: int, rows: int) -> str:
-    if k < 2:
-        return f"{series}: k={k} leaves no ratio of distances"
-    return f"{series}: {discarded} of {rows} queries have tied or zero distances" if discarded else ""
+def discarded_note(stats: list[dict]) -> str:
+    """The series of which no query is left, and why; empty if there is none. stats: name, ann_k, ann_measured_rows, lid_discarded_queries of each."""
+    gone = [s for s in stats if s["ann_measured_rows"] and s["lid_discarded_queries"] == s["ann_measured_rows"]]
+    why = lambda s: "with k=1 the nearest neighbour is the farthest too" if s["ann_k"] < 2 else "every query has an exact copy, or neighbours that tie"
+    return f"No queries are left of {'; '.join(f'{s['name']} ({why(s)})' for s in gone)}." if gone else ""
 
 
 def format_stat(x) -> str:
@@ -179,6 +180,7 @@ class Config:
     rows: int = 20_000
     nlist: int = 256
     knn: int = 5
+    knn_rows: int = 20_000
     pairs: int = 200_000
     bins: int = 80
     top: int = 16
@@ -197,12 +199,18 @@ class Context:
     def width(self) -> int:
         return self.df.select(F.size("v").alias("d")).first().d
 
+    def sampled(self, rows: int) -> DataFrame:
+        """So many rows of each series at most."""
+        out = None
+        for s in sorted(r.series for r in self.df.select("series").distinct().collect()):
+            own = sampling.sample(self.df.where(F.col("series") == s), rows, self.config.seed)
+            out = own if out is None else out.unionByName(own)
+        return out
+
     def measured(self) -> DataFrame:
         """The rows that the statistics are taken of: config.rows of each series at most, the same for all panels."""
         if self._measured is None:
-            for s in sorted(r.series for r in self.df.select("series").distinct().collect()):
-                own = sampling.sample(self.df.where(F.col("series") == s), self.config.rows, self.config.seed)
-                self._measured = own if self._measured is None else self._measured.unionByName(own)
+            self._measured = self.sampled(self.config.rows)
         return self._measured
 
 
@@ -234,11 +242,11 @@ PANELS: dict[str, Callable[[Context], DataFrame | None]] = {
     "marginals": lambda c: None if _wide(c) else dim_marginals(c.df, c.config.bins),
     "profiles": lambda c: dim_profiles(c.df),
     "pairwise": lambda c: histogram(pairwise(c.df, c.config.pairs, c.config.seed), c.config.bins),
-    "knn": lambda c: histogram(kth_distance(c.measured(), c.config.knn), c.config.bins),
+    "knn": lambda c: histogram(kth_distance(c.sampled(c.config.knn_rows), c.config.knn), c.config.bins),
     "norms": lambda c: histogram(norms(c.df), c.config.bins) if c.config.preprocess == "none" else None,
     "pca": lambda c: pca_spectrum(c.df),
     "correlation": lambda c: None if _wide(c) else structure.correlation(c.df),
-    "mismatch": lambda c: fidelity.dimension_divergence(c.df, c.config.top) if c.df.select("series").distinct().count() > 1 else None,
+    "mismatch": lambda c: fidelity.divergences(c.df, c.config.top) if c.df.select("series").distinct().count() > 1 else None,
 }
 
 

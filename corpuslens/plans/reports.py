@@ -68,7 +68,7 @@ def evaluate_files(spark: SparkSession, real_path: str, synthetic_path: str, out
     split = sampling.holdout_split(both.where("series = 'real'"), holdout_fraction, seed)
     held, train, synth = split.where("is_holdout").drop("is_holdout"), split.where("not is_holdout").drop("is_holdout"), both.where("series = 'synth'")
     n = min(num_samples, held.count(), synth.count())
-    real, fake = sampling.sample(held, n, seed).persist(), sampling.sample(synth, n, seed).persist()
+    real, fake = sampling.sample(held, n, seed).persist(), sampling.sample(synth, n, seed).persist()  # released below
     moments = fidelity.mean_var_l2(real.unionByName(fake)).first()
     hist = fidelity.pairwise_hist_l1(sampling.sample(real, 5000, seed), sampling.sample(fake, 5000, seed))
     out = {
@@ -81,6 +81,8 @@ def evaluate_files(spark: SparkSession, real_path: str, synthetic_path: str, out
         "ann_proxy_recall": fidelity.ann_proxy_recall(real, train, fake).first().ann_proxy_recall,
         "num_samples_used": n,
     }
+    real.unpersist()
+    fake.unpersist()
     if output_dir:
         put(f"{output_dir}/metrics.json", json.dumps(out, indent=2))
     return out
@@ -89,10 +91,11 @@ def evaluate_files(spark: SparkSession, real_path: str, synthetic_path: str, out
 def series_stats(df: DataFrame, config: panels.Config) -> dict:
     """The statistics of one series, as the summary holds them."""
     v = F.col("v")
-    own = df.select("v", norm(v).alias("n"), (F.aggregate(v, F.lit(0.0), lambda s, x: s + x) / F.size(v)).alias("m"), (F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x) / F.size(v)).alias("m2"), F.array_min(v).alias("lo"), F.array_max(v).alias("hi"), (F.size(F.filter(v, lambda x: x == 0)) / F.size(v)).alias("z"), (F.size(F.filter(v, lambda x: x < 0)) / F.size(v)).alias("neg"))
-    a = own.agg(F.count(F.lit(1)).alias("rows"), F.avg("m").alias("mean"), F.sqrt(F.avg("m2") - F.pow(F.avg("m"), 2)).alias("std"), F.min("lo").alias("min"), F.max("hi").alias("max"), F.avg("z").alias("zero_fraction"), F.avg("neg").alias("negative_fraction"), F.avg("n").alias("norm_mean"), F.stddev_pop("n").alias("norm_std"), (1 - F.count_distinct("v") / F.count(F.lit(1))).alias("duplicate_fraction")).first().asDict()
+    whole = F.sha2(F.to_csv(F.struct(F.transform(v, lambda x: x + F.lit(0.0)).cast("string").alias("v"))).cast("binary"), 256)  # equal rows have equal digests
+    own = df.select(whole.alias("whole"), norm(v).alias("n"), (F.aggregate(v, F.lit(0.0), lambda s, x: s + x) / F.size(v)).alias("m"), (F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x) / F.size(v)).alias("m2"), F.array_min(v).alias("lo"), F.array_max(v).alias("hi"), (F.size(F.filter(v, lambda x: x == 0)) / F.size(v)).alias("z"), (F.size(F.filter(v, lambda x: x < 0)) / F.size(v)).alias("neg"))
+    a = own.agg(F.count(F.lit(1)).alias("rows"), F.avg("m").alias("mean"), F.sqrt(F.avg("m2") - F.pow(F.avg("m"), 2)).alias("std"), F.min("lo").alias("min"), F.max("hi").alias("max"), F.avg("z").alias("zero_fraction"), F.avg("neg").alias("negative_fraction"), F.avg("n").alias("norm_mean"), F.stddev_pop("n").alias("norm_std"), (1 - F.count_distinct("whole") / F.count(F.lit(1))).alias("duplicate_fraction")).first().asDict()
     pairs = structure.pair_values(df, config.pairs, config.seed, structure.distance).agg(F.percentile("x", F.lit(0.5))).first()[0]
-    kth = panels.kth_distance(sampling.sample(df, config.rows, config.seed), config.knn).agg(F.percentile("x", F.lit(0.5))).first()[0]
+    kth = panels.kth_distance(sampling.sample(df, config.knn_rows, config.seed), config.knn).agg(F.percentile("x", F.lit(0.5))).first()[0]
     rank = structure.effective_rank(next(iter(structure.eigenvalues(df, True, 1).values())), a["rows"])
     ann = difficulty.summary(df, config.k, config.k_hub, config.nlist, config.rows, config.seed).first().asDict()
     return a | {"median_pairwise_distance": pairs, f"median_{config.knn}nn_distance": kth, "effective_rank": rank} | ann
@@ -106,12 +109,11 @@ def eda_report(spark: SparkSession, real_path: str, output_dir: str, synthetic:
         structure.require_unit_norm(df)
     names = ["real", *(parse_spec(s)[0] for s in synthetic)]
     stats = [{"name": s, **series_stats(df.where(F.col("series") == s), config)} for s in names]
-    worst = {s: [r.dim for r in fidelity.dimension_divergence(df.where(F.col("series").isin("real", s)).withColumn("series", F.when(F.col("series") == "real", "real").otherwise("synth")), config.top).orderBy("ord").collect()] for s in names[1:]}
-    built = {}
-    for s in names[1:] or ["synth"]:  # each stand-in beside the real series
-        pair = df.where(F.col("series").isin("real", s)).withColumn("series", F.when(F.col("series") == "real", "real").otherwise("synth"))
-        built |= {f"{s}: {name}" if len(names) > 2 else name: rows for name, rows in panels.report(panels.Context(pair, config)).items()}
-    body, files = [stats_table(stats)], {}
+    worst: dict[str, list[dict]] = {s: [] for s in names[1:]}
+    for r in fidelity.divergences(df, config.top).orderBy("ord").collect() if names[1:] else ():  # config.top rows for each series
+        worst[r.series].append({"dim": r.dim, "wasserstein1": r.w1})
+    built = panels.report(panels.Context(df, config))  # all series on the same axes
+    body, files = [stats_table(stats), *(f"<p>{html.escape(n)}</p>" for n in notes(spark, stats) if n)], {}
     for i, (name, rows) in enumerate(built.items()):
         files[name] = f"{output_dir}/panel_{i}.jsonl"
         head = put_rows(files[name], rows.orderBy(*rows.columns[:3]), 200)
@@ -120,12 +122,21 @@ def eda_report(spark: SparkSession, real_path: str, output_dir: str, synthetic:
     summary = {
         "real_path": real_path, "synthetic_paths": list(synthetic), "preprocess": config.preprocess, "seed": config.seed,
         "ann_settings": {"k": config.k, "k_hub": config.k_hub, "max_rows": config.rows, "nlist": config.nlist, "metric": metric},
-        "knn_settings": {"k": config.knn, "max_rows": config.rows}, "stats": stats, "worst_dimensions": worst, "panels": files, "report_html": f"{output_dir}/report.html",
+        "knn_settings": {"k": config.knn, "max_rows": config.knn_rows}, "stats": stats, "worst_dimensions": worst, "panels": files, "report_html": f"{output_dir}/report.html",
     }
     put(f"{output_dir}/summary.json", json.dumps(summary, indent=2))
+    df.unpersist()
     return summary
 
 
+def notes(spark: SparkSession, stats: list[dict]) -> list[str]:
+    """How the series were measured, and which have no queries left."""
+    if not all("ann_k" in s for s in stats):
+        return []
+    rows = [(s["name"], s["ann_measured_rows"], s["ann_k"], s["ann_nlist"]) for s in stats]
+    return [panels.condition_note(spark.createDataFrame(rows, "series string, n long, k long, nlist long")).first().note, panels.discarded_note(stats)]
+
+
 def structure_report(spark: SparkSession, path: str, output_dir: str | None = None, rows: int = 50_000, draws: int = 10, config: panels.Config | None = None) -> dict:
     """Facts about one corpus as it is stored: norms, cosines, anisotropy, spectrum, and how far its statistics move between disjoint draws;
     with a folder, summary.json and report.html with the panels of all these."""

@@ -90,10 +90,38 @@ def test_report_has_every_series_and_whole_panels(spark, tmp_path, monkeypatch):
 
     monkeypatch.setattr(reports.panels, "report", panel)
     out = reports.eda_report(spark, str(tmp_path / "real.npy"), str(tmp_path / "out"), [f"a={tmp_path}/a.npy", f"b={tmp_path}/b.npy"])
-    assert seen == [["real", "synth"]] * 2 and list(out["panels"]) == ["a: long", "b: long"]
+    assert seen == [["a", "b", "real"]] and list(out["panels"]) == ["long"]
     assert all(len(open(p).readlines()) == 350 for p in out["panels"].values())
 
 
+def test_two_series_share_axes_and_one_order(spark, tmp_path):
+    """Dimension 0 is worst in the first series and 2 in the second; both are shown for both, on edges over all three."""
+    rng = np.random.default_rng(6)
+    real = rng.standard_normal((80, 4)).astype(np.float32)
+    a, b = real + np.float32([9, 0, 0, 0.1]), real + np.float32([0, 0, 5, 0.1])
+    for name, x in (("real", real), ("a", a), ("b", b)):
+        np.save(tmp_path / f"{name}.npy", x)
+    config = panels.Config(k=10, k_hub=5, rows=60, knn_rows=30, nlist=8, pairs=200, bins=8, top=2, preprocess="none")
+    out = reports.eda_report(spark, str(tmp_path / "real.npy"), str(tmp_path / "out"), [f"a={tmp_path}/a.npy", f"b={tmp_path}/b.npy"], config)
+    assert {s: [w["dim"] for w in worst] for s, worst in out["worst_dimensions"].items()} == {"a": [0, 2], "b": [0, 2]}
+    assert out["worst_dimensions"]["a"][0]["wasserstein1"] == pytest.approx(9, abs=1e-5) and out["worst_dimensions"]["b"][1]["wasserstein1"] == pytest.approx(5, abs=1e-5)
+    for name in ("values", "norms", "pairwise", "knn", "lid"):
+        rows = [json.loads(r) for r in open(out["panels"][name])]
+        assert {r["series"] for r in rows} == {"real", "a", "b"}
+        edges = {}
+        for r in rows:
+            assert edges.setdefault(r["bin"], (r["lo"], r["hi"])) == (r["lo"], r["hi"])
+    page = (tmp_path / "out" / "report.html").read_text()
+    assert "All series: n=60, k=10, nlist=8" in page and "No queries" not in page and out["knn_settings"]["max_rows"] == 30
+
+
+def test_notes_on_what_differs():
+    base = {"ann_k": 5, "ann_measured_rows": 10, "lid_discarded_queries": 10}
+    text = panels.discarded_note([base | {"name": "copies"}, base | {"name": "pair", "ann_k": 1}, base | {"name": "fine", "lid_discarded_queries": 9}, base | {"name": "none", "ann_measured_rows": 0, "lid_discarded_queries": 0}])
+    assert "copies (every query has an exact copy" in text and "pair (with k=1" in text and "fine" not in text and "none" not in text
+    assert panels.discarded_note([base | {"name": "fine", "lid_discarded_queries": 0}]) == ""
+
+
 SMALL = panels.Config(k=10, k_hub=5, rows=50, nlist=8, pairs=200, bins=8, top=4, glyphs=3)
 
 
@@ -149,7 +177,16 @@ def test_commands(spark, files, tmp_path, capsys):
         (tmp_path / "g.yaml").write_text(gate % (low, gini))
         assert main(["gate", str(tmp_path / "g.yaml"), str(tmp_path / "s.json")], spark) == code
     assert main(["gate", str(tmp_path / "g.yaml"), str(tmp_path / "s.json"), "--allow-unset"], spark) == 0
-    assert main(["gate", str(tmp_path / "g.yaml"), str(tmp_path / "s.json"), "--series", "none"], spark) == 2
     capsys.readouterr()
+    # A gate that can't be checked fails, and says so elsewhere than a verdict.
+    (tmp_path / "run").mkdir()
+    (tmp_path / "run" / "summary.json").write_text((tmp_path / "s.json").read_text())
+    (tmp_path / "bad.yaml").write_text("[")
+    for args in (["g.yaml", "s.json", "--series", "none"], ["bad.yaml", "s.json"], ["absent.yaml", "s.json"], ["g.yaml", "absent.json"], ["g.yaml"], ["g.yaml", "s.json", "--dataset", "g"]):
+        assert main(["gate", *(str(tmp_path / x) if "." in x else x for x in args), "--output", str(tmp_path / "none.json")], spark) == 1
+        assert not capsys.readouterr().out and not (tmp_path / "none.json").exists()
+    by_name = ["gate", "--dataset", "g", "--gates-dir", str(tmp_path), "--run-dir", str(tmp_path / "run"), "--stats-name", "a", "--allow-unset", "--output", str(tmp_path / "o" / "out.json")]
+    assert main(by_name, spark) == 0
+    assert json.loads(capsys.readouterr().out) == json.load(open(tmp_path / "o" / "out.json"))
     assert main(["floor", str(tmp_path / "s.json"), "a", "b"], spark) == 0
     assert {r["statistic"]: r["gap"] for r in json.loads(capsys.readouterr().out)}["lid_median"] == 1.5
