@@ -73,14 +73,14 @@ def line_dedup(docs: DataFrame) -> DataFrame:
     one doc_id count as parts of one document, in a fixed order. Rows with a null doc_id come last, as parts of one document too,
     whatever the largest doc_id is, and keep their null. An empty table gives no rows.
     """
-    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), shared.id_places(docs).alias("id"), F.xxhash64("text").alias("tag"), "text")
-    spans = repeated_chunks(own.select("id", "text"))
-    out = _apart(own.join(spans.hint("shuffle_hash"), ["id", "tag"], "left"), lines=F.split(F.coalesce("text", F.lit("")), "\n"))
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), shared.id_places(docs).alias("id"), F.xxhash64("text").alias("tag"))
+    spans = repeated_chunks(own.select("id", F.col("row.text").alias("text")))
+    out = _apart(own.join(spans.hint("shuffle_hash"), ["id", "tag"], "left"), lines=F.split(F.coalesce("row.text", F.lit("")), "\n"))
     gone = F.coalesce(F.aggregate("spans", F.lit(0), lambda n, s: n + s["n"]), F.lit(0))
     starts = F.concat(F.array(F.lit(0)), F.transform("spans", lambda s: s["first"] + s["n"]))
     stops = F.concat(F.transform("spans", lambda s: s["first"]), F.array(F.size("lines")))
     kept = F.array_join(F.flatten(F.zip_with(starts, stops, lambda a, b: F.slice("lines", a + 1, b - a))), "\n")
-    text = F.when(F.col("spans").isNull(), F.col("text")).otherwise(kept).alias("text")
+    text = F.when(F.col("spans").isNull(), F.col("row.text")).otherwise(kept).alias("text")
     names = [c for c in docs.columns if c not in ("lines_before", "lines_removed")]
     return out.select(*[text if c == "text" else F.col(f"row.`{c}`") for c in names], F.size("lines").cast("long").alias("lines_before"), gone.cast("long").alias("lines_removed"))
 
