@@ -143,7 +143,8 @@ def lorenz(cells: DataFrame) -> DataFrame:
 
 def summary(points: DataFrame, k: int = 100, k_hub: int = 10, nlist: int = 256, max_rows: int = 20_000, seed=42) -> DataFrame:
     """One row: the four gate statistics (null where they can't be measured), the discarded queries and the conditions after clamping.
-    One pass of neighbours serves all."""
+    One pass of neighbours serves all; it's held while the row is computed, here, and released then."""
+    spark = points.sparkSession
     points = sampling.sample(points, max_rows, seed).persist()
     n = points.count()
     near = K.knn(points, k).persist()
@@ -153,4 +154,8 @@ def summary(points: DataFrame, k: int = 100, k_hub: int = 10, nlist: int = 256,
     hubs = k_occurrence(points, near, min(k_hub, k_eff)).agg(skew("n").alias("hubness_skew"))
     balance = gini(ivf_occupancy(points, nlist, seed)).withColumnRenamed("gini", "ivf_gini")
     out = lids.join(contrast).join(hubs).join(balance)  # single rows
-    return out.select("lid_median", "relative_contrast_median", "hubness_skew", "ivf_gini", (F.lit(n) - F.col("kept")).cast("long").alias("lid_discarded_queries"), F.lit(n).cast("long").alias("ann_measured_rows"), F.lit(k_eff).cast("long").alias("ann_k"), F.lit(lists_of(n, nlist)).cast("long").alias("ann_nlist"))
+    out = out.select("lid_median", "relative_contrast_median", "hubness_skew", "ivf_gini", (F.lit(n) - F.col("kept")).cast("long").alias("lid_discarded_queries"), F.lit(n).cast("long").alias("ann_measured_rows"), F.lit(k_eff).cast("long").alias("ann_k"), F.lit(lists_of(n, nlist)).cast("long").alias("ann_nlist"))
+    row = out.collect()
+    near.unpersist()
+    points.unpersist()
+    return spark.createDataFrame(row, out.schema)

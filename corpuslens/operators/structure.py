@@ -150,6 +150,7 @@ def draw_statistics(points: DataFrame, draws: int, rows: int, k: int, k_hub: int
     for d in range(draws):
         own = difficulty.summary(drawn.where(F.col("draw") == d), k, k_hub, nlist, rows, seed).withColumn("draw", F.lit(d))
         out = own if out is None else out.unionByName(own)
+    drawn.unpersist()
     return out
 
 
@@ -195,7 +196,10 @@ def angular_vs_l2(points: DataFrame, k: int) -> DataFrame:
         lid = difficulty.lid(near).agg(F.percentile("lid", F.lit(0.5)).alias(f"lid_{name}"))
         hub = difficulty.k_occurrence(points, near, k).agg(difficulty.skew("n").alias(f"hubness_{name}"))
         parts = parts.join(lid).join(hub)  # single rows
-    return parts
+    row = parts.collect()
+    l2.unpersist()
+    cos.unpersist()
+    return points.sparkSession.createDataFrame(row, parts.schema)
 
 
 def correlation(df: DataFrame) -> DataFrame:
@@ -377,6 +381,51 @@ def _penalties(trials, decay: float) -> np.ndarray:
     return np.array(out)
 
 
+def penalty_scale(points: DataFrame, batch: int = 512, trials: int = 80, k: int = 20, max_points: int = 256, seed=42, decay: float = 0.99, adv_loss: float | None = None, fraction: float = 0.05) -> DataFrame:
+    """floor: the mean and deviation of the log-ratio penalty of batches of the real series against the moving average of other real batches'
+    profiles; signal: of batches of the other series. The first trials (a quarter, 20 at most) are left out, as the average still settles.
+    suggested_alpha is the weight at which the signal is `fraction` of adv_loss; null without one. Batches are clamped to the rows there are,
+    and max_points rows of a batch are measured (0: all)."""
+    import pandas as pd
+
+    n = {r.series: r["count"] for r in points.groupBy("series").count().collect()}
+    rows = min(batch, n.get("real", 0) // 2, n.get("synth", 0))
+    # A trial draws its first rows by hash from a window of the rows' own hashes, which holds enough by far; so a row is copied for the few trials
+    # whose windows it lies in. On small tables that is all of them.
+    share = F.when(F.col("series") == "real", min(1.0, (8 * rows + 200) / max(1, n.get("real", 0)))).otherwise(min(1.0, (4 * rows + 200) / max(1, n.get("synth", 0))))
+    digits = lambda h: F.conv(F.substring(h, 1, 12), 16, 10).cast("double") / float(16**12)
+    place = digits(F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit("window"), F.col("vec_id").cast("string"))))
+    own = points.select("vec_id", "v", "series", place.alias("place"), share.alias("share"))
+    last = F.floor(F.col("place") * trials)
+    first = F.when(F.col("share") >= 1, last - trials + 1).otherwise(F.floor((F.col("place") - F.col("share")) * trials) + 1)
+    own = own.withColumn("trial", F.explode(F.when(first <= last, F.sequence(first, last)))).select("vec_id", "v", "series", F.pmod("trial", F.lit(trials)).cast("int").alias("trial"))
+    own = own.withColumn("h", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("trial").cast("string"), F.col("vec_id").cast("string"))))
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("vec_id")
+        ids, x = part["vec_id"].to_numpy(), np.array(part["v"].tolist(), float)
+        d = np.array([np.sqrt(((x - row) ** 2).sum(1)) for row in x])  # from differences, so equal rows tie
+        np.fill_diagonal(d, np.inf)
+        n = min(k, len(x) - 1)
+        at = np.argsort(d, axis=1, kind="stable")[:, :n]
+        return pd.DataFrame({"batch": part["batch"].iloc[0], "q": np.repeat(ids, n), "rk": np.tile(np.arange(1, n + 1), len(ids)), "t": ids[at].ravel(), "d": np.take_along_axis(d, at, 1).ravel()})
+
+    return points.select("batch", "vec_id", "v").groupBy("batch").applyInPandas(run, "batch long, q long, rk long, t long, d double")
+
+
+def _penalties(trials, decay: float) -> np.ndarray:
+    """trials of (real, other) profiles -> the penalty of each against the moving average of the real ones so far. One that can't be measured is 0 and leaves the average alone."""
+    now, out = None, []
+    for real, other in trials:
+        if real is None or other is None or len(real) != len(other):
+            out.append(0.0)
+            continue
+        real, other = np.asarray(real), np.asarray(other)
+        now = real if now is None or len(now) != len(real) else now * decay + real * (1 - decay)
+        out.append(float(np.abs(other - now).sum()))
+    return np.array(out)
+
+
 def penalty_scale(points: DataFrame, batch: int = 512, trials: int = 80, k: int = 20, max_points: int = 256, seed=42, decay: float = 0.99, adv_loss: float | None = None, fraction: float = 0.05) -> DataFrame:
     """floor: the mean and deviation of the log-ratio penalty of batches of the real series against the moving average of other real batches'
     profiles; signal: of batches of the other series. The first trials (a quarter, 20 at most) are left out, as the average still settles.

@@ -212,6 +212,14 @@ def ann_summary(spark, sf):
     return rounded(difficulty.summary(corpus(spark, sf)), *FOUR)
 
 
+@query("ann_summary_orders")
+def _(spark, sf):
+    """The canonical conditions, which the vectors' table is too small for: 20,000 orders, 100 neighbours, 256 cells."""
+    v = F.array(F.col("o_totalprice") / 1000, (F.col("o_custkey") % 1000).cast("double"), F.dayofyear("o_orderdate").cast("double"), F.year("o_orderdate") * 10.0)
+    orders = spark.read.parquet(f"{sf}/orders.parquet").select(F.col("o_orderkey").alias("vec_id"), v.alias("v"))
+    return rounded(difficulty.summary(orders), *FOUR)
+
+
 _re, _sy = summary_sql("re", 50, 10, 64, "r"), summary_sql("sy", 50, 10, 64, "s")
 
 
@@ -259,12 +267,9 @@ def _(spark, sf):
     return sampling.shuffled_batches(spark, corpus(spark, sf), 64, 3, 42)
 
 
-NAMES = [("v0",), ("v1",), ("v2",), ("v4-logratio",), ("",)]
-
-
-@query("variant_seed", "SELECT name, (42 + ('0x' || substr(sha256(name), 1, 8))::BIGINT) % 2147483648 AS seed FROM (VALUES ('v0'), ('v1'), ('v2'), ('v4-logratio'), ('')) t(name)")
+@query("variant_seed", "SELECT name, (42 + ('0x' || substr(sha256(name), 1, 8))::BIGINT) % 2147483648 AS seed FROM (SELECT DISTINCT p_name AS name FROM part)")
 def _(spark, sf):
-    return sampling.variant_seeds(spark.createDataFrame(NAMES, "name string"), 42)
+    return sampling.variant_seeds(spark.read.parquet(f"{sf}/part.parquet").select(F.col("p_name").alias("name")).distinct(), 42)
 
 
 # Vectors
@@ -579,7 +584,13 @@ def _(spark, sf):
 _draws = {d: summary_sql(f"e{d}", 100, 10, 256, f"d{d}") for d in range(10)}
 _floor = ", ".join(f"e{d} AS (SELECT vec_id, v FROM rk WHERE (rn - 1) // (SELECT least(20000, count(*) // 10) FROM e) = {d})" for d in _draws) + ", " + ", ".join(c for c, _ in _draws.values())
 _stats = " UNION ALL ".join(f"SELECT {d} AS draw, {r}" for d, (_, r) in _draws.items())
-_raw = _stats.replace("round(quantile_cont(lid, 0.5), 6)", "quantile_cont(lid, 0.5)").replace("round(quantile_cont(contrast, 0.5), 6)", "quantile_cont(contrast, 0.5)").replace(f"round({SKEW}, 6)", SKEW).replace(f"round({GINI}, 6)", GINI)
+
+
+def unrounded(sql: str) -> str:
+    return sql.replace("round(quantile_cont(lid, 0.5), 6)", "quantile_cont(lid, 0.5)").replace("round(quantile_cont(contrast, 0.5), 6)", "quantile_cont(contrast, 0.5)").replace(f"round({SKEW}, 6)", SKEW).replace(f"round({GINI}, 6)", GINI)
+
+
+_raw = unrounded(_stats)
 
 
 @query("draw_noise_floor", f"WITH {E}, rk AS (SELECT *, row_number() OVER (ORDER BY md5(concat_ws(':', '42', vec_id)), vec_id) AS rn FROM e), {_floor}, st AS ({_raw}), lg AS (UNPIVOT (SELECT lid_median, relative_contrast_median, hubness_skew, ivf_gini FROM st) ON COLUMNS(*) INTO NAME statistic VALUE value) SELECT statistic, round(min(value), 5) + 0.0 AS low, round(quantile_cont(value, 0.5), 5) + 0.0 AS middle, round(max(value), 5) + 0.0 AS high, round(max(value) - min(value), 5) AS spread, round(100 * (max(value) - min(value)) / nullif(abs(quantile_cont(value, 0.5)), 0), 3) AS spread_pct FROM lg GROUP BY statistic")
@@ -589,23 +600,27 @@ def _(spark, sf):
     return out.select("statistic", *[(F.round(c, 3 if c == "spread_pct" else 5) + F.lit(0.0)).alias(c) for c in ("low", "middle", "high", "spread", "spread_pct")])
 
 
-SEEDS = [(s, float(v)) for s, vs in (("lid_median", (12, 14, 13)), ("relative_contrast_median", (1.8, 1.9, 1.85)), ("hubness_skew", (2, 2, 2)), ("ivf_gini", (-0.5, 0.5, 0.0))) for v in vs]
-REAL = [("lid_median", 10.0), ("relative_contrast_median", 1.8), ("hubness_skew", 1.5), ("ivf_gini", 0.3)]
-SEEDS_SQL = f"seeds(statistic, value) AS (VALUES {', '.join(f"('{s}', {v}::DOUBLE)" for s, v in SEEDS)}), sp AS (SELECT statistic, avg(value) AS mean, stddev_samp(value) AS std, min(value) AS low, max(value) AS high FROM seeds GROUP BY statistic HAVING count(*) > 1)"
+DRAWS = f"WITH {E}, rk AS (SELECT *, row_number() OVER (ORDER BY md5(concat_ws(':', '42', vec_id)), vec_id) AS rn FROM e), {_floor}, st AS ({_raw}), lg AS (UNPIVOT (SELECT lid_median, relative_contrast_median, hubness_skew, ivf_gini FROM st) ON COLUMNS(*) INTO NAME statistic VALUE value), sp AS (SELECT statistic, avg(value) AS mean, stddev_samp(value) AS std, min(value) AS low, max(value) AS high FROM lg GROUP BY statistic HAVING count(*) > 1)"
 
 
-def seeds(spark):
-    return spark.createDataFrame(SEEDS, "statistic string, value double")
+def drawn_statistics(spark, sf) -> DataFrame:
+    """The statistics of ten disjoint draws."""
+    e = corpus(spark, sf)
+    return structure.long_statistics(structure.draw_statistics(e, 10, min(20_000, e.count() // 10), 100, 10, 256), "draw").select("statistic", "value")
 
 
-@query("spread", f"WITH {SEEDS_SQL} SELECT statistic, round(mean, 6) AS mean, round(std, 6) AS std, low, high, round(100 * (high - low) / nullif(abs(mean), 0), 6) AS range_pct, round(100 * std / nullif(abs(mean), 0), 6) AS cv_pct FROM sp")
+@query("spread", f"{DRAWS} SELECT statistic, round(mean, 5) AS mean, round(std, 5) AS std, round(low, 5) AS low, round(high, 5) AS high, round(100 * (high - low) / nullif(abs(mean), 0), 3) AS range_pct, round(100 * std / nullif(abs(mean), 0), 3) AS cv_pct FROM sp")
 def _(spark, sf):
-    return rounded(structure.spread(seeds(spark)), "mean", "std", "range_pct", "cv_pct")
+    out = structure.spread(drawn_statistics(spark, sf))
+    return out.select("statistic", *[(F.round(c, 3 if c.endswith("_pct") else 5) + F.lit(0.0)).alias(c) for c in ("mean", "std", "low", "high", "range_pct", "cv_pct")])
 
 
-@query("noise_floor", f"WITH {SEEDS_SQL}, r(statistic, real) AS (VALUES {', '.join(f"('{s}', {v}::DOUBLE)" for s, v in REAL)}) SELECT statistic, round(mean - real, 6) AS gap, round(abs(mean - real) / nullif(high - low, 0), 6) AS distance_in_spreads FROM sp JOIN r USING (statistic)")
+@query("noise_floor", f"{DRAWS}, {_all[0]}, al AS (SELECT {unrounded(_all[1])}), r AS (UNPIVOT (SELECT lid_median, relative_contrast_median, hubness_skew, ivf_gini FROM al) ON COLUMNS(*) INTO NAME statistic VALUE real) SELECT statistic, round(mean - real, 5) + 0.0 AS gap, round(abs(mean - real) / nullif(high - low, 0), 4) AS distance_in_spreads FROM sp JOIN r USING (statistic)")
 def _(spark, sf):
-    return rounded(structure.floor(seeds(spark), spark.createDataFrame(REAL, "statistic string, real double")).select("statistic", "gap", "distance_in_spreads"), "gap", "distance_in_spreads")
+    """How far the draws' means lie from the whole corpus, in spreads of the draws."""
+    whole = structure.long_statistics(difficulty.summary(corpus(spark, sf))).withColumnRenamed("value", "real")
+    out = structure.floor(drawn_statistics(spark, sf), whole)
+    return out.select("statistic", (F.round("gap", 5) + F.lit(0.0)).alias("gap"), F.round("distance_in_spreads", 4).alias("distance_in_spreads"))
 
 
 @query("zero_probe", f"WITH {ITEMS}, x AS (SELECT series, unnest(range(4))::INT AS dim, unnest(v) AS x FROM e), z AS (SELECT series, avg(zero) AS zero_rate, sqrt(sum(zero * (1 - zero))) AS independent_std FROM (SELECT series, dim, avg((x = 0)::INT) AS zero FROM x GROUP BY ALL) GROUP BY series), n AS (SELECT series, avg(len(list_filter(v, lambda x: x <> 0))) AS nnz_mean, stddev_pop(len(list_filter(v, lambda x: x <> 0))) AS nnz_std FROM e GROUP BY series) SELECT series, round(nnz_mean, 6) AS nnz_mean, round(nnz_std, 6) AS nnz_std, round(zero_rate, 6) AS zero_rate, round(independent_std, 6) AS independent_std FROM z JOIN n USING (series)")
@@ -655,69 +670,71 @@ GATE = """
 canonical: {n: 20000, k: 100, k_hub: 10, nlist: 256}
 statistics: {lid_median: {min: 8, max: 16}, relative_contrast_median: {min: 1.5}, hubness_skew: null, ivf_gini: {min: 0.2, max: 0.3}}
 """
-MEASURED = [("lid_median", 12.0), ("relative_contrast_median", 1.5), ("hubness_skew", None), ("ivf_gini", 0.35)]
-VALUES = "m(statistic, value) AS (VALUES ('lid_median', 12.0::DOUBLE), ('relative_contrast_median', 1.5), ('hubness_skew', NULL), ('ivf_gini', 0.35)), b(statistic, min, max) AS (VALUES ('lid_median', 8.0::DOUBLE, 16.0::DOUBLE), ('relative_contrast_median', 1.5, NULL), ('hubness_skew', NULL, NULL), ('ivf_gini', 0.2, 0.3))"
+_bands = "b(statistic, min, max) AS (VALUES ('lid_median', 8.0::DOUBLE, 16.0::DOUBLE), ('relative_contrast_median', 1.5, NULL), ('hubness_skew', NULL, NULL), ('ivf_gini', 0.2, 0.3))"
+_synth = summary_sql("sy", 100, 10, 256, "g")
+MEASURED = f"WITH {SIDES}, {_synth[0]}, st AS (SELECT {_synth[1]}), {_bands}, m(statistic, value) AS ({' UNION ALL '.join(f"SELECT '{x}', {x}::DOUBLE FROM st" for x in FOUR)})"
 CHECKED = "ck AS (SELECT statistic, value, min, max, CASE WHEN value IS NULL OR isnan(value) THEN 'fail' WHEN min IS NULL AND max IS NULL THEN 'unset' WHEN value < min OR value > max THEN 'fail' ELSE 'pass' END AS outcome FROM b LEFT JOIN m USING (statistic))"
-ACTUAL = [("n", 20000), ("k", 100), ("nlist", 250)]
-CONDITIONS = "cn AS (SELECT condition, expected, actual, coalesce(expected = actual, false) AS ok FROM (VALUES ('n', 20000::BIGINT, 20000::BIGINT), ('k', 100, 100), ('nlist', 256, 250)) t(condition, expected, actual))"
+CONDITIONS = "cn AS (SELECT condition, expected, actual, coalesce(expected = actual, false) AS ok FROM (SELECT 'n' AS condition, 20000::BIGINT AS expected, ann_measured_rows AS actual FROM st UNION ALL SELECT 'k', 100, ann_k FROM st UNION ALL SELECT 'nlist', 256, ann_nlist FROM st))"
 
 
-def gate_parts(spark):
+def gate_parts(spark, sf):
+    """A gate on the synthetic series, as it is measured here."""
     gate = gates.load_gate(GATE)
-    checked = gates.check_statistics(spark.createDataFrame(MEASURED, "statistic string, value double"), gates.bands(spark, gate))
+    stats = rounded(difficulty.summary(synth(spark, sf)), *FOUR)
+    checked = gates.check_statistics(structure.long_statistics(stats), gates.bands(spark, gate))
     canonical = spark.createDataFrame(list(gate["canonical"].items()), "condition string, expected long")
-    return checked, gates.check_conditions(spark.createDataFrame(ACTUAL, "condition string, actual long"), canonical)
+    actual = stats.select(F.inline(F.array(*[F.struct(F.lit(n).alias("condition"), F.col(c).alias("actual")) for n, c in (("n", "ann_measured_rows"), ("k", "ann_k"), ("nlist", "ann_nlist"))])))
+    return checked, gates.check_conditions(actual, canonical)
 
 
-@query("gate_statistics", f"WITH {VALUES}, {CHECKED} SELECT * FROM ck")
+@query("gate_statistics", f"{MEASURED}, {CHECKED} SELECT * FROM ck")
 def _(spark, sf):
-    return gate_parts(spark)[0]
+    return gate_parts(spark, sf)[0]
 
 
-@query("condition_check", f"WITH {CONDITIONS} SELECT * FROM cn")
+@query("condition_check", f"{MEASURED}, {CONDITIONS} SELECT * FROM cn")
 def _(spark, sf):
-    return gate_parts(spark)[1]
+    return gate_parts(spark, sf)[1]
 
 
-@query("gate_verdict", f"WITH {VALUES}, {CHECKED}, {CONDITIONS} SELECT CASE WHEN (SELECT count(*) FROM ck WHERE outcome = 'fail') + (SELECT count(*) FROM cn WHERE NOT ok) > 0 THEN 'fail' WHEN (SELECT count(*) FROM ck WHERE outcome = 'unset') > 0 THEN 'unset' ELSE 'pass' END AS verdict, CASE WHEN (SELECT count(*) FROM ck WHERE outcome = 'fail') + (SELECT count(*) FROM cn WHERE NOT ok) > 0 THEN 1 WHEN (SELECT count(*) FROM ck WHERE outcome = 'unset') > 0 THEN 2 ELSE 0 END AS exit_code")
+@query("gate_verdict", f"{MEASURED}, {CHECKED}, {CONDITIONS}, v AS (SELECT CASE WHEN (SELECT count(*) FROM ck WHERE outcome = 'fail') + (SELECT count(*) FROM cn WHERE NOT ok) > 0 THEN 'fail' WHEN (SELECT count(*) FROM ck WHERE outcome = 'unset') > 0 THEN 'unset' ELSE 'pass' END AS verdict) SELECT verdict, CASE verdict WHEN 'fail' THEN 1 WHEN 'unset' THEN 2 ELSE 0 END AS exit_code FROM v")
 def _(spark, sf):
-    return gates.verdict(*gate_parts(spark))
+    return gates.verdict(*gate_parts(spark, sf))
 
 
-VARIANTS = [("deep", "v0", "angular"), ("deep", "v1", "angular"), ("sift", "v0", "l2"), ("odd", "v0", "l2"), ("odd", "v1", "angular")]
-
-
-@query("family_metric", f"SELECT family, CASE WHEN count(DISTINCT metric) = 1 THEN min(metric) END AS metric, count(DISTINCT metric) = 1 AS agreed FROM (VALUES {', '.join(map(str, VARIANTS))}) t(family, name, metric) GROUP BY family")
+@query("family_metric", "SELECT family, CASE WHEN count(DISTINCT metric) = 1 THEN min(metric) END AS metric, count(DISTINCT metric) = 1 AS agreed FROM (SELECT concat(l_returnflag, l_suppkey % 50) AS family, l_linestatus AS metric FROM lineitem) GROUP BY family")
 def _(spark, sf):
-    return gates.family_metric(spark.createDataFrame(VARIANTS, "family string, name string, metric string"))
+    """Suppliers' return flags as families, items as variants, their statuses as metrics."""
+    line = spark.read.parquet(f"{sf}/lineitem.parquet")
+    return gates.family_metric(line.select(F.concat("l_returnflag", F.col("l_suppkey") % 50).alias("family"), F.col("l_linenumber").alias("name"), F.col("l_linestatus").alias("metric")))
 
 
-@query("sweep_cells", "SELECT rung, seed, rung || '_s' || seed AS name FROM (VALUES ('v0'), ('v1'), ('v2')) r(rung), (VALUES (42), (43), (44)) s(seed)")
+@query("sweep_cells", "SELECT rung, seed, rung || '_s' || seed AS name FROM (SELECT DISTINCT source AS rung FROM documents) r, (SELECT DISTINCT label AS seed FROM embeddings) s")
 def _(spark, sf):
-    return gates.sweep_cells(spark.createDataFrame([("v0",), ("v1",), ("v2",)], "rung string"), spark.createDataFrame([(42,), (43,), (44,)], "seed int"))
+    rungs = spark.read.parquet(f"{sf}/documents.parquet").select(F.col("source").alias("rung")).distinct()
+    return gates.sweep_cells(rungs, spark.read.parquet(f"{sf}/embeddings.parquet").select(F.col("label").alias("seed")).distinct())
 
 
-@query("condition_note", "SELECT 'real: n=500, k=100, nlist=250; synth: n=500, k=100, nlist=256' AS note")
+@query("condition_note", f"WITH {SIDES}, c AS (SELECT series, 'n=' || least(20000, count(*)) || ', k=' || least(100, count(*) - 1) || ', nlist=' || greatest(2, least(256, count(*) // 2)) AS t FROM e GROUP BY series) SELECT CASE WHEN min(t) = max(t) THEN 'All series: ' || min(t) ELSE string_agg(series || ': ' || t, '; ' ORDER BY series) END AS note FROM c")
 def _(spark, sf):
-    return panels.condition_note(spark.createDataFrame([("real", 500, 100, 250), ("synth", 500, 100, 256)], "series string, n long, k long, nlist long"))
-
+    """How the two series are measured, after clamping."""
+    n = corpus(spark, sf).groupBy("series").agg(F.least(F.lit(20_000), F.count(F.lit(1))).alias("n"))
+    return panels.condition_note(n.select("series", "n", F.least(F.lit(100), F.col("n") - 1).alias("k"), F.greatest(F.lit(2), F.least(F.lit(256), F.expr("n div 2"))).alias("nlist")))
 
-SIZES = [("deep", 1_000_000), ("sift", 250_000), ("openai", 2_500_000), ("glove", 999_999), ("gist", 500)]
 
-
-@query("subset_name", f"SELECT dataset, rows, CASE WHEN rows >= 1000000 THEN dataset || '_' || rows // 1000000 || 'm' ELSE dataset || '_' || rows // 1000 || 'k' END AS name FROM (VALUES {', '.join(map(str, SIZES))}) t(dataset, rows)")
+@query("subset_name", "SELECT dataset, rows, CASE WHEN rows >= 1000000 THEN dataset || '_' || rows // 1000000 || 'm' ELSE dataset || '_' || rows // 1000 || 'k' END AS name FROM (SELECT lang || source AS dataset, sum(n_chars)::BIGINT * CASE WHEN lang = 'en' THEN 100 ELSE 1 END AS rows FROM documents GROUP BY lang, source)")
 def _(spark, sf):
-    return spark.createDataFrame(SIZES, "dataset string, rows int").withColumn("name", gates.subset_name(F.col("dataset"), F.col("rows")))
-
+    sizes = spark.read.parquet(f"{sf}/documents.parquet").groupBy("lang", "source").agg(F.sum("n_chars").alias("n"))
+    own = sizes.select(F.concat("lang", "source").alias("dataset"), (F.col("n") * F.when(F.col("lang") == "en", 100).otherwise(1)).alias("rows"))
+    return own.withColumn("name", gates.subset_name(F.col("dataset"), F.col("rows")))
 
-SPECS = ["v4=runs/a=b.npy", "runs/v3.npy", "=runs/v2.fvecs", "x=plain", "name"]
 
-
-@query("parse_spec", f"SELECT spec, CASE WHEN instr(spec, '=') > 1 THEN substr(spec, 1, instr(spec, '=') - 1) ELSE regexp_replace(string_split(path, '/')[-1], '(.)\\.[^.]*$', '\\1') END AS label, path FROM (SELECT spec, CASE WHEN instr(spec, '=') > 0 THEN substr(spec, instr(spec, '=') + 1) ELSE spec END AS path FROM (VALUES {', '.join(f"('{s}')" for s in SPECS)}) t(spec))")
+@query("parse_spec", "SELECT spec, CASE WHEN instr(spec, '=') > 1 THEN substr(spec, 1, instr(spec, '=') - 1) ELSE regexp_replace(string_split(path, '/')[-1], '(.)\\.[^.]*$', '\\1') END AS label, path FROM (SELECT spec, CASE WHEN instr(spec, '=') > 0 THEN substr(spec, instr(spec, '=') + 1) ELSE spec END AS path FROM (SELECT unnest([url, '=' || url || '.npy', page_id || '=' || url, 'p' || page_id || '.fvecs', 'runs/' || page_id]) AS spec FROM pages))")
 def _(spark, sf):
-    df = spark.createDataFrame([(s,) for s in SPECS], "spec string")
+    pages, url, page = spark.read.parquet(f"{sf}/pages.parquet"), F.col("url"), F.col("page_id").cast("string")
+    specs = [url, F.concat(F.lit("="), url, F.lit(".npy")), F.concat(page, F.lit("="), url), F.concat(F.lit("p"), page, F.lit(".fvecs")), F.concat(F.lit("runs/"), page)]
     label, path = gates.parse_spec(F.col("spec"))
-    return df.select("spec", label.alias("label"), path.alias("path"))
+    return pages.select(F.explode(F.array(*specs)).alias("spec")).select("spec", label.alias("label"), path.alias("path"))
 
 
 @query("best_so_far", "SELECT event_type AS run, event_id AS step, value, coalesce(value < min(value) OVER (PARTITION BY event_type ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS best FROM events")
@@ -725,34 +742,38 @@ def _(spark, sf):
     return structure.best_so_far(spark.read.parquet(f"{sf}/events.parquet").select(F.col("event_type").alias("run"), F.col("event_id").alias("step"), "value"), EVENTS_OF_A_PIECE)
 
 
-@query("ema_bias_correction", "SELECT t AS step, round(1 / (1 - 0.99::DOUBLE ** t), 6) AS factor FROM (SELECT unnest(range(1, 51)) AS t)")
+@query("ema_bias_correction", "SELECT user_id, count(*) AS step, round(1 / (1 - 0.99::DOUBLE ** count(*)), 6) AS factor FROM events GROUP BY user_id")
 def _(spark, sf):
-    return spark.range(1, 51).select(F.col("id").alias("step"), F.round(1 / (1 - F.pow(F.lit(0.99), F.col("id"))), 6).alias("factor"))
+    """What the average of as many values as a user has events is to be multiplied with."""
+    steps = spark.read.parquet(f"{sf}/events.parquet").groupBy("user_id").agg(F.count(F.lit(1)).alias("step"))
+    return steps.select("user_id", "step", F.round(1 / (1 - F.pow(F.lit(0.99), F.col("step"))), 6).alias("factor"))
 
 
 _whitened = '{"data": {"preprocess": {"center": true, "whiten": true}}}'
 _state = '{"preprocess_state": {"descriptor_dim": 1, "mean": [0.5], "whitening_matrix": null, "config": {"center": true, "l2_normalize": %s}}}'
-FILES = [(f"r/v{i}/best_generator.pt", None) for i in (0, 1, 3, 4, 5, 6)] + [("r/v0/run_config.yaml", '{"data": {}}'), ("r/v7/notes", None)]
-FILES += [(f"r/v{i}/run_config.yaml", _whitened) for i in (3, 4, 5, 6)] + [("r/v4/run_metadata.json", "{}"), ("r/v5/run_metadata.json", _state % "true"), ("r/v6/run_metadata.json", _state % "false")]
-RUNS = [(f"v{i}", f"r/v{i}") for i in range(8)]
-_files = ", ".join(f"('{p}', {'NULL' if t is None else chr(39) + t + chr(39)})" for p, t in FILES)
+#: The runs' files: a supplier is a run, and what it lacks follows from its number and nation.
+_meta = f"CASE s_nationkey % 3 WHEN 0 THEN '{{}}' WHEN 1 THEN '{_state % "true"}' ELSE '{_state % "false"}' END"
+FILES = f"""SELECT concat('r/', s_suppkey, '/best_generator.pt') AS path, NULL AS text FROM supplier WHERE s_suppkey % 7 <> 1 AND s_suppkey % 11 <> 3
+UNION ALL SELECT concat('r/', s_suppkey, '/run_config.yaml'), CASE WHEN s_suppkey % 4 = 0 THEN '{{"data": {{}}}}' ELSE '{_whitened}' END FROM supplier WHERE s_suppkey % 5 <> 2 AND s_suppkey % 11 <> 3
+UNION ALL SELECT concat('r/', s_suppkey, '/run_metadata.json'), {_meta} FROM supplier WHERE s_suppkey % 3 <> 1 AND s_suppkey % 11 <> 3
+UNION ALL SELECT concat('r/', s_suppkey, '/notes'), NULL FROM supplier WHERE s_suppkey % 11 <> 3"""
 
 
-@query("resolve_variants", f"""WITH v(name, run_dir) AS (VALUES {', '.join(map(str, RUNS))}), f(path, text) AS (VALUES {_files}),
-r AS (SELECT name, run_dir, bool_or(starts_with(path, run_dir || '/')) AS dir, bool_or(path = run_dir || '/best_generator.pt') AS pt, bool_or(path = run_dir || '/run_config.yaml') AS cfg,
-  max(CASE WHEN path = run_dir || '/run_config.yaml' THEN text END) AS config, max(CASE WHEN path = run_dir || '/run_metadata.json' THEN text END) AS meta FROM v, f GROUP BY ALL),
+@query("resolve_variants", f"""WITH v AS (SELECT s_name AS name, concat('r/', s_suppkey) AS run_dir FROM supplier), f AS ({FILES}),
+r AS (SELECT name, run_dir, count(path) > 0 AS dir, coalesce(bool_or(path = run_dir || '/best_generator.pt'), false) AS pt, coalesce(bool_or(path = run_dir || '/run_config.yaml'), false) AS cfg,
+  max(CASE WHEN path = run_dir || '/run_config.yaml' THEN text END) AS config, max(CASE WHEN path = run_dir || '/run_metadata.json' THEN text END) AS meta FROM v LEFT JOIN f ON regexp_replace(path, '/[^/]*$', '') = run_dir GROUP BY ALL),
 w AS (SELECT *, coalesce((config::JSON -> 'data' -> 'preprocess' ->> 'whiten')::BOOLEAN, false) OR coalesce((config::JSON -> 'data' -> 'preprocess' ->> 'center')::BOOLEAN, false) AS moved, meta::JSON -> 'preprocess_state' AS state FROM r),
 z AS (SELECT name, CASE WHEN NOT dir THEN 'no run directory at ' || run_dir WHEN NOT pt THEN 'no best_generator.pt in ' || run_dir WHEN NOT cfg THEN 'no run_config.yaml in ' || run_dir
   WHEN NOT moved THEN NULL WHEN meta IS NULL THEN 'it centres or whitens, but there are no metadata' WHEN state IS NULL THEN 'it centres or whitens, but its metadata hold no preprocess_state'
   WHEN (state -> 'config' ->> 'l2_normalize')::BOOLEAN AND (state -> 'mean') IS NOT NULL THEN 'rows were divided by their norms after centring' END AS reason FROM w) SELECT name, reason IS NULL AS found, reason FROM z""")
 def _(spark, sf):
-    return gates.resolve_variants(spark.createDataFrame(RUNS, "name string, run_dir string"), spark.createDataFrame(FILES, "path string, text string"))
-
-
-_bands = "bd(statistic, min, max) AS (VALUES ('lid_median', 8.0::DOUBLE, 16.0::DOUBLE), ('relative_contrast_median', 1.5, NULL), ('hubness_skew', NULL, NULL), ('ivf_gini', 0.2, 0.3))"
+    supplier = spark.read.parquet(f"{sf}/supplier.parquet")
+    runs = supplier.select(F.col("s_name").alias("name"), F.concat(F.lit("r/"), "s_suppkey").alias("run_dir"))
+    braces = FILES.replace("{", "{{").replace("}", "}}")
+    return gates.resolve_variants(runs, spark.sql(braces.replace("FROM supplier", "FROM {supplier}"), supplier=supplier))
 
 
-@query("gate_on_corpus", f"WITH {E}, {_all[0]}, st AS (SELECT {_all[1]}), {_bands}, lg(statistic, value) AS ({' UNION ALL '.join(f"SELECT '{s}', {s}::DOUBLE FROM st" for s in FOUR)}) SELECT statistic, value, min, max, CASE WHEN value IS NULL OR isnan(value) THEN 'fail' WHEN min IS NULL AND max IS NULL THEN 'unset' WHEN value < min OR value > max THEN 'fail' ELSE 'pass' END AS outcome FROM bd LEFT JOIN lg USING (statistic)")
+@query("gate_on_corpus", f"WITH {E}, {_all[0]}, st AS (SELECT {_all[1]}), {_bands.replace("b(", "bd(", 1)}, lg(statistic, value) AS ({' UNION ALL '.join(f"SELECT '{s}', {s}::DOUBLE FROM st" for s in FOUR)}) SELECT statistic, value, min, max, CASE WHEN value IS NULL OR isnan(value) THEN 'fail' WHEN min IS NULL AND max IS NULL THEN 'unset' WHEN value < min OR value > max THEN 'fail' ELSE 'pass' END AS outcome FROM bd LEFT JOIN lg USING (statistic)")
 def _(spark, sf):
     """The bands of a gate on statistics that are measured here."""
     values = structure.long_statistics(rounded(difficulty.summary(corpus(spark, sf)), *FOUR))
@@ -786,7 +807,10 @@ def _(spark, sf):
     return rounded(panels.scatter(corpus(spark, sf)), "x", "y")
 
 
-@query("ivf_lorenz_by_series")
+_by_series = " UNION ALL ".join(f"SELECT '{n}' AS series, i, round(i / count(*) OVER (), 6) AS share_cells, round(c / sum(n) OVER (), 6) AS share_points FROM (SELECT n, row_number() OVER w AS i, sum(n) OVER w AS c FROM {t}cells WINDOW w AS (ORDER BY n, cell ROWS UNBOUNDED PRECEDING))" for n, t in (("real", "re"), ("synth", "sy")))
+
+
+@query("ivf_lorenz_by_series", f"WITH {SIDES}, {cells(16, 're', 'recells')}, {cells(16, 'sy', 'sycells')} {_by_series}")
 def _(spark, sf):
     return rounded(panels.lorenz(corpus(spark, sf), 16, 42), "share_cells", "share_points")
 
@@ -838,8 +862,9 @@ def _(spark, sf):
 @query("generate")
 def _(spark, sf):
     network = G.build("gated", trunk=G.random_layers([16, 32], 1), sizes=G.random_layers([32, 64], 2)[0], gates=G.random_layers([32, 64], 3)[0])
-    return panels.dim_profiles(G.generate(spark, network, 2000, 16, 64).select(F.lit("generated").alias("series"), as_double(F.col("v")).alias("v")))
+    rows = corpus(spark, sf).count()  # as many as the corpus has
+    return panels.dim_profiles(G.generate(spark, network, rows, 16, 64).select(F.lit("generated").alias("series"), as_double(F.col("v")).alias("v")))
 
 
 #: The timed queries.
-HEADLINE = ["ann_summary", "knn_topk", "knn_cosine", "knn_large_norms", "lid_per_query", "relative_contrast", "k_occurrence", "ivf_gini", "mmd_rbf", "pairwise_hist_l1", "cov_fro", "w1_by_dim", "correlation", "distance_cdf", "dim_profiles_items", "norm_hist", "tensor_stats", "zero_probe"]
+HEADLINE = ["ann_summary", "ann_summary_orders", "knn_topk", "knn_cosine", "knn_large_norms", "lid_per_query", "relative_contrast", "k_occurrence", "ivf_gini", "mmd_rbf", "pairwise_hist_l1", "cov_fro", "w1_by_dim", "correlation", "distance_cdf", "dim_profiles_items", "norm_hist", "tensor_stats", "zero_probe"]

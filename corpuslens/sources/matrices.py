@@ -288,16 +288,16 @@ def sample_shards(spark: SparkSession, shards: list[str], rows: int, seed: int =
     return drawn.mapInArrow(placed, "vec_id long, own long").groupBy("own").applyInArrow(read, "vec_id long, v array<float>")
 
 
-#: The corpora's dimensions, metrics and default subset sizes.
+#: The corpora's dimensions, metrics, containers, where the public files are, the data set or column in them, and default subset sizes.
 FAMILIES = [
-    ("sift", 128, "l2", "hdf5", [250_000, 1_000_000]),
-    ("gist", 960, "l2", "hdf5", [250_000, 1_000_000]),
-    ("deep", 96, "angular", "hdf5", [250_000, 1_000_000]),
-    ("glove", 100, "angular", "hdf5", [250_000, 1_000_000]),
-    ("nytimes", 256, "angular", "hdf5", [250_000, 1_000_000]),
-    ("openai", 1536, "angular", "parquet", [250_000]),
+    ("sift", 128, "l2", "hdf5", "http://ann-benchmarks.com/sift-128-euclidean.hdf5", "train", [250_000, 1_000_000]),
+    ("gist", 960, "l2", "hdf5", "http://ann-benchmarks.com/gist-960-euclidean.hdf5", "train", [250_000, 1_000_000]),
+    ("deep", 96, "angular", "hdf5", "http://ann-benchmarks.com/deep-image-96-angular.hdf5", "train", [250_000, 1_000_000]),
+    ("glove", 100, "angular", "hdf5", "http://ann-benchmarks.com/glove-100-angular.hdf5", "train", [250_000, 1_000_000]),
+    ("nytimes", 256, "angular", "hdf5", "http://ann-benchmarks.com/nytimes-256-angular.hdf5", "train", [250_000, 1_000_000]),
+    ("openai", 1536, "angular", "parquet", "KShivendu/dbpedia-entities-openai-1M", "openai", [250_000]),
 ]
 
 
 def families(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(FAMILIES, "name string, dim int, metric string, container string, default_rows array<int>")
+    return spark.createDataFrame(FAMILIES, "name string, dim int, metric string, container string, origin string, key string, default_rows array<int>")

@@ -344,6 +344,17 @@ def test_penalty_scale_against_numpy(spark):
     assert list(got) == pytest.approx([6, f.mean(), f.std(), s.mean(), s.std(), s.mean() / f.mean(), 0.05 * 2 / s.mean()])
 
 
+def test_penalty_scale_copies_few_rows(spark, monkeypatch):
+    """Of a larger table each trial takes its rows from its own window; every trial has enough."""
+    x = np.random.default_rng(3).standard_normal((6000, 3))
+    df = frame(spark, x, ["real" if i % 2 else "synth" for i in range(6000)]).repartition(4)
+    sizes = []
+    profile = structure._penalties
+    monkeypatch.setattr(structure, "_penalties", lambda trials, decay: sizes.append(list(trials)) or profile(sizes[-1], decay))
+    got = structure.penalty_scale(df, 8, 20, 5, 0).first()
+    assert got.trials == 15 and all(a is not None and len(a) == 4 == len(b) for part in sizes for a, b in part)
+
+
 @pytest.mark.parametrize(("size", "step"), [(500.0, 1e-6), (1e5, 1e-3), (1.0, 1e-9)])
 @pytest.mark.parametrize("metric", ["l2", "cosine"])
 def test_knn_of_close_rows_with_large_norms(spark, size, step, metric):

@@ -157,6 +157,34 @@ def test_variants_are_compared(spark, files, tmp_path):
         reports.compare_variants(spark, "variants: [{name: gone, config: c, run_dir: r/gone}]", str(tmp_path), "x", "y", {})
 
 
+def test_samples_of_a_whitened_run_are_compared(spark, tmp_path):
+    """Whitened without centring, as such runs are: what the network draws is brought back to the corpus's coordinates, direction by direction."""
+    from corpuslens.operators import generator as G
+    from corpuslens.operators import preprocess
+
+    rng = np.random.default_rng(8)
+    scale = np.array([1.0, 2, 4, 8, 16, 32, 3, 6])
+    x = rng.standard_normal((300, 8)) * scale
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, v array<double>")
+    np.save(tmp_path / "real.npy", x.astype(np.float32))
+    state = preprocess.fit(df, preprocess.Settings(whiten=True))
+    recorded = {"descriptor_dim": 8, "mean": None, "whitening_matrix": state.matrix, "config": {"center": False, "whiten": True, "l2_normalize": True}}
+    network = G.Mlp(G.random_layers([6, 8], 3))
+    for name, config in (("w", "data: {preprocess: {whiten: true, center: false, l2_normalize: true}}"), ("u", "data: {}")):
+        (tmp_path / "r" / name).mkdir(parents=True)
+        (tmp_path / "r" / name / "best_generator.pt").touch()
+        (tmp_path / "r" / name / "run_config.yaml").write_text(config)
+        (tmp_path / "r" / name / "run_metadata.json").write_text(json.dumps({"preprocess_state": recorded}))
+    manifest = "variants: [{name: w, config: c, run_dir: r/w}, {name: u, config: c, run_dir: r/u}]"
+    out = reports.compare_variants(spark, manifest, str(tmp_path), str(tmp_path / "real.npy"), str(tmp_path / "out"), {n: (network, 6, 8) for n in "wu"}, 200, SMALL)
+    assert [s["name"] for s in out["stats"]] == ["real", "w", "u"] and not out["skipped"]
+    drawn = G.generate(spark, network, 200, 6, 8, reports.sampling.variant_seed(42, "w")).orderBy("vec_id").collect()
+    want = np.array([r.v for r in drawn], float) @ np.linalg.inv(np.array(state.matrix))
+    got = np.load(tmp_path / "out" / "w.npy")
+    assert np.allclose(got, want, rtol=1e-4, atol=1e-4)
+    assert np.corrcoef(np.log(got.std(0)), np.log(scale))[0, 1] > 0.7 > abs(np.corrcoef(np.log(np.load(tmp_path / "out" / "u.npy").std(0)), np.log(scale))[0, 1]) - 0.3
+
+
 def test_panels_of_wide_rows(spark):
     rng = np.random.default_rng(3)
     rows = [(i, np.maximum(rng.standard_normal(128), 0).tolist(), "real" if i < 20 else "synth") for i in range(40)]
