@@ -19,6 +19,8 @@ PASSED, SHARED, LEAST_CODES = 8, 4, 256
 SETS, NARROW, WIDTH = 4, 8, 1.5
 #: Widest vectors whose cosine is written out term by term, to be compiled.
 UNROLLED = 128
+#: Products of vectors and codewords that are held at once.
+CELLS = 1 << 22
 #: Between these, squares of components neither overflow nor vanish; vectors whose largest component lies outside are divided by it.
 SMALL, LARGE = 1e-100, 1e100
 
@@ -59,7 +61,9 @@ def codes(rows: int, dim: int, number: int = 0, cosine: float = 0.98) -> tuple[n
 def decode(unit: np.ndarray, rotation: np.ndarray, first: np.ndarray, second: np.ndarray, height: float) -> list[np.ndarray]:
     """For each unit vector, the numbers of all directions that it exceeds the height in, ascending; its PASSED best ones in any case."""
     out, turned, half = [], unit @ rotation.T, first.shape[1]
-    for x, y in zip(turned[:, :half] @ first.T, turned[:, half:] @ second.T, strict=True):
+    step = max(1, CELLS // (len(first) + len(second)))
+    products = (xy for k in range(0, len(turned), step) for xy in zip(turned[k : k + step, :half] @ first.T, turned[k : k + step, half:] @ second.T, strict=True))
+    for x, y in products:
         order = np.argsort(y)
         ys = y[order]
         best = np.sort((np.partition(x, -min(PASSED, len(x)))[-PASSED:, None] + ys[-PASSED:]).ravel())
@@ -102,7 +106,8 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.98) -> DataFrame:
     vec_id link with nothing (n_links 0; component_id and kept null). Other columns are ignored; an empty table gives no rows.
 
     Equal vectors (by SHA-256 of what they hold) are one class, so copies are never paired. Classes meet under (label, filter), as ids
-    only; then each pair is compared once. A filter that many pass is a skewed key of a join of two plain shuffles, which Spark splits.
+    only; then each pair is compared once. Work grows with the pairs that share a filter: of vectors in one narrow cone, whose different
+    members all pass the same few filters, that is the square of their number.
     """
     spark = vectors.sparkSession
     shared.small_batches(spark)

@@ -1,16 +1,20 @@
+import base64
 import hashlib
 import random
+import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
+import pandas as pd
 import public_tokenizers as P
 import test_lines
 import test_minhash
 import test_toxicity
-from pyspark.sql import Row
+import tiktoken
 
 import corpus_pipeline
-from corpuslens.llm import bpe, minhash, mixing, toxicity
+from corpuslens.llm import minhash, mixing, toxicity
 
 
 def made():
@@ -28,8 +32,15 @@ def made():
     return rows, [(i, y, 1) for i, _, y in base]
 
 
-def brute(rows, model):
-    kept = [r for r in rows if model.scores(toxicity.features([r[1] or ""]))[0] < 0.5]
+def brute(spark, rows, labels):
+    """The first three stages by plain counts, loops and sets."""
+    of = {r[0]: r[1] or "" for r in rows}
+    told = [(i, y) for i, y, _ in labels if zlib.crc32(str(i).encode()) % 5]
+    apart = {r.id: r.a for r in spark.createDataFrame([(i,) for i, _ in told], "id long").selectExpr("id", f"pmod(xxhash64('apart', id), {toxicity.CALIBRATION}) = 0 as a").collect()}
+    score = test_toxicity.plain_fit([(of[i], y, apart[i]) for i, y in told])
+    scores = [score(r[1] or "") for r in rows]
+    assert min(abs(s - 0.5) for s in scores) > 0.01
+    kept = [r for r, s in zip(rows, scores, strict=True) if s < 0.5]
     assert 0 < len(kept) < len(rows)
     lines = test_lines.brute([(r[0], r[1]) for r in kept])
     kept = [(r[0], lines[r[0]][0], *r[2:]) for r in kept]
@@ -38,21 +49,21 @@ def brute(rows, model):
 
 
 def test_against_brute_force(spark, tmp_path):
+    """The mixture by its SQL and the ids by the library: nothing here is what the pipeline calls."""
     rows, labels = made()
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     df.write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame(labels, "doc_id long, toxic int, quality int").write.parquet(f"{tmp_path}/labels.parquet")
-    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
-    model = toxicity.train(docs, spark.read.parquet(f"{tmp_path}/labels.parquet"))
-    want = brute(rows, model)
-    left = spark.createDataFrame([Row(doc_id=r[0], text=r[1], source=r[3]) for r in want], "doc_id long, text string, source string")
-    copies = {r.doc_id: r.mix_copies for r in mixing.mixture(left).collect()}
+    want = brute(spark, rows, labels)
+    documents = pd.DataFrame([(r[0], r[1], r[3]) for r in want], columns=["doc_id", "text", "source"])  # noqa: F841  the SQL reads it
+    copies = {i: n for i, n in duckdb.sql(f"SELECT doc_id, mix_copies FROM ({mixing.SQL})").fetchall()}
     with open(P.path("byte_bpe_multi_50k.tiktoken"), "rb") as f:
-        codec = bpe.Codec(bpe.load_ranks(f.read()), P.PATTERN)
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    peer = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
     out = Counter()
     for r in want:
-        ids = np.frombuffer(codec.encode([r[1] or ""])[0], "<u4")
-        out[r[0], len(ids), hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest(), hashlib.sha256((r[1] or "").encode()).hexdigest()] += copies[r[0]]
+        ids = np.array(peer.encode_ordinary(r[1] or ""), "<u4")
+        out[r[0], len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256((r[1] or "").encode()).hexdigest()] += copies[r[0]]
     got = Counter(tuple(r) for r in corpus_pipeline.run(spark, str(tmp_path)).collect())
     assert got == out
 

@@ -84,8 +84,9 @@ def grams(text):
     return {number(whole[i : i + n]) for n in X.LENGTHS for i in range(len(whole) - n + 1)}
 
 
-def plain_fit(rows):
-    """rows: (text, toxic, apart), all that is told. -> the score of a text, by counts, log-count ratios and a plain descent."""
+def plain_fit(rows, counts=None):
+    """rows: (text, toxic, apart), all that is told. -> the score of a text, by counts, log-count ratios and a plain descent. counts: clean and toxic
+    documents there are, if rows are only some of them."""
     own = [(grams(t), float(y), a) for t, y, a in rows]
     part = [(g, y) for g, y, a in own if not a]
     seen = {f for g, _ in part for f in g}
@@ -114,8 +115,12 @@ def plain_fit(rows):
     z, t = matrix([g for g, _, b in own if b]) @ w, np.array([y for _, y, b in own if b])
     centre, unit = z.mean(), z.std()
     z = (z - centre) / unit
-    share = (sum(y for _, y, _ in own) + 0.5) / (len(own) + 1)
-    error = lambda x: sigmoid(x[0] * z + x[1]) - t
+    taken = len(own) - sum(y for _, y, _ in own), sum(y for _, y, _ in own)
+    counts = counts or taken
+    share = (counts[1] + 0.5) / (sum(counts) + 1)
+    weight = np.array([counts[int(y)] / taken[int(y)] for y in t])  # a row stands for so many of its label
+    weight /= weight.mean()
+    error = lambda x: (sigmoid(x[0] * z + x[1]) - t) * weight
     slope, bias = descend(lambda x: np.array([(error(x) * z).mean() + 1e-3 * x[0], error(x).mean()]), np.array([1.0, math.log(share / (1 - share))]), 600, 0.1)
     return lambda text: float(sigmoid(slope * ((matrix([grams(text)])[0] @ w - centre) / unit) + bias))
 
@@ -161,3 +166,18 @@ def test_the_bound_holds_for_documents_and_either_label(spark):
         X.fit = fit
     told = [y for i, _, y in rows if zlib.crc32(str(i).encode()) % 5]
     assert len(held[0][0]) == 100 and held[0][2].sum() == 50 and held[0][6] == (len(told) - sum(told), sum(told))
+
+
+def test_a_bound_that_bites_against_plain_counts(spark):
+    """Of 400 documents 120 are taken, half of either label; a clean one stands for more than a toxic one."""
+    rows = made(400, 9)
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    got = {r.doc_id: r.score for r in X.score(docs, X.train(docs, labels, 120)).collect()}
+    told = [(i, t, y) for i, t, y in rows if zlib.crc32(str(i).encode()) % 5]
+    facts = {r.id: r for r in spark.createDataFrame([(i,) for i, _, _ in told], "id long").selectExpr("id", "xxhash64(id) as h", f"pmod(xxhash64('apart', id), {X.CALIBRATION}) = 0 as a").collect()}
+    counts = sum(1 - y for *_, y in told), sum(y for *_, y in told)
+    assert counts[0] > 60 < counts[1] and counts[0] != counts[1]
+    taken = [x for side in (0, 1) for x in sorted((r for r in told if r[2] == side), key=lambda r: (facts[r[0]].h, r[0]))[:60]]
+    score = plain_fit([(t, y, facts[i].a) for i, t, y in taken], counts)
+    assert all(got[i] == pytest.approx(score(t), abs=5e-4) for i, t, _ in rows[:60])
