@@ -39,7 +39,7 @@ def brute(spark, rows, labels):
     apart = {r.id: r.a for r in spark.createDataFrame([(i,) for i, _ in told], "id long").selectExpr("id", f"pmod(xxhash64('apart', id), {toxicity.CALIBRATION}) = 0 as a").collect()}
     score = test_toxicity.plain_fit([(of[i], y, apart[i]) for i, y in told])
     scores = [score(r[1] or "") for r in rows]
-    assert min(abs(s - 0.5) for s in scores) > 0.01
+    assert min(abs(s - 0.5) for s in scores) > 0.001  # beyond what the two fits differ by
     kept = [r for r, s in zip(rows, scores, strict=True) if s < 0.5]
     assert 0 < len(kept) < len(rows)
     lines = test_lines.brute([(r[0], r[1]) for r in kept])
