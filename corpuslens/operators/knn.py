@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 BROADCAST_BYTES, BLOCK_BYTES = 128 << 20, 24 << 20
 #: Distances that are held at once, and single-precision scores.
 CELLS, SCORES = 1 << 22, 1 << 20
+#: Queries that are scored together.
+ROWS = 1024
 #: Up to so many dimensions targets are dealt into cells of about so many rows, at so many cells most, cut at a sample of so many rows for each.
 LOW, CELL_ROWS, MOST_CELLS, SAMPLED = 8, 4096, 1 << 14, 16
 
@@ -64,6 +66,11 @@ class Block:
     def held(self) -> dict:
         return {}
 
+    @cached_property
+    def norms(self) -> tuple[float, float]:
+        size = np.sqrt((self.v * self.v).sum(1))
+        return float(size.min()) * (1 - 1e-12), float(size.max()) * (1 + 1e-12)
+
     @cached_property
     def sound(self) -> bool:
         return sound(self.v)
@@ -232,6 +239,49 @@ def _best(x: np.ndarray, targets: np.ndarray, at: np.ndarray, keep: int) -> tupl
     return np.take_along_axis(place, order, 1), np.take_along_axis(best, order, 1)
 
 
+def _lists(d: np.ndarray, t: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    """Of each row, the finite distances and their ids."""
+    keep = np.isfinite(d)
+    ends = pa.array(np.concatenate([[0], np.cumsum(keep.sum(1))]), pa.int32())
+    return pa.ListArray.from_arrays(ends, pa.array(d[keep])), pa.ListArray.from_arrays(ends, pa.array(t[keep]))
+
+
+def _both(k: int):
+    """The nearest other rows by distance and by cosine, from one pass of products. Those by distance are sought among the candidates by cosine; a row's are
+    taken if none of the others can be as near, whatever its norm, or else are sought by themselves."""
+    l2, cosine = _nearest(k, "l2", True), _nearest(k, "cosine", True)
+
+    def run(ids, x, block):
+        best_of = min(k, len(block.ids))
+        keep = min(len(block.ids), best_of + spare(x.shape[1]))
+        d, t = np.full((2, len(x), best_of), np.inf), np.zeros((2, len(x), best_of), np.int64)
+        unsafe = np.ones((2, len(x)), bool)
+        if block.sound and sound(x):
+            scored, slack = _scored("cosine", x, block)
+            at, size = l2.places(ids, block), np.sqrt((x * x).sum(1))
+            for i in range(0, len(x), ROWS):
+                rows = slice(i, i + ROWS)
+                part, score = _best(scored[rows], block.scored("cosine"), at[rows], keep)
+                for j, metric in enumerate(("l2", "cosine")):
+                    d[j, rows], t[j, rows] = l2.exact(x[rows], block, part, np.isinf(score), best_of, metric)
+                # What is left out has at most this cosine, and with that, at least this distance.
+                most = np.minimum(score[:, -1].astype(float) + slack[rows], 1)
+                norm = np.clip(size[rows] * most, *block.norms)
+                least = np.maximum(size[rows] ** 2 + norm**2 - 2 * size[rows] * norm * most, 0) - 1e-9 * (size[rows] ** 2 + norm**2)
+                left = keep < len(block.ids)
+                unsafe[0, rows] = left & ~(d[0, rows, -1] ** 2 < least)
+                unsafe[1, rows] = left & ~(score[:, -1] < score[:, best_of - 1] - 2 * slack[rows])
+        for j, search in enumerate((l2, cosine)):
+            again = np.flatnonzero(unsafe[j])
+            step = max(1, CELLS // len(block.ids))
+            for i in range(0, len(again), step):
+                rows = again[i : i + step]
+                d[j, rows], t[j, rows] = search.found(ids[rows], x[rows], block)
+        return ids, *_lists(d[0], t[0]), *_lists(d[1], t[1])
+
+    return run
+
+
 def _nearest(k: int, metric: str, own: bool, packed: bool = False):
     def ranked(x, block, candidates):
         """Exact distances of one query to candidates, of which equal ones are computed once, a bounded number at a time."""
@@ -239,7 +289,7 @@ def _nearest(k: int, metric: str, own: bool, packed: bool = False):
         step = max(1, CELLS // max(1, block.v.shape[1]))
         return np.concatenate([_exact(metric, x[None], block.v[first[i : i + step]][None])[0] for i in range(0, len(first), step)])[back]
 
-    def exact(x, block, part, hit, best_of):
+    def exact(x, block, part, hit, best_of, metric=metric):
         """Distances and ids of the best of the candidates at part; hit: candidates that don't count."""
         d = np.empty(part.shape)
         step = max(1, min(64, CELLS // max(1, part.shape[1] * x.shape[1])))
@@ -290,8 +340,8 @@ def _nearest(k: int, metric: str, own: bool, packed: bool = False):
         at = places(ids, block)
         d, t = np.empty((len(x), best_of)), np.empty((len(x), best_of), np.int64)
         unsafe = np.zeros(len(x), bool)
-        for i in range(0, len(x), 256):
-            rows = slice(i, i + 256)
+        for i in range(0, len(x), ROWS):
+            rows = slice(i, i + ROWS)
             part, score = _best(scored[rows], block.scored(metric), at[rows], keep)
             d[rows], t[rows] = exact(x[rows], block, part, np.isinf(score), best_of)
             unsafe[rows] = (keep < len(block.ids)) & ~(score[:, -1] < score[:, best_of - 1] - 2 * slack[rows])
@@ -305,11 +355,11 @@ def _nearest(k: int, metric: str, own: bool, packed: bool = False):
         d, t = found(ids, x, block)
         keep = np.isfinite(d)
         if packed:
-            ends = pa.array(np.concatenate([[0], np.cumsum(keep.sum(1))]), pa.int32())
-            return ids, pa.ListArray.from_arrays(ends, pa.array(d[keep])), pa.ListArray.from_arrays(ends, pa.array(t[keep]))
+            return ids, *_lists(d, t)
         rank = np.broadcast_to(np.arange(1, d.shape[1] + 1), d.shape)
         return np.repeat(ids, keep.sum(1)), rank[keep].astype(np.int64), t[keep], d[keep]
 
+    run.found, run.exact, run.places = found, exact, places
     return run
 
 
@@ -317,11 +367,31 @@ KNN = "q long, rk long, t long, d double"
 PACKED = "q long, ds array<double>, ts array<long>"
 
 
+def _least(k: int, ds: str, ts: str):
+    return F.slice(F.array_sort(F.flatten(F.collect_list(F.arrays_zip(F.col(ds).alias("d"), F.col(ts).alias("t"))))), 1, k)
+
+
+def rows_of(found: DataFrame, name: str) -> DataFrame:
+    """q, rk, t, d of a column of neighbours in order."""
+    return found.select("q", F.posexplode(name).alias("rk", "x")).select("q", (F.col("rk") + 1).cast("long").alias("rk"), "x.t", "x.d")
+
+
 def merged(found: DataFrame, k: int) -> DataFrame:
     """q, rk, t, d: the k nearest of what found(q, ds, ts) has for a query from several blocks."""
-    best = F.slice(F.array_sort(F.flatten(F.collect_list(F.arrays_zip("ds", "ts")))), 1, k)
-    own = found.groupBy("q").agg(best.alias("best")).select("q", F.posexplode("best").alias("rk", "x"))
-    return own.select("q", (F.col("rk") + 1).cast("long").alias("rk"), F.col("x.ts").alias("t"), F.col("x.ds").alias("d"))
+    return rows_of(found.groupBy("q").agg(_least(k, "ds", "ts").alias("best")), "best")
+
+
+def both(points: DataFrame, k: int, most: int | None = None) -> DataFrame:
+    """q, l2, cosine: arrays of (d, t), what knn() has by either metric, from one pass over all pairs."""
+    held = Targets(points, most=most)
+    if len(held) < 2:
+        raise ValueError("neighbours need two points at least")
+    k = min(k, len(held) - 1)
+    found = blocks(points, held, _both(k), f"{PACKED}, cds array<double>, cts array<long>")
+    if held.small:
+        zipped = lambda ds, ts: F.arrays_zip(F.col(ds).alias("d"), F.col(ts).alias("t"))
+        return found.select("q", zipped("ds", "ts").alias("l2"), zipped("cds", "cts").alias("cosine"))
+    return found.groupBy("q").agg(_least(k, "ds", "ts").alias("l2"), _least(k, "cds", "cts").alias("cosine"))
 
 
 def knn(points: DataFrame, k: int, metric: str = "l2", targets: DataFrame | None = None, most: int | None = None) -> DataFrame:

@@ -189,16 +189,20 @@ def agreement(a: DataFrame, b: DataFrame, k: int) -> DataFrame:
     return both.groupBy("q").agg((F.sum(F.coalesce("hit", F.lit(0))) / k).alias("overlap"))
 
 
+def overlap(found: DataFrame, k: int) -> DataFrame:
+    """agreement() of the two searches of K.both()."""
+    return found.where(F.size("l2") > 0).select("q", (F.size(F.array_intersect("l2.t", "cosine.t")) / k).alias("overlap"))
+
+
 def angular_vs_l2(points: DataFrame, k: int) -> DataFrame:
-    l2, cos = K.knn(points, k).persist(), K.knn(points, k, "cosine").persist()
-    parts = agreement(l2, cos, k).agg(F.avg("overlap").alias("agreement"))
-    for name, near in (("l2", l2), ("cosine", cos)):
+    found = K.both(points, k).persist()
+    parts = overlap(found, k).agg(F.avg("overlap").alias("agreement"))
+    for name, near in (("l2", K.rows_of(found, "l2")), ("cosine", K.rows_of(found, "cosine"))):
         lid = difficulty.lid(near).agg(F.percentile("lid", F.lit(0.5)).alias(f"lid_{name}"))
         hub = difficulty.k_occurrence(points, near, k).agg(difficulty.skew("n").alias(f"hubness_{name}"))
         parts = parts.join(lid).join(hub)  # single rows
     row = parts.collect()
-    l2.unpersist()
-    cos.unpersist()
+    found.unpersist()
     return points.sparkSession.createDataFrame(row, parts.schema)
 
 

@@ -142,8 +142,7 @@ def _(spark, sf):
 
 @query("knn_agreement", f"WITH {E}, {near(10, name='a')}, {near(10, name='b', d=COSINE)} SELECT a.q, round(count(b.t) / 10, 6) AS overlap FROM a LEFT JOIN b ON a.q = b.q AND a.t = b.t GROUP BY a.q")
 def _(spark, sf):
-    e = corpus(spark, sf)
-    return rounded(structure.agreement(K.knn(e, 10), K.knn(e, 10, "cosine"), 10), "overlap")
+    return rounded(structure.overlap(K.both(corpus(spark, sf), 10), 10), "overlap")
 
 
 @query("kth_nn", f"WITH {E}, {near(5)} SELECT q, round(max(d), 6) AS d FROM knn GROUP BY q")
