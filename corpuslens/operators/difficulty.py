@@ -148,6 +148,7 @@ def summary(points: DataFrame, k: int = 100, k_hub: int = 10, nlist: int = 256,
     points = sampling.sample(points, max_rows, seed).persist()
     n = points.count()
     near = K.knn(points, k).persist()
+    near.count()  # once: the parts below run side by side, and each would search
     k_eff = min(k, n - 1)
     lids = lid(near).agg(F.percentile("lid", F.lit(0.5)).alias("lid_median"), F.count(F.lit(1)).alias("kept"))
     contrast = relative_contrast(points, near, seed).agg(F.percentile("contrast", F.lit(0.5)).alias("relative_contrast_median"))

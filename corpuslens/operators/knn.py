@@ -111,7 +111,7 @@ def blocks(queries: DataFrame, targets: Targets, run: Callable, schema: str, key
 
     def met(ids: pa.Array, v: pa.Array, block: Block) -> Iterator[pa.RecordBatch]:
         own, x = np.asarray(ids, np.int64), matrix(v)
-        step = max(1, CELLS // max(1, len(block.ids)))
+        step = getattr(run, "rows", None) or max(1, CELLS // max(1, len(block.ids)))  # searches hold few distances a query
         for k in range(0, len(own) if len(block.ids) else 0, step):
             yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in run(own[k : k + step], x[k : k + step], block)], names)
 
@@ -279,6 +279,7 @@ def _both(k: int):
                 d[j, rows], t[j, rows] = search.found(ids[rows], x[rows], block)
         return ids, *_lists(d[0], t[0]), *_lists(d[1], t[1])
 
+    run.rows = ROWS
     return run
 
 
@@ -334,17 +335,16 @@ def _nearest(k: int, metric: str, own: bool, packed: bool = False):
         and where rounding may have kept out one of the nearest, from double precision."""
         best_of = min(k, len(block.ids))
         keep = min(len(block.ids), best_of + spare(x.shape[1]))
-        if not (block.sound and sound(x) and (metric == "cosine" or np.abs(x - block.centre).max(initial=0) < 1e15 * (block.far or 1.0))):
-            return doubles(ids, x, block, best_of)
-        scored, slack = _scored(metric, x, block)
-        at = places(ids, block)
         d, t = np.empty((len(x), best_of)), np.empty((len(x), best_of), np.int64)
-        unsafe = np.zeros(len(x), bool)
-        for i in range(0, len(x), ROWS):
-            rows = slice(i, i + ROWS)
-            part, score = _best(scored[rows], block.scored(metric), at[rows], keep)
-            d[rows], t[rows] = exact(x[rows], block, part, np.isinf(score), best_of)
-            unsafe[rows] = (keep < len(block.ids)) & ~(score[:, -1] < score[:, best_of - 1] - 2 * slack[rows])
+        unsafe = np.ones(len(x), bool)
+        if block.sound and sound(x) and (metric == "cosine" or np.abs(x - block.centre).max(initial=0) < 1e15 * (block.far or 1.0)):
+            scored, slack = _scored(metric, x, block)
+            at = places(ids, block)
+            for i in range(0, len(x), ROWS):
+                rows = slice(i, i + ROWS)
+                part, score = _best(scored[rows], block.scored(metric), at[rows], keep)
+                d[rows], t[rows] = exact(x[rows], block, part, np.isinf(score), best_of)
+                unsafe[rows] = (keep < len(block.ids)) & ~(score[:, -1] < score[:, best_of - 1] - 2 * slack[rows])
         again, step = np.flatnonzero(unsafe), max(1, CELLS // len(block.ids))
         for i in range(0, len(again), step):
             rows = again[i : i + step]
@@ -359,7 +359,7 @@ def _nearest(k: int, metric: str, own: bool, packed: bool = False):
         rank = np.broadcast_to(np.arange(1, d.shape[1] + 1), d.shape)
         return np.repeat(ids, keep.sum(1)), rank[keep].astype(np.int64), t[keep], d[keep]
 
-    run.found, run.exact, run.places = found, exact, places
+    run.found, run.exact, run.places, run.rows = found, exact, places, ROWS
     return run
 
 

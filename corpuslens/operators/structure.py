@@ -196,6 +196,7 @@ def overlap(found: DataFrame, k: int) -> DataFrame:
 
 def angular_vs_l2(points: DataFrame, k: int) -> DataFrame:
     found = K.both(points, k).persist()
+    found.count()  # once: the parts below run side by side, and each would search
     parts = overlap(found, k).agg(F.avg("overlap").alias("agreement"))
     for name, near in (("l2", K.rows_of(found, "l2")), ("cosine", K.rows_of(found, "cosine"))):
         lid = difficulty.lid(near).agg(F.percentile("lid", F.lit(0.5)).alias(f"lid_{name}"))
