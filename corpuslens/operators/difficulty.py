@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 from corpuslens.operators import knn as K
 from corpuslens.operators import sampling
 
-#: The targets of relative contrast are a sample of so many rows.
+#: Queries and targets whose distances are held at once to be added up.
+SUM_ROWS, SUM_TARGETS = 1024, 256
+#: The targets of relative contrast where it is asked for on a sample, as the original tool does.
 CONTRAST_TARGETS = 2000
 #: The k-means cells: starts, rows of a batch, passes over the sample that they are fitted to, and its rows at most.
 STARTS, BATCH, PASSES, FIT_ROWS = 3, 1024, 10, 20_000
@@ -24,31 +26,72 @@ def survivors(knn: DataFrame) -> DataFrame:
     return knn.withColumn("r1", F.min("d").over(own)).withColumn("rmax", F.max("d").over(own)).where("r1 > 0 and r1 < rmax")
 
 
+def ratio(d, rmax):
+    return F.greatest(F.least(d / rmax, F.lit(1.0)), F.lit(1e-12))
+
+
 def lid(knn: DataFrame) -> DataFrame:
     """q, lid: the maximum-likelihood local intrinsic dimension of each surviving query."""
-    ratio = F.greatest(F.least(F.col("d") / F.col("rmax"), F.lit(1.0)), F.lit(1e-12))
-    return survivors(knn).groupBy("q").agg((F.lit(-1.0) / F.avg(F.ln(ratio))).alias("lid"))
+    return survivors(knn).groupBy("q").agg((F.lit(-1.0) / F.avg(F.ln(ratio(F.col("d"), F.col("rmax"))))).alias("lid"))
+
+
+def lid_of_lists(near: DataFrame, k_hub: int) -> DataFrame:
+    """q, best, r1, lid of near(q, best), which has arrays of (d, t) in order: the first k_hub neighbours, and of surviving queries the first distance and
+    lid(); null of others."""
+    d = F.col("best.d")
+    own = near.select("q", F.slice("best", 1, k_hub).alias("best"), d.alias("d"), F.array_min(d).alias("r1"), F.array_max(d).alias("rmax"))
+    logs = F.aggregate("d", F.lit(0.0), lambda s, x: s + F.ln(ratio(x, F.col("rmax"))))
+    kept = lambda x: F.when((F.col("r1") > 0) & (F.col("r1") < F.col("rmax")), x)
+    return own.select("q", "best", kept(F.col("r1")).alias("r1"), kept(-F.size("d") / logs).alias("lid"))
+
+
+def distance_sums(x: np.ndarray, block: K.Block, at: np.ndarray) -> np.ndarray:
+    """Of each row's distances to all targets: by one product that expands squares around the targets' centre, and where rounding would show, anew from
+    the differences. at: where a row is among the targets, which counts 0, or -1."""
+    total, whole = np.zeros(len(x)), block.sound and K.sound(x)
+    if whole:
+        own = x - block.centre
+        a = (own * own).sum(1)
+        left = np.column_stack([-2 * own, a, np.ones(len(x))])
+    for i in range(0, len(block.ids), SUM_TARGETS):
+        y = block.v[i : i + SUM_TARGETS]
+        same = np.flatnonzero((at >= i) & (at < i + len(y)))
+        if whole:
+            near = y - block.centre
+            b = (near * near).sum(1)
+            d = left @ np.column_stack([near, np.ones(len(y)), b]).T
+            rough = 4e6 * np.finfo(float).eps * (x.shape[1] + 8) * (a + b.max())
+            for r in np.flatnonzero(d.min(1) <= rough):
+                few = np.flatnonzero(d[r] <= rough[r])
+                d[r, few] = ((x[r] - y[few]) ** 2).sum(1)
+            np.sqrt(d, out=d)
+        else:
+            d = K.distances(x, y)
+        d[same, at[same] - i] = 0
+        total += d.sum(1)
+    return total
 
 
 def mean_distances(points: DataFrame, targets: DataFrame, most: int | None = None) -> DataFrame:
     """q, mean: of the distances to all targets; a query that is a target counts itself with 0."""
 
     def run(ids, x, block):
-        d = K.distances(x, block.v)
         at = np.minimum(np.searchsorted(block.ids, ids), len(block.ids) - 1)
-        same = np.flatnonzero(block.ids[at] == ids)
-        d[same, at[same]] = 0
-        return ids, d.sum(1), np.full(len(ids), len(block.ids))
+        return ids, distance_sums(x, block, np.where(block.ids[at] == ids, at, -1)), np.full(len(ids), len(block.ids))
 
+    run.rows = SUM_ROWS
     sums = K.blocks(points, K.Targets(targets, most=most), run, "q long, s double, n long")
     return sums.groupBy("q").agg((F.sum("s") / F.sum("n")).alias("mean"))
 
 
-def relative_contrast(points: DataFrame, knn: DataFrame, seed=42) -> DataFrame:
-    """q, contrast: mean distance to a sample of targets over the first distance, of surviving queries."""
-    means = mean_distances(points, sampling.sample(points, CONTRAST_TARGETS, seed))
-    first = survivors(knn).where("rk = 1").select("q", "r1")
-    return means.join(first, "q").select("q", (F.col("mean") / F.col("r1")).alias("contrast"))
+def relative_contrast(points: DataFrame, knn: DataFrame, seed=42, targets: int = 0) -> DataFrame:
+    """q, contrast: mean distance to all points (or to a sample of `targets` of them) over the first distance, of surviving queries."""
+    return contrasts(points, survivors(knn).where("rk = 1").select("q", "r1"), seed, targets).select("q", "contrast")
+
+
+def contrasts(points: DataFrame, first: DataFrame, seed=42, targets: int = 0) -> DataFrame:
+    """first(q, r1, ...) with contrast: mean distance to all points (or to a sample of `targets` of them) over r1."""
+    return first.join(mean_distances(points, sampling.sample(points, targets, seed)), "q").withColumn("contrast", F.col("mean") / F.col("r1")).drop("mean")
 
 
 def k_occurrence(points: DataFrame, knn: DataFrame, k_hub: int) -> DataFrame:
@@ -141,18 +184,20 @@ def lorenz(cells: DataFrame) -> DataFrame:
     return own.select(F.col("i").cast("long").alias("i"), (F.col("i") / F.count(F.lit(1)).over(whole)).alias("share_cells"), F.when(total > 0, F.col("c") / total).otherwise(0.0).alias("share_points"))
 
 
-def summary(points: DataFrame, k: int = 100, k_hub: int = 10, nlist: int = 256, max_rows: int = 20_000, seed=42) -> DataFrame:
-    """One row: the four gate statistics (null where they can't be measured), the discarded queries and the conditions after clamping.
-    One pass of neighbours serves all; it's held while the row is computed, here, and released then."""
+def summary(points: DataFrame, k: int = 100, k_hub: int = 10, nlist: int = 256, max_rows: int = 0, seed=42, targets: int = 0) -> DataFrame:
+    """One row: the four gate statistics (null where they can't be measured), the discarded queries and the conditions after clamping. All points are
+    measured against all; with max_rows a sample of so many, with `targets` their contrast against a sample of so many.
+    One pass of neighbours serves all; what is needed of it is held while the row is computed, here, and released then."""
     spark = points.sparkSession
     points = sampling.sample(points, max_rows, seed).persist()
     n = points.count()
-    near = K.knn(points, k).persist()
-    near.count()  # once: the parts below run side by side, and each would search
     k_eff = min(k, n - 1)
-    lids = lid(near).agg(F.percentile("lid", F.lit(0.5)).alias("lid_median"), F.count(F.lit(1)).alias("kept"))
-    contrast = relative_contrast(points, near, seed).agg(F.percentile("contrast", F.lit(0.5)).alias("relative_contrast_median"))
-    hubs = k_occurrence(points, near, min(k_hub, k_eff)).agg(skew("n").alias("hubness_skew"))
+    near = lid_of_lists(K.knn_lists(points, k), min(k_hub, k_eff)).persist()
+    near.count()  # once: the parts below run side by side, and each would search
+    half = lambda name: F.percentile(name, F.lit(0.5))
+    lids = near.agg(half("lid").alias("lid_median"), F.count("lid").alias("kept"))
+    contrast = contrasts(points, near.select("q", "r1"), seed, targets).agg(half("contrast").alias("relative_contrast_median"))
+    hubs = k_occurrence(points, K.rows_of(near, "best"), k_hub).agg(skew("n").alias("hubness_skew"))
     balance = gini(ivf_occupancy(points, nlist, seed)).withColumnRenamed("gini", "ivf_gini")
     out = lids.join(contrast).join(hubs).join(balance)  # single rows
     out = out.select("lid_median", "relative_contrast_median", "hubness_skew", "ivf_gini", (F.lit(n) - F.col("kept")).cast("long").alias("lid_discarded_queries"), F.lit(n).cast("long").alias("ann_measured_rows"), F.lit(k_eff).cast("long").alias("ann_k"), F.lit(lists_of(n, nlist)).cast("long").alias("ann_nlist"))

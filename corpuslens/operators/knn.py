@@ -377,8 +377,8 @@ def rows_of(found: DataFrame, name: str) -> DataFrame:
 
 
 def merged(found: DataFrame, k: int) -> DataFrame:
-    """q, rk, t, d: the k nearest of what found(q, ds, ts) has for a query from several blocks."""
-    return rows_of(found.groupBy("q").agg(_least(k, "ds", "ts").alias("best")), "best")
+    """q, best: arrays of (d, t), the k nearest of what found(q, ds, ts) has for a query from several blocks."""
+    return found.groupBy("q").agg(_least(k, "ds", "ts").alias("best"))
 
 
 def both(points: DataFrame, k: int, most: int | None = None) -> DataFrame:
@@ -398,17 +398,37 @@ def knn(points: DataFrame, k: int, metric: str = "l2", targets: DataFrame | None
     """q, rk (from 1), t, d: the k nearest of targets (or of the other points), ties by id. k is cut to what there is; fewer than two points are an
     error. More than `most` bytes of targets (BROADCAST_BYTES) aren't broadcast: each block of them gives its k nearest, and these are merged. Many
     targets of few dimensions (LOW, Euclidean) meet the queries in cells of space."""
+    held, k = _sought(points, k, targets, most)
+    if (held.small or not len(held)) and not _in_space(held, k, metric):
+        return blocks(points, held, _nearest(k, metric, targets is None), KNN)
+    return rows_of(_lists_of(points, held, k, metric, targets is None), "best")
+
+
+def knn_lists(points: DataFrame, k: int) -> DataFrame:
+    """q, best: arrays of (d, t) in order, what knn() has of the other points as a row for each query."""
+    held, k = _sought(points, k, None, None)
+    return _lists_of(points, held, k, "l2", True)
+
+
+def _sought(points: DataFrame, k: int, targets: DataFrame | None, most: int | None) -> tuple[Targets, int]:
+    """The targets, and k cut to what there is."""
     held = Targets(points if targets is None else targets, most=most)
     if targets is None and len(held) < 2:
         raise ValueError("neighbours need two points at least")
     if k < 1:
         raise ValueError("k must be 1 at least")
-    k = min(k, len(held) - (targets is None))
-    if metric == "l2" and len(held) > 8 * max(CELL_ROWS, 8 * k) and held.size <= 8 * LOW * len(held):
-        return in_cells(points, held, k, targets is None)
-    if held.small or not len(held):
-        return blocks(points, held, _nearest(k, metric, targets is None), KNN)
-    return merged(blocks(points, held, _nearest(k, metric, targets is None, packed=True), PACKED), k)
+    return held, min(k, len(held) - (targets is None))
+
+
+def _in_space(held: Targets, k: int, metric: str) -> bool:
+    return metric == "l2" and len(held) > 8 * max(CELL_ROWS, 8 * k) and held.size <= 8 * LOW * len(held)
+
+
+def _lists_of(points: DataFrame, held: Targets, k: int, metric: str, own: bool) -> DataFrame:
+    if _in_space(held, k, metric):
+        return in_cells(points, held, k, own)
+    found = blocks(points, held, _nearest(k, metric, own, packed=True), PACKED)
+    return found.select("q", F.arrays_zip(F.col("ds").alias("d"), F.col("ts").alias("t")).alias("best")) if held.small else merged(found, k)
 
 
 class Cells:
@@ -474,7 +494,7 @@ VISIT = "cell long, kind int, id long, v array<double>, reach double, ds array<d
 
 
 def in_cells(points: DataFrame, held: Targets, k: int, own: bool) -> DataFrame:
-    """knn() of few dimensions. Each query finds the k nearest of its own cell, then visits the cells that are not farther than the last of these. Of equal
+    """q, best: knn_lists() of few dimensions. Each query finds the k nearest of its own cell, then visits the cells that are not farther than the last of these. Of equal
     targets only the k + 1 smallest ids can be among the nearest. Rows come sorted by cells, targets first, so that a task holds one cell and a batch of
     queries; cells with many queries are dealt out to several tasks, with the cell's targets."""
     spark, width, targets = points.sparkSession, held.size // (8 * len(held)), held.df.toDF("id", "v")

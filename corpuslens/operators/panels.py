@@ -67,7 +67,7 @@ def lids(df: DataFrame, k: int) -> DataFrame:
 
 
 def contrasts(df: DataFrame, k: int, seed) -> DataFrame:
-    return by_series(df, lambda s: difficulty.relative_contrast(s, K.knn(s, k), seed), "contrast")
+    return by_series(df, lambda s: difficulty.relative_contrast(s, K.knn(s, k), seed, difficulty.CONTRAST_TARGETS), "contrast")
 
 
 def hubness(df: DataFrame, k_hub: int) -> DataFrame:

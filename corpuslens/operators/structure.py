@@ -148,7 +148,7 @@ def draw_statistics(points: DataFrame, draws: int, rows: int, k: int, k_hub: int
     drawn = sampling.disjoint_draws(points, draws, rows, seed).persist()
     out = None
     for d in range(draws):
-        own = difficulty.summary(drawn.where(F.col("draw") == d), k, k_hub, nlist, rows, seed).withColumn("draw", F.lit(d))
+        own = difficulty.summary(drawn.where(F.col("draw") == d), k, k_hub, nlist, rows, seed, difficulty.CONTRAST_TARGETS).withColumn("draw", F.lit(d))
         out = own if out is None else out.unionByName(own)
     drawn.unpersist()
     return out

@@ -87,8 +87,8 @@ def lids(knn: str = "knn", name: str = "lids") -> str:
     return f"{name}_s AS (SELECT *, min(d) OVER (PARTITION BY q) AS r1, max(d) OVER (PARTITION BY q) AS rmax FROM {knn}), {name} AS (SELECT q, -1 / avg(ln(greatest(least(d / rmax, 1.0), 1e-12))) AS lid FROM {name}_s WHERE r1 > 0 AND r1 < rmax GROUP BY q)"
 
 
-def contrast(src: str = "e", knn: str = "knn", name: str = "contrasts") -> str:
-    return f"{name}_m AS (SELECT a.vec_id AS q, avg(list_distance(a.v, b.v)) AS mean FROM {src} a, {drawn(src, 2000)} b GROUP BY 1), {name} AS (SELECT q, mean / r1 AS contrast FROM {name}_m JOIN (SELECT q, min(d) AS r1, max(d) AS rmax FROM {knn} GROUP BY q) USING (q) WHERE r1 > 0 AND r1 < rmax)"
+def contrast(src: str = "e", knn: str = "knn", name: str = "contrasts", targets: int = 2000) -> str:
+    return f"{name}_m AS (SELECT a.vec_id AS q, avg(list_distance(a.v, b.v)) AS mean FROM {src} a, {drawn(src, targets) if targets else src} b GROUP BY 1), {name} AS (SELECT q, mean / r1 AS contrast FROM {name}_m JOIN (SELECT q, min(d) AS r1, max(d) AS rmax FROM {knn} GROUP BY q) USING (q) WHERE r1 > 0 AND r1 < rmax)"
 
 
 def occurrence(k_hub: str, src: str = "e", knn: str = "knn", name: str = "occ") -> str:
@@ -161,7 +161,7 @@ def _(spark, sf):
 @query("relative_contrast", f"WITH {E}, {near(10)}, {contrast()} SELECT q, round(contrast, 6) AS contrast FROM contrasts")
 def _(spark, sf):
     e = corpus(spark, sf)
-    return rounded(difficulty.relative_contrast(e, K.knn(e, 10)), "contrast")
+    return rounded(difficulty.relative_contrast(e, K.knn(e, 10), targets=difficulty.CONTRAST_TARGETS), "contrast")
 
 
 @query("k_occurrence", f"WITH {E}, {near(10)}, {occurrence('10')} SELECT vec_id, n FROM occ")
@@ -191,10 +191,10 @@ def _(spark, sf):
     return rounded(difficulty.lorenz(difficulty.ivf_occupancy(corpus(spark, sf), 16)), "share_cells", "share_points")
 
 
-def summary_sql(src: str, k: int, k_hub: int, nlist: int, p: str) -> tuple[str, str]:
-    """CTEs and the row of one corpus."""
+def summary_sql(src: str, k: int, k_hub: int, nlist: int, p: str, targets: int = 2000) -> tuple[str, str]:
+    """CTEs and the row of one corpus; its contrast is against a sample of `targets`, or all if 0."""
     lists = f"(SELECT greatest(2, least({nlist}, count(*) // 2)) FROM {src})"
-    ctes = f"{near(k, src, src, f'{p}k')}, {lids(f'{p}k', f'{p}l')}, {contrast(src, f'{p}k', f'{p}c')}, {occurrence(str(k_hub), src, f'{p}k', f'{p}o')}, {cells(lists, src, f'{p}i')}"
+    ctes = f"{near(k, src, src, f'{p}k')}, {lids(f'{p}k', f'{p}l')}, {contrast(src, f'{p}k', f'{p}c', targets)}, {occurrence(str(k_hub), src, f'{p}k', f'{p}o')}, {cells(lists, src, f'{p}i')}"
     row = f"""(SELECT round(quantile_cont(lid, 0.5), 6) FROM {p}l) AS lid_median, (SELECT round(quantile_cont(contrast, 0.5), 6) FROM {p}c) AS relative_contrast_median,
       (SELECT round({SKEW}, 6) FROM {p}o) AS hubness_skew, (SELECT round({GINI}, 6) FROM (SELECT n, row_number() OVER (ORDER BY n) AS i FROM {p}i)) AS ivf_gini,
       (SELECT count(*) FROM {src}) - (SELECT count(*) FROM {p}l) AS lid_discarded_queries, (SELECT count(*) FROM {src}) AS ann_measured_rows,
@@ -204,9 +204,10 @@ def summary_sql(src: str, k: int, k_hub: int, nlist: int, p: str) -> tuple[str,
 
 FOUR = ("lid_median", "relative_contrast_median", "hubness_skew", "ivf_gini")
 _all = summary_sql("e", 100, 10, 256, "z")
+_whole = summary_sql("e", 100, 10, 256, "z", 0)
 
 
-@query("ann_summary", f"WITH {E}, {_all[0]} SELECT {_all[1]}")
+@query("ann_summary", f"WITH {E}, {_whole[0]} SELECT {_whole[1]}")
 def ann_summary(spark, sf):
     return rounded(difficulty.summary(corpus(spark, sf)), *FOUR)
 
@@ -216,7 +217,7 @@ def _(spark, sf):
     """The canonical conditions, which the vectors' table is too small for: 20,000 orders, 100 neighbours, 256 cells."""
     v = F.array(F.col("o_totalprice") / 1000, (F.col("o_custkey") % 1000).cast("double"), F.dayofyear("o_orderdate").cast("double"), F.year("o_orderdate") * 10.0)
     orders = spark.read.parquet(f"{sf}/orders.parquet").select(F.col("o_orderkey").alias("vec_id"), v.alias("v"))
-    return rounded(difficulty.summary(orders), *FOUR)
+    return rounded(difficulty.summary(orders, max_rows=20_000, targets=difficulty.CONTRAST_TARGETS), *FOUR)
 
 
 _re, _sy = summary_sql("re", 50, 10, 64, "r"), summary_sql("sy", 50, 10, 64, "s")
@@ -224,7 +225,7 @@ _re, _sy = summary_sql("re", 50, 10, 64, "r"), summary_sql("sy", 50, 10, 64, "s"
 
 @query("ann_summary_by_series", f"WITH {SIDES}, {_re[0]}, {_sy[0]} SELECT 'real' AS series, {_re[1]} UNION ALL SELECT 'synth', {_sy[1]}")
 def _(spark, sf):
-    a, b = (difficulty.summary(s(spark, sf), 50, 10, 64).withColumn("series", F.lit(n)) for n, s in (("real", real), ("synth", synth)))
+    a, b = (difficulty.summary(s(spark, sf), 50, 10, 64, targets=difficulty.CONTRAST_TARGETS).withColumn("series", F.lit(n)) for n, s in (("real", real), ("synth", synth)))
     return rounded(a.unionByName(b), *FOUR)
 
 
@@ -617,7 +618,7 @@ def _(spark, sf):
 @query("noise_floor", f"{DRAWS}, {_all[0]}, al AS (SELECT {unrounded(_all[1])}), r AS (UNPIVOT (SELECT lid_median, relative_contrast_median, hubness_skew, ivf_gini FROM al) ON COLUMNS(*) INTO NAME statistic VALUE real) SELECT statistic, round(mean - real, 5) + 0.0 AS gap, round(abs(mean - real) / nullif(high - low, 0), 4) AS distance_in_spreads FROM sp JOIN r USING (statistic)")
 def _(spark, sf):
     """How far the draws' means lie from the whole corpus, in spreads of the draws."""
-    whole = structure.long_statistics(difficulty.summary(corpus(spark, sf))).withColumnRenamed("value", "real")
+    whole = structure.long_statistics(difficulty.summary(corpus(spark, sf), targets=difficulty.CONTRAST_TARGETS)).withColumnRenamed("value", "real")
     out = structure.floor(drawn_statistics(spark, sf), whole)
     return out.select("statistic", (F.round("gap", 5) + F.lit(0.0)).alias("gap"), F.round("distance_in_spreads", 4).alias("distance_in_spreads"))
 
@@ -679,7 +680,7 @@ CONDITIONS = "cn AS (SELECT condition, expected, actual, coalesce(expected = act
 def gate_parts(spark, sf):
     """A gate on the synthetic series, as it is measured here."""
     gate = gates.load_gate(GATE)
-    stats = rounded(difficulty.summary(synth(spark, sf)), *FOUR)
+    stats = rounded(difficulty.summary(synth(spark, sf), targets=difficulty.CONTRAST_TARGETS), *FOUR)
     checked = gates.check_statistics(structure.long_statistics(stats), gates.bands(spark, gate))
     canonical = spark.createDataFrame(list(gate["canonical"].items()), "condition string, expected long")
     actual = stats.select(F.inline(F.array(*[F.struct(F.lit(n).alias("condition"), F.col(c).alias("actual")) for n, c in (("n", "ann_measured_rows"), ("k", "ann_k"), ("nlist", "ann_nlist"))])))
@@ -775,7 +776,7 @@ def _(spark, sf):
 @query("gate_on_corpus", f"WITH {E}, {_all[0]}, st AS (SELECT {_all[1]}), {_bands.replace("b(", "bd(", 1)}, lg(statistic, value) AS ({' UNION ALL '.join(f"SELECT '{s}', {s}::DOUBLE FROM st" for s in FOUR)}) SELECT statistic, value, min, max, CASE WHEN value IS NULL OR isnan(value) THEN 'fail' WHEN min IS NULL AND max IS NULL THEN 'unset' WHEN value < min OR value > max THEN 'fail' ELSE 'pass' END AS outcome FROM bd LEFT JOIN lg USING (statistic)")
 def _(spark, sf):
     """The bands of a gate on statistics that are measured here."""
-    values = structure.long_statistics(rounded(difficulty.summary(corpus(spark, sf)), *FOUR))
+    values = structure.long_statistics(rounded(difficulty.summary(corpus(spark, sf), targets=difficulty.CONTRAST_TARGETS), *FOUR))
     return gates.check_statistics(values, gates.bands(spark, gates.load_gate(GATE)))
 
 

@@ -97,7 +97,7 @@ def series_stats(df: DataFrame, config: panels.Config) -> dict:
     pairs = structure.pair_values(df, config.pairs, config.seed, structure.distance).agg(F.percentile("x", F.lit(0.5))).first()[0]
     kth = panels.kth_distance(sampling.sample(df, config.knn_rows, config.seed), config.knn).agg(F.percentile("x", F.lit(0.5))).first()[0]
     rank = structure.effective_rank(next(iter(structure.eigenvalues(df, True, 1).values())), a["rows"])
-    ann = difficulty.summary(df, config.k, config.k_hub, config.nlist, config.rows, config.seed).first().asDict()
+    ann = difficulty.summary(df, config.k, config.k_hub, config.nlist, config.rows, config.seed, difficulty.CONTRAST_TARGETS).first().asDict()
     return a | {"median_pairwise_distance": pairs, f"median_{config.knn}nn_distance": kth, "effective_rank": rank} | ann
 
 
