@@ -773,10 +773,10 @@ def _(spark, sf):
     return gates.resolve_variants(runs, spark.sql(braces.replace("FROM supplier", "FROM {supplier}"), supplier=supplier))
 
 
-@query("gate_on_corpus", f"WITH {E}, {_all[0]}, st AS (SELECT {_all[1]}), {_bands.replace("b(", "bd(", 1)}, lg(statistic, value) AS ({' UNION ALL '.join(f"SELECT '{s}', {s}::DOUBLE FROM st" for s in FOUR)}) SELECT statistic, value, min, max, CASE WHEN value IS NULL OR isnan(value) THEN 'fail' WHEN min IS NULL AND max IS NULL THEN 'unset' WHEN value < min OR value > max THEN 'fail' ELSE 'pass' END AS outcome FROM bd LEFT JOIN lg USING (statistic)")
+@query("gate_on_corpus", f"WITH {E}, {_whole[0]}, st AS (SELECT {_whole[1]}), {_bands.replace("b(", "bd(", 1)}, lg(statistic, value) AS ({' UNION ALL '.join(f"SELECT '{s}', {s}::DOUBLE FROM st" for s in FOUR)}) SELECT statistic, value, min, max, CASE WHEN value IS NULL OR isnan(value) THEN 'fail' WHEN min IS NULL AND max IS NULL THEN 'unset' WHEN value < min OR value > max THEN 'fail' ELSE 'pass' END AS outcome FROM bd LEFT JOIN lg USING (statistic)")
 def _(spark, sf):
     """The bands of a gate on statistics that are measured here."""
-    values = structure.long_statistics(rounded(difficulty.summary(corpus(spark, sf), targets=difficulty.CONTRAST_TARGETS), *FOUR))
+    values = structure.long_statistics(rounded(difficulty.summary(corpus(spark, sf)), *FOUR))
     return gates.check_statistics(values, gates.bands(spark, gates.load_gate(GATE)))
 
 

@@ -47,7 +47,7 @@ def table(tmp_path_factory):
     return str(path), x.astype(float)
 
 
-@pytest.mark.parametrize("name", ["ann_summary"])
+@pytest.mark.parametrize("name", ["ann_summary", "gate_on_corpus"])
 def test_contrast_is_against_every_row(spark, table, name):
     sf, x = table
     rows = [r.asDict() for r in registry.QUERIES[name](spark, sf).collect()]
@@ -62,6 +62,16 @@ def test_contrast_is_against_every_row(spark, table, name):
     assert got == pytest.approx(np.median(mean / near[:, 0]), abs=1e-6)
 
 
+def test_copies_beyond_the_neighbours(spark):
+    """Their last distance is 0, by which nothing is divided."""
+    x = np.concatenate([np.zeros((12, 3)), np.random.default_rng(7).standard_normal((40, 3))])
+    s = difficulty.summary(frame(spark, x), k=5).first()
+    _, near = brute(x, 5)
+    kept = (near[:, 0] > 0) & (near[:, 0] < near[:, -1])
+    assert (s.lid_discarded_queries, s.ann_measured_rows) == (52 - kept.sum(), 52) and 0 < kept.sum() <= 40
+    assert s.lid_median == pytest.approx(np.median(-1 / np.log(near[kept] / near[kept, -1:]).mean(1)))
+
+
 def test_sums_of_distances(monkeypatch):
     """Copies, near copies, rows far from the origin and rows that aren't finite."""
     monkeypatch.setattr(difficulty, "SUM_TARGETS", 64)
